@@ -40,8 +40,8 @@ def connected_components(edges: DataFrame, store: Store, a: str = "a", b: str =
         jump = store.put(_followed(_followed(parent)), "hooks")
         found = jump.select(F.col("node").alias("component"), F.col("up").alias("higher"))
         labels = labels.join(found, "component", "left").select("node", F.coalesce("higher", "component").alias("component"))
+        labels = store.put(labels, "labels")
         after = store.put(_step(left, jump), "edges")
-        store.drop(left)
+        store.drop(left)  # nothing reads it any more: the labels that came from it are written
         left = after
-        labels = store.put(labels, "labels")
     return labels

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import quality, sentencepiece_codec, sharding, simhash
+from tallyloom.llm import pii, quality, sentencepiece_codec, sharding, simhash
 from tallyloom.llm.shared import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,10 +36,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = pii.listed(F.col("base"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_rendezvous": op4_rendezvous,
     "op5_quality": op5_quality,
+    "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
 }
 
