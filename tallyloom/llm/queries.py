@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import pii, quality, sentencepiece_codec, sharding, simhash
+from tallyloom.llm import decontam, pii, quality, sentencepiece_codec, sharding, simhash
 from tallyloom.llm.shared import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), PIECES)
 
@@ -43,6 +47,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_rendezvous": op4_rendezvous,
     "op5_quality": op5_quality,
