@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontam, pii, quality, sentencepiece_codec, sharding, simhash
+from tallyloom.llm import decontam, pii, quality, secrets_scan, sentencepiece_codec, sharding, simhash
 from tallyloom.llm.shared import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,6 +40,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets_scan.scan(docs, secrets_scan.default_forest(spark))
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), pii.listed(F.col("secrets")).alias("spans"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = pii.listed(F.col("base"))
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_rendezvous": op4_rendezvous,
     "op5_quality": op5_quality,
+    "op8_secrets": op8_secrets,
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
 }
