@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontam, pii, quality, secrets_scan, sentencepiece_codec, sharding, simhash
+from tallyloom.llm import decontam, html_extract, pii, quality, secrets_scan, sentencepiece_codec, sharding, simhash, token_counts
 from tallyloom.llm.shared import table
 
+#: The rank file's identifiers end at 50,255, so 50,256 is free to end a document.
+RANKS, SEPARATOR = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50_256
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -40,6 +42,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, SEPARATOR)
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_extract.fit(html_extract.labelled_pages())
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"), model)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found = secrets_scan.scan(docs, secrets_scan.default_forest(spark))
@@ -57,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_rendezvous": op4_rendezvous,
     "op5_quality": op5_quality,
+    "op6_separator_scan": op6_separator_scan,
+    "op7_main_text": op7_main_text,
     "op8_secrets": op8_secrets,
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
