@@ -80,7 +80,7 @@ def item_windows(items: DataFrame, item: str, text: str) -> DataFrame:
     return cut.select(item, "n", "length", "at", F.xxhash64("w").alias("h")).distinct()
 
 
-def _sized(df: DataFrame) -> DataFrame:
+def sized(df: DataFrame) -> DataFrame:
     """With a broadcast hint if the (written) table is small; otherwise as it is, and the join shuffles."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -91,7 +91,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     items = items.select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
     docs = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).where("_doc IS NOT NULL")
     windows = store.put(item_windows(items, "_item", "_text"), "items")
-    known = _sized(store.put(windows.select("length", "h").distinct(), "hashes"))
+    known = sized(store.put(windows.select("length", "h").distinct(), "hashes"))
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most WINDOW + STRIDE - 2 of them
     toks = docs.select("_doc", tokens(template_text(raw_text(F.col("_text")))).alias("t"))
     each = [F.transform(_windows(F.col("t"), n, STRIDE if n == WINDOW else 1), _placed(n, STRIDE if n == WINDOW else 1)) for n in lengths]
@@ -100,12 +100,12 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     hits = store.put(met.join(known, ["length", "h"]).select("_doc", "length", "h", "at"), "hits")
     # what a document shares with an item, by where the item would start in it
     items_at = windows.select("_item", "length", "h", F.col("at").alias("item_at"))
-    pairs = hits.join(_sized(items_at), ["length", "h"]).select("_doc", "_item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    pairs = hits.join(sized(items_at), ["length", "h"]).select("_doc", "_item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     pairs = store.put(pairs, "pairs")
     raw = raw_text(F.col("_text"))
     held = lambda df, k: df.select(k, raw.alias("r")).select(k, tokens(F.col("r")).alias("r"), tokens(template_text(F.col("r"))).alias("t"))
     told = store.put(pairs.select("_doc").distinct(), "found")
-    some = held(docs.join(_sized(told), "_doc", "left_semi"), "_doc")
+    some = held(docs.join(sized(told), "_doc", "left_semi"), "_doc")
     of = held(items.where("_item IS NOT NULL"), "_item").select("_item", F.col("r").alias("ir"), F.col("t").alias("it"))
     both = some.join(pairs, "_doc").join(of, "_item")
     # the part of the document under the item; cut at its ends, so that positions keep their partners

@@ -92,9 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return boost(x, found["y"].to_numpy().astype(float)[order])
 
 
-def score_documents(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of docs, then score (0 to 1) and predicted (1 if score >= ACCEPT). No shuffle."""
-    at = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def score_documents(docs: DataFrame, model: Trees, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns of docs, then score (0 to 1) and predicted (1 if score >= ACCEPT), or other names. No shuffle."""
+    at = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches):
         for batch in batches:
@@ -103,7 +103,7 @@ def score_documents(docs: DataFrame, model: Trees, key: str = "doc_id", text: st
             for lo in range(0, batch.num_rows, 256):
                 x = np.array([statistics(t or "") for t in column.slice(lo, 256).to_pylist()])
                 got[lo : lo + 256] = score(model, x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array((got >= ACCEPT).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array((got >= ACCEPT).astype(np.int32))], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, at)
 

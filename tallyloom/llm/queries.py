@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontam, html_extract, pii, quality, secrets_scan, sentencepiece_codec, sharding, simhash, token_counts
+from tallyloom.llm import decontam, embedding_join, html_extract, pii, quality, secrets_scan, sentencepiece_codec, sharding, simhash, token_counts
 from tallyloom.llm.shared import table
 
 #: The rank file's identifiers end at 50,255, so 50,256 is free to end a document.
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), PIECES)
 
@@ -65,6 +69,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_subspace_join": op2_subspace_join,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_rendezvous": op4_rendezvous,
     "op5_quality": op5_quality,
