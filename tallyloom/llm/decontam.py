@@ -39,25 +39,29 @@ UNITS = (
 _EDGE = r"[^\p{L}\p{N}_#@¤]+"
 
 
-def raw_text(text: Column) -> Column:
-    """Lower-case text in which names carry a mark and a number is one token."""
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def raw_tokens(text: Column) -> Column:
+    """Lower-case tokens in which names carry a mark and a number is one token."""
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), "#@¤_", "    ")
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})", "¤")
-    t = F.when(t.rlike(r"[0-9][.,:][0-9]"), F.regexp_replace(t, r"(?<=[0-9])[.,:](?=[0-9])", "_")).otherwise(t)
-    t = F.when(t.rlike(r"[0-9]\p{L}"), F.regexp_replace(t, r"(?<=[0-9])(?=\p{L})", " ")).otherwise(t)
-    return F.lower(t)
+    t = _let(t, lambda t: F.when(t.rlike(r"[0-9][.,:\p{L}]"), F.regexp_replace(F.regexp_replace(t, r"(?<=[0-9])[.,:](?=[0-9])", "_"), r"(?<=[0-9])(?=\p{L})", " ")).otherwise(t))
+    return F.filter(F.split(F.lower(t), _EDGE), lambda w: w != "")
 
 
-def template_text(raw: Column) -> Column:
-    """Placeholders instead of names, numbers and units; one token for one token."""
-    t = F.when(raw.contains("¤"), F.regexp_replace(raw, r"¤[\p{L}\p{N}_]+", "¤")).otherwise(raw)
-    t = F.regexp_replace(t, rf"(?<=[ \n])(?=[a-z])(?:{'|'.join(NUMBER_WORDS)})(?![\p{{L}}\p{{N}}_])", "#")
-    t = F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"(?<![\p{L}\p{N}_])[0-9][0-9_]*(?![\p{L}\p{N}_])", "#")).otherwise(t)
-    return F.when(t.contains("#"), F.regexp_replace(t, rf"(?<=#[ -])(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}_])", "@")).otherwise(t)
+def template(raw: Column) -> Column:
+    """Placeholders instead of names, numbers and units behind numbers; one token for one token."""
+    number = lambda w: ((w >= "0") & (w < ":")) | w.isin(NUMBER_WORDS)
+    t = F.transform(raw, lambda w: F.when(w.startswith("¤"), "¤").when(number(w), "#").otherwise(w))
 
+    def units(t: Column) -> Column:
+        behind = lambda w, i: (i > 0) & w.isin(UNITS) & (F.get(t, i - 1) == "#")
+        return F.when(F.array_contains(t, "#"), F.transform(t, lambda w, i: F.when(behind(w, i), "@").otherwise(w))).otherwise(t)
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, _EDGE), lambda w: w != "")
+    return _let(t, units)
 
 
 def _windows(toks: Column, length: int, stride: int) -> Column:
@@ -72,7 +76,7 @@ def _literal(window: Column) -> Column:
 
 def item_windows(items: DataFrame, item: str, text: str) -> DataFrame:
     """(item, n, length, at, h): every window that has at least half its tokens literal."""
-    toks = items.where(F.col(item).isNotNull()).select(item, tokens(template_text(raw_text(F.col(text)))).alias("t")).where(F.size("t") >= SHORTEST)
+    toks = items.where(F.col(item).isNotNull()).select(item, template(raw_tokens(F.col(text))).alias("t")).where(F.size("t") >= SHORTEST)
     whole = F.size("t") < WINDOW + STRIDE - 1
     length = F.when(whole, F.size("t")).otherwise(F.lit(WINDOW))
     at = toks.select(item, "t", F.size("t").alias("n"), length.alias("length"), F.explode(F.sequence(F.lit(1), F.size("t") - length + 1)).alias("at"))
@@ -93,7 +97,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     windows = store.put(item_windows(items, "_item", "_text"), "items")
     known = sized(store.put(windows.select("length", "h").distinct(), "hashes"))
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most WINDOW + STRIDE - 2 of them
-    toks = docs.select("_doc", tokens(template_text(raw_text(F.col("_text")))).alias("t"))
+    toks = docs.select("_doc", template(raw_tokens(F.col("_text"))).alias("t"))
     each = [F.transform(_windows(F.col("t"), n, STRIDE if n == WINDOW else 1), _placed(n, STRIDE if n == WINDOW else 1)) for n in lengths]
     empty = F.expr("cast(array() as array<struct<length:int,at:int,h:bigint>>)")
     met = toks.select("_doc", F.explode(F.concat(empty, *(F.coalesce(e, empty) for e in each))).alias("w")).select("_doc", "w.*")
@@ -102,8 +106,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     items_at = windows.select("_item", "length", "h", F.col("at").alias("item_at"))
     pairs = hits.join(sized(items_at), ["length", "h"]).select("_doc", "_item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     pairs = store.put(pairs, "pairs")
-    raw = raw_text(F.col("_text"))
-    held = lambda df, k: df.select(k, raw.alias("r")).select(k, tokens(F.col("r")).alias("r"), tokens(template_text(F.col("r"))).alias("t"))
+    held = lambda df, k: df.select(k, raw_tokens(F.col("_text")).alias("r")).select(k, "r", template(F.col("r")).alias("t"))
     told = store.put(pairs.select("_doc").distinct(), "found")
     some = held(docs.join(sized(told), "_doc", "left_semi"), "_doc")
     of = held(items.where("_item IS NOT NULL"), "_item").select("_item", F.col("r").alias("ir"), F.col("t").alias("it"))
