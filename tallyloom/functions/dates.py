@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.binding import let
 from tallyloom.functions.money import trimmed
 
 #: The formats of statement files, in the order in which they are tried.
@@ -17,9 +18,13 @@ FORMATS = {
 
 def parse_date(text: Column, form: str) -> Column:
     """Null unless the text has the format and names a day of the calendar; two-digit years are 20YY."""
-    t, (shape, pattern) = trimmed(text), FORMATS[form]
-    full = F.concat(F.substring(t, 1, 6), F.lit("20"), F.substring(t, 7, 2)) if form == "DD.MM.YY" else t
-    return F.when(t.rlike(shape), F.try_to_date(full, pattern))
+    shape, pattern = FORMATS[form]
+
+    def read(t: Column) -> Column:
+        full = F.concat(F.substring(t, 1, 6), F.lit("20"), F.substring(t, 7, 2)) if form == "DD.MM.YY" else t
+        return F.when(t.rlike(shape), F.try_to_date(full, pattern))
+
+    return let(trimmed(text), read)
 
 
 def parse_date_as(text: Column, form: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.binding import let
+
 #: What an amount may look like in each decimal style, and the largest exact integer of the source format.
 COMMA, DOT = r"^([0-9]{1,3}(?:\.[0-9]{3})*|[0-9]+)(?:,([0-9]{1,2}))?$", r"^([0-9]+)(?:\.([0-9]{1,2}))?$"
 LARGEST = 2**53 - 1
@@ -24,25 +26,28 @@ def without_currency(text: Column) -> Column:
 
 def _magnitude(text: Column, style: Column) -> Column:
     comma = style == "comma"
-    whole = F.when(comma, F.translate(F.regexp_extract(text, COMMA, 1), ".", "")).otherwise(F.regexp_extract(text, DOT, 1))
-    part = F.when(comma, F.regexp_extract(text, COMMA, 2)).otherwise(F.regexp_extract(text, DOT, 2))
-    cents = F.try_add(F.try_multiply(whole.try_cast("decimal(38,0)"), F.lit(100)), F.rpad(part, 2, "0").try_cast("decimal(38,0)"))
-    fits = F.when(comma, text.rlike(COMMA)).otherwise(text.rlike(DOT))
-    return F.when(fits & (cents <= LARGEST), cents.cast("bigint"))
+    pattern = F.when(comma, COMMA).otherwise(DOT)
+    group = lambda n: F.call_function("regexp_extract", text, pattern, F.lit(n))
+    whole, part = F.nullif(F.translate(group(1), ".", ""), F.lit("")), F.rpad(group(2), 2, "0")
+    cents = F.concat(whole, part).try_cast("decimal(38,0)")
+    return let(cents, lambda c: F.when(c <= LARGEST, c.cast("bigint")))
+
+
+def _signed(bare: Column, style: Column) -> Column:
+    magnitude = _magnitude(trimmed(F.regexp_replace(bare, "^[-+]", "")), style)
+    return F.when(bare.startswith("-"), -magnitude).otherwise(magnitude)
 
 
 def parse_cents(text: Column, style: Column | str) -> Column:
     """Signed amount text to cents; null if it is none. style: 'comma' or 'dot'."""
     style = F.lit(style) if isinstance(style, str) else style
-    bare = without_currency(text)
-    signed = bare.rlike("^[-+]")
-    magnitude = _magnitude(F.when(signed, trimmed(F.substring(bare, 2, 1_000_000))).otherwise(bare), style)
-    return F.when(bare.startswith("-"), -magnitude).otherwise(magnitude)
+    return let(without_currency(text), lambda bare: _signed(bare, style))
 
 
 def parse_unsigned_cents(text: Column, style: Column | str) -> Column:
     """The same for texts that must not carry a sign."""
-    return F.when(~without_currency(text).rlike("^[-+]"), parse_cents(text, style))
+    style = F.lit(style) if isinstance(style, str) else style
+    return let(without_currency(text), lambda bare: F.when(~bare.rlike("^[-+]"), _magnitude(bare, style)))
 
 
 def display(cents: Column) -> Column:

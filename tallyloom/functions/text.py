@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.constants import CITIES
+from tallyloom.functions.binding import let
 from tallyloom.functions.money import WS
 
 #: Borders of ASCII words: Java's \b takes letters with accents as word characters, the rules do not.
@@ -53,15 +54,17 @@ def refund_key(iban: Column, name: Column, description: Column) -> Column:
 
 
 def _stripped(upper: Column) -> Column:
-    card = upper.rlike(CARD_TAIL)
     t = F.regexp_replace(upper, RAIL, " ")
     for pattern in (AMOUNT_BEFORE_LABEL, CARD_TAIL, COUNTRY, *NOISE):
         t = F.regexp_replace(t, pattern, " ")
     t = collapsed(F.regexp_replace(t, POSTAL, ""))
-    without_dashes = F.array_join(F.filter(F.split(t, " "), lambda w: w != "-"), " ")
-    t = F.when(card, collapsed(without_dashes)).otherwise(F.regexp_replace(t, rf"({WS}-)(?:{WS}-)+(?={WS})", "$1"))
-    # trailing city words go while a word stays: one bounded pattern instead of a loop
-    t = F.regexp_replace(t, rf"(?<=[^ ])(?: (?:{'|'.join(CITIES)}))+$", "")
+
+    def dashes(t: Column) -> Column:
+        without = collapsed(F.array_join(F.filter(F.split(t, " "), lambda w: w != "-"), " "))
+        return F.when(upper.rlike(CARD_TAIL), without).otherwise(F.regexp_replace(t, rf"({WS}-)(?:{WS}-)+(?={WS})", "$1"))
+
+    # trailing city words go while a word stays: one pattern instead of a loop
+    t = F.regexp_replace(let(t, dashes), rf"(?<=[^ ])(?: (?:{'|'.join(CITIES)}))+$", "")
     return collapsed(F.regexp_replace(t, rf"^(?:{WS}|[,;:.-])+|(?:{WS}|[,;:.-])+$", ""))
 
 
@@ -70,11 +73,13 @@ def normalise_counterparty(text: Column) -> Column:
 
     Call it on distinct texts (`merchants.resolve` does): the patterns are many.
     """
-    upper = collapsed(F.upper(text))
-    first = _stripped(upper)
-    bare = collapsed(F.regexp_replace(upper, CARD_TAIL, "$1"))
-    second = _stripped(bare)
-    return F.when(first != "", first).when(second != "", second).when(bare == "", upper).otherwise(bare)
+
+    def floor(upper: Column) -> Column:
+        bare = collapsed(F.regexp_replace(upper, CARD_TAIL, "$1"))
+        last = lambda b: let(_stripped(b), lambda s: F.when(s != "", s).when(b == "", upper).otherwise(b))
+        return let(_stripped(upper), lambda s: F.when(s != "", s).otherwise(let(bare, last)))
+
+    return let(collapsed(F.upper(text)), floor)
 
 
 def glob_to_regex(glob: Column) -> Column:

@@ -87,10 +87,11 @@ def parsed(files: DataFrame) -> DataFrame:
     rows = lines(decoded(files)).where((F.col("index") > spec["header_row_index"]) & (trimmed(F.col("line")) != ""))
     rows = rows.withColumn("cells", fields(F.col("line"), spec["delimiter"]))
     at, amount, style = spec["columns"], spec["amount"], spec["decimal_style"]
-    debit, credit = _cell(cells, amount["debit_column"]), _cell(cells, amount["credit_column"])
+    rows = rows.withColumns({"_debit": _cell(cells, amount["debit_column"]), "_credit": _cell(cells, amount["credit_column"]), "_amount": _cell(cells, amount["column"])})
+    debit, credit = F.col("_debit"), F.col("_credit")
     marker = F.upper(_cell(cells, amount["indicator_column"]))
-    size = parse_unsigned_cents(_cell(cells, amount["column"]), style)
-    signed = parse_cents(_cell(cells, amount["column"]), style)
+    rows = rows.withColumn("_size", parse_unsigned_cents(F.col("_amount"), style))
+    size, signed = F.col("_size"), parse_cents(F.col("_amount"), style)
     pair = F.when((debit != "") & (credit != ""), None).when(debit != "", -parse_unsigned_cents(debit, style)).when(credit != "", parse_unsigned_cents(credit, style))
     marked = F.when(marker == F.upper(amount["debit_value"]), -size).when(marker == F.upper(amount["credit_value"]), size)
     cents = F.when(amount["kind"] == "signed", signed).when(amount["kind"] == "debitCredit", pair).otherwise(marked)
