@@ -158,39 +158,46 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("wide", F.concat(*(F.coalesce(f, nothing) for f in found)))
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[list[float]], list[list[float]]]:
-    """EM over distinct vote patterns and their counts: the prior, and P(vote | true), P(vote | false) per labeler.
+def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float], list[float]]:
+    """EM over distinct vote patterns and their counts: the prior, and per labeler P(yes | true) and P(yes | false).
 
-    A vote is -1, 0 or 1. It starts from labelers that are right more often than not, which tells the two classes apart.
+    A vote is -1, 0 or 1; a labeler that says nothing is no evidence, as it is the span's kind that makes it silent.
+    Pseudo-counts (a tenth of the spans, 10 at least) hold that labelers are right more often than not, which tells the
+    two classes apart.
     """
-    p = 0.2
-    right = [[0.2, 0.2, 0.6] for _ in LABELERS]
-    wrong = [[0.6, 0.3, 0.1] for _ in LABELERS]
+    n = sum(c for _, c in patterns)
+    held = max(10.0, 0.1 * n)
+    p, right, wrong = 0.3, [0.85] * len(LABELERS), [0.15] * len(LABELERS)
     for _ in range(EM_ROUNDS if patterns else 0):
-        t, a, b = 0.0, [[0.5] * 3 for _ in LABELERS], [[0.5] * 3 for _ in LABELERS]
-        n = sum(c for _, c in patterns)
+        t, yes, all_ = 0.0, [[0.15 * held, 0.85 * held] for _ in LABELERS], [[held, held] for _ in LABELERS]
         for votes, c in patterns:
             q = posterior(votes, p, right, wrong)
             t += c * q
             for j, v in enumerate(votes):
-                a[j][v + 1] += c * q
-                b[j][v + 1] += c * (1 - q)
-        p = min(0.95, max(1e-4, (t + 1) / (n + 10)))
-        right, wrong = [[x / sum(r) for x in r] for r in a], [[x / sum(r) for x in r] for r in b]
+                if v:
+                    for k, w in ((1, c * q), (0, c * (1 - q))):
+                        all_[j][k] += w
+                        yes[j][k] += w * (v > 0)
+        p = min(0.95, max(1e-4, (t + 1) / (n + 4)))
+        right, wrong = [y[1] / a[1] for y, a in zip(yes, all_)], [y[0] / a[0] for y, a in zip(yes, all_)]
     return p, right, wrong
 
 
-def posterior(votes: tuple[int, ...], p: float, right: list[list[float]], wrong: list[list[float]]) -> float:
-    s = math.log(p / (1 - p)) + sum(math.log(right[j][v + 1] / wrong[j][v + 1]) for j, v in enumerate(votes))
+def posterior(votes: tuple[int, ...], p: float, right: list[float], wrong: list[float]) -> float:
+    s = math.log(p / (1 - p))
+    for v, r, w in zip(votes, right, wrong):
+        s += math.log(r / w) if v > 0 else math.log((1 - r) / (1 - w)) if v < 0 else 0.0
     return 1 / (1 + math.exp(-max(-50.0, min(50.0, s))))
 
 
 def classifier(rows: list[tuple[tuple[float, ...], float, float]]) -> list[float]:
     """Weights of a ridge logistic regression on (features, count, mean posterior) rows; all zero but the first without rows."""
     d = len(FEATURES)
-    w = [-3.0] + [0.0] * (d - 1)
-    for _ in range(NEWTON_ROUNDS if rows else 0):
-        grad, hess = [-0.5 * x for x in w], [[0.5 * (i == j) for j in range(d)] for i in range(d)]
+    if not rows:
+        return [-3.0] + [0.0] * (d - 1)
+    w = [0.0] * d
+    for _ in range(NEWTON_ROUNDS):
+        grad, hess = [-x for x in w], [[1.0 * (i == j) for j in range(d)] for i in range(d)]
         for x, c, q in rows:
             z = sum(a * b for a, b in zip(w, x))
             m = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))

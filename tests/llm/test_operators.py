@@ -1,0 +1,344 @@
+"""Each operator against a brute-force version or an exact round trip, on small tables with nulls, ties and repeats."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+
+from tallyloom.llm import components, decontam, embedding_join, html_extract, pii, quality, secrets_scan, sentencepiece_codec, sharding, simhash, token_counts
+from tallyloom.llm.shared import Store
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in enumerate(texts)], DOC)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("aeioutnrsl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+def component_of(n, pairs):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return [root(i) for i in range(n)]
+
+
+# ---- SentencePiece
+
+
+def test_codec_equals_the_library():
+    codec, sp, rng = sentencepiece_codec.Codec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(1)
+    letters = "  abcdethéñ\n\t▁中語🙂\x00.,<0x0A>A10"
+    texts = ["", " ", "a" * 3000, "thequick" * 200] + [" " * n + "x" + " " * n for n in range(40)] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    for t in texts:
+        ids = sp.encode(t)
+        assert codec.encode(t) == ids, t
+        assert codec.decode(ids) == sp.decode(ids), t
+
+
+def test_encode_documents_digests_and_round_trip(spark):
+    texts = [None, "", "Hello  world\n", "Ünïcode 🙂", "Hello  world\n"]
+    got = {r.doc_id: r for r in sentencepiece_codec.encode_documents(docs(spark, texts), PIECES).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for i, t in enumerate(texts):
+        ids = sp.encode(t or "")
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    back = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_to_ids(docs(spark, texts), PIECES), PIECES)
+    assert {r.doc_id: r.text for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert sentencepiece_codec.encode_documents(docs(spark, texts).limit(0), PIECES).count() == 0
+
+
+# ---- SimHash and components
+
+
+def slow_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("pairwise", [512, 2])
+def test_simhash_against_brute_force(spark, pairwise, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    rng = random.Random(2)
+    long = prose(rng, 400)
+    texts = [None, "", " \t\n", "one", "one two", "ONE two", "É one two three"]
+    for _ in range(60):
+        words = long.split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = "x"
+        texts.append(" ".join(words))
+    texts += [prose(rng, 5) for _ in range(40)] + [long, long]
+    prints = [slow_fingerprint(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i].fingerprint for i in range(len(texts))] == [f"{p:016x}" for p in prints]
+    assert [got[i].component_id for i in range(len(texts))] == component_of(len(texts), pairs)
+
+
+def test_forest_links_equal_brute_force_on_crowded_chains():
+    rng = np.random.default_rng(0)
+    bit = 30
+    free = [b for b in range(64) if not int(simhash.CHAINS[bit]) >> b & 1]
+    fps = np.unique(np.array([sum(1 << int(b) for b in rng.choice(free, rng.integers(0, 4), replace=False)) for _ in range(700)], np.uint64))
+    reps = np.arange(len(fps))
+    links = [p for a, b in simhash._forest(fps, reps, bit) for p in zip(a.tolist(), b.tolist())]
+    true = [(a, b) for a in range(len(fps)) for b in range(a) if (int(fps[a]) ^ int(fps[b])).bit_count() <= 2]
+    assert component_of(len(fps), links) == component_of(len(fps), true)
+    assert all((int(fps[a]) ^ int(fps[b])).bit_count() <= 2 for a, b in links)
+
+
+def test_components_of_chains_stars_and_nothing(spark):
+    pairs = [(i, i + 1) for i in range(30)] + [(100, 101 + i) for i in range(30)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(edges, Store(spark, "t")).collect()}
+    assert got == {i: 0 for i in range(31)} | {100 + i: 100 for i in range(31)} | {200: 200, 201: 200}
+    assert components.connected_components(edges.limit(0), Store(spark, "t")).count() == 0
+
+
+# ---- embeddings
+
+
+@pytest.mark.parametrize("chunk", [8192, 7])
+def test_subspace_join_against_brute_force(spark, chunk, monkeypatch):
+    monkeypatch.setattr(embedding_join, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    rows = []
+    for c in range(6):
+        center = rng.standard_normal(16)
+        rows += [(center + rng.standard_normal(16) * s).tolist() for s in (0, 0, 0.1, 0.2, 0.3, 0.4, 0.5)]
+    rows += [None, [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0] * 15 + [None], [], [1.0, 2.0], [2.0, 4.0], [1e30] * 16, [1e30] * 16]
+    good = [r is not None and len(r) > 0 and all(x is not None and np.isfinite(x) for x in r) and any(r) for r in rows]
+    unit = [np.float32(r).astype(float) / np.linalg.norm(np.float32(r).astype(float)) if g else None for r, g in zip(rows, good)]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if good[a] and good[b] and len(rows[a]) == len(rows[b]) and unit[a] @ unit[b] >= 0.9]
+    links = collections.Counter(x for p in pairs for x in p)
+    table = spark.createDataFrame([(i, r, 0) for i, r in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embedding_join.near_duplicates(table).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == [links[i] for i in range(len(rows))]
+    assert [got[i].component_id for i in range(len(rows))] == component_of(len(rows), pairs)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
+# ---- sharding
+
+
+def test_rendezvous_law(spark):
+    texts = ["t", "t", None, "", "é"] + [str(i) for i in range(600)]
+    table = docs(spark, texts).unionByName(docs(spark, ["again"]))
+    got = sharding.assign(table, [1.0] * 16, [1.0] * 17).collect()
+    assert len(got) == len(texts) + 1
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert all(r.grown_shard in (r.shard, 16) for r in got) and any(r.grown_shard == 16 for r in got)
+    by = {(r.doc_id, r.text_crc32): r for r in got}
+    assert by[4, zlib.crc32("é".encode())].size == 3 and by[2, 0].size == 1
+    assert by[0, zlib.crc32(b"t")].shard == by[0, zlib.crc32(b"again")].shard  # the key alone decides
+    heavy = collections.Counter(r.shard for r in sharding.assign(table, [1.0, 3.0]).collect())
+    assert 2 < heavy[1] / heavy[0] < 4.5
+
+
+# ---- quality
+
+
+def test_quality_on_held_out_rows(spark):
+    rng = random.Random(5)
+    texts, marks = [], []
+    for i in range(500):
+        good = i % 3 > 0
+        texts.append(". ".join(prose(rng, 9).capitalize() for _ in range(6)) + "." if good else rng.choice([" ".join(["spam"] * 80), prose(rng, 60).upper().replace(" ", "!! "), prose(rng, 50).replace(" ", " | ")]))
+        marks.append(int(good))
+    table = docs(spark, texts + [None, ""])
+    labels = spark.createDataFrame([(i, m, 0) for i, m in enumerate(marks)] + [(999, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    scored = {r.doc_id: r for r in quality.score_documents(table, quality.fit(table, labels)).collect()}
+    held = [i for i in range(500) if quality.crc_remainder(i) == 0]
+    assert len(held) > 60 and np.mean([scored[i].predicted == marks[i] for i in held]) > 0.95
+    assert all(0 <= r.score <= 1 for r in scored.values()) and len(scored) == 502
+    flat = quality.score_documents(table, quality.fit(table, labels.limit(0)))
+    assert {round(r.score, 3) for r in flat.collect()} == {0.5}
+
+
+# ---- token counts
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_separator_scan(spark, block, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK", block)
+    monkeypatch.setattr(token_counts.blocks, "__defaults__", (block,))
+    monkeypatch.setattr(token_counts.scan_files, "__defaults__", (2, block))
+    monkeypatch.setattr(token_counts, "RUN", 2)
+    texts = ["one two", None, "", "x " * 40, "one two", "last"]
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encode = token_counts.encoder(ranks, public_tokenizers.PATTERN)
+    got = token_counts.count_documents(docs(spark, texts).coalesce(1), ranks, public_tokenizers.PATTERN, 50256)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(encode(t or "")) for i, t in enumerate(texts)}
+
+
+def test_unended_tail_counts(spark, tmp_path):
+    np.array([1, 2, 9, 9, 3], "<u2").tofile(f"{tmp_path}/f.bin")
+    files = spark.createDataFrame([(f"file://{tmp_path}/f.bin", 5)], "file string, n_ids long")
+    assert sorted((r.nth, r.start, r.n_tokens) for r in token_counts.scan_files(files, 9).collect()) == [(0, 0, 2), (1, 3, 0), (2, 4, 1)]
+
+
+# ---- html
+
+
+def test_messages_equal_enumeration():
+    rng = np.random.default_rng(1)
+    model = html_extract.Model(rng.standard_normal(len(html_extract.NAMES)), rng.standard_normal((2, 2, 2)))
+    page = html_extract.parse("<body><nav><a href=x>a</a></nav><div class=post><p>one<p>two</div></body>")
+    tree = html_extract._join([page])
+    parent, _, leaf, node, feat = tree
+    n, own = len(parent), np.bincount(node, model.weight[feat], len(parent))
+    total, good = 0.0, np.zeros(n)
+    for bits in range(2**n):
+        s = [(bits >> i) & 1 for i in range(n)]
+        w = np.exp(sum(own[i] * s[i] for i in range(n)) + sum(model.edge[leaf[i], s[parent[i]], s[i]] for i in range(n) if parent[i] >= 0))
+        total += w
+        good += w * np.array(s)
+    assert np.allclose(html_extract.marginals(model, tree), good / total)
+
+
+def test_main_text_of_unseen_pages(spark):
+    model = html_extract.fit(html_extract.labelled_pages())
+    fresh = html_extract.labelled_pages(120, seed=77)
+    right = 0
+    for page in fresh:
+        p = html_extract.parse(page, labelled=True)
+        right += html_extract.extract(model, [page])[0] == "\n".join(t for t, m in zip(p.text, p.mark) if t is not None and m)
+    assert right / len(fresh) > 0.9
+    pages = spark.createDataFrame([(1, "u", "<html><body><nav><a href=/>Home</a></nav><article><h1>Title &amp;  more</h1><p>First   &eacute;\n line.<p>Second one here.</article><footer>&copy; x</footer>"), (2, None, None), (3, "u", ""), (4, "u", "<<<>>")], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract_pages(pages, model).collect()}
+    assert got[1][0] == "Title & more\nFirst é line.\nSecond one here." and got[2] == got[3] == ("", 0)
+    assert 4 in got
+
+
+# ---- secrets
+
+
+def test_secrets_and_false_positives(spark):
+    table, rng = secrets_scan.labelled_findings(1200, seed=5), random.Random(3)
+    held = secrets_scan.labelled_findings(600, seed=6)
+    model = secrets_scan.fit(spark.createDataFrame(table))
+    seen = spark.createDataFrame(held).withColumn("p", secrets_scan.probability(model, secrets_scan.features(F.col("value"), F.col("before"), F.col("path"))))
+    rows = seen.select("label", "p").collect()
+    assert np.mean([(r.p >= 0.5) == bool(r.label) for r in rows]) > 0.93
+    key = "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16))
+    text = f'é some {key} words token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" and password=changeme end'
+    got = secrets_scan.scan(docs(spark, [text, None, "", "clean words only"]), model)
+    got = {r.doc_id: r for r in got.withColumn("clean", secrets_scan.redacted(F.col("text"), F.col("secrets"))).collect()}
+    assert [text[s.start : s.end] for s in got[0].secrets] == [key, "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"]
+    assert got[0].clean == 'é some [SECRET] words token = "[SECRET]" and password=changeme end'
+    assert [len(got[i].secrets) for i in (1, 2, 3)] == [0, 0, 0] and got[1].clean is None
+
+
+# ---- personal data
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def slow_spans(text):
+    def luhn(s):
+        return sum((v := int(c) * (1 + i % 2)) - 9 * (v > 9) for i, c in enumerate(reversed(s))) % 10 == 0
+
+    out = []
+    for k, (kind, p) in enumerate(PATTERNS.items()):
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]:
+                out.append((m.start(), k, m.end(), kind))
+    return [(kind, s, e) for s, _, e, kind in sorted(out)]
+
+
+def test_base_spans_against_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["a.b@c.de", "@", "x@y", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "010.0.0.001", "4111 1111 1111 1111", "4111111111111112", "5500-0000-0000-0004", "+1 (555) 123-4567", "+12", "é", "_", "a@b.c_d@e.f", "..", "-", " ", "7"]
+    texts = [None, "", "1" * 4000, "a" * 5000, "1.1" * 2000, "a@" + "b." * 3000 + "c"] + ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 8))) for _ in range(400)]
+    got = {r.doc_id: r for r in pii.find(docs(spark, texts), weights=[-9.0] + [0.0] * 6).collect()}
+    for i, t in enumerate(texts):
+        assert [(s.kind, s.start, s.end) for s in got[i].base] == slow_spans(t), t
+        assert [(s.kind, s.start, s.end) for s in got[i].spans] == slow_spans(t), t
+
+
+def test_votes_add_spans_and_leave_base_ones(spark):
+    rng = random.Random(9)
+    texts = []
+    for i in range(300):
+        body = prose(rng, 12)
+        texts.append([f"{body} born 12/03/1985 and {body}", f"{body} version due 12/03/1985 x", f"{body} iban BE68 5390 0754 7034 {body}", f"{body} ssn 123-45-6789", f"{body} contact Maria Lopez {body}", f"{body} a.b@c.de"][i % 6])
+    table = docs(spark, texts)
+    got = {r.doc_id: r for r in pii.find(table, pii.fit(table)).collect()}
+    kinds = lambda i: {s.kind for s in got[i].spans}
+    assert all(kinds(i) == {"iban"} for i in range(2, 300, 6)) and all(kinds(i) == {"email"} for i in range(5, 300, 6))
+    assert all("national" in kinds(i) for i in range(3, 300, 6))
+    assert not any(got[i].spans for i in range(0)) and pii.find(table.limit(0)).count() == 0
+
+
+def test_em_recovers_reliabilities():
+    rng = random.Random(4)
+    tally = collections.Counter()
+    for _ in range(20000):
+        y = rng.random() < 0.3
+        tally[tuple((1 if (rng.random() < a) == y else -1) if rng.random() < 0.8 else 0 for a in (0.95, 0.8, 0.7))] += 1
+    p, right, wrong = pii.estimate(sorted(tally.items()))
+    assert abs(p - 0.3) < 0.05 and right[0] > right[1] > right[2] > 0.6 > 0.4 > wrong[2]
+
+
+# ---- decontamination
+
+
+def leaks(spark, texts, items):
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, texts), table).collect()}
+
+
+def test_leaks_exact_and_reparameterised(spark):
+    rng = random.Random(6)
+    item = "A train leaves the station at 40 km per hour and Peter walks 3 miles to meet it after 40 minutes of waiting"
+    other = "A train leaves the station at 55 km per hour and Susan walks 7 miles to meet it after 55 minutes of waiting"
+    broken = "A train leaves the station at 55 km per hour and Susan walks 7 miles to meet it after 99 minutes of waiting"
+    plain = " ".join(prose(rng, 30).split())
+    noise = [prose(rng, 80) for _ in range(5)]
+    texts = [f"{noise[0]}. {item}. {noise[1]}", f"{noise[1]}. {other}. {noise[2]}", f"{noise[2]}. {broken}.", f"{noise[3]} {plain} {noise[4]}", noise[4], None, "", f"{noise[0]} {' '.join(plain.split()[:6])}", item]
+    items = [item, plain, None, "", "too short", "five words are just enough"]
+    assert leaks(spark, texts, items) == {(0, 0), (1, 0), (8, 0), (3, 1)}
+    assert leaks(spark, ["x five words are just enough y"], items) == {(0, 5)}
+    assert leaks(spark, texts, []) == set() and leaks(spark, [], items) == set()
+
+
+def test_whole_items_are_found_wherever_they_stand(spark):
+    rng = random.Random(7)
+    items = [prose(rng, rng.randint(9, 40)) for _ in range(30)]
+    texts, true = [], set()
+    for i in range(60):
+        body = prose(rng, rng.randint(0, 50)).split()
+        if i % 2:
+            k = rng.randrange(30)
+            at = rng.randint(0, len(body))
+            body[at:at] = items[k].split()
+            true.add((i, k))
+        texts.append(" ".join(body))
+    assert leaks(spark, texts, items) == true
