@@ -383,11 +383,11 @@ def ingest_report(spark: SparkSession, d: str) -> DataFrame:
     return dedup.ingest_report(keyed, dedup.new_rows(keyed, old))
 
 
-@query("amount_round_trip", "facts", "SELECT household_id, id, amount_cents, amount_cents AS parsed_cents, CASE WHEN amount_cents >= 0 THEN amount_cents END AS unsigned_cents FROM facts")
+@query("amount_round_trip", "facts", "SELECT household_id, id, amount_cents, amount_cents AS parsed_cents, CASE WHEN amount_cents >= 0 THEN amount_cents ELSE -1 END AS unsigned_cents FROM facts")
 def amount_round_trip(spark: SparkSession, d: str) -> DataFrame:
     shown = money.display(F.col("amount_cents"))
     facts = Ledger(spark, d).facts.withColumn("shown", F.when(F.col("amount_cents") % 2 == 0, F.concat(F.lit("EUR "), shown)).otherwise(F.concat(shown, F.lit(" €"))))
-    return facts.select(H, "id", "amount_cents", money.parse_cents(F.col("shown"), "comma").alias("parsed_cents"), money.parse_unsigned_cents(F.col("shown"), "comma").alias("unsigned_cents"))
+    return facts.select(H, "id", "amount_cents", money.parse_cents(F.col("shown"), "comma").alias("parsed_cents"), F.coalesce(money.parse_unsigned_cents(F.col("shown"), "comma"), F.lit(-1)).cast("long").alias("unsigned_cents"))
 
 
 @query("amount_display", "facts", "SELECT id, CASE WHEN amount_cents < 0 THEN '-' ELSE '' END || replace(format('{:,}', abs(amount_cents) // 100), ',', '.') || ',' || lpad(CAST(abs(amount_cents) % 100 AS VARCHAR), 2, '0') AS shown FROM facts")
