@@ -316,19 +316,19 @@ def _statement_lines(book: Ledger) -> DataFrame:
     day = F.date_format("booking_date", "dd/MM/yyyy")
     said = F.when(F.length("description") % 3 == 0, F.concat(F.lit('"'), "description", F.lit('"'))).otherwise(F.col("description"))
     cells = (F.substring("import_id", -7, 4), F.substring("id", 2, 12), day, day, F.col("iban"), F.coalesce("counterparty_iban", F.lit("")), F.coalesce("counterparty_name", F.lit("")), said, money.display(F.col("amount_cents")))
-    return book.facts.join(own, [H, "account_id"]).select(H, F.col("import_id").alias("file_id"), "id", F.concat_ws(";", *cells).alias("line"))
+    return book.facts.join(own, [H, "account_id"]).select(H, F.col("account_id").alias("file_id"), "id", F.concat_ws(";", *cells).alias("line"))
 
 
 HEADER = "Export;;;;;;;;\r\nAfschrift;Volgnummer;Boekingsdatum;Valutadatum;Rekening;Rekening tegenpartij;Naam tegenpartij;Omschrijving;Bedrag"
 
 
 def statement_files(book: Ledger) -> DataFrame:
-    """(household_id, file_id, content): the lines of each import under a preamble and a header, in the order of ids."""
+    """(household_id, file_id, content): the lines of each account under a preamble and a header, in the order of ids."""
     body = _statement_lines(book).groupBy(H, "file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda s: s["line"]), "\r\n").alias("body"))
     return body.select(H, "file_id", F.concat(F.lit(HEADER + "\r\n"), "body", F.lit("\r\n")).cast("binary").alias("content"))
 
 
-_PARSED = "SELECT f.household_id, f.import_id AS file_id, row_number() OVER (PARTITION BY f.household_id, f.import_id ORDER BY f.id) + 2 AS line_no, booking_date, amount_cents, f.description, counterparty_iban, counterparty_name, a.iban AS account_iban, left(right(f.import_id, 7), 4) AS statement_number, substr(f.id, 2, 12) AS sequence_number FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'"
+_PARSED = "SELECT f.household_id, f.account_id AS file_id, row_number() OVER (PARTITION BY f.household_id, f.account_id ORDER BY f.id) + 2 AS line_no, booking_date, amount_cents, f.description, counterparty_iban, counterparty_name, a.iban AS account_iban, left(right(f.import_id, 7), 4) AS statement_number, substr(f.id, 2, 12) AS sequence_number FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'"
 
 
 @query("parse_statements", "facts", _PARSED)
@@ -344,14 +344,14 @@ def _with_spec(files: DataFrame) -> DataFrame:
     return files.withColumn("spec", F.from_json(F.lit(json.dumps(spec)), delimited.SPEC))
 
 
-@query("inferred_profiles", "facts", "SELECT DISTINCT f.household_id, f.import_id AS file_id, ';' AS delimiter, 1 AS header_row_index, 'DD/MM/YYYY' AS date_format, 'comma' AS decimal_style, 'signed' AS amount_kind, 8 AS amount_column, 2 AS booking_date, 3 AS value_date, 4 AS account_iban, 7 AS description FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
+@query("inferred_profiles", "facts", "SELECT DISTINCT f.household_id, f.account_id AS file_id, ';' AS delimiter, 1 AS header_row_index, 'DD/MM/YYYY' AS date_format, 'comma' AS decimal_style, 'signed' AS amount_kind, 8 AS amount_column, 2 AS booking_date, 3 AS value_date, 4 AS account_iban, 7 AS description FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
 def inferred_profiles(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("spec")
     c = s["columns"]
     return profile.infer(statement_files(Ledger(spark, d))).select(H, "file_id", s["delimiter"].alias("delimiter"), s["header_row_index"].alias("header_row_index"), s["date_format"].alias("date_format"), s["decimal_style"].alias("decimal_style"), s["amount"]["kind"].alias("amount_kind"), s["amount"]["column"].alias("amount_column"), c["booking_date"].alias("booking_date"), c["value_date"].alias("value_date"), c["account_iban"].alias("account_iban"), c["description"].alias("description"))
 
 
-@query("own_ibans", "facts", "SELECT DISTINCT f.household_id, f.import_id AS file_id, a.iban AS account_ibans FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
+@query("own_ibans", "facts", "SELECT DISTINCT f.household_id, f.account_id AS file_id, a.iban AS account_ibans FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
 def own_ibans(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = delimited.statements(_with_spec(statement_files(Ledger(spark, d))))
     return delimited.own_ibans(rows).select(H, "file_id", F.array_join("account_ibans", ",").alias("account_ibans"))
