@@ -84,7 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     schema = pa.schema([(key, pa.int64()), ("y", pa.int32()), ("stats", pa.list_(pa.float64()))])
     work = per_text(text, [key, "y"], lambda t: (statistics(t),), schema)
     texts = docs.select(key, text)
-    found = texts.join(chosen, key).mapInArrow(work, f"`{key}` long, y int, stats array<double>").toArrow()
+    # the sample has at most `rows` rows of two numbers, so no text is shuffled to meet it
+    found = texts.join(F.broadcast(chosen), key).mapInArrow(work, f"`{key}` long, y int, stats array<double>").toArrow()
     if not found.num_rows:
         return boost(np.zeros((0, N_STATS)), np.zeros(0))
     order = np.lexsort((found["y"].to_numpy(), found[key].to_numpy()))
