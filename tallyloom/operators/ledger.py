@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyloom.constants import CASH, SETTLEMENT_CREDIT, SETTLEMENT_DAYS, SETTLEMENT_DEBIT, TRANSFER_DAYS
 from tallyloom.functions.dates import day_distance
 from tallyloom.functions.text import refund_key
+from tallyloom.staging import staged
 
 H = "household_id"
 
@@ -110,8 +111,11 @@ def greedy(edges: DataFrame, component: list[str], left: str, right: str, order:
                 kept.append(i)
         return group.sort_values(order).iloc[kept][names]
 
+    # an edge alone in its component is taken as it is; only contested ones are walked in Python
+    counted = staged(edges.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*component))), "edges")
     kinds = dict(edges.dtypes)
-    return edges.groupBy(*component).applyInPandas(walk, ", ".join(f"{n} {kinds[n]}" for n in names))
+    walked = counted.where("_n > 1").drop("_n").groupBy(*component).applyInPandas(walk, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return counted.where("_n = 1").select(*names).unionByName(walked)
 
 
 def allocate_settlements(flows: DataFrame, facts: DataFrame, accounts: DataFrame) -> DataFrame:
