@@ -135,4 +135,5 @@ def count_documents(docs: DataFrame, ranks_path: str, pattern: str, separator: i
     placed = store.put(write_files(docs, f"{store.root}/files", ranks_path, pattern, separator, key=key, text=text), "placed")
     files = placed.groupBy("file").agg(F.max("n_ids").alias("n_ids"))
     counted = scan_files(files, separator)
-    return placed.select("file", "nth", key).join(counted, ["file", "nth"]).select(key, "n_tokens")
+    # the written table looks small as its file names compress well; without the hint it would be broadcast whole
+    return placed.select("file", "nth", key).hint("merge").join(counted, ["file", "nth"]).select(key, "n_tokens")
