@@ -461,9 +461,9 @@ def local_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def statement_items(book: Ledger) -> DataFrame:
-    """Positioned text of one statement per current account and year, 20 transactions to a page, as runs of words."""
+    """Positioned text of one statement per current account, 20 transactions to a page, as runs of words."""
     own = book.accounts.where("iban IS NOT NULL AND role = 'POT'").select(H, F.col("id").alias("account_id"), "iban")
-    rows = book.facts.join(own, [H, "account_id"]).withColumn("file_id", F.concat_ws("-", "account_id", F.year("booking_date").cast("string")))
+    rows = book.facts.join(own, [H, "account_id"]).withColumn("file_id", F.col("account_id"))
     from pyspark.sql import Window
 
     by = Window.partitionBy(H, "file_id").orderBy("booking_date", "id")
@@ -484,7 +484,7 @@ def statement_items(book: Ledger) -> DataFrame:
     return items.unionByName(heads).unionByName(ends).unionByName(last)
 
 
-@query("positioned_statements", "facts", "SELECT f.household_id, f.account_id || '-' || CAST(year(booking_date) AS VARCHAR) AS file_id, row_number() OVER (PARTITION BY f.household_id, f.account_id, year(booking_date) ORDER BY booking_date, f.id) AS line_no, booking_date, amount_cents, coalesce(counterparty_iban, 'geen') || ' ' || description AS description, CASE WHEN counterparty_iban <> a.iban THEN counterparty_iban END AS counterparty_iban, a.iban AS account_iban FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
+@query("positioned_statements", "facts", "SELECT f.household_id, f.account_id AS file_id, row_number() OVER (PARTITION BY f.household_id, f.account_id ORDER BY booking_date, f.id) AS line_no, booking_date, amount_cents, coalesce(counterparty_iban, 'geen') || ' ' || description AS description, CASE WHEN counterparty_iban <> a.iban THEN counterparty_iban END AS counterparty_iban, a.iban AS account_iban FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
 def positioned_statements(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = positioned.statements(positioned.lines(statement_items(Ledger(spark, d))))
     return rows.select(H, "file_id", "line_no", "booking_date", "amount_cents", "description", "counterparty_iban", "account_iban")

@@ -50,11 +50,14 @@ def lines(items: DataFrame) -> DataFrame:
     """(.., page, line_no, text, x): runs whose baseline is within the tolerance of the line's first run, left to right.
 
     A line begins at the run that lies too far from the first run of the line before, not from its neighbour, so the
-    grouping is a walk; one page is one group.
+    grouping is a walk; one file is one group, walked page by page.
     """
 
-    def walk(key, page: pd.DataFrame) -> pd.DataFrame:
-        page = page[page["text"].str.strip() != ""].sort_values(["y", "x"], ascending=[False, True], kind="stable")
+    def walk(key: tuple, file: pd.DataFrame) -> pd.DataFrame:
+        file = file[file["text"].str.strip() != ""].sort_values(["page", "y", "x"], ascending=[True, False, True], kind="stable")
+        return pd.DataFrame([(*key, int(page), *line) for page, runs in file.groupby("page", sort=True) for line in on_page(runs)], columns=[*H, "page", "line_no", "text", "x"])
+
+    def on_page(page: pd.DataFrame) -> list[tuple]:
         groups: list[list] = []
         anchor = None
         for x, y, w, t in zip(page["x"], page["y"], page["width"], page["text"]):
@@ -70,10 +73,10 @@ def lines(items: DataFrame) -> DataFrame:
                 text += (" " if end is not None and x - end > WORD_GAP else "") + t
                 end = x + w
             if text := " ".join(text.split()):
-                out.append((*key, len(out), text, g[0][0]))
-        return pd.DataFrame(out, columns=[*H, "page", "line_no", "text", "x"])
+                out.append((len(out), text, g[0][0]))
+        return out
 
-    return items.where("text IS NOT NULL").groupBy(*H, "page").applyInPandas(walk, "household_id string, file_id string, page int, line_no int, text string, x double")
+    return items.where("text IS NOT NULL").groupBy(*H).applyInPandas(walk, "household_id string, file_id string, page int, line_no int, text string, x double")
 
 
 def layouts(found: DataFrame) -> DataFrame:
