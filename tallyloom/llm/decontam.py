@@ -6,8 +6,10 @@ of document and item that shares one is aligned there and compared token by toke
 enough of the item's tokens agree and the slots are consistent: each value of the item stands for one value of the same
 type in the document throughout, which real re-parameterisations keep and chance overlaps of placeholders do not.
 
-Documents' windows start at every STRIDE-th token, items' at every token: a shared run of WINDOW + STRIDE - 1 template
-tokens always has a window in common. Items shorter than that have windows of their own length, met at every token.
+Windows start at every token of documents and items: a shared run of WINDOW tokens always has a window in common. Items
+shorter than that have windows of their own length. An item's windows with fewer than half literal tokens are met by
+their raw tokens, so verbatim copies share them; if all windows of an item are such, those with a literal token are met
+by their templates too.
 Items of fewer than SHORTEST tokens, null or empty texts on either side, and rows with a null key are never reported.
 A pair is reported once however many rows repeat the document or the item, with its best alignment.
 
@@ -16,12 +18,14 @@ The items' distinct window hashes are broadcast up to BROADCAST_ROWS of them; a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import Store
 
-WINDOW, STRIDE, SHORTEST = 6, 3, 4
+WINDOW, SHORTEST = 6, 4
 #: Least share of the item's template tokens that must agree, and most rows of a broadcast side (16 bytes each).
 COVERED, BROADCAST_ROWS = 0.5, 1_000_000
 
@@ -64,24 +68,39 @@ def template(raw: Column) -> Column:
     return _let(t, units)
 
 
-def _windows(toks: Column, length: int, stride: int) -> Column:
-    """Hashes of the windows of a token array, by their place."""
-    last = F.size(toks) - length + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last, F.lit(stride)), lambda i: F.xxhash64(F.slice(toks, i, F.lit(length)))))
+def bare(raw: Column) -> Column:
+    """Raw tokens without the marks of names."""
+    return F.transform(raw, lambda w: F.translate(w, "¤", ""))
+
+
+def _windows(hashes: Column, length: int, verbatim: bool) -> Column:
+    """array of (length, verbatim, at, h): a hash for each window of an array of token hashes."""
+    window = lambda at: F.xxhash64(*(F.get(hashes, at + k) for k in range(length)))
+    made = lambda at: F.struct(F.lit(length).alias("length"), F.lit(verbatim).alias("verbatim"), (at + 1).alias("at"), window(at).alias("h"))
+    return F.when(F.size(hashes) >= length, F.transform(F.sequence(F.lit(0), F.size(hashes) - length), made))
+
 
+def _token_hashes(toks: Column) -> Column:
+    return F.transform(toks, lambda w: F.xxhash64(w))
 
-def _literal(window: Column) -> Column:
-    return F.size(F.filter(window, lambda w: ~w.isin("#", "@", "¤")))
+
+def _placeholder(w: Column) -> Column:
+    return w.isin("#", "@", "¤")
 
 
 def item_windows(items: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, n, length, at, h): every window that has at least half its tokens literal."""
-    toks = items.where(F.col(item).isNotNull()).select(item, template(raw_tokens(F.col(text))).alias("t")).where(F.size("t") >= SHORTEST)
-    whole = F.size("t") < WINDOW + STRIDE - 1
-    length = F.when(whole, F.size("t")).otherwise(F.lit(WINDOW))
-    at = toks.select(item, "t", F.size("t").alias("n"), length.alias("length"), F.explode(F.sequence(F.lit(1), F.size("t") - length + 1)).alias("at"))
-    cut = at.withColumn("w", F.slice("t", F.col("at"), F.col("length"))).where(2 * _literal(F.col("w")) >= F.col("length"))
-    return cut.select(item, "n", "length", "at", F.xxhash64("w").alias("h")).distinct()
+    """(item, n, length, verbatim, at, h): every window by its template or, if less than half of it is literal, its raw tokens."""
+    toks = items.where(F.col(item).isNotNull()).select(item, raw_tokens(F.col(text)).alias("r")).select(item, bare(F.col("r")).alias("r"), template(F.col("r")).alias("t")).where(F.size("t") >= SHORTEST)
+    each = []
+    for length in range(SHORTEST, WINDOW + 1):
+        mine = toks.where(F.size("t") >= WINDOW if length == WINDOW else F.size("t") == length)
+        both = mine.select(item, "t", F.size("t").alias("n"), *(_windows(_token_hashes(F.col(c)), length, c == "r").alias(f"w{c}") for c in "rt"))
+        cut = both.select(item, "t", "n", F.explode(F.concat("wr", "wt")).alias("w")).select(item, "t", "n", "w.*")
+        each.append(cut.withColumn("literals", F.size(F.filter(F.slice("t", F.col("at"), length), lambda w: ~_placeholder(w)))).drop("t"))
+    cut = reduce(DataFrame.unionByName, each).withColumn("most", F.max("literals").over(Window.partitionBy(item)))
+    rich = 2 * F.col("literals") >= F.col("length")
+    poor = (2 * F.col("most") < F.col("length")) & (F.col("literals") > 0)
+    return cut.where(F.when(F.col("verbatim"), ~rich).otherwise(rich | poor)).select(item, "n", "length", "verbatim", "at", "h").distinct()
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -94,17 +113,17 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     store = store or Store(docs.sparkSession, "leaks")
     items = items.select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
     docs = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).where("_doc IS NOT NULL")
-    windows = store.put(item_windows(items, "_item", "_text"), "items")
-    known = sized(store.put(windows.select("length", "h").distinct(), "hashes"))
-    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most WINDOW + STRIDE - 2 of them
-    toks = docs.select("_doc", template(raw_tokens(F.col("_text"))).alias("t"))
-    each = [F.transform(_windows(F.col("t"), n, STRIDE if n == WINDOW else 1), _placed(n, STRIDE if n == WINDOW else 1)) for n in lengths]
-    empty = F.expr("cast(array() as array<struct<length:int,at:int,h:bigint>>)")
-    met = toks.select("_doc", F.explode(F.concat(empty, *(F.coalesce(e, empty) for e in each))).alias("w")).select("_doc", "w.*")
-    hits = store.put(met.join(known, ["length", "h"]).select("_doc", "length", "h", "at"), "hits")
+    windows, by = store.put(item_windows(items, "_item", "_text"), "items"), ["length", "verbatim"]
+    known = sized(store.put(windows.select(*by, "h").distinct(), "hashes"))
+    kinds = sorted(map(tuple, windows.select(*by).distinct().collect()))  # at most two of each length
+    toks = docs.select("_doc", raw_tokens(F.col("_text")).alias("r")).select("_doc", _token_hashes(template(F.col("r"))).alias("t"), *([_token_hashes(bare(F.col("r"))).alias("r")] if any(v for _, v in kinds) else []))
+    empty = F.expr("cast(array() as array<struct<length:int,verbatim:boolean,at:int,h:bigint>>)")
+    each = [F.coalesce(_windows(F.col("r" if verbatim else "t"), n, verbatim), empty) for n, verbatim in kinds]
+    met = toks.select("_doc", F.explode(F.concat(empty, *each)).alias("w")).select("_doc", "w.*")
+    hits = store.put(met.join(known, [*by, "h"]).select("_doc", *by, "h", "at"), "hits")
     # what a document shares with an item, by where the item would start in it
-    items_at = windows.select("_item", "length", "h", F.col("at").alias("item_at"))
-    pairs = hits.join(sized(items_at), ["length", "h"]).select("_doc", "_item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    items_at = windows.select("_item", *by, "h", F.col("at").alias("item_at"))
+    pairs = hits.join(sized(items_at), [*by, "h"]).select("_doc", "_item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     pairs = store.put(pairs, "pairs")
     held = lambda df, k: df.select(k, raw_tokens(F.col("_text")).alias("r")).select(k, "r", template(F.col("r")).alias("t"))
     told = store.put(pairs.select("_doc").distinct(), "found")
@@ -118,13 +137,9 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     under = lambda c, start: F.slice(c, start + 1, F.greatest(span, F.lit(0)))
     both = both.select("_doc", "_item", F.size("it").alias("n"), F.arrays_zip(under("r", lo).alias("dr"), under("t", lo).alias("dt"), under("ir", skip).alias("ir"), under("it", skip).alias("it")).alias("z"))
     same = F.filter("z", lambda x: x["dt"] == x["it"])
-    slots = F.array_distinct(F.transform(F.filter(same, lambda x: x["it"].isin("#", "@", "¤")), lambda x: F.struct(x["it"].alias("kind"), x["ir"].alias("item"), x["dr"].alias("doc"))))
+    slots = F.array_distinct(F.transform(F.filter(same, lambda x: _placeholder(x["it"])), lambda x: F.struct(x["it"].alias("kind"), x["ir"].alias("item"), x["dr"].alias("doc"))))
     both = both.select("_doc", "_item", "n", F.size(same).alias("matched"), slots.alias("slots"))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"])))) == F.size("slots")
     good = both.where(consistent & (F.col("matched") >= COVERED * F.col("n")))
     best = good.groupBy("_doc", "_item").agg(F.max(F.struct("matched", "n", F.size("slots").alias("n_slots"))).alias("b"))
     return best.select(F.col("_doc").alias(key), F.col("_item").alias(item), F.col("b.matched").cast("long").alias("matched"), F.col("b.n").cast("long").alias("n_tokens"), (F.col("b.matched") / F.col("b.n")).alias("coverage"), F.col("b.n_slots").cast("long").alias("n_slots"))
-
-
-def _placed(length: int, stride: int):
-    return lambda h, i: F.struct(F.lit(length).alias("length"), (i * stride + 1).cast("int").alias("at"), h.alias("h"))
