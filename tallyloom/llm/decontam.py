@@ -6,6 +6,8 @@ of document and item that shares one is aligned there and compared token by toke
 enough of the item's tokens agree and the slots are consistent: each value of the item stands for one value of the same
 type in the document throughout, which real re-parameterisations keep and chance overlaps of placeholders do not.
 
+A capitalised first word of an item is literal at the start of a sentence and a name inside one; the item has both readings.
+
 Windows start at every token of documents and items: a shared run of WINDOW tokens always has a window in common. Items
 shorter than that have windows of their own length. An item's windows with fewer than half literal tokens are met by
 their raw tokens, so verbatim copies share them; if all windows of an item are such, those with a literal token are met
@@ -40,6 +42,8 @@ UNITS = (
     "mph kmh kph hz khz mhz ghz kb mb gb tb w kw mw v a k c f degree degrees dollar dollars cent cents euro euros usd eur gbp percent"
 ).split()
 
+#: What makes the capitalised word behind it a name: a letter, digit, comma, semicolon or colon, then white space and perhaps opening marks.
+NAMED = r"([\p{L}\p{N},;:][\s\p{Z}]++[\"'`“”„‘’‚«»‹›(\[{*]*+)(?=\p{Lu}\p{Ll})"
 _EDGE = r"[^\p{L}\p{N}_#@¤]+"
 
 
@@ -51,7 +55,7 @@ def _let(value: Column, use) -> Column:
 def raw_tokens(text: Column) -> Column:
     """Lower-case tokens in which names carry a mark and a number is one token."""
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), "#@¤_", "    ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})", "¤")
+    t = F.regexp_replace(t, NAMED, "$1¤")
     t = _let(t, lambda t: F.when(t.rlike(r"[0-9][.,:\p{L}]"), F.regexp_replace(F.regexp_replace(t, r"(?<=[0-9])[.,:](?=[0-9])", "_"), r"(?<=[0-9])(?=\p{L})", " ")).otherwise(t))
     return F.filter(F.split(F.lower(t), _EDGE), lambda w: w != "")
 
@@ -68,6 +72,12 @@ def template(raw: Column) -> Column:
     return _let(t, units)
 
 
+def inner_tokens(text: Column) -> Column:
+    """raw_tokens of a text that stands inside a sentence: a capitalised first word is a name."""
+    t = raw_tokens(F.concat(F.lit("x: "), text))
+    return F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
+
+
 def bare(raw: Column) -> Column:
     """Raw tokens without the marks of names."""
     return F.transform(raw, lambda w: F.translate(w, "¤", ""))
@@ -90,7 +100,8 @@ def _placeholder(w: Column) -> Column:
 
 def item_windows(items: DataFrame, item: str, text: str) -> DataFrame:
     """(item, n, length, verbatim, at, h): every window by its template or, if less than half of it is literal, its raw tokens."""
-    toks = items.where(F.col(item).isNotNull()).select(item, raw_tokens(F.col(text)).alias("r")).select(item, bare(F.col("r")).alias("r"), template(F.col("r")).alias("t")).where(F.size("t") >= SHORTEST)
+    readings = F.array(raw_tokens(F.col(text)), inner_tokens(F.coalesce(text, F.lit(""))))
+    toks = items.where(F.col(item).isNotNull()).select(item, F.explode(F.array_distinct(readings)).alias("r")).select(item, bare(F.col("r")).alias("r"), template(F.col("r")).alias("t")).where(F.size("t") >= SHORTEST)
     each = []
     for length in range(SHORTEST, WINDOW + 1):
         mine = toks.where(F.size("t") >= WINDOW if length == WINDOW else F.size("t") == length)
@@ -125,19 +136,19 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     items_at = windows.select("_item", *by, "h", F.col("at").alias("item_at"))
     pairs = hits.join(sized(items_at), [*by, "h"]).select("_doc", "_item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     pairs = store.put(pairs, "pairs")
-    held = lambda df, k: df.select(k, raw_tokens(F.col("_text")).alias("r")).select(k, "r", template(F.col("r")).alias("t"))
+    held = lambda df, k, *more: df.select(k, raw_tokens(F.col("_text")).alias("r"), *more).select(k, "r", template(F.col("r")).alias("t"), *(["inner"] if more else []))
     told = store.put(pairs.select("_doc").distinct(), "found")
     some = held(docs.join(sized(told), "_doc", "left_semi"), "_doc")
-    of = held(items.where("_item IS NOT NULL"), "_item").select("_item", F.col("r").alias("ir"), F.col("t").alias("it"))
+    of = held(items.where("_item IS NOT NULL"), "_item", template(inner_tokens(F.coalesce("_text", F.lit("")))).alias("inner")).select("_item", F.col("r").alias("ir"), F.col("t").alias("it"), F.col("inner"))
     both = some.join(pairs, "_doc").join(of, "_item")
     # the part of the document under the item; cut at its ends, so that positions keep their partners
     lo = F.greatest(F.col("shift"), F.lit(0))
     skip = lo - F.col("shift")
     span = F.least(F.size("it") - skip, F.size("t") - lo)
     under = lambda c, start: F.slice(c, start + 1, F.greatest(span, F.lit(0)))
-    both = both.select("_doc", "_item", F.size("it").alias("n"), F.arrays_zip(under("r", lo).alias("dr"), under("t", lo).alias("dt"), under("ir", skip).alias("ir"), under("it", skip).alias("it")).alias("z"))
-    same = F.filter("z", lambda x: x["dt"] == x["it"])
-    slots = F.array_distinct(F.transform(F.filter(same, lambda x: _placeholder(x["it"])), lambda x: F.struct(x["it"].alias("kind"), x["ir"].alias("item"), x["dr"].alias("doc"))))
+    both = both.select("_doc", "_item", F.size("it").alias("n"), F.arrays_zip(under("r", lo).alias("dr"), under("t", lo).alias("dt"), under("ir", skip).alias("ir"), under("it", skip).alias("it"), under("inner", skip).alias("inner")).alias("z"))
+    same = F.filter("z", lambda x: (x["dt"] == x["it"]) | (x["dt"] == x["inner"]))
+    slots = F.array_distinct(F.transform(F.filter(same, lambda x: _placeholder(x["dt"])), lambda x: F.struct(x["dt"].alias("kind"), F.translate(x["ir"], "¤", "").alias("item"), F.translate(x["dr"], "¤", "").alias("doc"))))
     both = both.select("_doc", "_item", "n", F.size(same).alias("matched"), slots.alias("slots"))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"])))) == F.size("slots")
     good = both.where(consistent & (F.col("matched") >= COVERED * F.col("n")))

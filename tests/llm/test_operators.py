@@ -348,3 +348,10 @@ def test_number_heavy_and_one_window_items_are_found_at_every_offset(spark):
     items = ["Compute 12 + 45 - 7 * 3 / 9", "31 41 59 26 53 58", "Add 31 km 17 km 5 kg 8 kg then stop 9 8 7 6 5 4 3 2 1 10", "so these few words hold 1 2 3 4 5 6 7 8 9 10 11", "six words are just quite enough"]
     texts = [f"{' '.join('so it goes'.split()[:k])}. {item}. end" for item in items for k in range(4)] + ["Compute 2 + 5 - 6 * 8 / 1", "9 1 9 1 9 1 then 4 4 4 4 4 4"]
     assert leaks(spark, texts, items) == {(4 * i + k, i) for i in range(5) for k in range(4)} | {(20, 0)}
+
+
+def test_first_words_and_names_behind_any_space(spark):
+    items = ["What is the capital town", "How many ripe plums fell from that tree", "she told old Peter and young Susan about it"]
+    texts = [f"{before}{item}? end" for item in items for before in ("Question: ", "so it\n", "so it  ", 'he said "', "It ends. ", "")]
+    texts += ["she told old\nPeter and  young (Susan about it", "Now: How  many\nripe plums fell from that tree"]
+    assert leaks(spark, texts, items) == {(6 * i + k, i) for i in range(3) for k in range(6)} | {(18, 2), (19, 1)}
