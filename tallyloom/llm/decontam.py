@@ -6,6 +6,9 @@ of document and item that shares one is aligned there and compared token by toke
 enough of the item's tokens agree and the slots are consistent: each value of the item stands for one value of the same
 type in the document throughout, which real re-parameterisations keep and chance overlaps of placeholders do not.
 
+It is also reported for its contiguous runs of SHORTEST tokens or more that are consistent in themselves and at least half
+literal or equal: if the runs of neighbouring alignments together hold enough of the item, or one has RUN tokens.
+
 A capitalised first word of an item is literal at the start of a sentence and a name inside one; the item has both readings.
 
 Windows start at every token of documents and items: a shared run of WINDOW tokens always has a window in common. Items
@@ -30,6 +33,8 @@ from tallyloom.llm.shared import Store
 WINDOW, SHORTEST = 6, 4
 #: Least share of the item's template tokens that must agree, and most rows of a broadcast side (16 bytes each).
 COVERED, BROADCAST_ROWS = 0.5, 1_000_000
+#: A contiguous passage of so many tokens is reported whatever its share of the item.
+RUN = 20
 
 #: Number words and unit words.
 NUMBER_WORDS = (
@@ -119,6 +124,22 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _slots(z: Column) -> Column:
+    """The distinct (kind, item, doc) of the aligned placeholders."""
+    return F.array_distinct(F.transform(F.filter(z, lambda x: _placeholder(x["dt"])), lambda x: F.struct(x["dt"].alias("kind"), F.translate(x["ir"], "¤", "").alias("item"), F.translate(x["dr"], "¤", "").alias("doc"))))
+
+
+def _consistent(slots: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["item"])))) == F.size(slots)
+
+
+def _union(spans: Column) -> Column:
+    """How many places the spans (a to b, both inclusive) hold together."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-(2**30)).alias("upto"))
+    step = lambda acc, s: F.struct((acc["n"] + F.greatest(s["b"] - F.greatest(s["a"] - 1, acc["upto"]), F.lit(0))).alias("n"), F.greatest(s["b"], acc["upto"]).alias("upto"))
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["n"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", store: Store | None = None) -> DataFrame:
     """(key, item, matched, n_tokens, coverage, n_slots): one row for each document and item that it contains."""
     store = store or Store(docs.sparkSession, "leaks")
@@ -146,11 +167,39 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     skip = lo - F.col("shift")
     span = F.least(F.size("it") - skip, F.size("t") - lo)
     under = lambda c, start: F.slice(c, start + 1, F.greatest(span, F.lit(0)))
-    both = both.select("_doc", "_item", F.size("it").alias("n"), F.arrays_zip(under("r", lo).alias("dr"), under("t", lo).alias("dt"), under("ir", skip).alias("ir"), under("it", skip).alias("it"), under("inner", skip).alias("inner")).alias("z"))
-    same = F.filter("z", lambda x: (x["dt"] == x["it"]) | (x["dt"] == x["inner"]))
-    slots = F.array_distinct(F.transform(F.filter(same, lambda x: _placeholder(x["dt"])), lambda x: F.struct(x["dt"].alias("kind"), F.translate(x["ir"], "¤", "").alias("item"), F.translate(x["dr"], "¤", "").alias("doc"))))
-    both = both.select("_doc", "_item", "n", F.size(same).alias("matched"), slots.alias("slots"))
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"])))) == F.size("slots")
-    good = both.where(consistent & (F.col("matched") >= COVERED * F.col("n")))
-    best = good.groupBy("_doc", "_item").agg(F.max(F.struct("matched", "n", F.size("slots").alias("n_slots"))).alias("b"))
+    both = both.select("_doc", "_item", "shift", skip.alias("skip"), F.size("it").alias("n"), F.arrays_zip(under("r", lo).alias("dr"), under("t", lo).alias("dt"), under("ir", skip).alias("ir"), under("it", skip).alias("it"), under("inner", skip).alias("inner")).alias("z"))
+    same = lambda x: (x["dt"] == x["it"]) | (x["dt"] == x["inner"])
+    agreed = F.filter("z", same)
+    last = F.size("z") - 1
+    met_at = lambda i: same(F.get("z", i))
+    every = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.expr("cast(array() as array<int>)"))
+    begins = F.filter(every, lambda i: met_at(i) & ((i == 0) | ~met_at(i - 1)))
+    ends = F.filter(every, lambda i: met_at(i) & ((i == last) | ~met_at(i + 1)))
+    runs = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["b"] - r["a"] + 1 >= SHORTEST)
+    both = both.select("_doc", "_item", "n", "shift", "skip", "z", F.size(agreed).alias("matched"), _slots(agreed).alias("slots"), runs.alias("runs"))
+    cut = lambda r: F.slice("z", r["a"] + 1, r["b"] - r["a"] + 1)
+
+    def trimmed(r: Column) -> Column:
+        """An inconsistent run without the placeholders at its ends, which chance may have put there."""
+        literal = F.filter(F.sequence(r["a"], r["b"]), lambda i: ~_placeholder(F.get("z", i)["dt"]))
+        return F.when(_consistent(_slots(cut(r))) | (F.size(literal) == 0), r).otherwise(F.struct(F.array_min(literal).alias("a"), F.array_max(literal).alias("b")))
+
+    firm = lambda x: ~_placeholder(x["dt"]) | (F.translate(x["dr"], "¤", "") == F.translate(x["ir"], "¤", ""))
+    held_runs = F.filter(F.transform("runs", trimmed), lambda r: (r["b"] - r["a"] + 1 >= SHORTEST) & _consistent(_slots(cut(r))) & (2 * F.size(F.filter(cut(r), firm)) >= r["b"] - r["a"] + 1))
+    told_runs = F.transform(held_runs, lambda r: F.struct((r["a"] + F.col("skip")).alias("a"), (r["b"] + F.col("skip")).alias("b"), F.col("shift").alias("shift"), F.size(_slots(cut(r))).alias("n_slots")))
+    whole = _consistent(F.col("slots")) & (F.col("matched") >= COVERED * F.col("n"))
+    one = both.select("_doc", "_item", "n", "shift", F.when(whole, F.struct("matched", F.size("slots").alias("n_slots"))).alias("whole"), told_runs.alias("runs"))
+    # alignments no further apart than the item is long are one copy with words put in or left out
+    near = Window.partitionBy("_doc", "_item").orderBy("shift")
+    one = one.withColumn("new", (F.col("shift") - F.lag("shift").over(near) > F.col("n")).cast("int")).withColumn("copy", F.sum(F.coalesce("new", F.lit(0))).over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    copies = one.groupBy("_doc", "_item", "copy").agg(F.max("n").alias("n"), F.max("whole").alias("whole"), F.flatten(F.collect_list("runs")).alias("runs"))
+    spans = lambda by: F.transform("runs", lambda r: F.struct((r["a"] + by(r)).alias("a"), (r["b"] + by(r)).alias("b")))
+    # no more than the item's tokens that are met, nor than the document's tokens that meet them
+    covered = F.least(_union(spans(lambda r: F.lit(0))), _union(spans(lambda r: r["shift"])))
+    longest = F.coalesce(F.array_max(F.transform("runs", lambda r: r["b"] - r["a"] + 1)), F.lit(0))
+    slots = F.aggregate("runs", F.lit(0), lambda acc, r: acc + r["n_slots"])
+    copies = copies.select("_doc", "_item", "n", "whole", covered.alias("covered"), longest.alias("longest"), slots.alias("n_slots"))
+    parts = F.when((F.col("covered") >= COVERED * F.col("n")) | (F.col("longest") >= RUN), F.struct(F.col("covered").alias("matched"), "n_slots"))
+    good = copies.select("_doc", "_item", "n", F.greatest("whole", parts).alias("g")).where("g IS NOT NULL")
+    best = good.groupBy("_doc", "_item").agg(F.max(F.struct("g.matched", "n", "g.n_slots")).alias("b"))
     return best.select(F.col("_doc").alias(key), F.col("_item").alias(item), F.col("b.matched").cast("long").alias("matched"), F.col("b.n").cast("long").alias("n_tokens"), (F.col("b.matched") / F.col("b.n")).alias("coverage"), F.col("b.n_slots").cast("long").alias("n_slots"))

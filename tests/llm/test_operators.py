@@ -355,3 +355,18 @@ def test_first_words_and_names_behind_any_space(spark):
     texts = [f"{before}{item}? end" for item in items for before in ("Question: ", "so it\n", "so it  ", 'he said "', "It ends. ", "")]
     texts += ["she told old\nPeter and  young (Susan about it", "Now: How  many\nripe plums fell from that tree"]
     assert leaks(spark, texts, items) == {(6 * i + k, i) for i in range(3) for k in range(6)} | {(18, 2), (19, 1)}
+
+
+def test_partial_and_shifted_copies(spark):
+    rng = random.Random(8)
+    long, short = prose(rng, 100).split(), prose(rng, 27).split()
+    counted = "there stand 40 old trees in the long garden and nobody knows which of them will fall before the 40 others"
+    noise = [prose(rng, 40) for _ in range(4)]
+    texts = [
+        f"{noise[0]} {' '.join(long[30:70])} {noise[1]}",
+        f"{noise[1]} {' '.join(short[:9] + ['zzz'] + short[9:18] + ['zzz'] + short[18:])} {noise[2]}",
+        f"{noise[2]} {' '.join(long[30:42])} {noise[3]}",
+        f"{noise[3]} {' '.join(counted.split()[:13])} zz zz zz zz zz 99 {noise[0]}",
+        f"{noise[3]} {' '.join(counted.split()[:19])} 99 others",
+    ]
+    assert leaks(spark, texts, [" ".join(long), " ".join(short), counted]) == {(0, 0), (1, 1), (3, 2)}
