@@ -1,6 +1,6 @@
 """Secret scans with DataFrame functions only: wide candidate patterns, then a random forest against false positives.
 
-Candidates are private-key headers, values assigned to a name such as password or token, and runs of 16 or more key
+Candidates are private keys from BEGIN to the matching END (without one, to the end of the base64 lines), values assigned to a name such as password or token, and runs of 16 or more key
 characters with a letter and a digit. The forest sees a candidate's length, its character classes and transitions, how
 much of it dictionary words cover, its path and the words beside it. It is trained here on labelled findings (a table of
 before, value, path, label; `labelled_findings` makes one by rule) and applied as one SQL expression inside the scan, so
@@ -25,9 +25,20 @@ from tallyloom.llm.trees import Trees, forest
 _NAMES = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)"
 _BINDS = r"[\"']?[ \t]{0,2}[:=][ \t]{0,2}[\"']?"
 _RUN = "[A-Za-z0-9+/_~-]"
+#: Between the lines of a key: white space, also escaped, and marks of quoting.
+_SEP = r"(?:\\[nr]|[\s\"'>#|*]){1,40}+"
+
+
+def _private_key(group: str) -> str:
+    """A private key; `group` names what END has to repeat."""
+    heads, lines = rf"(?:{_SEP}[A-Za-z][A-Za-z-]{{1,30}}: [^\r\n\\]{{1,120}}+)*+", rf"(?:{_SEP}[A-Za-z0-9+/]{{16,}}+={{0,2}})++"
+    last = rf"(?:{_SEP}[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[ \t]*(?:[\r\n\"'\\]|$)))?+"
+    return rf"-----BEGIN (?<{group}>[A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?)-----(?:(?s:(?!-----).)*+-----END \k<{group}>-----|{heads}{lines}{last})?+"
+
+
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    rf"|{_NAMES}{_BINDS}[^\s\"',;]{{6,}}"
+    _private_key("bare")
+    + rf"|{_NAMES}{_BINDS}(?:{_private_key('named')}|[^\s\"',;]{{6,}})"
     rf"|(?<!{_RUN})(?=[A-Za-z+/_~-]*+[0-9])(?=[0-9+/_~-]*+[A-Za-z]){_RUN}{{16,}}"
 )
 #: Most labelled findings that a forest is fitted on.
@@ -87,7 +98,7 @@ def labelled_findings(rows: int = 3_000, seed: int = 11) -> pa.Table:
     bind = lambda: r.choice(["=", ": ", " = \"", ":\"", "='", " = '", "="])
 
     def positive() -> tuple[str, str]:
-        kind = r.randrange(8)
+        kind = r.randrange(9)
         if kind == 0:
             return prose(), "AKIA" + some(b32, 16)
         if kind == 1:
@@ -95,7 +106,11 @@ def labelled_findings(rows: int = 3_000, seed: int = 11) -> pa.Table:
         if kind == 2:
             return prose(), r.choice([f"xoxb-{some('0123456789', 12)}-{some(alnum, 24)}", "sk_live_" + some(alnum, 24), "eyJ" + some(alnum, 40)])
         if kind == 3:
-            return prose(), r.choice(["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----"])
+            of = r.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY"])
+            lines = [some(alnum + "+/", 64) for _ in range(r.randint(0, 25))] + [some(alnum + "+/", r.randint(1, 60)) + r.choice(["", "=", "=="])]
+            return prose(), r.choice([f"-----BEGIN {of}-----", "\n".join([f"-----BEGIN {of}-----", *lines]), "\n".join([f"-----BEGIN {of}-----", *lines, f"-----END {of}-----"])])
+        if kind == 4:
+            return prose(), some(r.choice([alnum, alnum + "+/", alnum + "_-"]), r.randint(24, 64))
         letters, n = r.choice([(hexa, 40), (hexa, r.randint(14, 64)), (alnum, r.randint(10, 48)), (alnum + "+/", 40), (alnum + "!#%&*", r.randint(8, 20))])
         return prose() + name() + bind(), some(letters, n)
 
