@@ -1,21 +1,29 @@
 """Embedding near-duplicates by a subspace pigeonhole join.
 
-Unit vectors are rotated by one fixed random rotation and split into BLOCKS low-dimensional blocks. Vectors with cosine
-of c or more lie within a squared distance of 2 - 2c; so in some block they lie within a BLOCKS-th of that. Each block is
-joined by itself under this budget: a grid over the block's leading coordinate, whose cells are as wide as the budget's
-radius, brings together all that can be near (the same cell or the next one), and a product of matrices over the block's
-coordinates leaves those within the budget. The union of the blocks' candidates is verified by the cosine in double
-precision over all coordinates. A pair that several blocks find counts in the first block whose budget it keeps, so sums
-of links are exact though no pair ever leaves a task: it sends per vector the number of its links and one link of a
-forest that connects what the links connect.
-
-Cells are cut into chunks of bounded size by a hash, and chunks meet in pairs, so a crowded cell becomes many tasks and
-no task holds more than two chunks. Equal vectors are one row with a count before any of this. The work is quadratic in
-the number of vectors that share a cell, with 2/BLOCKS x dimension operations a pair; the copies sent grow in the same way
-divided by the chunk size.
+Unit vectors are rotated by one fixed random rotation and split into BLOCKS blocks. Vectors with cosine c or more lie
+within a squared distance of T = 2 - 2c, so in some block they lie within that block's proportional part of T (the
+pigeonhole principle): the union over the blocks of the pairs within the blocks' budgets holds every link. A pair whose
+distance in one block is above all of T is in no link, whatever the other blocks say; so the first block's range join,
+a product of matrices over its few coordinates, leaves only the pairs that the later blocks still have to look at
+(1 in some 2,000 for 64 dimensions and 0.9). The union is verified by the cosine of the vectors as they are given, in
+double precision: dot(x, y) / sqrt(dot(x, x) * dot(y, y)), so that pairs at the very bound link.
+
+Vectors meet in tiles: they fall into chunks of bounded size by a hash, and each pair of chunks is one group with at most
+CHUNK_VALUES components of each side. In a tile, vectors are ordered into small leaves by cuts between far vectors;
+pairs of leaves whose balls lie further apart than T are skipped, which clustered vectors gain from. No pair leaves a
+tile: it sends the number of links of each vector and a forest that connects what its links connect. Where many pairs
+of a leaf remain (a large group of near copies) they are verified by one product of matrices, and only what lies within
+rounding of the bound pair by pair.
+
+Equal vectors are one row with a count before any of this (they are told by 128 bits of hash). The work is quadratic in
+the number of distinct vectors, with 2/BLOCKS x dimension operations a pair, and every vector is sent once to each chunk:
+vectors of 64 dimensions to n / 32,768 tiles. No exact filter is known that needs less for vectors without clusters:
+README gives the figures of finer grids.
 
 Null vectors and such that are zero, empty or hold a null or a non-finite component link with nothing, and vectors of
-different length never link. Rows without an id are returned without links or component. Repeated rows count as vectors.
+different length never link. Pairs at exactly the least cosine link. Rows without an id are returned without links or
+component. Repeated rows count as vectors of their own. Rows that share an id but not the vector keep their own counts of
+links and are one vertex of the components. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +39,13 @@ from pyspark.sql import functions as F
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.shared import Store
 
-COSINE, BLOCKS, SEED = 0.9, 4, 20240229
-#: Vectors in a chunk on average; rows of a chunk compared at once; pairs verified at once.
-CHUNK, ROWS_AT_ONCE, PAIRS_AT_ONCE = 8192, 256, 1 << 18
+COSINE, BLOCKS, SEED = 0.9, 3, 20240229
+#: Components of a chunk of vectors on average; rows of a leaf; pairs looked at one by one at once.
+CHUNK_VALUES, LEAF, PAIRS_AT_ONCE = 1 << 21, 256, 1 << 17
+#: Rounding that float32 squared distances, and double cosines by matrix product, may be off by.
+SLACK, UNSURE = 2e-5, 1e-9
+#: From this share of a leaf's pairs on they are verified by a matrix product.
+DENSE = 0.02
 
 
 @lru_cache(maxsize=8)
@@ -43,48 +55,54 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def _cuts(dim: int) -> list[slice]:
+def cuts(dim: int) -> list[slice]:
     at = np.linspace(0, dim, min(BLOCKS, dim) + 1).round().astype(int)
     return [slice(a, b) for a, b in zip(at, at[1:])]
 
 
-def _budget(dim: int, block: slice, cosine: float) -> float:
-    """The block's part of the squared distance, in proportion to its dimensions; rounding is on the safe side."""
-    return (2 - 2 * cosine) * (block.stop - block.start) / dim * (1 + 1e-9) + 1e-12
-
-
-PLACED = "dim int, block int, cell long, rep long, copies long, vec binary"
-
-
-def _place(cosine: float):
-    schema = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("cell", pa.int64()), ("rep", pa.int64()), ("copies", pa.int64()), ("vec", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = np.array([len(v) for v in b.column("embedding").to_pylist()])
-            for dim in np.unique(sizes):
-                dim = int(dim)
-                part = b.filter(pa.array(sizes == dim))
-                x = np.array(part.column("embedding").flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
-                x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
-                y = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))) @ rotation(dim)
-                vec = pa.array([r.tobytes() for r in y], pa.binary())
-                for k, cut in enumerate(_cuts(dim)):
-                    cell = np.floor(y[:, cut.start] / np.sqrt(_budget(dim, cut, cosine))).astype(np.int64)
-                    n = len(cell)
-                    yield pa.RecordBatch.from_arrays([pa.array([dim] * n, pa.int32()), pa.array([k] * n, pa.int32()), pa.array(cell), part.column("rep"), part.column("copies"), vec], schema=schema)
-
-    return run
-
-
-def _pack(key: tuple, t: pa.Table) -> pa.Table:
-    dim, block, cell, part = (k.as_py() for k in key)
-    vecs = b"".join(t.column("vec").to_pylist())
-    ids, copies = t.column("rep").to_numpy().astype("<i8").tobytes(), t.column("copies").to_numpy().astype("<i8").tobytes()
-    return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([block], pa.int32()), "cell": pa.array([cell], pa.int64()), "part": pa.array([part], pa.int32()), "ids": pa.array([ids], pa.binary()), "copies": pa.array([copies], pa.binary()), "vecs": pa.array([vecs], pa.binary())})
-
-
-class _Forest:
+class Vectors:
+    """A side of a tile: vectors as given (scaled by powers of two), rotated unit vectors, leaves with balls around them."""
+
+    def __init__(self, given: np.ndarray):
+        x = given.astype(float)
+        # exact, and no square overflows or vanishes
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1]) if len(x) else x
+        self.leaves = list(_leaves(x / np.sqrt((x * x).sum(1, keepdims=True))))
+        self.order = np.concatenate(self.leaves) if self.leaves else np.zeros(0, np.int64)
+        self.x = x[self.order]
+        self.square = (self.x * self.x).sum(1)
+        self.unit = self.x / np.sqrt(self.square)[:, None]
+        self.y = (self.unit @ rotation(x.shape[1])).astype(np.float32)
+        ends = np.cumsum([0, *map(len, self.leaves)])
+        self.parts = [slice(a, b) for a, b in zip(ends, ends[1:])]
+        self.center = np.array([self.unit[p].mean(0) for p in self.parts])
+        self.radius = np.array([np.sqrt(((self.unit[p] - c) ** 2).sum(1).max()) for p, c in zip(self.parts, self.center)])
+
+    def near(self, other: Vectors, i: int, apart: float) -> np.ndarray:
+        """Leaves of the other side that leaf i may have links with."""
+        d = np.sqrt(((other.center - self.center[i]) ** 2).sum(1))
+        return np.flatnonzero(d - other.radius - self.radius[i] <= apart)
+
+
+def _leaves(unit: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in groups of LEAF at most: the nearer to one or the other of two far vectors, or halves if that is lopsided."""
+    left = [np.arange(len(unit))] if len(unit) else []
+    while left:
+        rows = left.pop()
+        if len(rows) <= LEAF:
+            yield rows
+            continue
+        some = unit[rows]
+        far = some[(some @ some[0]).argmin()]
+        along = some @ (far - some[(some @ far).argmin()])
+        nearer = along > 0
+        if not len(rows) < 8 * nearer.sum() < 7 * len(rows):
+            nearer = np.zeros(len(rows), bool)
+            nearer[np.argpartition(along, len(rows) // 2)[: len(rows) // 2]] = True
+        left += [rows[nearer], rows[~nearer]]
+
+
+class Forest:
     """Union-find over arrays: every step hooks the larger root on the smaller and follows all to their roots."""
 
     def __init__(self, n: int):
@@ -101,54 +119,127 @@ class _Forest:
                 self.up = self.up[self.up]
 
 
-def _verified(ya: np.ndarray, yb: np.ndarray, block: int, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (rows of ya, rows of yb) that this block is the first to find; in one chunk, each pair once."""
-    dim = ya.shape[1]
-    cuts = _cuts(dim)
-    budgets = [_budget(dim, c, cosine) for c in cuts]
-    cut = cuts[block]
-    a32, b32 = ya[:, cut].astype(np.float32), yb[:, cut].astype(np.float32)
-    na, nb = (a32 * a32).sum(1), (b32 * b32).sum(1)
-    for lo in range(0, len(ya), ROWS_AT_ONCE):
-        part = slice(lo, lo + ROWS_AT_ONCE)
-        near = a32[part] @ b32.T >= ((na[part] - np.float32(budgets[block] + 1e-4))[:, None] + nb[None, :]) / 2
-        i, j = np.nonzero(near)
-        i = i + lo
+def _places(mask: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of a sparse mask, eight places at a time."""
+    flat = mask.ravel()
+    whole = flat[: flat.size // 8 * 8]
+    some = np.flatnonzero(whole.view(np.uint64) != 0)
+    at, k = np.nonzero(whole.reshape(-1, 8)[some])
+    return np.concatenate([8 * some[at] + k, whole.size + np.flatnonzero(flat[whole.size :])])
+
+
+def _exactly(a: Vectors, b: Vectors, p: np.ndarray, q: np.ndarray, cosine: float) -> np.ndarray:
+    return (a.x[p] * b.x[q]).sum(1) / np.sqrt(a.square[p] * b.square[q]) >= cosine
+
+
+def _linked_in(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows, columns) of a forest that connects what a matrix of links connects."""
+    n, (rows, columns) = len(ok), ok.shape
+    row = np.arange(n)
+    while True:
+        column = np.where(ok, row[:, None], n).min(0)
+        lower = np.minimum(row, np.where(ok, column[None, :], n).min(1))
+        if (lower == row).all():
+            break
+        row = lower
+    # label c stands for row c: both sides are joined with columns through it
+    first = ok.argmax(1)
+    p, q = np.flatnonzero(ok.any(1)), np.flatnonzero(column < n)
+    return np.concatenate([p, column[q]]), np.concatenate([first[p], q])
+
+
+def links(a: Vectors, b: Vectors, same: bool, cosine: float, counts: dict | None = None) -> Iterator[tuple]:
+    """(rows of a, rows of b, matrix): links one by one (matrix None), or the matrix of links between rows and columns.
+
+    In one chunk (`same`), each pair comes once. `counts` takes how many pairs the first block, and the later ones, look at.
+    """
+    dim, total = a.x.shape[1], 2 - 2 * cosine
+    parts = cuts(dim)
+    cut = parts[0]
+    budgets = [total * (c.stop - c.start) / dim + SLACK for c in parts]
+    # with the halved squares as two more coordinates the product is minus half the squared distance
+    half = lambda y: (y * y).sum(1, keepdims=True) / 2
+    one = lambda y: np.ones((len(y), 1), np.float32)
+    ya, yb = a.y[:, cut], b.y[:, cut]
+    left, right = np.hstack([ya, -half(ya), one(ya)]), np.hstack([yb, one(yb), -half(yb)])
+    least = np.float32(-(total + SLACK) / 2)
+    for i, rows in enumerate(a.parts):
+        near = a.near(b, i, np.sqrt(total) + SLACK)
+        near = near[near >= i] if same else near
+        if not len(near):
+            continue
+        columns = np.concatenate([np.arange(b.parts[j].start, b.parts[j].stop) for j in near])
+        found = left[rows] @ right[columns].T
+        if counts is not None:
+            counts["first"] = counts.get("first", 0) + found.size
+        mask = found >= least
+        n = np.count_nonzero(mask)
+        if n > DENSE * mask.size:
+            some = np.arange(rows.start, rows.stop)[mask.any(1)]
+            columns = columns[mask.any(0)]
+            value = a.unit[some] @ b.unit[columns].T
+            later = columns[None, :] > some[:, None] if same else True
+            ok = (value >= cosine) & later
+            # pairs at the bound are few; all others are further from it than the product's rounding
+            r, c = np.nonzero((np.abs(value - cosine) <= UNSURE) & later)
+            ok[r, c] = _exactly(a, b, some[r], columns[c], cosine)
+            if ok.any():
+                yield some, columns, ok
+            continue
+        where = _places(mask)
+        p, q = where // mask.shape[1], where % mask.shape[1]
+        d = -2 * found[p, q]
+        p, q = p + rows.start, columns[q]
         if same:
-            i, j = i[j > i], j[j > i]
-        for at in range(0, len(i), PAIRS_AT_ONCE):
-            p, q = i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
-            for k in range(block + 1):
-                d = ((ya[p, cuts[k]] - yb[q, cuts[k]]) ** 2).sum(1)
-                keep = d <= budgets[k] if k == block else d > budgets[k]
-                p, q = p[keep], q[keep]
-            keep = (ya[p] * yb[q]).sum(1) >= cosine
-            if keep.any():
-                yield p[keep], q[keep]
-
-
-FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("up", pa.int64())])
-
-
-def _tiles(cosine: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                ids = [np.frombuffer(row[c], "<i8") for c in ("ids", "ids2")]
-                copies = [np.frombuffer(row[c], "<i8") for c in ("copies", "copies2")]
-                ya, yb = (np.frombuffer(row[c], "<f8").reshape(-1, row["dim"]) for c in ("vecs", "vecs2"))
-                n, same = len(ya), row["chunk"] == row["chunk2"]
-                links, forest = np.zeros(n + len(yb), np.int64), _Forest(n + len(yb))
-                for p, q in _verified(ya, yb, row["block"], same, cosine):
-                    q = q if same else q + n
-                    weight = np.concatenate(copies)
-                    np.add.at(links, p, weight[q])
-                    np.add.at(links, q, weight[p])
-                    forest.join(p, q)
-                got = np.flatnonzero(links)
-                every = np.concatenate(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(every[got]), pa.array(links[got]), pa.array(every[forest.up[got]])], schema=FOUND)
+            p, q, d = p[p < q], q[p < q], d[p < q]
+        if counts is not None:
+            counts["later"] = counts.get("later", 0) + len(p)
+        for at in range(0, len(p), PAIRS_AT_ONCE):
+            u, v, so_far = p[at : at + PAIRS_AT_ONCE], q[at : at + PAIRS_AT_ONCE], d[at : at + PAIRS_AT_ONCE]
+            within = so_far <= budgets[0]
+            for k, c in enumerate(parts[1:], 1):
+                e = ((a.y[u, c] - b.y[v, c]) ** 2).sum(1)
+                so_far, within = so_far + e, within | (e <= budgets[k])
+                keep = so_far <= total + SLACK
+                u, v, so_far, within = u[keep], v[keep], so_far[keep], within[keep]
+            u, v = u[within], v[within]
+            good = _exactly(a, b, u, v, cosine)
+            if good.any():
+                yield u[good], v[good], None
+
+
+FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("links", pa.int64()), ("rep", pa.int64()), ("up", pa.int64())])
+
+
+def _tile(cosine: float):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        dim, chunk, other = (k.as_py() for k in key)
+        h = np.stack([t.column(c).to_numpy() for c in ("h1", "h2")], 1)
+        # a row may stand twice in the table with its id and vector
+        _, first = np.unique(h, axis=0, return_index=True)
+        of = t.column("chunk").to_numpy()[first]
+        first = np.concatenate([first[of == chunk], first[of != chunk]])
+        n, same = int((of == chunk).sum()), chunk == other
+        flat = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        a = Vectors(flat[first[:n]])
+        b = a if same else Vectors(flat[first[n:]])
+        rows = first[a.order] if same else np.concatenate([first[:n][a.order], first[n:][b.order]])
+        shift, weight = 0 if same else n, t.column("copies").to_numpy()[rows]
+        count, forest = np.zeros(len(rows), np.int64), Forest(len(rows))
+        for p, q, ok in links(a, b, same, cosine):
+            q = q + shift
+            if ok is None:
+                np.add.at(count, p, weight[q])
+                np.add.at(count, q, weight[p])
+                forest.join(p, q)
+            else:
+                count[p] += ok @ weight[q]
+                count[q] += weight[p] @ ok
+                r, c = _linked_in(ok)
+                forest.join(p[r], q[c])
+        got = np.flatnonzero(count)
+        rep = t.column("rep").to_numpy()[rows]
+        return pa.Table.from_arrays([pa.array(h[rows[got], 0]), pa.array(h[rows[got], 1]), pa.array(count[got]), pa.array(rep[got]), pa.array(rep[forest.up[got]])], schema=FOUND)
 
     return run
 
@@ -160,24 +251,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     store = store or Store(vectors.sparkSession, "embeddings")
     fine = F.col(vector).isNotNull() & F.col(key).isNotNull() & (F.size(vector) > 0)
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("embedding"), F.coalesce(fine & whole, F.lit(False)).alias("good"), F.xxhash64(vector).alias("h"))
-    reps = store.put(rows.where("good").groupBy("h", "embedding").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
-    placed = store.put(reps.select("rep", "copies", "embedding").mapInArrow(_place(cosine), PLACED), "placed")
-    # at most BLOCKS x (2 / radius + 1) cells for each length of vector, whatever the number of rows
-    parts = placed.groupBy("dim", "block", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / CHUNK)).cast("int").alias("parts"))
-    chunked = placed.join(F.broadcast(parts), ["dim", "block", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    packed = chunked.select("dim", "block", "cell", "part", "rep", "copies", "vec").groupBy("dim", "block", "cell", "part").applyInArrow(_pack, "dim int, block int, cell long, part int, ids binary, copies binary, vecs binary")
-    chunks = store.put(packed.withColumn("chunk", F.xxhash64("dim", "block", "cell", "part")), "chunks")
-    names = chunks.select("dim", "block", "cell", "part", "chunk")
-    other = names.select("dim", "block", F.col("cell").alias("cell2"), F.col("part").alias("part2"), F.col("chunk").alias("chunk2"))
-    meets = names.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("cell2", F.col("cell") + F.col("step")).join(other, ["dim", "block", "cell2"]).where("step = 1 OR part2 >= part").select("chunk", "chunk2")
-    left = chunks.select("dim", "block", "chunk", "ids", "copies", "vecs")
-    right = chunks.select(F.col("chunk").alias("chunk2"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("vecs").alias("vecs2"))
-    tiles = meets.join(left, "chunk").join(right, "chunk2")
-    found = store.put(tiles.mapInArrow(_tiles(cosine), "rep long, links long, up long"), "found")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    # equal but for the sign of zeros is equal
+    plain = F.transform(vector, lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("embedding"), F.coalesce(fine & whole, F.lit(False)).alias("good"), F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(SEED), plain).alias("h2"))
+    # with both hashes and the id, no table but the tiles' needs the vectors
+    marked = rows.where("good").withColumn("dim", F.size("embedding"))
+    reps = store.put(marked.groupBy("h1", "h2", "dim").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
+    parts = reps.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.col("dim") / CHUNK_VALUES)).cast("int").alias("parts"))
+    placed = reps.join(parts, "dim").withColumn("chunk", F.pmod(F.col("h1"), F.col("parts")).cast("int"))
+    held = marked.join(placed.withColumnRenamed("rep", "id").drop("dim"), ["id", "h1", "h2"]).withColumnRenamed("id", "rep")
+    meets = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = meets.select("dim", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "h1", "h2", "rep", "copies", "embedding")
+    found = store.put(tiles.groupBy("dim", "a", "b").applyInArrow(_tile(cosine), "h1 long, h2 long, links long, rep long, up long"), "found")
+    sums = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     parts_of = connected_components(found.select(F.col("rep").alias("a"), F.col("up").alias("b")), store).withColumnRenamed("node", "rep")
-    known = reps.join(links, "rep", "left").join(parts_of, "rep", "left").select("h", "embedding", (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    good = rows.where("good").join(known, ["h", "embedding"]).select("id", "n", "c")
+    known = reps.join(sums, ["h1", "h2"], "left").join(parts_of, "rep", "left").select("h1", "h2", (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    good = rows.where("good").select("id", "h1", "h2").join(known, ["h1", "h2"]).select("id", "n", "c")
     alone = rows.where("NOT good").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("c"))
     return good.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(False)).alias("kept"))

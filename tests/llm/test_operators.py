@@ -122,24 +122,66 @@ def test_components_of_chains_stars_and_nothing(spark):
 # ---- embeddings
 
 
-@pytest.mark.parametrize("chunk", [8192, 7])
-def test_subspace_join_against_brute_force(spark, chunk, monkeypatch):
-    monkeypatch.setattr(embedding_join, "CHUNK", chunk)
+def true_links(rows, cosine=0.9):
+    """Of each pair of good vectors, dot / sqrt(squares) in double; (good, pairs)."""
+    good = [r is not None and len(r) > 0 and all(x is not None and np.isfinite(x) for x in r) and any(r) for r in rows]
+    wide = [np.float32(r).astype(float) if g else None for r, g in zip(rows, good)]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if good[a] and good[b] and len(rows[a]) == len(rows[b]) and wide[a] @ wide[b] / np.sqrt((wide[a] @ wide[a]) * (wide[b] @ wide[b])) >= cosine]
+    return good, pairs
+
+
+@pytest.mark.parametrize("values, leaf, dense", [(1 << 21, 256, 0.02), (7 * 16, 3, 0.02), (7 * 16, 3, 0.0), (1 << 21, 4, 2.0)])
+def test_subspace_join_against_brute_force(spark, values, leaf, dense, monkeypatch):
+    for name, value in (("CHUNK_VALUES", values), ("LEAF", leaf), ("DENSE", dense)):
+        monkeypatch.setattr(embedding_join, name, value)
     rng = np.random.default_rng(3)
     rows = []
     for c in range(6):
         center = rng.standard_normal(16)
         rows += [(center + rng.standard_normal(16) * s).tolist() for s in (0, 0, 0.1, 0.2, 0.3, 0.4, 0.5)]
-    rows += [None, [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0] * 15 + [None], [], [1.0, 2.0], [2.0, 4.0], [1e30] * 16, [1e30] * 16]
-    good = [r is not None and len(r) > 0 and all(x is not None and np.isfinite(x) for x in r) and any(r) for r in rows]
-    unit = [np.float32(r).astype(float) / np.linalg.norm(np.float32(r).astype(float)) if g else None for r, g in zip(rows, good)]
-    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if good[a] and good[b] and len(rows[a]) == len(rows[b]) and unit[a] @ unit[b] >= 0.9]
-    links = collections.Counter(x for p in pairs for x in p)
-    table = spark.createDataFrame([(i, r, 0) for i, r in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    rows += [None, [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0] * 15 + [None], [], [1.0, 2.0], [2.0, 4.0], [1e30] * 16, [1e30] * 16, [-0.0] + [1.0] * 15, [0.0] + [1.0] * 15, [3.0]]
+    good, pairs = true_links(rows)
+    count = collections.Counter(x for p in pairs for x in p)
+    table = spark.createDataFrame([(i, r, 0, i, i) for i, r in enumerate(rows)], "vec_id long, embedding array<float>, label int, h1 int, rep int")
     got = {r.vec_id: r for r in embedding_join.near_duplicates(table).collect()}
-    assert [got[i].n_links for i in range(len(rows))] == [links[i] for i in range(len(rows))]
+    assert [got[i].n_links for i in range(len(rows))] == [count[i] for i in range(len(rows))]
     assert [got[i].component_id for i in range(len(rows))] == component_of(len(rows), pairs)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    assert embedding_join.near_duplicates(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0.02, 0.0])
+def test_vectors_at_the_very_bound_link_and_scale_does_not_matter(spark, dense, monkeypatch):
+    monkeypatch.setattr(embedding_join, "DENSE", dense)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):  # (9, 3, 3, 1) has the length 10, so its cosine with the first axis is 9 / 10
+        dim = (8, 64)[k % 2]
+        at, e, v = rng.permutation(dim)[:4], np.zeros(dim), np.zeros(dim)
+        e[at[0]], v[at] = 2.0 ** rng.integers(-20, 20), np.array([9, 3, 3, 1]) * rng.integers(1, 50)
+        rows += [e.tolist(), v.tolist()]
+    below = np.array([9, 3, 3, 1.0001] + [0] * 60)
+    rows += [[1.0] + [0.0] * 63, below.tolist()]
+    good, pairs = true_links(rows)
+    assert {(2 * k + 1, 2 * k) for k in range(60)} <= set(pairs) and (121, 120) not in pairs
+    count = collections.Counter(x for p in pairs for x in p)
+    table = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embedding_join.near_duplicates(table).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == [count[i] for i in range(len(rows))]
+    assert [got[i].component_id for i in range(len(rows))] == component_of(len(rows), pairs)
+
+
+def test_few_pairs_are_left_to_the_later_blocks():
+    rng = np.random.default_rng(6)
+    spread = embedding_join.Vectors(rng.standard_normal((3000, 64)))
+    seen = {}
+    assert not list(embedding_join.links(spread, spread, True, 0.9, seen))
+    assert seen["later"] < 0.002 * 3000 * 2999 / 2
+    centers = rng.standard_normal((40, 64))
+    clustered = embedding_join.Vectors((centers[:, None] + 0.02 * rng.standard_normal((40, 256, 64))).reshape(-1, 64))
+    seen = {}
+    found = sum(int(ok.sum()) if ok is not None else len(p) for p, _, ok in embedding_join.links(clustered, clustered, True, 0.9, seen))
+    assert found == 40 * 256 * 255 // 2 and seen["first"] < 0.25 * 10240**2 / 2
 
 
 # ---- sharding
