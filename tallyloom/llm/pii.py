@@ -1,18 +1,21 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Base spans are what four patterns find, leftmost and not overlapping, less those that fail a check (octets, Luhn, digit
-counts); they always stay. Beside them, candidate spans of other kinds (names, IBANs, national numbers, dates of birth,
-street addresses) come from wide patterns that also find much else. Labelers of three sorts vote on each candidate: a
+counts); they always stay. Beside them, candidate spans of other kinds come from wide patterns that also find much else:
+names, IBANs, national numbers, dates of birth, street addresses, phones without a country code, and long numbers and
+dotted quads that are near misses of base kinds. Labelers of three sorts vote on each candidate and on each base span: a
 strict pattern, a gazetteer, and the words before it, each saying yes, no or nothing. Expectation-maximisation estimates
 from the votes alone how often each labeler is right and how common true spans are; the posteriors weigh a final
-classifier over features of the span, fitted by a few aggregate passes of Newton steps, and spans it accepts are added.
+classifier over features of the span, fitted by a few Newton steps, and candidates it accepts are added.
 
-All passes are aggregates over the distinct vote-and-feature patterns with their counts: at most 3^labelers x 2^features
-rows, so neither a hot group nor the size of the corpus changes what the driver sees (a few sums).
+Both work on the distinct vote-and-feature patterns with their counts: at most 2 x 3^labelers x 2^features rows, so
+neither a hot group nor the size of the corpus changes what the driver sees. The gazetteers of names are parameters
+(module values that may be set to larger ones; they are looked up by hash).
 
 Positions are code points, end exclusive. Null and empty texts have no spans. Repeated rows each get a row, and a table
-without any candidate simply has none accepted. Patterns are possessive where that changes no match, so that a long run
-of digits or dots is walked once and needs no stack.
+without any candidate simply has none accepted. Long texts are searched whole, in proportion to their length and spans.
+Columns of docs stay, but for those named like a result, which are replaced. Patterns are possessive where that changes
+no match, so that a long run of digits or dots is walked once and needs no stack.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.spans import apart_from, let, match_spans
+
 #: The base patterns. \\G or a lookbehind lets a match start only where the leftmost one can.
 LOCAL = "[A-Za-z0-9._%+-]"
 BASE = {
@@ -41,7 +46,13 @@ WIDE = {
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "birth": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9/.-])",
     "address": r"(?<![\p{L}\p{N}])[0-9]{1,5} \p{Lu}[\p{L}]{1,20}(?: \p{Lu}[\p{L}]{1,20}){0,2}(?![\p{L}\p{N}])",
+    "local_phone": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "number": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])",
+    "quad": r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3}(?![0-9.])",
 }
+NEAR_MISSES = ("number", "quad")
+#: No match of a wide pattern is shorter.
+SHORTEST = 4
 #: What must stand in a text for a kind to be looked for, the strict patterns, the words before a span.
 HINT = {
     "name": rf"{NAME}[ -]{NAME}",
@@ -49,13 +60,17 @@ HINT = {
     "national": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "birth": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9][/.][0-9]{4}",
     "address": r"[0-9] \p{Lu}",
+    "local_phone": r"[0-9]{3}[ .-][0-9]{4}",
+    "number": r"[0-9][0-9 -]{11}",
+    "quad": r"[0-9]\.[0-9]+\.",
 }
 STRICT = {
     "name": r"^$",
     "iban": r"^(?:BE[0-9]{2}( ?[0-9]{4}){3}|DE[0-9]{2}( ?[0-9]{4}){4} ?[0-9]{2}|FR[0-9]{2}( ?[0-9A-Z]{4}){5} ?[0-9A-Z]{3}|ES[0-9]{2}( ?[0-9]{4}){5}|NL[0-9]{2} ?[A-Z]{4}( ?[0-9]{4}){2} ?[0-9]{2}|GB[0-9]{2} ?[A-Z]{4}( ?[0-9]{4}){3} ?[0-9]{2})$",
     "national": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "birth": r"^(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[/.](?:0?[1-9]|1[0-2])[/.](?:19|20)[0-9]{2})$",
-    "address": r"(?i) (?:street|st|avenue|ave|road|rd|lane|drive|boulevard|square|court)$",
+    "address": r"(?i) (?:street|st|avenue|ave|road|rd|lane|drive|boulevard|square|court|way|terrace|place|close|crescent|rue|platz|strasse|stra\u00dfe|weg|calle|avenida|plaza)$",
+    "local_phone": r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[.-][0-9]{4}$",
 }
 CONTEXT = {
     "name": r"(?i)(?:\bmr|\bmrs|\bms|\bdr|\bprof|\bname(?: is)?|\bsincerely|\bregards|\bherr|\bfrau|\bmonsieur|\bmadame|\bseñora?|\bcontact|\bsigned)[.:,]?\s*$",
@@ -63,6 +78,13 @@ CONTEXT = {
     "national": r"(?i)(?:ssn|social security|national|id)[^\n]{0,12}$",
     "birth": r"(?i)(?:born|birth|dob|né|née|geboren|nacid[oa])[^\n]{0,12}$",
     "address": r"(?i)(?:address|lives? at|resid\w+ at|ship to)[^\n]{0,12}$",
+    "local_phone": r"(?i)(?:tel|phone|call|fax|mobile|cell|reach)[^\n]{0,12}$",
+    "number": r"(?i)(?:card|visa|credit|debit|amex|karte|carte|tarjeta)[^\n]{0,12}$",
+    "quad": r"(?i)(?:\bip|host|server|client|address)[^\n]{0,12}$",
+    "email": r"(?i)(?:mail|contact|write|reach|address)[^\n]{0,12}$",
+    "ip": r"(?i)(?:\bip|host|server|client|address)[^\n]{0,12}$",
+    "card": r"(?i)(?:card|visa|credit|debit|amex|karte|carte|tarjeta)[^\n]{0,12}$",
+    "phone": r"(?i)(?:tel|phone|call|fax|mobile|cell|reach)[^\n]{0,12}$",
 }
 AGAINST = {
     "name": r"[.!?\n]\s*$|^\s*$",
@@ -70,36 +92,41 @@ AGAINST = {
     "national": r"(?i)(?:isbn|part|serial|order|phone|tel|fax)[^\n]{0,12}$",
     "birth": r"(?i)(?:published|updated|release|version|due|on|since)\s*$",
     "address": r"(?i)(?:page|chapter|section|version|vol)[^\n]{0,12}$",
+    "local_phone": r"(?i)(?:part|order|serial|ref|model)[^\n]{0,12}$",
+    "number": r"(?i)(?:order|serial|part|ref|id|isbn|invoice|tracking)[^\n]{0,12}$",
+    "quad": r"(?i)(?:version|release|section|v)\s*$",
+    "email": r"(?i)(?:example|such as)\s*$",
+    "ip": r"(?i)(?:version|release|section|v)\s*$",
+    "card": r"(?i)(?:order|serial|part|ref|id|isbn|invoice|tracking)[^\n]{0,12}$",
+    "phone": r"(?i)(?:part|order|serial|ref|model)[^\n]{0,12}$",
 }
-#: Given names and street words of the gazetteer.
-GIVEN = "james|john|robert|michael|david|william|richard|thomas|mary|patricia|jennifer|linda|elizabeth|susan|jessica|sarah|karen|anna|maria|peter|paul|jean|pierre|marie|sophie|camille|hans|klaus|petra|ursula|jürgen|wolfgang|carlos|juan|josé|carmen|lucía|pablo|daniel|laura|emma|lucas|martin|thomas|alice|charles|george|edward|henry|helen"
+#: Common given names and family names; whoever has larger lists sets them here.
+GIVEN = (
+    "adam alan albert alex alexander alice amanda amy ana andrea andrew angela anna anne anthony antonio arthur barbara benjamin bernd brian bruno camille carlos carmen carol catherine charles charlotte christian christine claire claudia daniel "
+    "david deborah dennis diana diego dieter donald edward elena elizabeth emily emma eric eva fabian felix fernando florian francis frank françois gabriel george gerard gloria hans heinz helen helga henry hugo ingrid isabel jacob jacques james "
+    "jan jane jason javier jean jennifer jessica joan john jonathan jorge joseph josé juan julia julien jürgen karen karl katharina kevin klaus laura linda lisa louis lucas lucía luis manuel marco margaret maria marie mario mark martin mary "
+    "matthew michael miguel monika nancy nicolas nicole oliver olivier pablo patricia paul pedro peter petra philip pierre rachel rebecca richard robert ruth samuel sandra sara sarah simon sofia sophie stefan stephen steven susan thomas ursula walter william wolfgang"
+).split()
+FAMILY = (
+    "smith johnson williams brown jones miller davis garcia rodriguez wilson martinez anderson taylor thomas hernandez moore martin jackson thompson white lopez lee gonzalez harris clark lewis robinson walker perez hall young allen sanchez wright "
+    "king scott green baker adams nelson hill ramirez campbell mitchell roberts carter phillips evans turner torres parker collins edwards müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann schäfer koch bauer richter klein "
+    "wolf schröder neumann schwarz zimmermann braun krüger hofmann lange werner bernard dubois durand moreau laurent simon michel lefebvre leroy roux fournier girard bonnet dupont lambert fontaine rousseau fernández gómez díaz ruiz álvarez moreno muñoz romero navarro torres"
+).split()
+#: A gazetteer's pattern for the kinds that it says something on; names are looked up word by word.
 GAZETTEER = {
-    "name": rf"(?iu)^(?:{GIVEN})\b",
-    "iban": r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
-    "national": r"^$",
-    "birth": r"^$",
-    "address": r"(?iu) (?:main|oak|park|elm|maple|church|high|station|king|queen)\b",
+    "name": None,
+    "iban": r"^(?:AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM)",
+    "address": r"(?iu) (?:main|oak|park|elm|maple|church|high|station|king|queen|mill|school|cedar|pine|lake|hill|washington|bahnhof|haupt|garten|kirch|gare|église|mayor)\b",
+    "number": r"^(?:4|5[1-5]|3[47]|6(?:011|5)|2[2-7])",
+    "card": r"^(?:4|5[1-5]|3[47]|6(?:011|5)|2[2-7])",
+    "email": r"(?i)\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk|be|nl|it|ch|at|eu)$",
+    "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
 }
 LABELERS = ("strict", "gazetteer", "context")
 EM_ROUNDS, NEWTON_ROUNDS, ACCEPT = 25, 8, 0.5
 FEATURES = ("one", "strict_ok", "listed", "before_yes", "before_no", "digits", "long")
 
 
-def _spans(text: Column, kind: str, pattern: str) -> Column:
-    """array<struct<kind, start, end, value>> of all matches: the pieces between matches give their places."""
-    found, between = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)").alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["gap"])
-        e = s + F.length(pair["value"])
-        one = F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end"), pair["value"].alias("value"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda v, g: F.struct(g.alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
-
-
 def _luhn(digits: Column) -> Column:
     def weigh(c: Column, i: Column) -> Column:
         d = c.cast("int") * (1 + i % 2)
@@ -119,7 +146,8 @@ VALID = {
     "card": lambda v: F.when(F.length(_digits(v)).between(14, 19), _luhn(_digits(v))).otherwise(False),
     "phone": lambda v: F.length(_digits(v)).between(10, 15),
 }
-NO_SPANS = "cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)"
+NO_SPANS = "cast(array() as array<struct<start:int,end:int,value:string,before:string>>)"
+VOTED = "cast(array() as array<struct<kind:string,start:int,end:int,votes:array<int>,x:array<double>>>)"
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -127,7 +155,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     out = {}
     for kind, pattern in BASE.items():
         there = text.contains(NEEDS[kind]) if NEEDS[kind] else text.rlike("[0-9][0-9 -]{12}")
-        out[kind] = F.when(there, F.filter(_spans(text, kind, pattern), _passes(kind))).otherwise(F.expr(NO_SPANS))
+        out[kind] = F.when(there, F.filter(match_spans(text, pattern), _passes(kind))).otherwise(F.expr(NO_SPANS))
     return out
 
 
@@ -135,27 +163,35 @@ def _passes(kind: str):
     return lambda s: VALID[kind](s["value"])
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `wide`: candidate spans with the votes of the labelers and the features of the classifier."""
+def _listed(value: Column, kind: str) -> Column | None:
+    """What the gazetteer says: for names, that one of the words is a given name or the last a family name."""
+    if kind == "name":
+        words = F.split(F.lower(value), "[ -]")
+        return F.exists(words, lambda w: w.isin(GIVEN)) | F.element_at(words, -1).isin(FAMILY)
+    return value.rlike(GAZETTEER[kind]) if kind in GAZETTEER else None
+
 
-    def votes(s: Column, kind: str) -> Column:
-        value, before = s["value"], F.substring(F.col(text), F.greatest(s["start"] - 29, F.lit(1)), F.least(s["start"], F.lit(30)))
-        strict, listed, yes, no = value.rlike(STRICT[kind]), value.rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind]), before.rlike(AGAINST[kind])
-        has_strict, has_list = STRICT[kind] != "^$", GAZETTEER[kind] != "^$"
-        vote = F.array(
-            F.when(strict, 1).otherwise(-1) if has_strict else F.lit(0),
-            F.when(listed, 1).otherwise(-1) if has_list else F.lit(0),
-            F.when(yes, 1).when(no, -1).otherwise(0),
-        )
-        x = F.array(*(c.cast("double") for c in (F.lit(1), strict if has_strict else F.lit(0), listed if has_list else F.lit(0), yes, no, value.rlike("[0-9]"), F.length(value) > 14)))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), vote.alias("votes"), x.alias("x"))
+def _voted(s: Column, kind: str) -> Column:
+    """A span with the votes of the labelers and the features of the classifier."""
+    value, before = s["value"], s["before"]
+    yes, no, none = before.rlike(CONTEXT[kind]), before.rlike(AGAINST[kind]), F.lit(0)
+    # base spans passed their checks, near misses did not
+    strict = F.lit(kind in BASE) if kind in BASE or kind in NEAR_MISSES else value.rlike(STRICT[kind]) if STRICT[kind] != "^$" else None
+    listed = _listed(value, kind)
+    says = lambda c: none if c is None else F.when(c, 1).otherwise(-1)
+    vote = F.array(says(strict), says(listed), F.when(yes, 1).when(no, -1).otherwise(0))
+    x = F.array(*((none if c is None else c).cast("double") for c in (F.lit(1), strict, listed, yes, no, value.rlike("[0-9]"), F.length(value) > 14)))
+    return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), vote.alias("votes"), x.alias("x"))
 
-    def voted(kind: str):
-        return lambda s: votes(s, kind)
 
-    found = [F.when(F.col(text).rlike(HINT[k]), F.transform(_spans(F.col(text), k, p), voted(k))) for k, p in WIDE.items()]
-    nothing = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,votes:array<int>,x:array<double>>>)")
-    return docs.withColumn("wide", F.concat(*(F.coalesce(f, nothing) for f in found)))
+def _with_votes(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda s: _voted(s, kind))
+
+
+def candidates(text: Column) -> Column:
+    """All spans of the wide patterns, with votes and features."""
+    found = [F.when(text.rlike(HINT[k]), _with_votes(match_spans(text, p, SHORTEST), k)) for k, p in WIDE.items()]
+    return F.concat(*(F.coalesce(f, F.expr(VOTED)) for f in found))
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float], list[float]]:
@@ -221,13 +257,28 @@ def _solved(m: list[list[float]], v: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
+def _clear(wide: Column, base: Column) -> Column:
+    """Wide spans that overlap no base span, by their starts."""
+    keyed = F.array_sort(F.transform(wide, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("s"))))
+    return F.transform(apart_from(keyed, base), lambda k: k["s"])
+
+
+def tally(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(base, votes, x, count): how often each pattern of votes and features stands in docs, on base spans and others."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    base = F.concat(*(_with_votes(c, k) for k, c in base_spans(t).items()))
+    both = docs.select(base.alias("b"), candidates(t).alias("w")).where("size(b) + size(w) > 0")
+    marked = lambda spans, is_base: F.transform(spans, lambda s: F.struct(F.lit(is_base).alias("base"), s["votes"].alias("votes"), s["x"].alias("x")))
+    return both.select(F.explode(F.concat(marked(F.col("b"), True), marked(_clear(F.col("w"), F.col("b")), False))).alias("s")).groupBy("s.base", "s.votes", "s.x").count()
+
+
 def fit(docs: DataFrame, text: str = "text") -> list[float]:
-    """Weights of the span classifier, from the votes on every candidate of docs; its input is one row per vote pattern."""
-    each = candidates(docs.select(text), text).select(F.explode("wide").alias("s")).groupBy("s.votes", "s.x").count().collect()  # at most 3^3 x 2^6 rows
-    tally: dict[tuple[int, ...], int] = {}
+    """Weights of the span classifier, from the votes on every span of docs; its input is one row per vote pattern."""
+    each = tally(docs, text).collect()  # at most 2 x 3^3 x 2^6 rows
+    votes: dict[tuple[int, ...], int] = {}
     for r in each:
-        tally[tuple(r["votes"])] = tally.get(tuple(r["votes"]), 0) + r["count"]
-    p, right, wrong = estimate(sorted(tally.items()))
+        votes[tuple(r["votes"])] = votes.get(tuple(r["votes"]), 0) + r["count"]
+    p, right, wrong = estimate(sorted(votes.items()))
     return classifier(sorted((tuple(r["x"]), float(r["count"]), posterior(tuple(r["votes"]), p, right, wrong)) for r in each))
 
 
@@ -237,19 +288,19 @@ def find(docs: DataFrame, weights: list[float] | None = None, text: str = "text"
     An added span that overlaps a base span is left out; of two added ones that overlap both stay.
     """
     weights = fit(docs, text) if weights is None else weights
-    docs = docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    found = candidates(docs, text)
-    base = base_spans(F.col(text))
-    slim = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    found = found.withColumns({f"_{k}": slim(c) for k, c in base.items()})
-    found = found.withColumn("_base", F.concat(*(f"_{k}" for k in KINDS)))
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    slim = lambda spans, kind=None: F.transform(spans, lambda s: F.struct((s["kind"] if kind is None else F.lit(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     score = lambda s: sum((F.lit(w) * s["x"][i] for i, w in enumerate(weights)), F.lit(0.0))
-    taken = F.filter("wide", lambda s: (score(s) >= math.log(ACCEPT / (1 - ACCEPT))) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    accepted = F.filter(candidates(t), lambda s: score(s) >= math.log(ACCEPT / (1 - ACCEPT)))
+    # spans ride beside the row, so that no column of it can be in their way
+    found = docs.select(F.struct("*").alias("row"), *(slim(c, k).alias(k) for k, c in base_spans(t).items()), accepted.alias("wide"))
+    found = found.withColumn("base", F.concat(*KINDS))
     order = [*KINDS, *WIDE]
     rank = lambda s: F.array_position(F.array(*map(F.lit, order)), s["kind"]).cast("int")
     sort = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], rank(s).alias("rank"), s["end"], s["kind"]))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    counted = found.withColumns({f"n_{k}": F.size(f"_{k}").cast("long") for k in KINDS} | {"base": sort(F.col("_base")), "spans": sort(F.concat("_base", slim(taken)))})
-    return counted.drop("wide", "_base", *(f"_{k}" for k in KINDS))
+    made = {f"n_{k}": F.size(k).cast("long") for k in KINDS} | {"base": sort(F.col("base")), "spans": sort(F.concat("base", slim(_clear(F.col("wide"), F.col("base")))))}
+    found = found.select(F.col("row").alias("_row"), F.struct(*(v.alias(n) for n, v in made.items())).alias("_made"))
+    return found.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in made), *(F.col("_made")[n].alias(n) for n in made))
 
 
 def listed(spans: Column) -> Column:

@@ -57,7 +57,7 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = secrets_scan.scan(docs, secrets_scan.default_forest(spark))
+    found = secrets_scan.scan(docs, secrets_scan.default_scanner(docs))
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), pii.listed(F.col("secrets")).alias("spans"))
 
 

@@ -1,25 +1,30 @@
 """Secret scans with DataFrame functions only: wide candidate patterns, then a random forest against false positives.
 
-Candidates are private keys from BEGIN to the matching END (without one, to the end of the base64 lines), values assigned to a name such as password or token, and runs of 16 or more key
-characters with a letter and a digit. The forest sees a candidate's length, its character classes and transitions, how
-much of it dictionary words cover, its path and the words beside it. It is trained here on labelled findings (a table of
-before, value, path, label; `labelled_findings` makes one by rule) and applied as one SQL expression inside the scan, so
-no text leaves the JVM and nothing is shuffled.
-
-Positions are code points, end exclusive. Null and empty texts have no findings; repeated rows each get a row.
+Candidates are private keys from BEGIN to the matching END (without one, to the end of the base64 lines), values assigned
+to a name such as password or token, and runs of 16 or more key characters with a letter and a digit. The forest sees a
+candidate's length, its character classes and changes, how likely its letter transitions are and how much of it words of
+a dictionary cover, its path and the words beside it. Dictionary and transitions come from all documents: the WORDS_KEPT
+words that most documents hold, counted with partial sums before the shuffle. The forest is trained on labelled findings
+(a table of before, value, path, label; `labelled_findings` makes one by rule) and applied as one SQL expression inside
+the scan, so no text leaves the JVM and no text is shuffled.
+
+Positions are code points, end exclusive. Null and empty texts have no findings; repeated rows each get a row. Long texts
+are scanned whole, with steps in proportion to their length and candidates. Columns of docs stay but for those named
+n_candidates and secrets, which are replaced. An empty table has an empty dictionary and no findings.
 """
 
 from __future__ import annotations
 
 import random
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.spans import match_spans
+from tallyloom.llm.spans import let, match_spans, replaced
 from tallyloom.llm.trees import Trees, forest
 
 _NAMES = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)"
@@ -39,18 +44,18 @@ def _private_key(group: str) -> str:
 CANDIDATE = (
     _private_key("bare")
     + rf"|{_NAMES}{_BINDS}(?:{_private_key('named')}|[^\s\"',;]{{6,}})"
+    rf"|(?<!{_RUN})(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}})(?!{_RUN})"
     rf"|(?<!{_RUN})(?=[A-Za-z+/_~-]*+[0-9])(?=[0-9+/_~-]*+[A-Za-z]){_RUN}{{16,}}"
 )
-#: Most labelled findings that a forest is fitted on.
-FIT_ROWS, TREES, DEPTH, ACCEPT = 6_000, 16, 5, 0.5
-#: Words for dictionary coverage, pairs of letters that words are full of.
+#: Most labelled findings that a forest is fitted on; words of the dictionary; code points of the shortest candidate.
+FIT_ROWS, TREES, DEPTH, ACCEPT, WORDS_KEPT, SHORTEST = 6_000, 16, 5, 0.5, 2_048, 10
+#: Words of look-alikes, in the dictionary whatever the documents say.
 WORDS = (
     "example sample dummy change your password secret token test user name admin default value null none true false required enter here the and for with that this from have not are was you section version release "
     "final page image file data index main source class object response request service manager config build number order date time document chapter table value path node list type string report model series part"
 ).split()
-PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 FEATURES = (
-    "length", "digits", "upper", "lower", "marks", "changes", "distinct", "pairs", "covered", "hex", "hash_size", "uuid",
+    "length", "digits", "upper", "lower", "marks", "changes", "distinct", "likely", "covered", "hex", "hash_size", "uuid",
     "slashes", "known", "named", "placeholder", "hash_word", "example_path", "example_word", "assigned",
 )
 
@@ -59,7 +64,51 @@ def _share(v: Column, pattern: str) -> Column:
     return F.regexp_count(v, F.lit(pattern)) / F.length(v)
 
 
-def features(value: Column, before: Column, path: Column) -> Column:
+@dataclass
+class Lexicon:
+    """Words with the number of documents that hold them, and the logarithms of letter transitions in them (26 x 26)."""
+
+    words: list[str]
+    likely: list[float]
+
+
+def lexicon(docs: DataFrame | None = None, text: str = "text", words: int = WORDS_KEPT) -> Lexicon:
+    """From all docs: at most `words` words of 4 to 20 letters, those in most documents first; a few words always."""
+    found = []
+    if docs is not None:
+        each = F.array_distinct(F.filter(F.split(F.lower(F.col(text).cast("string")), "[^a-z0-9_+/]+"), lambda w: w.rlike("^[a-z]{4,20}$")))
+        counts = docs.select(F.explode(each).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+        found = [(r.w, r.n) for r in counts.where("n > 1").orderBy(F.desc("n"), "w").limit(words).collect()]
+    seen = np.ones((26, 26))
+    for word, n in [*found, *((w, 1) for w in WORDS)]:
+        codes = np.frombuffer(word.encode(), np.uint8).astype(int) - 97
+        np.add.at(seen, (codes[:-1], codes[1:]), np.log1p(n))
+    likely = np.log(seen / seen.sum(1, keepdims=True)) + np.log(26)
+    return Lexicon(sorted({w for w, _ in found} | {w for w in WORDS if len(w) > 2}), likely.ravel().round(6).tolist())
+
+
+def _likely(low: Column, lex: Lexicon) -> Column:
+    """The mean logarithm of the transitions between neighbouring letters, against letters at random; 0 without any."""
+    table = F.array(*map(F.lit, lex.likely))
+    codes = F.transform(F.split(low, ""), lambda c: F.ascii(c) - 97)
+
+    def mean(codes: Column) -> Column:
+        letter = lambda c: (c >= 0) & (c < 26)
+        pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: F.when(letter(a) & letter(b), F.get(table, a * 26 + b)))
+        some = lambda found: F.when(F.size(found) == 0, F.lit(0.0)).otherwise(F.aggregate(found, F.lit(0.0), lambda x, y: x + y) / F.size(found))
+        return let(F.filter(pairs, lambda p: p.isNotNull()), some)
+
+    return let(codes, mean)
+
+
+def _covered(value: Column, lex: Lexicon) -> Column:
+    """The share of the value in runs of letters (also of one case after another) that are words."""
+    apart = F.lower(F.regexp_replace(value, "(?<=[a-z])(?=[A-Z])", " "))
+    words = F.filter(F.split(apart, "[^a-z]+"), lambda w: w.isin(lex.words))
+    return F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w)) / F.length(value)
+
+
+def features(value: Column, before: Column, path: Column, lex: Lexicon) -> Column:
     """array<double> of FEATURES for one candidate."""
     low, flag = F.lower(value), lambda c: c.cast("double")
     return F.array(
@@ -70,8 +119,8 @@ def features(value: Column, before: Column, path: Column) -> Column:
         _share(value, "[^A-Za-z0-9]"),
         _share(value, "[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[^A-Za-z0-9](?=[A-Za-z0-9])"),
         F.size(F.array_distinct(F.split(value, ""))) / F.least(F.length(value), F.lit(40)),
-        _share(low, f"(?=(?:{'|'.join(PAIRS)}))."),
-        1.0 - F.length(F.regexp_replace(low, "|".join(sorted(WORDS, key=lambda w: -len(w))), "")) / F.length(value),
+        _likely(low, lex),
+        _covered(value, lex),
         flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         flag(F.length(value).isin(32, 40, 56, 64, 96, 128)),
         flag(value.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
@@ -86,13 +135,17 @@ def features(value: Column, before: Column, path: Column) -> Column:
     )
 
 
-def labelled_findings(rows: int = 3_000, seed: int = 11) -> pa.Table:
-    """Findings labelled by the rule that made them: keys of known forms and random passwords against look-alikes."""
+def labelled_findings(rows: int = 3_000, seed: int = 11, words: list[str] | None = None) -> pa.Table:
+    """Findings labelled by the rule that made them: keys of known forms and random passwords against look-alikes.
+
+    The look-alikes are made of `words` and of syllables.
+    """
     r = random.Random(seed)
     hexa, alnum, b32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
-    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
+    made = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
+    word = lambda: r.choice(words) if words and r.random() < 0.5 else made()
     prose = lambda: " ".join(word() for _ in range(r.randint(2, 6))) + r.choice([" ", " ", ", ", "\n"])
     name = lambda: r.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "API_KEY", "access_key", "client_secret", "Token"])
     bind = lambda: r.choice(["=", ": ", " = \"", ":\"", "='", " = '", "="])
@@ -144,15 +197,23 @@ def labelled_findings(rows: int = 3_000, seed: int = 11) -> pa.Table:
     return pa.table({n: pa.array(list(c)) for n, c in zip(("before", "value", "path", "label"), zip(*found))})
 
 
-def fit(findings: DataFrame) -> Trees:
+@dataclass
+class Scanner:
+    trees: Trees
+    lex: Lexicon
+
+
+def fit(findings: DataFrame, lex: Lexicon) -> Scanner:
     """The forest from at most FIT_ROWS labelled findings (before, value, path, label), in the order of their hash."""
     some = findings.where("length(value) > 0 AND label IS NOT NULL").orderBy(F.xxhash64("value", "before", "path"), "value", "before").limit(FIT_ROWS)
-    got = some.select(features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("path", F.lit(""))).alias("x"), F.col("label").cast("double").alias("y")).toArrow()
-    return forest(np.array(got["x"].to_pylist(), float), got["y"].to_numpy(), TREES, DEPTH)
+    got = some.select(features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("path", F.lit("")), lex).alias("x"), F.col("label").cast("double").alias("y")).toArrow()
+    return Scanner(forest(np.array(got["x"].to_pylist(), float), got["y"].to_numpy(), TREES, DEPTH), lex)
 
 
-def default_forest(spark: SparkSession) -> Trees:
-    return fit(spark.createDataFrame(labelled_findings()))
+def default_scanner(docs: DataFrame, text: str = "text") -> Scanner:
+    """A forest over the findings made by rule, with the dictionary of all docs."""
+    lex = lexicon(docs, text)
+    return fit(docs.sparkSession.createDataFrame(labelled_findings(words=lex.words)), lex)
 
 
 def probability(model: Trees, x: Column) -> Column:
@@ -169,30 +230,30 @@ def probability(model: Trees, x: Column) -> Column:
     return sum((at(t, 0) for t in range(len(model.feature))), F.lit(model.base))
 
 
-def scan(docs: DataFrame, model: Trees, text: str = "text", path: str | None = "source") -> DataFrame:
+def scan(docs: DataFrame, model: Scanner, text: str = "text", path: str | None = "source") -> DataFrame:
     """docs with n_candidates and `secrets`, the array of (kind, start, end) that the forest accepts."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
 
     def seen(s: Column) -> Column:
-        value = F.regexp_replace(s["value"], f"^{_NAMES}{_BINDS}", "")
-        begins = s["end"] - F.length(value)
-        before = F.substring(t, F.greatest(begins - 29, F.lit(1)), F.least(begins, F.lit(30)))
-        kind = F.when(value.startswith("-----"), "private_key").when(value.rlike("^AKIA[0-9A-Z]{16}$"), "aws_key").when(begins > s["start"], "assigned").otherwise("token")
-        return F.struct(kind.alias("kind"), begins.cast("int").alias("start"), s["end"].alias("end"), features(value, before, where).alias("x"))
+        def judged(value: Column) -> Column:
+            begins = s["end"] - F.length(value)
+            before = F.right(F.concat(s["before"], F.left(s["value"], begins - s["start"])), F.lit(30))
+            kind = F.when(value.startswith("-----"), "private_key").when(value.rlike("^AKIA[0-9A-Z]{16}$"), "aws_key").when(begins > s["start"], "assigned").otherwise("token")
+            return F.struct(kind.alias("kind"), begins.cast("int").alias("start"), s["end"].alias("end"), features(value, before, where, model.lex).alias("x"))
+
+        return let(F.regexp_replace(s["value"], f"^{_NAMES}{_BINDS}", ""), judged)
 
     nothing = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,x:array<double>>>)")
-    found = docs.withColumn("_found", F.when(t.rlike(CANDIDATE), F.transform(match_spans(t, CANDIDATE), seen)).otherwise(nothing))
-    taken = F.filter("_found", lambda s: probability(model, s["x"]) >= ACCEPT)
+    # the found candidates ride beside the row, so that no column of it can be in their way
+    found = docs.select(F.struct("*").alias("row"), F.when(t.rlike(CANDIDATE), F.transform(match_spans(t, CANDIDATE, SHORTEST), seen)).otherwise(nothing).alias("found"))
+    taken = F.filter("found", lambda s: probability(model.trees, s["x"]) >= ACCEPT)
     slim = F.transform(taken, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.withColumns({"n_candidates": F.size("_found").cast("long"), "secrets": slim}).drop("_found")
+    made = {"n_candidates": F.size("found").cast("long"), "secrets": slim}
+    found = found.select(F.col("row").alias("_row"), F.struct(*(v.alias(n) for n, v in made.items())).alias("_made"))
+    return found.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in made), *(F.col("_made")[n].alias(n) for n in made))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with a mark in place of each span; spans are in order and do not overlap."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
-
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    return replaced(text, spans, mark)
