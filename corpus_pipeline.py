@@ -41,7 +41,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Secrets in texts become a mark; n_chars, where there is one, is counted anew."""
     path = "source" if "source" in docs.columns else None
     rows = docs.select(F.struct("*").alias("row"), "text", *([path] if path else []))
-    found = secrets_scan.scan(rows, secrets_scan.default_forest(spark), path=path)
+    found = secrets_scan.scan(rows, secrets_scan.default_scanner(docs), path=path)
     text = F.when(F.size("secrets") > 0, secrets_scan.redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text"))
     changed = found.select("row", text.alias("text"))
     new = {"text": F.col("text")} | ({"n_chars": F.when(F.col("text") != F.col("row.text"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
