@@ -50,6 +50,8 @@ WIDE = {
     "number": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])",
     "quad": r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3}(?![0-9.])",
 }
+#: Kinds whose strict pattern only says no: any date may be one of birth. Kinds that a base check has rejected.
+ONLY_NO = ("birth",)
 NEAR_MISSES = ("number", "quad")
 #: No match of a wide pattern is shorter.
 SHORTEST = 4
@@ -179,7 +181,10 @@ def _voted(s: Column, kind: str) -> Column:
     strict = F.lit(kind in BASE) if kind in BASE or kind in NEAR_MISSES else value.rlike(STRICT[kind]) if STRICT[kind] != "^$" else None
     listed = _listed(value, kind)
     says = lambda c: none if c is None else F.when(c, 1).otherwise(-1)
-    vote = F.array(says(strict), says(listed), F.when(yes, 1).when(no, -1).otherwise(0))
+    form = says(strict)
+    if kind in ONLY_NO:
+        form, strict = F.when(strict, 0).otherwise(-1), None
+    vote = F.array(form, says(listed), F.when(yes, 1).when(no, -1).otherwise(0))
     x = F.array(*((none if c is None else c).cast("double") for c in (F.lit(1), strict, listed, yes, no, value.rlike("[0-9]"), F.length(value) > 14)))
     return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), vote.alias("votes"), x.alias("x"))
 
