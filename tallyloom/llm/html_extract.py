@@ -9,7 +9,12 @@ come from the same messages. `labelled_pages` makes labelled pages by rule; any
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a line feed. Null and
 empty html give the empty text. Unclosed and stray tags are taken as HTML takes them: a block element ends an open
-paragraph, an end tag closes what it finds open. Repeated rows each get a row; nothing is shuffled.
+paragraph, an end tag closes what it finds open. The content of script, style, title and other elements of raw text ends
+at their end tag only; that of buttons, drawings and the like ends with the element that holds them, too, and one that is
+nowhere closed is taken as empty. Formulas (math) are text.
+
+Whole pages are read, in proportion to their length and nesting. A marginal of just 1/2 is content. Repeated rows each get
+a row; nothing is shuffled; an empty table gives none. Columns besides key, url and html are not returned. Keys are integers.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +34,8 @@ from pyspark.sql import DataFrame
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SKIPPED = frozenset("script style noscript template svg math iframe object select textarea button title head canvas audio video".split())
+RAW = frozenset("script style iframe textarea title noembed noframes xmp".split())
+MUTED = frozenset("noscript template svg object select button canvas audio video datalist".split())
 ENDS_P = BLOCKS - {"html", "body"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table div section article body html nav aside main".split())
@@ -47,7 +54,7 @@ WORDS = {
 _WORD = {k: re.compile(v) for k, v in WORDS.items()}
 TAGS = "article main section div p h1 h2 h3 h4 li ul ol dl nav header footer aside form fieldset table td th blockquote pre figure figcaption body details address".split()
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "main", "search", "dialog", "alert")
-NAMES = ["bias", "leaf", *(f"tag:{t}" for t in TAGS), *(f"word:{w}" for w in WORDS), *(f"role:{r}" for r in ROLES), "hidden", "long", "short", "linked", "stop", "copyright", *(f"in:{t}" for t in TAGS), "early", "wordy"]
+NAMES = ["bias", "leaf", *(f"tag:{t}" for t in TAGS), *(f"word:{w}" for w in WORDS), *(f"role:{r}" for r in ROLES), "hidden", "long", "short", "linked", "stop", "copyright", *(f"in:{t}" for t in TAGS), *(f"under:{t}" for t in TAGS), "under main", "wordy"]
 _AT = {n: i for i, n in enumerate(NAMES)}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -90,9 +97,28 @@ def parse(page: str, labelled: bool = False) -> Page:
     """The block tree of a page. With `labelled`, elements that carry data-main are content with all below them."""
     out = Page([-1], [0], [[0]], [None], ["#page"], [False])
     stack: list[tuple[str, int]] = [("#page", 0)]
+    opened: dict[str, list[int]] = {}  # where each tag stands in the stack
+    scopes: list[int] = []  # where in it lists, tables and sections begin
+    muted: list[tuple[str, int]] = []  # open elements without text, and the height of the stack at their start
+    n_muted = Counter()
+    last_end: dict[str, int] = {}
     pieces: list[str] = []
     linked, in_link, size, pos, n = 0, 0, 0, 0, len(page)
 
+    def close(height: int) -> None:
+        while len(stack) > height:
+            tag, _ = stack.pop()
+            opened[tag].pop()
+            if scopes and scopes[-1] == len(stack):
+                scopes.pop()
+        while muted and muted[-1][1] > height:
+            n_muted[muted.pop()[0]] -= 1
+
+    def ends_later(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+        return last_end[tag] >= pos
+
     def flush() -> None:
         nonlocal pieces, linked, size
         if pieces:
@@ -114,6 +140,8 @@ def parse(page: str, labelled: bool = False) -> Page:
 
     def take(piece: str) -> None:
         nonlocal linked, size
+        if muted:
+            return
         pieces.append(piece)
         size += len(piece)
         linked += len(piece) * (in_link > 0)
@@ -128,37 +156,52 @@ def parse(page: str, labelled: bool = False) -> Page:
         pos, tag = max(m.end(), m.start() + 1), (m[2] or "").lower()
         if not tag:
             continue
-        if tag in SKIPPED:
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>|<body\b" if tag == "head" else rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
-                pos = n if end is None else end.start() if end[0].lower().startswith("<body") else end.end()
+        if tag in RAW:
+            if not m[1]:
+                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
+                pos = n if end is None else end.end()
+            take(" ")
+        elif tag in MUTED:
             take(" ")
+            if m[1]:
+                while n_muted[tag]:  # what it holds unclosed ends with it
+                    n_muted[(last := muted.pop()[0])] -= 1
+                    if last == tag:
+                        break
+            elif not m[3].endswith("/") and ends_later(tag):
+                muted.append((tag, len(stack)))
+                n_muted[tag] += 1
         elif tag in BLOCKS:
             flush()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if opened.get(tag):
+                    close(opened[tag][-1])
                 continue
             in_link = 0
-            if tag in ENDS_P and stack[-1][0] == "p":
-                stack.pop()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SAME_ENDS.get(tag, ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPES:
-                    break
+            held = muted[-1][1] if muted else 0  # what a muted element holds does not end what it stands in
+            if tag in ENDS_P and stack[-1][0] == "p" and len(stack) > held:
+                close(len(stack) - 1)
+            if tag in SAME_ENDS:
+                at = max((opened[t][-1] for t in SAME_ENDS[tag] if opened.get(t)), default=-1)
+                if at >= held and at > (scopes[-1] if scopes else 0):
+                    close(at)
             if tag == "hr":
                 continue
             up = stack[-1][1]
             out.parent.append(up)
             out.depth.append(out.depth[up] + 1)
-            out.on.append(_element_features(tag, m[3]))
+            on, above = _element_features(tag, m[3]), stack[-1][0]
+            if (k := _AT.get(f"under:{above}")) is not None:
+                on.append(k)
+            if _AT["word:main"] in out.on[up] or _AT["role:main"] in out.on[up]:
+                on.append(_AT["under main"])
+            out.on.append(on)
             out.text.append(None)
             out.tag.append(tag)
             out.mark.append(out.mark[up] and "data-side" not in m[3] or "data-main" in m[3] if labelled else False)
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
             stack.append((tag, len(out.parent) - 1))
         elif tag == "a":
             in_link = 0 if m[1] else 1
@@ -203,8 +246,11 @@ def marginals(model: Model, tree: tuple, want_edges: bool = False):
     edge = model.edge[leaf]  # (n, parent's state, own state)
     for at in reversed(levels[1:]):
         up[at] = _lse(edge[at] + (own + below)[at][:, None, :], 2)
-        for s in (0, 1):
-            below[:, s] += np.bincount(parent[at], up[at, s], n)
+        for s in (0, 1):  # a level of few nodes must not cost a pass over all
+            if 16 * len(at) > n:
+                below[:, s] += np.bincount(parent[at], up[at, s], n)
+            else:
+                np.add.at(below[:, s], parent[at], up[at, s])
     for at in levels[1:]:
         p = parent[at]
         rest = own[p] + below[p] + down[p] - up[at]
@@ -253,15 +299,30 @@ def labelled_pages(count: int = 260, seed: int = 3) -> list[str]:
     syll = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
     word = lambda: "".join(r.choice(syll) for _ in range(r.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize()
-    para = lambda: " ".join(words(3, 14) + r.choice([".", ".", "!", "?", "", " |", ",", "###"]) for _ in range(r.randint(1, 6)))
+    para = lambda: " ".join(words(3, 14) + r.choice([".", ".", ".", "!", "?", "", ":", "\u2026", ";", "...", " -"]) for _ in range(r.randint(1, 6)))
     end = lambda: r.choice([".", "", "", "!"])
     links = lambda a, b: "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(r.randint(a, b)))
     name = lambda *c: r.choice([f' class="{r.choice(c)}"', f' id="{r.choice(c)}"', f' class="{word()} {r.choice(c)}"'])
 
     def body() -> str:
-        out = [f"<h1>{words(2, 9)}</h1>"] * (r.random() < 0.9)
+        out = [r.choice(["<h1>{}</h1>", "<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>", "<h2>{}</h2>"]).format(words(2, 9))] * (r.random() < 0.9)
         for _ in range(r.randint(1, 9)):
-            out.append(r.choices([f"<p>{para()}</p>", f"<p><b>{words(2, 8)}{end()}<br><p>{para()}</p>", f"<h2>{words(1, 6)}</h2>", f"<ul>{''.join(f'<li>{words(3, 14)}{end()}</li>' for _ in range(r.randint(2, 5)))}</ul>", f"<blockquote><p>{para()}</p></blockquote>", f"<pre>{words(4, 12)}</pre>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", f"<p>{words(1, 3)}{end()}</p>", f"<figure><figcaption>{words(3, 9)}{end()}</figcaption></figure>", f"<div>{para()}</div>"], [12, 3, 3, 2, 1, 1, 1, 2, 1, 2])[0])
+            made = [
+                lambda: f"<p>{para()}</p>",
+                lambda: r.choice([f"<p><strong>{words(2, 8)}{end()}</strong><br>{para()}", f"<p>{para()}<p>{para()}", f"<p><em>{words(2, 5)}</em> {para()} <a href='/{word()}'>{words(1, 3)}</a> {words(2, 5)}{end()}</p>"]),
+                lambda: f"<h2>{words(1, 6)}</h2>",
+                lambda: f"<ul>{''.join(f'<li>{words(3, 14)}{end()}</li>' for _ in range(r.randint(2, 5)))}</ul>",
+                lambda: f"<blockquote><p>{para()}</p></blockquote>",
+                lambda: f"<pre>{words(4, 12)}</pre>",
+                lambda: f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>",
+                lambda: f"<p>{words(1, 3)}{end()}</p>",
+                lambda: f"<figure><figcaption>{words(3, 9)}{end()}</figcaption></figure>",
+                lambda: f"<div>{para()}</div>",
+                lambda: f"<div><p>{para()}</p></div>",
+            ]
+            out.append(r.choices(made, [12, 3, 3, 2, 1, 1, 1, 2, 1, 2, 2])[0]())
+        if r.random() < 0.12:
+            out = ["<div>", *out[:1], "<div>", *out[1:], "</div></div>"]
         if r.random() < 0.25:
             out.insert(r.randint(1, len(out)), f"<div data-side{name('ad', 'advert', 'sponsored', 'ads', 'promo')}>{para()}</div>")
         if r.random() < 0.2:
@@ -276,13 +337,14 @@ def labelled_pages(count: int = 260, seed: int = 3) -> list[str]:
 
     out = []
     for _ in range(count):
-        main = r.choice([f"<article data-main>{body()}</article>", f"<main data-main>{body()}</main>", f"<main><article data-main{name('post', 'entry', 'story')}>{body()}</article></main>", f"<div data-main{name('content', 'article-body', 'post-content', 'entry', 'main', 'story')}>{body()}</div>", f'<div data-main role="main">{body()}</div>', f"<section data-main{name('content', 'article', 'post')}>{body()}</section>", f"<article data-main>{body()}</article>"])
+        inside = body()
+        main = r.choice([f"<article data-main>{inside}</article>", f"<main data-main>{inside}</main>", f"<main><article data-main{name('post', 'entry', 'story')}>{inside}</article></main>", f"<div data-main{name('content', 'article-body', 'post-content', 'entry', 'main', 'story')}>{inside}</div>", f'<div data-main role="main">{inside}</div>', f"<section data-main{name('content', 'article', 'post')}>{inside}</section>", f"<article data-main>{inside}</article>"])
         com = comments()
         com += "</section>" if com.startswith("<section") else "</div>"
-        nav = r.choice([f"<nav><ul>{links(3, 8)}</ul></nav>", f"<div{name('menu', 'navbar', 'nav', 'breadcrumb')}><ul>{links(2, 8)}</ul></div>", f'<ul role="navigation">{links(3, 6)}</ul>', f"<nav>{words(1, 3)} <a href='/'>{word()}</a> {para()}</nav>"])
-        head = r.choice(["", f"<header><h1>{words(1, 3)}</h1>{nav}<p>{words(2, 6)}</p></header>", f"<header><p>{para()}</p></header>", f"<div{name('header', 'masthead', 'banner')}><div>{words(1, 4)}</div></div>"])
+        nav = r.choice([f"<nav><ul>{links(3, 8)}</ul></nav>", f"<div{name('menu', 'navbar', 'nav', 'breadcrumb')}><ul>{links(2, 8)}</ul></div>", f'<ul role="navigation">{links(3, 6)}</ul>', f"<table><tr><td{name('leftnav', 'menu')}><a href=/>{words(1, 2)}</a><br><a href=/x>{words(1, 2)}</a></td></tr></table>", f"<nav>{words(1, 3)} <a href='/'>{word()}</a> {para()}</nav>"])
+        head = r.choice(["", f"<header><h1>{words(1, 3)}</h1>{nav}<p>{words(2, 6)}</p></header>", f"<header><p>{para()}</p></header>", f'<div role="banner">{words(1, 4)}</div>', f"<div{name('logo', 'topbar', 'site-title')}>{words(1, 3)}</div>", f"<div{name('header', 'masthead', 'banner')}><div>{words(1, 4)}</div></div>"])
         before = [x for x, p in ((head, 0.6), (nav, 0.8), (f"<div{name('ad', 'advertisement', 'sponsor')}>{para()}</div>", 0.4), (f"<div{name('cookie-notice', 'consent', 'alert', 'notice')}><p>{para()}</p></div>", 0.25), (f"<form><label>{words(1, 3)}</label><p>{words(2, 7)}</p><input></form>", 0.2), (f'<div style="display:none"><p>{para()}</p></div>', 0.05), (f'<div role="dialog"><p>{para()}</p></div>', 0.05)) if r.random() < p]
-        after = [x for x, p in ((com, 0.35), (f"<aside><h3>{words(1, 3)}</h3><p>{para()}</p><ul>{links(2, 6)}</ul></aside>", 0.3), (f"<div{name('sidebar', 'related', 'widget', 'recommended')}><h3>{words(1, 3)}</h3><p>{para()}</p></div>", 0.3), (f"<div{name('newsletter', 'subscribe', 'popup')}><p>{para()}</p></div>", 0.15), (f"<div{name('ad', 'ads', 'promo')}>{para()}</div>", 0.2), (r.choice([f"<footer>&copy; {word()} &middot; {para()}</footer>", f"<footer><p>{words(3, 9)}</p><ul>{links(2, 5)}</ul></footer>", f"<div{name('footer', 'copyright')}><p>{para()}</p></div>", f"<footer><div><p>{para()}</p></div></footer>"]), 0.9)) if r.random() < p]
+        after = [x for x, p in ((com, 0.35), (f"<aside><h3>{words(1, 3)}</h3><p>{para()}</p><ul>{links(2, 6)}</ul></aside>", 0.3), (f"<div{name('sidebar', 'related', 'widget', 'recommended')}><h3>{words(1, 3)}</h3><p>{para()}</p></div>", 0.3), (f"<section{name('related', 'related-posts', 'recommended', 'more-stories')}><h2>{words(1, 4)}</h2><p>{para()}</p></section>", 0.15), (f'<div role="complementary"><p>{para()}</p></div>', 0.08), (f"<div{name('newsletter', 'subscribe', 'popup')}><p>{para()}</p></div>", 0.15), (f"<div{name('ad', 'ads', 'promo')}>{para()}</div>", 0.2), (r.choice([f"<footer>{r.choice(['&copy; ', '&#169; ', 'Copyright '])}{r.randint(1995, 2026)} {word()}{r.choice(['. All rights reserved.', ' | ', ', ', ' '])}{r.choice(['', para(), words(2, 6)])}</footer>", f"<footer><p>{words(3, 9)}</p><ul>{links(2, 5)}</ul></footer>", f"<div{name('footer', 'copyright')}><p>{para()}</p></div>", f"<footer><div><p>{para()}</p></div></footer>", f'<div role="contentinfo">{words(1, 3)} &middot; {words(1, 3)}</div>', f"<table><tr><td{name('footer', 'legal')}>{words(2, 6)}</td></tr></table>"]), 0.9)) if r.random() < p]
         r.shuffle(before)
         if r.random() < 0.15:
             before, after = before + after[:1], after[1:]

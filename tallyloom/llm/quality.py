@@ -4,7 +4,9 @@ Trained on a bounded sample of labelled documents whose crc32(doc_id) mod 5 is n
 hash of the doc_id); every document's whole text is scored. Only the text is an input of a score.
 
 Null and empty texts have statistics of zero and get the score these lead to. Labels that are null are not learnt from; a
-doc_id labelled twice is learnt from twice. Without any labelled row all scores are 0.5 (the smoothed base rate).
+doc_id labelled twice is learnt from twice. Without any labelled row all scores are 0.5 (the smoothed base rate). Rows
+that repeat a doc_id each get a row. Whole texts are read, however long. Of equally good splits the one on the earlier
+statistic and at the lower value is taken. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -94,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score_documents(docs: DataFrame, model: Trees, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """The columns of docs, then score (0 to 1) and predicted (1 if score >= ACCEPT), or other names. No shuffle."""
+    """The columns of docs (but those that have one of these names), then score (0 to 1) and predicted (1 if score >= ACCEPT), or other names. No shuffle."""
+    docs = docs.drop(*names)
     at = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches):

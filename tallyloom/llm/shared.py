@@ -15,9 +15,12 @@ SLICE_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (local tests), a new folder is set and used."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a new folder is set and used if Spark runs in one
+    process (tests); on a cluster a folder of one machine would lose what executors write, so it must be named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -55,7 +58,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def per_text(column: str, keep: list[str], work: Callable[[str], tuple], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function: the kept columns as they are, then what `work` returns for each text (null: empty)."""
+    """A mapInArrow function: the kept columns in the types of the schema (keys are integers), then what `work` returns for
+    each text (null: empty)."""
     made = [n for n in schema.names if n not in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
 
+import layouts
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,7 +16,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyloom.llm import components, decontam, embedding_join, html_extract, pii, quality, secrets_scan, sentencepiece_codec, sharding, simhash, token_counts
+from tallyloom.llm import components, decontam, embedding_join, html_extract, pii, quality, secrets_scan, sentencepiece_codec, sharding, simhash, token_counts, trees
 from tallyloom.llm.shared import Store
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -203,6 +205,27 @@ def test_rendezvous_law(spark):
     assert 2 < heavy[1] / heavy[0] < 4.5
 
 
+def test_highest_bids_by_brute_force_and_slots_of_no_setting(spark):
+    table = docs(spark, [str(i) for i in range(400)] + [None])
+    weights = [1.0, 2.0, 0.5]
+
+    def best(key):
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        u = [((xxhash.xxh64_intdigest(s.to_bytes(4, "little"), h) >> 11) + 0.5) / 2**53 for s in range(3)]
+        return max(range(3), key=lambda s: (-weights[s] / math.log(u[s]), -s))
+
+    got = sharding.assign(table, weights).collect()
+    assert all(r.shard == best(r.doc_id) for r in got)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    again = sharding.assign(table.repartition(5), weights).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted((r.doc_id, r.shard, r.slot) for r in again)
+    assert sharding.assign(table.limit(0), weights).count() == 0
+    long = sharding.assign(docs(spark, ["é" * 1_000_000]).withColumns({"shard": F.lit(1), "bucket": F.lit(2), "copies": F.lit(3)}), weights).first()
+    assert long.size == 2_000_001 and long.text_crc32 == zlib.crc32(("é" * 1_000_000).encode())
+
+
 # ---- quality
 
 
@@ -223,6 +246,38 @@ def test_quality_on_held_out_rows(spark):
     assert {round(r.score, 3) for r in flat.collect()} == {0.5}
 
 
+def test_trees_by_plain_traversal_and_split_search():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (300, 4)).astype(float)
+    y = ((x[:, 1] > 2) ^ (x[:, 3] > 4)).astype(float)
+    model = trees.boost(x, y, trees=5, depth=3)
+
+    def walk(row):
+        total = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.value):
+            at = 0
+            while at < len(f):
+                at = 2 * at + (2 if row[f[at]] > t[at] else 1)
+            total += v[at - len(f)]
+        return total
+
+    assert np.allclose(model.raw(x), [walk(row) for row in x])
+    p = (y.sum() + 1) / 302
+    g, h = y - p, np.full(300, p * (1 - p))
+    gain = lambda left: sum(g[k].sum() ** 2 / (h[k].sum() + 1) for k in (left, ~left))
+    best = max(((gain(x[:, f] <= t), -f, -t) for f in range(4) for t in np.unique(x[:, f])[:-1]))
+    assert (model.feature[0, 0], model.threshold[0, 0]) == (-best[1], -best[2])
+
+
+def test_scores_of_odd_tables(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    table = docs(spark, ["a b c", None, "x " * 500_000]).withColumns({"score": F.lit("s"), "y": F.lit(1)})
+    model = quality.fit(table, labels)
+    got = quality.score_documents(table.unionByName(table), model)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "y", "score", "predicted"] and got.count() == 6
+    assert quality.score_documents(table.limit(0), model).count() == 0
+
+
 # ---- token counts
 
 
@@ -241,6 +296,8 @@ def test_separator_scan(spark, block, monkeypatch):
 
 def test_unended_tail_counts(spark, tmp_path):
     np.array([1, 2, 9, 9, 3], "<u2").tofile(f"{tmp_path}/f.bin")
+    none = token_counts.count_documents(docs(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+    assert none.count() == 0
     files = spark.createDataFrame([(f"file://{tmp_path}/f.bin", 5)], "file string, n_ids long")
     assert sorted((r.nth, r.start, r.n_tokens) for r in token_counts.scan_files(files, 9).collect()) == [(0, 0, 2), (1, 3, 0), (2, 4, 1)]
 
@@ -278,6 +335,32 @@ def test_main_text_of_unseen_pages(spark):
     assert 4 in got
 
 
+def test_layouts_the_maker_does_not_make():
+    model = html_extract.fit(html_extract.labelled_pages())
+    for name, page, want in layouts.PAGES:
+        assert html_extract.extract(model, [page])[0] == "\n".join(want), name
+
+
+def test_raw_and_muted_elements():
+    text = lambda page: [t for t in html_extract.parse(page).text if t]
+    assert text("<head><title>T</title><p>article") == ["article"]
+    assert text("<p>a<button>b</p><p>c") == ["a b", "c"]  # nowhere closed: taken as empty
+    assert text("<p>a <button>b<svg>c</button> d<p>e <object>f<object>g</object>h</object> i") == ["a d", "e i"]
+    assert text("<script>if (a </b> c) '<p>'</script>x<style>p</style> y") == ["x y"]
+    assert text("<math><mi>x</mi></math>") == ["x"] and text("<script>never closed <p>x") == []
+    assert text("<ul><li>a<ul><li>b<li>c</ul><li>d</ul></section></p>e") == ["a", "b", "c", "d", "e"]
+
+
+def test_deep_and_long_pages_in_proportion(spark):
+    model = html_extract.fit(html_extract.labelled_pages(60))
+    pages = ["<blockquote>" * 50_000 + "x", "<ul><li>" * 20_000 + "x", "<div>" * 20_000 + "</p></section>" * 20_000, "<svg><button>" * 20_000 + "</button>", "<blockquote>" * 20_000 + "<li>a" * 20_000, "<article>" + "<p>word " * 100_000]
+    began = time.time()
+    table = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string").withColumns({"text": F.lit("t"), "n_chars": F.lit(1)})
+    got = html_extract.extract_pages(table, model)
+    assert got.count() == 6 and got.columns == ["page_id", "url", "text", "n_chars"] and time.time() - began < 120
+    assert html_extract.extract_pages(table.limit(0), model).count() == 0
+
+
 # ---- secrets
 
 
