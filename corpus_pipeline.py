@@ -24,10 +24,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; of rows that repeat it, one."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays. Of rows that repeat it with one text,
+    one stays, the same in every run; if their texts differ, each text stays, as no other row has it."""
     groups = simhash.near_duplicates(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*map(_named, docs.columns))
+    found = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
+    # the partial minima leave one row a task of a row that is repeated often
+    one = found.select("doc_id", F.xxhash64("text").alias("__text"), F.struct("*").alias("__row"), F.xxhash64(*map(_named, docs.columns)).alias("__all"))
+    one = one.groupBy("doc_id", "__text").agg(F.min_by("__row", "__all").alias("__row")).select("__row.*")
+    return one.unionByName(docs.where("doc_id IS NULL")).select(*map(_named, docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
