@@ -93,6 +93,10 @@ def group_order() -> list[Column]:
     return [F.abs("total_cents").desc(), F.collate(F.col("label"), "UNICODE").asc(), F.col("group_key").asc()]
 
 
+def gap_order() -> list[Column]:
+    return [F.col("booking_date").asc(), F.col("id").asc()]
+
+
 def reserve_movements(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     named = accounts.where("iban IS NOT NULL").select(H, F.col("iban").alias("counterparty_iban"), "label")
     moved = rows.where("flow = 'RESERVE' AND counterparty_iban IS NOT NULL").withColumn("month", month_of(F.col("booking_date")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import dates, money, text
@@ -316,19 +317,21 @@ def _statement_lines(book: Ledger) -> DataFrame:
     day = F.date_format("booking_date", "dd/MM/yyyy")
     said = F.when(F.length("description") % 3 == 0, F.concat(F.lit('"'), "description", F.lit('"'))).otherwise(F.col("description"))
     cells = (F.substring("import_id", -7, 4), F.substring("id", 2, 12), day, day, F.col("iban"), F.coalesce("counterparty_iban", F.lit("")), F.coalesce("counterparty_name", F.lit("")), said, money.display(F.col("amount_cents")))
-    return book.facts.join(own, [H, "account_id"]).select(H, F.col("account_id").alias("file_id"), "id", F.concat_ws(";", *cells).alias("line"))
+    return book.facts.join(own, [H, "account_id"]).select(H, F.concat_ws("-", "account_id", F.year("booking_date")).alias("file_id"), "id", F.concat_ws(";", *cells).alias("line"))
 
 
 HEADER = "Export;;;;;;;;\r\nAfschrift;Volgnummer;Boekingsdatum;Valutadatum;Rekening;Rekening tegenpartij;Naam tegenpartij;Omschrijving;Bedrag"
 
 
 def statement_files(book: Ledger) -> DataFrame:
-    """(household_id, file_id, content): the lines of each account under a preamble and a header, in the order of ids."""
+    """(household_id, file_id, content): the lines of each account and year under a preamble and a header, in the order of
+    ids; staged, as whoever reads files reads them more than once."""
     body = _statement_lines(book).groupBy(H, "file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda s: s["line"]), "\r\n").alias("body"))
-    return body.select(H, "file_id", F.concat(F.lit(HEADER + "\r\n"), "body", F.lit("\r\n")).cast("binary").alias("content"))
+    return staged(body.select(H, "file_id", F.concat(F.lit(HEADER + "\r\n"), "body", F.lit("\r\n")).cast("binary").alias("content")), "files")
 
 
-_PARSED = "SELECT f.household_id, f.account_id AS file_id, row_number() OVER (PARTITION BY f.household_id, f.account_id ORDER BY f.id) + 2 AS line_no, booking_date, amount_cents, f.description, counterparty_iban, counterparty_name, a.iban AS account_iban, left(right(f.import_id, 7), 4) AS statement_number, substr(f.id, 2, 12) AS sequence_number FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'"
+_FILE = "f.account_id || '-' || CAST(year(f.booking_date) AS VARCHAR)"
+_PARSED = f"SELECT f.household_id, {_FILE} AS file_id, row_number() OVER (PARTITION BY f.household_id, f.account_id, year(f.booking_date) ORDER BY f.id) + 2 AS line_no, booking_date, amount_cents, f.description, counterparty_iban, counterparty_name, a.iban AS account_iban, left(right(f.import_id, 7), 4) AS statement_number, substr(f.id, 2, 12) AS sequence_number FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'"
 
 
 @query("parse_statements", "facts", _PARSED)
@@ -344,14 +347,14 @@ def _with_spec(files: DataFrame) -> DataFrame:
     return files.withColumn("spec", F.from_json(F.lit(json.dumps(spec)), delimited.SPEC))
 
 
-@query("inferred_profiles", "facts", "SELECT DISTINCT f.household_id, f.account_id AS file_id, ';' AS delimiter, 1 AS header_row_index, 'DD/MM/YYYY' AS date_format, 'comma' AS decimal_style, 'signed' AS amount_kind, 8 AS amount_column, 2 AS booking_date, 3 AS value_date, 4 AS account_iban, 7 AS description FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
+@query("inferred_profiles", "facts", f"SELECT DISTINCT f.household_id, {_FILE} AS file_id, ';' AS delimiter, 1 AS header_row_index, 'DD/MM/YYYY' AS date_format, 'comma' AS decimal_style, 'signed' AS amount_kind, 8 AS amount_column, 2 AS booking_date, 3 AS value_date, 4 AS account_iban, 7 AS description FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
 def inferred_profiles(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("spec")
     c = s["columns"]
     return profile.infer(statement_files(Ledger(spark, d))).select(H, "file_id", s["delimiter"].alias("delimiter"), s["header_row_index"].alias("header_row_index"), s["date_format"].alias("date_format"), s["decimal_style"].alias("decimal_style"), s["amount"]["kind"].alias("amount_kind"), s["amount"]["column"].alias("amount_column"), c["booking_date"].alias("booking_date"), c["value_date"].alias("value_date"), c["account_iban"].alias("account_iban"), c["description"].alias("description"))
 
 
-@query("own_ibans", "facts", "SELECT DISTINCT f.household_id, f.account_id AS file_id, a.iban AS account_ibans FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
+@query("own_ibans", "facts", f"SELECT DISTINCT f.household_id, {_FILE} AS file_id, a.iban AS account_ibans FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
 def own_ibans(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = delimited.statements(_with_spec(statement_files(Ledger(spark, d))))
     return delimited.own_ibans(rows).select(H, "file_id", F.array_join("account_ibans", ",").alias("account_ibans"))
@@ -395,11 +398,10 @@ def amount_display(spark: SparkSession, d: str) -> DataFrame:
     return Ledger(spark, d).facts.select("id", money.display(F.col("amount_cents")).alias("shown"))
 
 
-@query("date_parsing", "facts", "SELECT id, booking_date AS a, booking_date AS b, CASE WHEN year(booking_date) >= 2000 THEN booking_date ELSE booking_date + INTERVAL 100 YEAR END::DATE AS c, NULL::DATE AS bad FROM facts WHERE strftime(booking_date, '%m-%d') <> '02-29'")
+@query("date_parsing", "facts", "SELECT id, booking_date AS a, booking_date AS b, CASE WHEN year(booking_date) >= 2000 THEN booking_date ELSE booking_date + INTERVAL 100 YEAR END::DATE AS c, NULL::DATE AS bad FROM facts")
 def date_parsing(spark: SparkSession, d: str) -> DataFrame:
     day = F.col("booking_date")
-    rows = Ledger(spark, d).facts.where(F.date_format(day, "MM-dd") != "02-29")
-    return rows.select("id", dates.parse_date(F.date_format(day, "dd/MM/yyyy"), "DD/MM/YYYY").alias("a"), dates.parse_date(F.concat(F.lit(" "), day.cast("string")), "YYYY-MM-DD").alias("b"), dates.parse_date(F.date_format(day, "dd.MM.yy"), "DD.MM.YY").alias("c"), dates.parse_date(F.date_format(day, "d/M/y"), "YYYY-MM-DD").alias("bad"))
+    return Ledger(spark, d).facts.select("id", dates.parse_date(F.date_format(day, "dd/MM/yyyy"), "DD/MM/YYYY").alias("a"), dates.parse_date(F.concat(F.lit(" "), day.cast("string")), "YYYY-MM-DD").alias("b"), dates.parse_date(F.date_format(day, "dd.MM.yy"), "DD.MM.YY").alias("c"), dates.parse_date(F.date_format(day, "d/M/y"), "YYYY-MM-DD").alias("bad"))
 
 
 @query("months", "facts", "SELECT DISTINCT strftime(booking_date, '%Y-%m') AS month, strftime(date_trunc('month', booking_date) - INTERVAL 1 MONTH, '%Y-%m') AS previous, day(last_day(booking_date)) AS days, CASE WHEN strftime(booking_date, '%Y-%m') <= '1998-06' THEN strftime(booking_date, '%Y-%m') ELSE '1998-06' END AS asked FROM facts")
@@ -428,11 +430,11 @@ def refund_keys(spark: SparkSession, d: str) -> DataFrame:
     return ledger.pot_facts(book.facts, book.accounts).select(H, "id", text.refund_key(F.col("counterparty_iban"), F.col("counterparty_name"), F.col("description")).alias("refund_key"))
 
 
-@query("masked_cards", "facts", "SELECT id, 'KAART NR **** ' || right(substr(id, 2, 12), 4) AS masked FROM facts WHERE id LIKE 'T%'")
+@query("masked_cards", "facts", "SELECT id, 'KAART NR **** ' || right(lpad(CAST(abs(amount_cents) AS VARCHAR), 12, '0'), 4) AS masked FROM facts")
 def masked_cards(spark: SparkSession, d: str) -> DataFrame:
-    n = F.substring("id", 2, 12)
+    n = F.lpad(F.abs("amount_cents").cast("string"), 12, "0")
     number = F.concat_ws(" ", F.lit("KAART NR 6703"), F.substring(n, 1, 4), F.substring(n, 5, 4), F.substring(n, 9, 4))
-    return Ledger(spark, d).facts.where("id LIKE 'T%'").select("id", text.masked_cards(number).alias("masked"))
+    return Ledger(spark, d).facts.select("id", text.masked_cards(number).alias("masked"))
 
 
 @query("foreign_ibans", "flows", "SELECT f.household_id, f.id, CASE WHEN f.counterparty_iban <> f.own_iban THEN f.counterparty_iban END AS found FROM potf f")
@@ -448,26 +450,132 @@ def file_routing(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", delimited.is_positioned(content).alias("positioned"), (F.octet_length(content) == 0).alias("is_empty"), delimited.encoding_of(content).alias("encoding"))
 
 
-@query("document_lines", None, "SELECT doc_id, CAST(len(string_split(rtrim(text, chr(10)), chr(10))) AS BIGINT) AS n_lines FROM documents WHERE rtrim(coalesce(text, ''), chr(10)) <> '' AND NOT contains(text, chr(13))")
+@query("document_lines", None, r"SELECT doc_id, CAST(len(string_split(kept, chr(10))) AS BIGINT) AS n_lines FROM (SELECT doc_id, regexp_replace(text, '(\r?\n|\r$)+$', '') AS kept FROM documents) WHERE kept <> ''")
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("NOT contains(text, chr(13))").select(F.lit("H").alias(H), F.col("doc_id").cast("string").alias("file_id"), "text")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.lit("H").alias(H), F.col("doc_id").cast("string").alias("file_id"), "text")
     return delimited.lines(docs).groupBy(F.col("file_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("local_days", None)
+#: Summer time of the zone: from the last Sunday of March to that of October, 01:00 UTC.
+_LOCAL = """SELECT CAST(ts + CASE WHEN ts >= march + INTERVAL 1 HOUR AND ts < october + INTERVAL 1 HOUR THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS DATE) AS day, count(*) AS n_events FROM (
+ SELECT CAST(ts AS TIMESTAMP) AS ts, make_date(year(ts), 3, 31) - CAST(dayofweek(make_date(year(ts), 3, 31)) AS INT) AS march, make_date(year(ts), 10, 31) - CAST(dayofweek(make_date(year(ts), 10, 31)) AS INT) AS october FROM events) GROUP BY 1"""
+
+
+@query("local_days", None, _LOCAL)
 def local_days(spark: SparkSession, d: str) -> DataFrame:
-    """Events per local day of a zone with summer time (DuckDB has no zones without an extension; see the tests)."""
+    """Events per local day of a zone with summer time."""
     return spark.read.parquet(f"{d}/events.parquet").groupBy(dates.local_day(F.col("ts")).alias("day")).agg(F.count(F.lit(1)).alias("n_events"))
 
 
+# ---- orders of presentation, as the place of each row
+
+
+def _placed(df: DataFrame, by: list[str], order: list, name: str = "place") -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
+@query("group_places", "fold", "SELECT household_id, month, group_key, row_number() OVER (PARTITION BY household_id, month ORDER BY abs(total_cents) DESC, label, group_key) AS place FROM fold WHERE flow = 'SPEND'")
+def group_places(spark: SparkSession, d: str) -> DataFrame:
+    groups = month.folded(_counted(spark, d, "SPEND"), use_tags=True)
+    return _placed(groups, [H, "month"], month.group_order()).select(H, "month", "group_key", "place")
+
+
+@query("review_places", "merch", f"SELECT household_id, flow, group_key, row_number() OVER (PARTITION BY household_id, flow ORDER BY abs(total_cents) DESC, label, group_key) AS place FROM ({_REVIEW})")
+def review_places(spark: SparkSession, d: str) -> DataFrame:
+    book, found = _interpreted(spark, d, rules=True)
+    return _placed(merchants.review(found.rows, book.merchants), [H, "flow"], merchants.review_order()).select(H, "flow", "group_key", "place")
+
+
+@query("gap_places", "interp", "SELECT household_id, month, id, row_number() OVER (PARTITION BY household_id, month ORDER BY booking_date, id) AS place FROM interp WHERE flow IS NULL OR flow = 'UNRESOLVED' OR (flow = 'INTERNAL' AND (NOT matched OR in_transit))")
+def gap_places(spark: SparkSession, d: str) -> DataFrame:
+    book, found = _interpreted(spark, d)
+    return _placed(month.gap_rows(found.rows, found.links, book.accounts), [H, "month"], month.gap_order()).select(H, "month", "id", "place")
+
+
+@query("pair_places", "pairs", "SELECT household_id, out_id, in_id, row_number() OVER (PARTITION BY household_id ORDER BY out_id, in_id) AS place FROM pairs")
+def pair_places(spark: SparkSession, d: str) -> DataFrame:
+    return _placed(transfer_pairs(spark, d), [H], ["out_id", "in_id"])
+
+
+@query("declaration_places", "facts", "SELECT household_id, 'merchant' AS kind, id, row_number() OVER (PARTITION BY household_id ORDER BY name, id) AS place FROM merchants UNION ALL SELECT household_id, 'rule', id, row_number() OVER (PARTITION BY household_id ORDER BY id) FROM rules UNION ALL SELECT household_id, 'tag', id, row_number() OVER (PARTITION BY household_id ORDER BY name, id) FROM tags UNION ALL SELECT household_id, 'import', import_id, row_number() OVER (PARTITION BY household_id ORDER BY since DESC, import_id) FROM (SELECT household_id, import_id, min(booking_date) AS since FROM facts GROUP BY 1, 2)")
+def declaration_places(spark: SparkSession, d: str) -> DataFrame:
+    book = Ledger(spark, d)
+    imports = book.facts.groupBy(H, F.col("import_id").alias("id")).agg(F.min("booking_date").alias("since"))
+    lists = {"merchant": (book.merchants, ["name", "id"]), "rule": (book.rules.drop("kind"), ["id"]), "tag": (book.tags, ["name", "id"]), "import": (imports, [F.desc("since"), "id"])}
+    placed = [_placed(df, [H], order).select(H, F.lit(kind).alias("kind"), "id", "place") for kind, (df, order) in lists.items()]
+    return reduce(DataFrame.unionByName, placed)
+
+
+@query("households_with_facts", "facts", "SELECT DISTINCT household_id, household_id IN (SELECT household_id FROM facts) AS has_facts FROM acct")
+def households_with_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The probe whether there is any fact: a semi join finds one of each household."""
+    book = Ledger(spark, d)
+    some = book.facts.select(H).distinct().withColumn("_some", F.lit(True))
+    return book.accounts.select(H).distinct().join(some, H, "left").select(H, F.coalesce("_some", F.lit(False)).alias("has_facts"))
+
+
+# ---- uploads: recognition, accounts, layouts, in several forms of file
+
+_UPLOAD = """up AS (SELECT household_id, 'U' || id AS file_id, id, k % 5 AS form, booking_date, amount_cents, iban FROM (SELECT f.household_id, f.id, f.booking_date, f.amount_cents, a.iban, a.k FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT' WHERE f.id LIKE 'T%'))"""
+
+
+def _uploads(book: Ledger) -> DataFrame:
+    """A small file for each fact of a current account, in five forms: signed with a statement number, with an indicator,
+    with two amount columns, the first in an old encoding, and one that names two own accounts."""
+    own = book.accounts.where("iban IS NOT NULL AND role = 'POT'").select(H, F.col("id").alias("account_id"), "iban", (F.col("k") % 5).alias("form"))
+    facts = book.facts.where("id LIKE 'T%'").join(own, [H, "account_id"])
+    day = lambda form: F.date_format("booking_date", form)
+    cents, shown = F.col("amount_cents"), money.display(F.abs("amount_cents"))
+    plain = F.format_string("%d.%02d", F.expr("abs(amount_cents) div 100"), F.abs("amount_cents") % 100)
+    head = "Afschrift;Volgnummer;Datum;Rekening;Naam;Omschrijving;Bedrag"
+    signed = lambda iban: F.concat_ws(";", F.lit("1"), F.lit("7"), day("dd/MM/yyyy"), iban, F.lit("Zo\u00eb"), F.lit("CAF\u00c9"), money.display(cents))
+    one = F.concat_ws("\n", F.lit("Export"), F.lit(head), signed(F.col("iban")))
+    marked = F.concat_ws("\n", F.lit("Kaart"), F.lit("Datum;Omschrijving;Bedrag;DC"), F.concat_ws(";", day("dd.MM.yy"), F.lit("SHOP"), shown, F.when(cents < 0, "D").otherwise("C")), F.concat_ws(";", day("dd.MM.yy"), F.lit("FEE"), F.lit("1,00"), F.lit("D")))
+    pair = F.concat_ws("\n", F.lit("Date,Details,Debit,Credit,Account"), F.concat_ws(",", day("yyyy-MM-dd"), F.lit("food"), F.when(cents < 0, plain).otherwise(""), F.when(cents < 0, "").otherwise(plain), F.col("iban")), F.concat_ws(",", day("yyyy-MM-dd"), F.lit("fee"), F.lit("1.00"), F.lit(""), F.col("iban")))
+    mixed = F.concat_ws("\n", one, signed(F.lit("BE00000000000000")))
+    text = F.when(F.col("form") == 1, marked.cast("binary")).when(F.col("form") == 2, pair.cast("binary")).when(F.col("form") == 3, F.encode(one, "iso-8859-1")).when(F.col("form") == 4, mixed.cast("binary")).otherwise(one.cast("binary"))
+    return staged(facts.select(H, F.concat(F.lit("U"), "id").alias("file_id"), text.alias("content")), "uploads")
+
+
+@query("upload_profiles", "facts", f", {_UPLOAD} SELECT household_id, file_id, CASE WHEN form = 2 THEN ',' ELSE ';' END AS delimiter, CASE WHEN form = 3 THEN 'windows-1252' ELSE 'utf-8' END AS encoding, CASE form WHEN 1 THEN 'DD.MM.YY' WHEN 2 THEN 'YYYY-MM-DD' ELSE 'DD/MM/YYYY' END AS date_format, CASE form WHEN 1 THEN 'indicator' WHEN 2 THEN 'debitCredit' ELSE 'signed' END AS amount_kind, CASE WHEN form = 2 THEN 0 ELSE 1 END AS header_row_index FROM up")
+def upload_profiles(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("spec")
+    return profile.infer(_uploads(Ledger(spark, d))).select(H, "file_id", s["delimiter"].alias("delimiter"), s["encoding"].alias("encoding"), s["date_format"].alias("date_format"), s["amount"]["kind"].alias("amount_kind"), s["header_row_index"].alias("header_row_index"))
+
+
+@query("uploads", "facts", f", {_UPLOAD} SELECT household_id, file_id, CASE WHEN form = 4 THEN 'mixed-accounts' END AS reason, CASE WHEN form <> 4 THEN 'P' || CAST(CASE WHEN form = 3 THEN 3 ELSE form END AS VARCHAR) END AS profile_id, CASE WHEN form = 4 THEN NULL WHEN form = 1 THEN 'CARD' ELSE 'A-' || iban END AS account_id, CASE WHEN form = 4 THEN 0 WHEN form IN (1, 2) THEN 2 ELSE 1 END AS n_rows, CASE WHEN form = 4 THEN 0 WHEN form IN (1, 2) THEN amount_cents - 100 ELSE amount_cents END AS cents FROM up")
+def uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Files as users send them: profile inferred and recognised, rows parsed, account resolved, mixed files failed."""
+    book = Ledger(spark, d)
+    files = _uploads(book)
+    found = staged(profile.infer(files).where("reason IS NULL").drop("reason"), "specs")
+    form = F.when(F.col("spec.amount.kind") == "indicator", 1).when(F.col("spec.amount.kind") == "debitCredit", 2).when(F.col("spec.encoding") == "windows-1252", 3).otherwise(0)
+    stored = found.groupBy(H, "spec").agg(F.min("file_id").alias("_first")).select(H, "spec", F.concat(F.lit("P"), form).alias("id"), F.when(form == 1, "CARD").alias("account_id"), F.lit(1).alias("created_at"))
+    accounts = book.accounts.where("iban IS NOT NULL AND role = 'POT'").select(H, F.concat(F.lit("A-"), "iban").alias("id"), "iban")
+    return ingest.uploaded(files, found, stored, accounts)
+
+
+@query("stale_layouts", "facts", "SELECT DISTINCT f.household_id, f.account_id AS file_id FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id WHERE CAST(right(f.household_id, 3) AS INT) % 3 = 1")
+def stale_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Files of households that stored the layout in another version, in this one, or not at all."""
+    book = Ledger(spark, d)
+    files = book.facts.select(H, F.col("account_id").alias("file_id")).distinct()
+    found = files.withColumns({"template_id": F.lit(positioned.LAYOUT), "template_version": F.lit(positioned.VERSION)})
+    kind = F.substring(H, -3, 3).cast("int") % 3
+    stored = files.select(H).distinct().where(kind < 2).select(H, F.lit(positioned.LAYOUT).alias("template_id"), (F.lit(positioned.VERSION) + kind).alias("template_version"))
+    return positioned.stale(found, stored).select(H, "file_id")
+
+
+STATEMENT_ROWS = 9_999
+
+
 def statement_items(book: Ledger) -> DataFrame:
-    """Positioned text of one statement per current account, 20 transactions to a page, as runs of words."""
+    """Positioned text of statements, 20 transactions to a page, as runs of words: one statement for each current account,
+    year and STATEMENT_ROWS transactions, as a layout numbers them with four digits."""
     own = book.accounts.where("iban IS NOT NULL AND role = 'POT'").select(H, F.col("id").alias("account_id"), "iban")
-    rows = book.facts.join(own, [H, "account_id"]).withColumn("file_id", F.col("account_id"))
-    from pyspark.sql import Window
-
-    by = Window.partitionBy(H, "file_id").orderBy("booking_date", "id")
-    rows = rows.withColumn("n", F.row_number().over(by))
+    by = Window.partitionBy(H, "account_id", F.year("booking_date")).orderBy("booking_date", "id")
+    rows = book.facts.join(own, [H, "account_id"]).withColumn("n", F.row_number().over(by) - 1)
+    rows = rows.withColumn("file_id", F.concat_ws("-", "account_id", F.year("booking_date"), F.floor(F.col("n") / STATEMENT_ROWS))).withColumn("n", F.col("n") % STATEMENT_ROWS + 1)
     signed = F.concat(F.when(F.col("amount_cents") < 0, "-").otherwise("+"), F.lit(" "), F.regexp_replace(money.display(F.col("amount_cents")), "^-", ""))
     day = F.date_format("booking_date", "dd-MM-yyyy")
     page, top = F.floor((F.col("n") - 1) / 20).cast("int"), 700.0 - ((F.col("n") - 1) % 20) * 30
@@ -484,7 +592,10 @@ def statement_items(book: Ledger) -> DataFrame:
     return items.unionByName(heads).unionByName(ends).unionByName(last)
 
 
-@query("positioned_statements", "facts", "SELECT f.household_id, f.account_id AS file_id, row_number() OVER (PARTITION BY f.household_id, f.account_id ORDER BY booking_date, f.id) AS line_no, booking_date, amount_cents, coalesce(counterparty_iban, 'geen') || ' ' || description AS description, CASE WHEN counterparty_iban <> a.iban THEN counterparty_iban END AS counterparty_iban, a.iban AS account_iban FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
+_NUMBERED = "(row_number() OVER (PARTITION BY f.household_id, f.account_id, year(f.booking_date) ORDER BY booking_date, f.id) - 1)"
+
+
+@query("positioned_statements", "facts", f"SELECT f.household_id, {_FILE} || '-' || CAST({_NUMBERED} // {STATEMENT_ROWS} AS VARCHAR) AS file_id, {_NUMBERED} % {STATEMENT_ROWS} + 1 AS line_no, booking_date, amount_cents, coalesce(counterparty_iban, 'geen') || ' ' || description AS description, CASE WHEN counterparty_iban <> a.iban THEN counterparty_iban END AS counterparty_iban, a.iban AS account_iban FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
 def positioned_statements(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = positioned.statements(positioned.lines(statement_items(Ledger(spark, d))))
     return rows.select(H, "file_id", "line_no", "booking_date", "amount_cents", "description", "counterparty_iban", "account_iban")

@@ -48,10 +48,10 @@ def decoded(files: DataFrame) -> DataFrame:
 
 def lines(files: DataFrame) -> DataFrame:
     """One row per physical line, without the carriage return; empty lines at the end are none."""
-    each = files.select(*[c for c in files.columns if c not in ("content", "text")], F.posexplode(F.split("text", "\n", -1)).alias("index", "line"))
-    each = each.withColumn("line", F.regexp_replace("line", "\r$", ""))
-    last = files.select("household_id", "file_id", (F.size(F.split(F.regexp_replace("text", r"(?:\r?\n|\r$)+\z", ""), "\n", -1))).alias("n_lines"))
-    return each.join(last, ["household_id", "file_id"]).where((F.col("index") < F.col("n_lines")) & ~((F.col("n_lines") == 1) & (F.col("line") == ""))).drop("n_lines")
+    kept = F.regexp_replace("text", r"(?:\r?\n|\r$)+\z", "")
+    n = F.when(kept == "", 0).otherwise(F.regexp_count(kept, F.lit("\n")) + 1)
+    each = files.select(*[c for c in files.columns if c not in ("content", "text")], F.posexplode(F.slice(F.split("text", "\n", -1), F.lit(1), n)).alias("index", "line"))
+    return each.withColumn("line", F.regexp_replace("line", "\r$", ""))
 
 
 def fields(line: Column, delimiter: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.dedup import ingest_report, new_rows, with_keys
+from tallyloom.sources.delimited import statements
+from tallyloom.sources.profile import recognised
 
 H = "household_id"
 
@@ -18,6 +20,21 @@ def resolve_accounts(files: DataFrame, accounts: DataFrame) -> DataFrame:
     return joined.select(*files.columns, F.when(F.col("account_iban").isNotNull(), F.col("by_iban")).otherwise(F.col("bound_account")).alias("account_id"))
 
 
+def uploaded(files: DataFrame, specs: DataFrame, stored: DataFrame, accounts: DataFrame) -> DataFrame:
+    """What becomes of each file: (household_id, file_id, reason, profile_id, account_id, n_rows, cents).
+
+    specs: the inferred profile of each file; stored: the profiles that are known (id, account_id, created_at, spec). A file
+    is recognised by its profile, parsed whole or not at all, and its account is the one that it names, else its profile's.
+    """
+    rows, bad = statements(files.join(specs, [H, "file_id"]))
+    whole = rows.groupBy(H, "file_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amount_cents").alias("cents"), F.min("account_iban").alias("account_iban"))
+    known = recognised(specs, stored).select(H, "file_id", "profile_id", "bound_account")
+    placed = resolve_accounts(whole.join(known, [H, "file_id"]), accounts)
+    out = files.select(H, "file_id").join(bad.select(H, "file_id", "reason"), [H, "file_id"], "left").join(placed, [H, "file_id"], "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(H, "file_id", "reason", "profile_id", "account_id", count("n_rows"), count("cents"))
+
+
 def import_states(events: DataFrame) -> DataFrame:
     """Latest state of each import from a log (household_id, import_id, at, status) in which later rows win, as far as the
     state before allows the step; FAILED and INTERPRETED files are not ingested again."""

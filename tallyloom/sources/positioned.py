@@ -50,12 +50,12 @@ def lines(items: DataFrame) -> DataFrame:
     """(.., page, line_no, text, x): runs whose baseline is within the tolerance of the line's first run, left to right.
 
     A line begins at the run that lies too far from the first run of the line before, not from its neighbour, so the
-    grouping is a walk; one file is one group, walked page by page.
+    grouping is a walk; one page is one group, however long the file.
     """
 
-    def walk(key: tuple, file: pd.DataFrame) -> pd.DataFrame:
-        file = file[file["text"].str.strip() != ""].sort_values(["page", "y", "x"], ascending=[True, False, True], kind="stable")
-        return pd.DataFrame([(*key, int(page), *line) for page, runs in file.groupby("page", sort=True) for line in on_page(runs)], columns=[*H, "page", "line_no", "text", "x"])
+    def walk(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
+        page = page[page["text"].str.strip() != ""].sort_values(["y", "x"], ascending=[False, True], kind="stable")
+        return pd.DataFrame([(*key, *line) for line in on_page(page)], columns=[*H, "page", "line_no", "text", "x"])
 
     def on_page(page: pd.DataFrame) -> list[tuple]:
         groups: list[list] = []
@@ -76,7 +76,7 @@ def lines(items: DataFrame) -> DataFrame:
                 out.append((len(out), text, g[0][0]))
         return out
 
-    return items.where("text IS NOT NULL").groupBy(*H).applyInPandas(walk, "household_id string, file_id string, page int, line_no int, text string, x double")
+    return items.where("text IS NOT NULL").groupBy(*H, "page").applyInPandas(walk, "household_id string, file_id string, page int, line_no int, text string, x double")
 
 
 def layouts(found: DataFrame) -> DataFrame:
@@ -85,8 +85,21 @@ def layouts(found: DataFrame) -> DataFrame:
     return marks.select(*H, F.when(F.col("a") & F.col("b"), LAYOUT).alias("template_id"), F.when(F.col("a") & F.col("b"), VERSION).alias("template_version"))
 
 
-def statements(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the files that parse whole and whose balances agree, and the others with a reason. found: `lines`."""
+def stale(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Of files with a layout, those whose household stored that layout in another version only (household_id, template_id,
+    template_version): they are not parsed by a layout that the user never declared."""
+    same = stored.select("household_id", "template_id", "template_version").distinct().withColumn("_same", F.lit(True))
+    other = stored.select("household_id", "template_id").distinct()
+    known = found.where("template_id IS NOT NULL").join(other, ["household_id", "template_id"], "left_semi")
+    return known.join(same, ["household_id", "template_id", "template_version"], "left").where("_same IS NULL").select(*found.columns)
+
+
+def statements(found: DataFrame, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that parse whole and whose balances agree, and the others with a reason. found: `lines`.
+
+    asked (household_id, file_id, template_id, template_version), if given, is the layout that each file's profile names: a
+    file without one, with an unknown one or with another version than the one registered fails.
+    """
     page = Window.partitionBy(*H, "page")
     marked = found.withColumn("marker", F.min(F.when(F.col("text").rlike(PAGE_MARKER), F.col("line_no"))).over(page))
     lost = marked.where("marker IS NULL").groupBy(*H).agg(F.min("page").alias("page")).select(*H, F.struct("page", F.lit(-1).alias("line_no"), F.lit("page-marker").alias("reason")).alias("e"))
@@ -117,9 +130,15 @@ def statements(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = found.select(*H).distinct()
     for other in (sums, own, balances, layouts(found), lost.withColumnRenamed("e", "lost"), stray.withColumnRenamed("e", "stray")):
         state = state.join(other, H, "left")
+    if asked is None:
+        gate = F.lit(None).cast("string")
+    else:
+        state = state.join(asked.select(*H, F.col("template_id").alias("_id"), F.col("template_version").alias("_version")), H, "left")
+        gate = F.when(F.coalesce(F.col("_id"), F.lit("")) != LAYOUT, "unknown-template").when(F.coalesce(F.col("_version"), F.lit(-1)) != VERSION, "template-version")
     first = F.least(F.col("lost"), F.col("stray"))  # the earlier of the two; null only if there is neither
     reason = (
-        F.when(F.col("template_id").isNull(), "layout-unsupported")
+        F.when(gate.isNotNull(), gate)
+        .when(F.col("template_id").isNull(), "layout-unsupported")
         .when(first.isNotNull(), first["reason"])
         .when(F.col("broken"), "sequence-order")
         .when(F.col("account_ibans").isNull(), "no-account-iban")

@@ -7,14 +7,18 @@ lines. Profiles are compared as canonical JSON.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyloom.functions.dates import FORMATS, parse_date
 from tallyloom.functions.money import parse_cents, trimmed
 from tallyloom.sources.delimited import SPEC, decoded, encoding_of, fields, lines
+from tallyloom.staging import staged
 
 #: Shapes of cells, pairs of debit and credit marks, words of headers.
 IBAN = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}$"
@@ -41,9 +45,9 @@ def shapes(files: DataFrame) -> DataFrame:
     return found.select(*H, "encoding", "delimiter", "first_data", reason.alias("reason"))
 
 
-def column_statistics(files: DataFrame) -> DataFrame:
+def column_statistics(files: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """Per file and column: header, how many values there are, and how many of them have each shape."""
-    shape = shapes(files)
+    shape = shapes(files) if shape is None else shape
     split = lines(decoded(files)).join(shape.where("reason IS NULL"), H).where("index >= first_data - 1")
     cells = split.select(*H, "index", "first_data", F.posexplode(fields(F.col("line"), F.col("delimiter"))).alias("column", "raw")).withColumn("v", trimmed(F.col("raw")))
     head, value = F.col("index") == F.col("first_data") - 1, F.col("v")
@@ -70,19 +74,19 @@ def column_statistics(files: DataFrame) -> DataFrame:
     return cells.groupBy(*H, "column").agg(*(c.alias(n) for n, c in aggs.items()))
 
 
-def both_filled(files: DataFrame) -> DataFrame:
+def both_filled(files: DataFrame, shape: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Per file the pairs of columns that some data line fills both, among columns of amounts in either style."""
-    amounts = column_statistics(files).where("n > 0 AND n IN (amount_comma, amount_dot)").select(*H, "column")
-    shape = shapes(files).where("reason IS NULL")
+    shape = (shapes(files) if shape is None else shape).where("reason IS NULL")
+    stats = column_statistics(files, shape) if stats is None else stats
+    amounts = stats.where("n > 0 AND n IN (amount_comma, amount_dot)").select(*H, "column")
     split = lines(decoded(files)).join(shape, H).where("index >= first_data")
     cells = split.select(*H, "index", F.posexplode(fields(F.col("line"), F.col("delimiter"))).alias("column", "raw")).where(trimmed(F.col("raw")) != "").join(amounts, [*H, "column"], "left_semi")
     lined = cells.groupBy(*H, "index").agg(F.array_sort(F.collect_set("column")).alias("filled")).where("size(filled) > 1")
     return lined.groupBy(*H).agg(F.collect_set("filled").alias("together"))
 
 
-def _decide(stats: pd.DataFrame) -> tuple[dict | None, str | None]:
-    """The profile from the statistics of one file's columns, or why there is none."""
-    s = stats.sort_values("column").to_dict("records")
+def _decide(s: list[dict]) -> tuple[dict | None, str | None]:
+    """The profile from the statistics of one file's columns, in their order, or why there is none."""
     shape = s[0]
     by, width = {int(r["column"]): r for r in s}, int(max(r["column"] for r in s)) + 1
     cols = [by.get(c) or dict.fromkeys(shape, 0) | {"header": ""} for c in range(width)]
@@ -149,17 +153,24 @@ def _decide(stats: pd.DataFrame) -> tuple[dict | None, str | None]:
 
 def infer(files: DataFrame) -> DataFrame:
     """Per file: spec (struct SPEC) or reason."""
-    shape = shapes(files)
-    stats = column_statistics(files).join(shape.drop("reason"), H).join(both_filled(files), H, "left")
+    # both are small next to the files and read several times
+    shape = staged(shapes(files), "shapes")
+    counted = staged(column_statistics(files, shape), "columns")
+    stats = counted.join(shape.drop("reason"), H).join(both_filled(files, shape, counted), H, "left")
     keys = {"amount": ("kind", "column", "debit_column", "credit_column", "indicator_column", "debit_value", "credit_value"), "columns": ("booking_date", "description", "value_date", "counterparty_name", "counterparty_iban", "account_iban", "reference", "statement_number", "sequence_number")}
 
-    def decide(key, group: pd.DataFrame) -> pd.DataFrame:
-        spec, reason = _decide(group)
-        if spec:
-            spec |= {k: {n: spec[k].get(n) for n in names} for k, names in keys.items()}
-        return pd.DataFrame({"household_id": [key[0]], "file_id": [key[1]], "spec": [spec], "reason": [reason]})
-
-    decided = stats.groupBy(*H).applyInPandas(decide, f"household_id string, file_id string, spec {SPEC}, reason string")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_decide(s) for s in b.column("columns").to_pylist()]
+            for spec, _ in found:
+                if spec:
+                    spec |= {k: {n: spec[k].get(n) for n in names} for k, names in keys.items()}
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([s for s, _ in found], spec_type), pa.array([r for _, r in found], pa.string())], names=[*H, "spec", "reason"])
+
+    # a row per file with the statistics of its columns, never its lines
+    each = stats.groupBy(*H).agg(F.array_sort(F.collect_list(F.struct("column", *(c for c in stats.columns if c not in (*H, "column"))))).alias("columns"))
+    spec_type = to_arrow_type(T.StructType.fromDDL(f"spec {SPEC}")["spec"].dataType)
+    decided = each.mapInArrow(decide, f"household_id string, file_id string, spec {SPEC}, reason string")
     return decided.unionByName(shape.where("reason IS NOT NULL").select(*H, F.lit(None).cast(SPEC).alias("spec"), "reason"))
 
 
