@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import counterparty_text, glob_to_regex, normalise_counterparty
+from tallyloom.staging import staged
 
 H = "household_id"
 TIERS = ("EXACT", "PREFIX", "PATTERN")
@@ -14,9 +15,10 @@ TIERS = ("EXACT", "PREFIX", "PATTERN")
 def match_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """(household_id, text, merchant_id, rule_id) for distinct normalised texts that a rule takes.
 
-    Exact rules are an equi-join. A prefix rule joins by its first character and its length's prefix, so it is an
-    equi-join too; only globs compare all texts of a household with all its globs. Longest pattern, smallest pattern,
-    smallest id win inside a tier; an exact rule beats a prefix, a prefix a glob. Empty texts and patterns match nothing.
+    Exact rules are an equi-join, prefix rules one by the texts' beginnings of the lengths that rules have, globs one by
+    the longer of the literal ends of the glob. Only globs that begin and end with a star meet all texts of a household.
+    Longest pattern, smallest pattern, smallest id win inside a tier; an exact rule beats a prefix, a prefix a glob. Empty
+    texts and patterns match nothing.
     """
     keys = keys.where("text <> ''").select(H, "text").distinct()
     rules = rules.where("pattern <> ''").select(H, F.col("id").alias("rule_id"), "merchant_id", "kind", "pattern")
@@ -26,7 +28,14 @@ def match_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
     cut = keys.join(sizes, H).withColumn("size", F.explode("sizes")).where(F.length("text") >= F.col("size")).withColumn("pattern", F.expr("left(text, size)")).drop("sizes")
     prefix = cut.join(prefixes, [H, "size", "pattern"])
     globs = rules.where("kind = 'PATTERN'").withColumn("shape", glob_to_regex(F.col("pattern")))
-    glob = keys.join(globs, H).where(F.expr("text rlike shape"))
+    head, tail = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
+    ends = F.when(F.length(head) >= F.length(tail), F.struct(F.lit("head").alias("side"), head.alias("part"))).otherwise(F.struct(F.lit("tail").alias("side"), tail.alias("part")))
+    globs = globs.withColumn("end", ends).select("*", "end.side", "end.part", F.length("end.part").alias("size")).drop("end")
+    narrow = globs.where("size > 0")
+    asked = narrow.groupBy(H).agg(F.collect_set(F.struct("side", "size")).alias("asked"))
+    cut = keys.join(asked, H).select(H, "text", F.explode("asked").alias("a")).select(H, "text", "a.side", "a.size").where("length(text) >= size")
+    cut = cut.withColumn("part", F.expr("CASE WHEN side = 'head' THEN left(text, size) ELSE right(text, size) END"))
+    glob = cut.join(narrow, [H, "side", "size", "part"]).select(H, "text", *(c for c in globs.columns if c != H)).unionByName(keys.join(globs.where("size = 0"), H)).where(F.expr("text rlike shape"))
     cols = [H, "text", "merchant_id", "rule_id", "kind", "pattern"]
     every = exact.select(*cols).unionByName(prefix.select(*cols)).unionByName(glob.select(*cols))
     tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("kind"))
@@ -38,6 +47,7 @@ def resolve(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """rows (with flow) and merchant_id: counted rows only; each distinct text is normalised and matched once."""
     raw = counterparty_text(F.col("counterparty_name"), F.col("description"))
     texts = rows.where("flow IN ('INCOME', 'SPEND')").select(H, raw.alias("raw_text")).distinct().withColumn("text", normalise_counterparty(F.col("raw_text")))
+    texts = staged(texts, "texts")  # each of the joins below would find and normalise them anew
     found = texts.join(match_rules(texts, rules), [H, "text"], "left").select(H, "raw_text", "text", "merchant_id")
     on = (F.col("r." + H) == F.col("f." + H)) & (F.when(F.col("r.flow").isin("INCOME", "SPEND"), raw) == F.col("f.raw_text"))
     return rows.alias("r").join(found.alias("f"), on, "left").select("r.*", F.col("f.merchant_id"), F.col("f.text").alias("normal_text"))
