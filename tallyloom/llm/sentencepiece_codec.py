@@ -30,7 +30,7 @@ from tallyloom.llm.shared import per_text
 
 SPACE = "▁"
 #: Segments whose ids a worker remembers in each of two generations; more or fewer change no result.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 class Codec:
