@@ -30,7 +30,7 @@ from tallyloom.llm.shared import per_text
 
 SPACE = "▁"
 #: Segments whose ids a worker remembers in each of two generations; more or fewer change no result.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 
 class Codec:
@@ -209,7 +209,8 @@ class Codec:
 
 
 class _Memory(dict):
-    """The ids of a segment, joined by commas, by its text; `plain` has the decoded text, marks as they are.
+    """The ids of a segment, joined by commas, by its text; `plain` has the decoded text, marks as they are, where it is
+    not the segment itself.
 
     When it is full, it becomes the older generation, from which what is met again is taken over.
     """
@@ -224,10 +225,11 @@ class _Memory(dict):
             ids = self.codec.segment(s)
             text = self.codec.surface(ids)
             value = ",".join(map(str, ids))
-            text = s if text == s else text  # one object for both where they are equal
         else:
-            text = self.older_plain[s]
-        self[s], self.plain[s] = value, text
+            text = self.older_plain.get(s, s)
+        self[s] = value
+        if text != s:
+            self.plain[s] = text
         return value
 
     def tidy(self) -> None:
@@ -247,7 +249,7 @@ def digests(model: str, text: str) -> tuple[int, str, str]:
     cuts = codec.cuts(text)
     codec.ids.tidy()
     ids = ",".join(map(codec.ids.__getitem__, cuts))
-    plain = "".join(map(codec.ids.plain.__getitem__, cuts)).replace(SPACE, " ")[1:]  # the first piece starts with the mark put in front
+    plain = "".join(map(codec.ids.plain.get, cuts, cuts)).replace(SPACE, " ")[1:]  # the first piece starts with the mark put in front
     return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
 
 
