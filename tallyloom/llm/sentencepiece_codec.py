@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from tallyloom.llm.shared import per_text
 
 SPACE = "▁"
-#: Segments whose ids a worker remembers in each of two generations; more or fewer change no result.
-REMEMBERED = 400_000
+#: Segments whose ids a worker remembers in each of two generations, and pairs of pieces; more or fewer change no result.
+REMEMBERED = 250_000
 
 
 class Codec:
@@ -111,7 +111,7 @@ class Codec:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether two pieces side by side stay as they are when their joint text is merged anew."""
-        if len(self.pairs) >= REMEMBERED * 2:
+        if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
         found = self.pairs[a << 20 | b] = self.merged(self.text[a] + self.text[b]) == [a, b]
         return found
@@ -146,13 +146,16 @@ class Codec:
         return out
 
     def part(self, chunk: str) -> list[int]:
-        """Ids of known characters that may all merge; remembered, as words share such parts."""
+        """Ids of known characters that may all merge."""
+        if len(chunk) == 1 and chunk not in self.known:
+            return [self.byte_ids[b] for b in chunk.encode()]
+        return self.backtrack(chunk)
+
+    def shared_part(self, chunk: str) -> list[int]:
+        """The same, remembered, as words that are cut share parts; whole words are remembered as segments."""
         found = self.parts.get(chunk)
         if found is None:
-            if len(chunk) == 1 and chunk not in self.known:
-                found = [self.byte_ids[b] for b in chunk.encode()]
-            else:
-                found = self.backtrack(chunk)
+            found = self.part(chunk)
             if len(chunk) <= 32:
                 if len(self.parts) >= REMEMBERED:
                     self.parts.clear()
@@ -173,9 +176,9 @@ class Codec:
         text, start, beside = SPACE + body if marks else body, 0, self.beside
         for at, two in enumerate(map(str.__add__, text, text[1:]), 1):
             if two not in beside:
-                out += self.part(text[start:at])
+                out += self.shared_part(text[start:at])
                 start = at
-        out += self.part(text[start:])
+        out += self.shared_part(text[start:]) if start else self.part(text)
         if marks > 1:
             alone = out[0] == self.id_of[SPACE]
             out = [*self.run(marks if alone else marks - 1), *out[alone:]]
@@ -238,6 +241,7 @@ class _Memory(dict):
             self.plain = {}
             self.clear()
 
+
 @lru_cache(maxsize=2)
 def codec_for(model: str) -> Codec:
     return Codec(model)
