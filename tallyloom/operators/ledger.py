@@ -8,6 +8,8 @@ their size allows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,23 +101,40 @@ def _islands(edges: DataFrame, keys: list[str], day: str, gap: int) -> DataFrame
     return edges.withColumn("_far", far.cast("int")).withColumn("island", F.sum("_far").over(by.rangeBetween(Window.unboundedPreceding, 0))).drop("_far")
 
 
-def greedy(edges: DataFrame, component: list[str], left: str, right: str, order: list[str]) -> DataFrame:
-    """Edges that a walk in `order` takes, each end used once. Components are matched apart from each other."""
+#: Edges of one component that one Python task walks at most; larger components first lose edges by rounds.
+WALKED = 1_000_000
+
+
+def greedy(edges: DataFrame, component: list[str], left: str, right: str, order: list[str], walked: int = WALKED) -> DataFrame:
+    """Edges that a walk in `order` takes, each end used once. Components are matched apart from each other; `order` tells
+    all edges of a component apart. Components of more than `walked` edges go by rounds: an edge that is first at both of
+    its ends is what the walk takes, whatever came before, and closes these ends."""
     names = [*component, left, right]
+    kinds = dict(edges.dtypes)
 
     def walk(group):
         used, kept = set(), []
-        for i, (a, b) in enumerate(zip(*(group.sort_values(order)[c] for c in (left, right)))):
+        group = group.sort_values(order)
+        for i, (a, b) in enumerate(zip(group[left], group[right])):
             if ("l", a) not in used and ("r", b) not in used:
                 used |= {("l", a), ("r", b)}
                 kept.append(i)
-        return group.sort_values(order).iloc[kept][names]
-
-    # an edge alone in its component is taken as it is; only contested ones are walked in Python
-    counted = staged(edges.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*component))), "edges")
-    kinds = dict(edges.dtypes)
-    walked = counted.where("_n > 1").drop("_n").groupBy(*component).applyInPandas(walk, ", ".join(f"{n} {kinds[n]}" for n in names))
-    return counted.where("_n = 1").select(*names).unionByName(walked)
+        return group.iloc[kept][names]
+
+    parts = []
+    while True:
+        # an edge alone in its component is taken as it is; only contested ones are walked in Python
+        counted = staged(edges.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*component))), "edges")
+        parts.append(counted.where("_n = 1").select(*names))
+        parts.append(counted.where(F.col("_n").between(2, walked)).drop("_n").groupBy(*component).applyInPandas(walk, ", ".join(f"{n} {kinds[n]}" for n in names)))
+        large = counted.where(F.col("_n") > max(walked, 1)).drop("_n")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        place = F.struct(*order)
+        first = [F.min(place).over(Window.partitionBy(*component, end)) for end in (left, right)]
+        won = staged(large.select(*names, (place == first[0]).alias("_l"), (place == first[1]).alias("_r")).where("_l AND _r").select(*names), "won")
+        parts.append(won)
+        edges = large.join(won.drop(right), [*component, left], "left_anti").join(won.drop(left), [*component, right], "left_anti")
 
 
 def allocate_settlements(flows: DataFrame, facts: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -149,6 +168,28 @@ def pair_transfers(candidates: DataFrame) -> DataFrame:
     return greedy(edges, [H, "cents", "from_iban", "to_iban", "island"], "out_id", "in_id", ["distance", "out_id", "in_id"]).select(H, "out_id", "in_id")
 
 
+def match_transfers(legs: DataFrame) -> DataFrame:
+    """(household_id, out_id, in_id): what `pair_transfers` makes of the candidates among the legs. Legs of one day come
+    first there and pair off by their ids, so they are numbered against each other here; only what one side has more of
+    meets the legs of other days. Amounts that recur many times a day thus give no edges by the square of their number."""
+    day = [H, "_cents", "_from", "_to", "booking_date"]
+    out = F.col("amount_cents") < 0
+    own, other = F.col("own_iban"), F.col("counterparty_iban")
+    ends = legs.where((F.col("amount_cents") != 0) & own.isNotNull() & other.isNotNull())
+    ends = ends.select(H, "id", "account_id", "booking_date", "amount_cents", "own_iban", "counterparty_iban", out.alias("_out"), F.abs("amount_cents").alias("_cents"), F.when(out, own).otherwise(other).alias("_from"), F.when(out, other).otherwise(own).alias("_to"))
+    across = F.sum(F.when(F.col("_out"), 1).otherwise(0)).over(Window.partitionBy(*day))
+    total = F.count(F.lit(1)).over(Window.partitionBy(*day))
+    number = F.row_number().over(Window.partitionBy(*day, "_out").orderBy("id"))
+    ends = ends.withColumn("_number", number).withColumn("_across", F.when(F.col("_out"), total - across).otherwise(across))
+    # one IBAN on both sides may be one account, which is no transfer: such legs go the long way
+    ends = staged(ends.withColumn("_same", (F.col("_from") != F.col("_to")) & (F.col("_number") <= F.col("_across"))), "legs")
+    same = ends.where("_same")
+    outs = same.where("_out").select(*day, "_number", F.col("id").alias("out_id"))
+    ins = same.where("NOT _out").select(*day, "_number", F.col("id").alias("in_id"))
+    rest = pair_transfers(transfer_candidates(ends.where("NOT _same")))
+    return outs.join(ins, [*day, "_number"]).select(H, "out_id", "in_id").unionByName(rest)
+
+
 def reconcile(rows: DataFrame, by: list[str]) -> DataFrame:
     """Sums by flow over interpreted rows (flow not null), and the two gaps; rows carry flow and is_unmatched."""
     cents, flow = F.col("amount_cents"), F.col("flow")

@@ -33,7 +33,7 @@ def interpret(facts: DataFrame, accounts: DataFrame, rules: DataFrame | None = N
     lost = F.col("pattern_debit") & F.col("won").isNull()
     rows = rows.withColumn("flow", F.when(lost, "SPEND").otherwise(F.col("flow")))
     legs = rows.where("flow = 'INTERNAL' AND NOT pattern_debit AND NOT mirror_credit")
-    pairs = ledger.pair_transfers(ledger.transfer_candidates(legs))
+    pairs = ledger.match_transfers(legs)
     settlements = settled.join(mirrors, [H, "debit_id"], "left").select(H, F.col("debit_id").alias("outgoing_id"), F.col("credit_id").alias("incoming_id"), "card_import_id")
     links = settlements.unionByName(pairs.select(H, F.col("out_id").alias("outgoing_id"), F.col("in_id").alias("incoming_id"), F.lit(None).cast("string").alias("card_import_id")))
     links = staged(links, "links")

@@ -205,7 +205,7 @@ def transfer_candidates(spark: SparkSession, d: str) -> DataFrame:
 def transfer_pairs(spark: SparkSession, d: str) -> DataFrame:
     book = Ledger(spark, d)
     legs = ledger.classify(book.facts, book.accounts).where("flow = 'INTERNAL' AND NOT pattern_debit AND NOT mirror_credit")
-    return ledger.pair_transfers(ledger.transfer_candidates(legs))
+    return ledger.match_transfers(legs)
 
 
 @query("unmatched_internal", "interp", "SELECT household_id, id FROM interp WHERE is_unmatched")

@@ -89,6 +89,32 @@ def test_identity_and_pairs_on_random_ledgers(spark):
         assert total.difference_cents == total.unresolved_gap_cents + total.unmatched_internal_gap_cents
 
 
+def test_twins_of_one_day_and_later_days(spark):
+    r = random.Random(7)
+    rows = [fact(f"{n:03}", *r.choice([("a", r.randrange(9), -100), ("b", r.randrange(9), 100)]), iban="?") for n in range(80)]
+    rows = [(*x[:7], "BE2" if x[2] == "a" else "BE1", None) for x in rows]
+    found = run(spark, rows)
+    assert {(x.outgoing_id, x.incoming_id) for x in found.links.collect()} == brute(rows)
+    empty = ledger.match_transfers(found.rows.limit(0))
+    assert empty.columns == ["household_id", "out_id", "in_id"] and empty.count() == 0
+
+
+def test_greedy_by_rounds_equals_the_walk(spark):
+    r = random.Random(9)
+    rows = sorted({(f"c{r.randrange(3)}", f"o{r.randrange(12)}", f"i{r.randrange(12)}") for _ in range(150)})
+    edges = spark.createDataFrame([(*x, r.randrange(3)) for x in rows], "c string, o string, i string, d int")
+    want = []
+    for c in ("c0", "c1", "c2"):
+        used: set = set()
+        for e in sorted((x.d, x.o, x.i) for x in edges.collect() if x.c == c):
+            if not used & set(e[1:]):
+                used |= set(e[1:])
+                want.append((c, *e[1:]))
+    for walked in (1, 12, 1000):
+        got = ledger.greedy(edges, ["c"], "o", "i", ["d", "o", "i"], walked)
+        assert sorted((x.c, x.o, x.i) for x in got.collect()) == sorted(want)
+
+
 def test_rules_by_tier_and_specificity(spark):
     rules = [("h", "1", "m1", "PREFIX", "SHOP"), ("h", "2", "m2", "PREFIX", "SHOP 1"), ("h", "3", "m3", "EXACT", "SHOP 12"), ("h", "4", "m4", "PATTERN", "*OP*"), ("h", "5", "m5", "PATTERN", "*HOP*"), ("h", "6", "m6", "EXACT", ""), ("x", "7", "m7", "EXACT", "SHOP 3")]
     rules = spark.createDataFrame(rules, "household_id string, id string, merchant_id string, kind string, pattern string")
