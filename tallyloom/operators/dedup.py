@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import counterparty_text, key_text
+from tallyloom.staging import staged
 
 H = "household_id"
 
@@ -51,13 +52,18 @@ def _split_key(key: str) -> tuple[str, int]:
     return (base, int(nth)) if key.startswith("h:") and mark and nth.isdigit() else (key, -1)
 
 
+def _base(key: Column) -> Column:
+    """A content key without its ordinal; a natural key as it is."""
+    return F.when(key.startswith("h:"), F.regexp_replace(key, "#[0-9]+$", "")).otherwise(key)
+
+
 def align_reparse(stored: DataFrame, parsed: DataFrame) -> DataFrame:
     """(household_id, profile_id, id, import_id, line_no, dedup_key): which line of a file, parsed anew, each stored row is.
 
     stored: household_id, profile_id, import_order, import_id, id, raw_line, dedup_key. parsed: the same files anew, with
     line_no and dedup_key. Twins (equal raw lines) keep their order; a key that an earlier import or twin took is passed
-    over, and where none is left the next free ordinal is used. Keys are handed out in sequence per profile, so a profile
-    is one group; its files are what one user uploaded for one account.
+    over, and where none is left the next free ordinal is used. Only rows that are alike under the new profile can take
+    each other's keys, so these are one group, not the profile; a row without such takes its line as it is. A stored row whose line is not in its file fails the run.
     """
     shape = "household_id string, profile_id string, id string, import_id string, line_no long, dedup_key string"
 
@@ -66,7 +72,7 @@ def align_reparse(stored: DataFrame, parsed: DataFrame) -> DataFrame:
         out = []
         lines = {k: g.sort_values("line_no")[["line_no", "dedup_key"]].values.tolist() for k, g in new.groupby(["import_id", "raw_line"])}
         for (_, imported), rows in old.groupby(["import_order", "import_id"], sort=True):
-            for raw, twins in rows.groupby("raw_line", sort=False):
+            for raw, twins in sorted(rows.groupby("raw_line"), key=lambda g: g[1]["id"].min()):
                 free = iter(at := lines[imported, raw])
                 for stored_id in sorted(zip(twins["dedup_key"].map(_split_key), twins["id"])):
                     spot = next(((n, k) for n, k in free if k not in taken), None)
@@ -79,7 +85,16 @@ def align_reparse(stored: DataFrame, parsed: DataFrame) -> DataFrame:
                             nth += 1
                         spot = n, f"{base}#{nth}"
                     taken.add(spot[1])
-                    out.append((*key, stored_id[1], imported, *spot))
+                    out.append((*key[:2], stored_id[1], imported, *spot))
         return pd.DataFrame(out, columns=["household_id", "profile_id", "id", "import_id", "line_no", "dedup_key"])
 
-    return stored.groupBy(H, "profile_id").cogroup(parsed.groupBy(H, "profile_id")).applyInPandas(align, shape)
+    parsed = parsed.select(H, "profile_id", "import_id", "line_no", "raw_line", "dedup_key", _base(F.col("dedup_key")).alias("_base"))
+    line, group = [H, "profile_id", "import_id", "raw_line"], [H, "profile_id", "_base"]
+    first = parsed.groupBy(*line, "_base").agg(F.min(F.struct("line_no", "dedup_key")).alias("_first"))
+    stored = stored.select(*line, "import_order", "id", "dedup_key").join(first, line, "left")
+    stored = stored.withColumn("_base", F.coalesce("_base", F.raise_error(F.concat(F.lit("no such line in its file: row "), F.col("id")))))
+    stored = staged(stored.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group))), "stored")
+    alone = stored.where("_n = 1").select(H, "profile_id", "id", "import_id", "_first.line_no", "_first.dedup_key")
+    twins = stored.where("_n > 1").drop("_first", "_n")
+    lines = parsed.join(twins.select(*group).distinct(), group, "left_semi")
+    return alone.unionByName(twins.groupBy(*group).cogroup(lines.groupBy(*group)).applyInPandas(align, shape))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.money import trimmed
 from tallyloom.functions.text import counterparty_text, glob_to_regex, normalise_counterparty
 from tallyloom.staging import staged
 
@@ -77,3 +78,44 @@ def latest(declared: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of declarations with one key the newest: what writing them one after the other leaves."""
     by = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     return declared.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+
+
+def assigned(declared: DataFrame, merchants: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merchants and rules after declarations (household_id, at, merchant_name, counterparty_text), one after the other by
+    `at`, then name, and the declarations that say nothing, with `problem`.
+
+    A merchant is the one of that name (trimmed), else a new one; its rule is the exact one of the normalised text, which
+    moves to the merchant of the newest declaration. New ids are digests of what they stand for, so a rerun makes the same.
+    """
+    said = declared.withColumns({"name": trimmed(F.col("merchant_name")), "pattern": normalise_counterparty(F.col("counterparty_text"))})
+    problem = F.when(F.coalesce("name", F.lit("")) == "", "empty-merchant-name").when(F.coalesce("pattern", F.lit("")) == "", "empty-counterparty")
+    said = staged(said.withColumn("problem", problem), "assigned")
+    good = said.where("problem IS NULL")
+    digest = lambda mark, *c: F.concat(F.lit(mark), F.sha2(F.to_json(F.array(*c)).cast("binary"), 256))
+    names = good.select(H, "name").distinct().join(merchants.select(H, "name"), [H, "name"], "left_anti")
+    merchants = merchants.select(H, "id", "name").unionByName(names.select(H, digest("m:", H, "name").alias("id"), "name"))
+    one = merchants.groupBy(H, "name").agg(F.min("id").alias("merchant_id"))
+    newest = latest(good.withColumn("turn", F.struct("at", "name")), [H, "pattern"], "turn").join(one, [H, "name"]).select(H, "pattern", "merchant_id")
+    kept = rules.select(H, "id", "merchant_id", "kind", "pattern")
+    changed = newest.withColumn("kind", F.lit("EXACT")).withColumnRenamed("merchant_id", "_to")
+    after = kept.join(changed, [H, "kind", "pattern"], "full")
+    rules = after.select(H, F.coalesce("id", digest("r:", H, "kind", "pattern")).alias("id"), F.coalesce("_to", "merchant_id").alias("merchant_id"), "kind", "pattern")
+    return merchants, rules, said.where("problem IS NOT NULL").select(*declared.columns, "problem")
+
+
+def tagged(merchant_tags: DataFrame, declared: DataFrame, merchants: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tags of merchants after declarations (household_id, merchant_id, tag_id, is_primary, at), one after the other by
+    `at`, then tag, and the declarations whose merchant or tag is not the household's.
+
+    A promotion demotes the merchant's other tags, also if it is taken back later; so a merchant has one primary at most.
+    """
+    of = lambda df, name: df.select(H, F.col("id").alias(name), F.lit(True).alias(f"_{name}")).distinct()
+    known = declared.join(of(merchants, "merchant_id"), [H, "merchant_id"], "left").join(of(tags, "tag_id"), [H, "tag_id"], "left")
+    ours = F.col("_merchant_id").isNotNull() & F.col("_tag_id").isNotNull()
+    cols = [H, "merchant_id", "tag_id", "is_primary"]
+    before = merchant_tags.select(*cols, F.struct(F.lit(False).alias("new"), F.lit(None).cast(declared.schema["at"].dataType).alias("at"), "tag_id").alias("turn"))
+    after = known.where(ours).select(*cols, F.struct(F.lit(True).alias("new"), "at", "tag_id").alias("turn"))
+    last = before.unionByName(after).groupBy(H, "merchant_id", "tag_id").agg(F.max(F.struct("turn", "is_primary")).alias("last"), F.max(F.when(F.col("is_primary"), F.col("turn"))).alias("promoted"))
+    top = F.max("promoted").over(Window.partitionBy(H, "merchant_id"))
+    rows = last.withColumn("top", top).select(H, "merchant_id", "tag_id", (F.col("last.is_primary") & F.col("last.turn").eqNullSafe(F.col("top"))).alias("is_primary"))
+    return rows, known.where(~ours).select(*declared.columns)

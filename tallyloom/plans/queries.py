@@ -415,6 +415,30 @@ def latest_declarations(spark: SparkSession, d: str) -> DataFrame:
     return merchants.latest(Ledger(spark, d).rules, [H, "kind", "pattern"], "id").select(H, "kind", "pattern", "id")
 
 
+@query("merchant_assignments", "facts", f""", said AS (SELECT household_id, id, CASE abs(amount_cents) % 3 WHEN 0 THEN 'Merchant ' || household_id || '-M1' ELSE 'Place ' || CAST(abs(amount_cents) % 7 AS VARCHAR) END AS name, {_NORMAL.format('coalesce(counterparty_name, description)')} AS pattern FROM facts WHERE abs(amount_cents) % 3 <> 2),
+ newest AS (SELECT household_id, 'EXACT' AS kind, pattern, arg_max(name, id) AS name FROM said GROUP BY 1, 2, 3)
+ SELECT coalesce(r.household_id, n.household_id) AS household_id, coalesce(r.kind, n.kind) AS kind, coalesce(r.pattern, n.pattern) AS pattern, coalesce(n.name, 'Merchant ' || r.merchant_id) AS merchant_name FROM rules r FULL JOIN newest n ON n.household_id = r.household_id AND n.kind = r.kind AND n.pattern = r.pattern""")
+def merchant_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """Every fact's text given to a merchant by name, a third of them to a blank one."""
+    book = Ledger(spark, d)
+    name = F.when(F.expr("abs(amount_cents) % 3 = 0"), F.concat(F.lit(" Merchant "), H, F.lit("-M1 "))).when(F.expr("abs(amount_cents) % 3 = 1"), F.concat(F.lit("Place "), F.expr("abs(amount_cents) % 7"))).otherwise(" ")
+    declared = book.facts.select(H, F.col("id").alias("at"), name.alias("merchant_name"), text.counterparty_text(F.col("counterparty_name"), F.col("description")).alias("counterparty_text"))
+    named, rules, _ = merchants.assigned(declared, book.merchants, book.rules)
+    return rules.join(named.select(H, F.col("id").alias("merchant_id"), F.col("name").alias("merchant_name")), [H, "merchant_id"]).select(H, "kind", "pattern", "merchant_name")
+
+
+@query("merchant_tagging", "facts", """, ev AS (SELECT household_id, merchant_id, tag_id, is_primary, '' AS turn FROM merchant_tags UNION ALL SELECT household_id, merchant_id, household_id || '-' || CAST(CAST(right(id, 2) AS INT) // 5 % 5 AS VARCHAR), CAST(right(id, 2) AS INT) % 3 = 0, id FROM rules),
+ own AS (SELECT e.* FROM ev e JOIN tags t ON t.household_id = e.household_id AND t.id = e.tag_id),
+ last AS (SELECT household_id, merchant_id, tag_id, arg_max(is_primary, turn) AS said, max(turn) AS turn FROM own GROUP BY 1, 2, 3)
+ SELECT l.household_id, l.merchant_id, l.tag_id, l.said AND NOT EXISTS (SELECT 1 FROM own o WHERE o.household_id = l.household_id AND o.merchant_id = l.merchant_id AND o.is_primary AND o.turn > l.turn) AS is_primary FROM last l""")
+def merchant_tagging(spark: SparkSession, d: str) -> DataFrame:
+    """A tag for the merchant of each rule, in the order of the rules; tags the household does not have are left out."""
+    book = Ledger(spark, d)
+    tag = F.concat(F.col(H), F.lit("-"), F.expr("CAST(right(id, 2) AS INT) div 5 % 5"))
+    declared = book.rules.select(H, "merchant_id", tag.alias("tag_id"), F.expr("CAST(right(id, 2) AS INT) % 3 = 0").alias("is_primary"), F.col("id").alias("at"))
+    return merchants.tagged(book.merchant_tags, declared, book.merchants, book.tags)[0]
+
+
 @query("import_states", "facts", "SELECT household_id, import_id, CASE WHEN length(import_id) % 2 = 0 AND NOT bool_or(id LIKE 'S%') THEN 'FAILED' ELSE 'INTERPRETED' END AS status FROM facts GROUP BY household_id, import_id")
 def import_states(spark: SparkSession, d: str) -> DataFrame:
     """A log of what happened to each import; steps that the state before does not allow are without effect."""
@@ -555,6 +579,23 @@ def uploads(spark: SparkSession, d: str) -> DataFrame:
     return ingest.uploaded(files, found, stored, accounts)
 
 
+@query("reparsed_profiles", "facts", f", {_UPLOAD} SELECT household_id, 'P' || CAST(form AS VARCHAR) AS profile_id, CASE WHEN form = 2 THEN 'row-amount' END AS reason, CASE WHEN form = 2 THEN 0 ELSE count(*) END AS n_imports, CASE form WHEN 2 THEN 0 WHEN 1 THEN 2 * count(*) ELSE count(*) END AS n_rows, CAST(CASE form WHEN 2 THEN 0 WHEN 1 THEN sum(amount_cents - 100) ELSE sum(amount_cents) END AS BIGINT) AS cents FROM up WHERE form < 4 GROUP BY household_id, form")
+def reparsed_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Stored files parsed anew with commas in amounts: the profile of two amount columns, which has dots, is refused."""
+    files = _uploads(Ledger(spark, d))
+    kind = F.when(F.col("spec.amount.kind") == "indicator", "P1").when(F.col("spec.amount.kind") == "debitCredit", "P2").when(F.col("spec.encoding") == "windows-1252", "P3").otherwise("P0")
+    specs = staged(profile.infer(files).where("reason IS NULL").select(H, "file_id", "spec", kind.alias("profile_id")), "specs")
+    rows, _ = delimited.statements(files.join(specs, [H, "file_id"]))
+    known = staged(rows.join(specs.select(H, "file_id", "profile_id"), [H, "file_id"]), "known")
+    row_id = F.concat_ws("-", "file_id", "line_no")
+    stored = known.select(H, "profile_id", F.col("file_id").alias("import_id"), F.concat(F.lit("A-"), "file_id").alias("account_id"), row_id.alias("id"), "raw_line", F.concat(F.lit("h:"), row_id, F.lit("#0")).alias("dedup_key"))
+    given = files.join(specs, [H, "file_id"]).select(H, "profile_id", F.col("file_id").alias("import_order"), F.col("file_id").alias("import_id"), "content", F.col("spec").withField("decimal_style", F.lit("comma")).alias("spec"))
+    rewritten, refused = ingest.fix_profile(given, stored)
+    done = rewritten.groupBy(H, "profile_id").agg(F.count_distinct("import_id").alias("n_imports"), F.count(F.lit(1)).alias("n_rows"), F.sum("amount_cents").alias("cents"))
+    none = F.lit(0).cast("long")
+    return done.select(H, "profile_id", F.lit(None).cast("string").alias("reason"), "n_imports", "n_rows", "cents").unionByName(refused.select(H, "profile_id", "reason", none.alias("n_imports"), none.alias("n_rows"), none.alias("cents")))
+
+
 @query("stale_layouts", "facts", "SELECT DISTINCT f.household_id, f.account_id AS file_id FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id WHERE CAST(right(f.household_id, 3) AS INT) % 3 = 1")
 def stale_layouts(spark: SparkSession, d: str) -> DataFrame:
     """Files of households that stored the layout in another version, in this one, or not at all."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.dedup import ingest_report, new_rows, with_keys
+from tallyloom.operators.dedup import align_reparse, ingest_report, new_rows, with_keys
 from tallyloom.sources.delimited import statements
 from tallyloom.sources.profile import recognised
+from tallyloom.staging import staged
 
 H = "household_id"
 
@@ -44,6 +45,38 @@ def import_states(events: DataFrame) -> DataFrame:
     return events.groupBy(H, "import_id").agg(path.alias("path")).select(H, "import_id", F.aggregate("path", F.lit(None).cast("string"), step).alias("status"))
 
 
+def fix_profile(files: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored facts parsed anew under corrected profiles: the facts to write in place of those of the same id, and the
+    profiles that are refused. A profile is rewritten whole or not at all.
+
+    files: household_id, profile_id, import_order, import_id, content, spec (the corrected one); stored: household_id,
+    profile_id, import_id, account_id, id, raw_line, dedup_key. Files without stored facts are passed over. A refused
+    profile has one row: household_id, profile_id, import_id, reason, id: its first file that does not parse, and the
+    stored fact of the failing line, if it is one. Ids, imports, accounts and raw lines stay as they are. An import with
+    facts of two accounts fails the run.
+    """
+    key = [H, "import_id"]
+    account = F.when(F.min("account_id") == F.max("account_id"), F.min("account_id")).otherwise(F.raise_error(F.concat(F.lit("facts of two accounts in import "), F.col("import_id"))))
+    held = files.join(stored.groupBy(*key).agg(account.alias("account_id")), key)
+    rows, bad = statements(held.withColumn("file_id", F.col("import_id")))
+    bad = bad.select(H, F.col("file_id").alias("import_id"), "reason", "raw_line")
+    lines = stored.groupBy(*key, "raw_line").agg(F.min("id").alias("id"))
+    bad = bad.join(held.select(*key, "profile_id", "import_order"), key).join(lines, [*key, "raw_line"], "left")
+    first = F.min(F.struct("import_order", "import_id", "reason", "id")).alias("b")
+    refused = staged(bad.groupBy(H, "profile_id").agg(first).select(H, "profile_id", "b.import_id", "b.reason", "b.id"), "refused")
+    of = held.select(*key, "profile_id", "import_order", "account_id").join(refused, [H, "profile_id"], "left_anti")
+    anew = staged(with_keys(rows.withColumnRenamed("file_id", "import_id").join(of, key)), "anew")
+    old = stored.select(*key, "id", "raw_line", "dedup_key").join(of.select(*key, "profile_id", "import_order"), key)
+    spots = align_reparse(old, anew)
+    return spots.join(anew.drop("dedup_key", "import_order"), [H, "profile_id", "import_id", "line_no"]), refused
+
+
+def reopened(rewritten: DataFrame, states: DataFrame) -> DataFrame:
+    """States (household_id, import_id, status) to log with rewritten facts: interpreted imports wait for it again."""
+    hit = states.where("status = 'INTERPRETED'").join(rewritten.select(H, "import_id").distinct(), [H, "import_id"], "left_semi")
+    return hit.select(H, "import_id", F.lit("INGESTED").alias("status"))
+
+
 def ingest(rows: DataFrame, stored: DataFrame, natural: bool = True) -> tuple[DataFrame, DataFrame]:
     """New facts of a batch of parsed rows, and what each import added and already knew."""
     keyed = with_keys(rows, natural)

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import dedup, ledger, merchants
@@ -143,3 +144,35 @@ def test_groups_fold_and_deltas(spark):
     got = {(r.month, r.group_key): (r.total_cents, r.delta_cents) for r in month.with_deltas(month.folded(rows, True)).collect()}
     assert got == {("2026-07", "text:LIDL"): (-100, 100), ("2026-08", "text:LIDL"): (-150, 50), ("2026-08", "cash"): (-50, 50)}
     assert F.lit(1) is not None
+
+
+def test_reparse_groups_rows_that_are_alike_and_wants_every_line(spark):
+    stored = [("h", "p", n, f, i, raw, f"h:x{i}#0") for n, f, i, raw in ((1, "f", "a", "L 1"), (1, "f", "b", "L  1"), (2, "g", "c", "L 1"), (1, "f", "d", "M"), (2, "g", "e", "N"))]
+    parsed = [("h", "p", "f", 1, "L 1", "h:y#0"), ("h", "p", "f", 2, "L  1", "h:y#1"), ("h", "p", "g", 1, "L 1", "h:y#0"), ("h", "p", "f", 3, "M", "nat:a:1:1"), ("h", "p", "g", 2, "N", "h:z#0"), ("h", "p", "g", 3, "never stored", "h:w#0")]
+    shapes = ["household_id string, profile_id string, import_order int, import_id string, id string, raw_line string, dedup_key string", "household_id string, profile_id string, import_id string, line_no long, raw_line string, dedup_key string"]
+    anew = spark.createDataFrame(parsed, shapes[1])
+    found = {r.id: (r.line_no, r.dedup_key) for r in dedup.align_reparse(spark.createDataFrame(stored, shapes[0]), anew).collect()}
+    assert found == {"a": (1, "h:y#0"), "b": (2, "h:y#1"), "c": (1, "h:y#2"), "d": (3, "nat:a:1:1"), "e": (2, "h:z#0")}
+    with pytest.raises(Exception, match="no such line in its file: row lost"):
+        dedup.align_reparse(spark.createDataFrame([("h", "p", 1, "f", "lost", "?", "h:x#0")], shapes[0]), anew).collect()
+
+
+def test_assignment_moves_rules_and_names_new_merchants(spark):
+    declared = spark.createDataFrame([("h", 1, " Corner ", "Shop 12"), ("h", 2, "Bakery", "shop 12"), ("h", 3, "Corner", "Cafe"), ("h", 4, " ", "x"), ("h", 5, "Corner", None), ("g", 6, "Corner", "Cafe")], "household_id string, at int, merchant_name string, counterparty_text string")
+    known = spark.createDataFrame([("h", "m1", "Corner")], "household_id string, id string, name string")
+    rules = spark.createDataFrame([("h", "r1", "m1", "EXACT", "CAFE"), ("h", "r2", "m1", "PREFIX", "SHOP"), ("h", "r3", "m1", "EXACT", "SHOP 12")], "household_id string, id string, merchant_id string, kind string, pattern string")
+    named, after, problems = merchants.assigned(declared, known, rules)
+    name = {(r.household_id, r.id): r.name for r in named.collect()}
+    assert sorted((h, n) for (h, _), n in name.items()) == [("g", "Corner"), ("h", "Bakery"), ("h", "Corner")]
+    assert {(r.household_id, r.kind, r.pattern): (r.id[:2], name[r.household_id, r.merchant_id]) for r in after.collect()} == {("h", "EXACT", "CAFE"): ("r1", "Corner"), ("h", "PREFIX", "SHOP"): ("r2", "Corner"), ("h", "EXACT", "SHOP 12"): ("r3", "Bakery"), ("g", "EXACT", "CAFE"): ("r:", "Corner")}
+    assert {(r["at"], r.problem) for r in problems.collect()} == {(4, "empty-merchant-name"), (5, "empty-counterparty")}
+
+
+def test_tagging_keeps_one_primary(spark):
+    shape = "household_id string, merchant_id string, tag_id string, is_primary boolean"
+    before = spark.createDataFrame([("h", "m", "a", True), ("h", "n", "a", True), ("h", "o", "a", True)], shape)
+    declared = spark.createDataFrame([("h", "m", "b", True, 1), ("h", "m", "c", True, 2), ("h", "m", "c", False, 3), ("h", "n", "b", False, 4), ("h", "o", "b", True, 5), ("h", "o", "a", True, 6), ("g", "m", "a", True, 7), ("h", "m", "zz", True, 8)], shape + ", at int")
+    of = spark.createDataFrame([("h", x) for x in "mnoabc"], "household_id string, id string")
+    rows, foreign = merchants.tagged(before, declared, of, of)
+    assert {(r.merchant_id, r.tag_id): r.is_primary for r in rows.collect()} == {("m", "a"): False, ("m", "b"): False, ("m", "c"): False, ("n", "a"): True, ("n", "b"): False, ("o", "a"): True, ("o", "b"): False}
+    assert {r["at"] for r in foreign.collect()} == {7, 8}

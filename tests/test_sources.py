@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.sources import delimited, ingest, positioned, profile
@@ -92,3 +93,23 @@ def test_stream_ingest_adds_each_row_once(spark, tmp_path):
         row.withColumn("import_id", F.lit(f"f{n}")).write.mode("append").parquet(f"{tmp_path}/in")
         stream_ingest(spark.readStream.schema(shape).parquet(f"{tmp_path}/in"), f"{tmp_path}/facts", f"{tmp_path}/cp").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/facts").count() == 1
+
+
+def test_fix_profile_rewrites_whole_profiles_or_nothing(spark):
+    spec = profile.infer(files(spark, ok=CARD)).where("reason IS NULL").select("household_id", "spec")
+    late = CARD.replace("05,50", "5,50") + "05.08.26;06.08.26;SHOP B;5,50;C\n"
+    rows = [("h", "p", 1, "f", bytearray(CARD.encode())), ("h", "p", 2, "g", bytearray(late.encode())), ("h", "q", 1, "x", bytearray(CARD.encode())), ("h", "q", 2, "y", bytearray(CARD.replace("5,50", "5.5,0").encode())), ("h", "p", 3, "unused", bytearray(b"?"))]
+    given = spark.createDataFrame(rows, "household_id string, profile_id string, import_order int, import_id string, content binary").join(spec, "household_id")
+    a, b, c = (line for line in late.split("\n")[2:5])
+    stored = [("h", "p", "f", "acc", "1", a, "h:o1#0"), ("h", "p", "f", "acc", "2", b, "h:o2#0"), ("h", "p", "g", "acc", "3", b, "h:o3#0"), ("h", "p", "g", "acc", "4", c, "h:o4#0"), ("h", "q", "x", "acc", "5", a, "h:o5#0"), ("h", "q", "y", "acc", "6", b.replace("5,50", "5.5,0"), "h:o6#0")]
+    facts = spark.createDataFrame(stored, "household_id string, profile_id string, import_id string, account_id string, id string, raw_line string, dedup_key string")
+    rewritten, refused = ingest.fix_profile(given, facts)
+    assert {tuple(r) for r in refused.collect()} == {("h", "q", "y", "row-amount", "6")}
+    got = {r.id: r for r in rewritten.collect()}
+    assert {i: (r.import_id, r.account_id, r.raw_line, r.booking_date.day, r.amount_cents) for i, r in got.items()} == {"1": ("f", "acc", a, 1, -1200), "2": ("f", "acc", b, 3, 550), "3": ("g", "acc", b, 3, 550), "4": ("g", "acc", c, 5, 550)}
+    assert len({r.dedup_key for r in got.values()}) == 4 and got["2"].dedup_key[:-1] == got["3"].dedup_key[:-1] and got["3"].dedup_key.endswith("#1")
+    states = spark.createDataFrame([("h", "f", "INTERPRETED"), ("h", "g", "INGESTED"), ("h", "x", "INTERPRETED")], "household_id string, import_id string, status string")
+    assert [tuple(r) for r in ingest.reopened(rewritten, states).collect()] == [("h", "f", "INGESTED")]
+    mixed = facts.withColumn("account_id", F.col("id"))
+    with pytest.raises(Exception, match="facts of two accounts"):
+        ingest.fix_profile(given, mixed)[0].collect()
