@@ -12,10 +12,9 @@ than another. The queries, a stated part of the rows, travel once to each shard
 or collected. In a shard candidates come in the order of their ids, so a later one must beat the threshold, not tie it.
 
 Rows without an id, and vectors that are null or hold null or non-finite components (or such as 1024 times them is not
-finite), take no part. Vectors of different
-lengths never meet; those of length zero score zero. Rows that repeat a vec_id are candidates of their own for other ids;
-none is a candidate for its own id; a repeated query row asks once for each distinct vector. Scores beyond 64 bits are
-computed exactly and reported as the nearest 64-bit number. An empty table gives an empty result. Other columns of the
+finite), take no part. Vectors of different lengths never meet; those of length zero score zero. Rows that repeat a vec_id are candidates of their own for other ids;
+none is a candidate for its own id; a repeated query row asks once for each distinct vector. Scores beyond 64 bits
+count as the nearest 64-bit number. An empty table gives an empty result. Other columns of the
 table, whatever their names, are not read.
 """
 
@@ -109,9 +108,9 @@ class Shard:
         cells = exact(self.cells) if self.cells.size else self.cells.astype(object)
         for r in range(len(q)):
             scores = cells @ exact(q[r]) if q.shape[1] else np.zeros(len(cells), object)
-            found = sorted((-s, i) for s, i in zip(scores.tolist(), self.ids.tolist()) if i != q_ids[r])[:k]
-            clipped = [min(max(-s, -(1 << 63)), (1 << 63) - 1) for s, _ in found]
-            yield r, np.array([i for _, i in found], np.int64), np.array(clipped, np.int64)
+            clipped = [min(max(s, -(1 << 63)), (1 << 63) - 1) for s in scores.tolist()]
+            found = sorted((-s, i) for s, i in zip(clipped, self.ids.tolist()) if i != q_ids[r])[:k]
+            yield r, np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], np.int64)
 
 
 def _integers(column: pa.Array, dims: int) -> np.ndarray:
