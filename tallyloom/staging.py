@@ -12,16 +12,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for sessions in one process that name none, by application.
+_MADE: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a new folder if Spark runs in one process, which is then set. On a cluster
-    it must be set: a folder of one machine would lose what executors write."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir; where it is unset, one new folder for the application if Spark runs in one process. On a
+    cluster it must be set: a folder of one machine would lose what executors write. The setting itself is static, so it
+    is left as it is; the context's checkpoints go to the new folder too."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        if context.applicationId not in _MADE:
+            _MADE[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+            context.setCheckpointDir(_MADE[context.applicationId])
+        found = _MADE[context.applicationId]
     return found.rstrip("/")
 
 
