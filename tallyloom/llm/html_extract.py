@@ -45,7 +45,7 @@ WORDS = {
     "foot": r"foot|copyright|colophon|legal|imprint",
     "side": r"side|related|recommend|widget|aside|trending|popular|more-|tags|teaser|rail",
     "ad": r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner-ad|dfp|outbrain|taboola)(?:$|[\s_-])",
-    "comment": r"comment|reply|replies|disqus|discuss|respond|review",
+    "comment": r"comment|reply|replies|disqus|discuss|respond|response|review",
     "notice": r"cookie|consent|notice|popup|modal|alert|newsletter|subscri|signup|paywall|gdpr|overlay|message",
     "share": r"share|social|follow|like-",
     "form": r"form|search|login|contact",
@@ -57,7 +57,8 @@ ROLES = ("navigation", "banner", "contentinfo", "complementary", "main", "search
 NAMES = ["bias", "leaf", *(f"tag:{t}" for t in TAGS), *(f"word:{w}" for w in WORDS), *(f"role:{r}" for r in ROLES), "hidden", "long", "short", "linked", "stop", "copyright", *(f"in:{t}" for t in TAGS), *(f"under:{t}" for t in TAGS), "under main", "wordy"]
 _AT = {n: i for i, n in enumerate(NAMES)}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+#: A quote opens a value only behind the sign of equality; any other is part of a name.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?|[^>=])*)>?", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 

@@ -80,14 +80,16 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Trees:
-    """The model from at most `rows` labelled rows; only their statistics come to the driver."""
+    """The model from at most `rows` labelled rows; only their statistics come to the driver. Of rows that repeat a labelled
+    id the text that is first in order counts, so no more than `rows` rows come however often an id stands in docs."""
     known = labels.where(~held_out(key) & F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64(key), key, "y").limit(rows)
     schema = pa.schema([(key, pa.int64()), ("y", pa.int32()), ("stats", pa.list_(pa.float64()))])
     work = per_text(text, [key, "y"], lambda t: (statistics(t),), schema)
     texts = docs.select(key, text)
-    # the sample has at most `rows` rows of two numbers, so no text is shuffled to meet it
-    found = texts.join(F.broadcast(chosen), key).mapInArrow(work, f"`{key}` long, y int, stats array<double>").toArrow()
+    # the sample has at most `rows` rows of two numbers, so only the texts it names are shuffled, one a task and id
+    one = texts.join(F.broadcast(chosen), key).groupBy(key, "y").agg(F.min(text).alias(text))
+    found = one.mapInArrow(work, f"`{key}` long, y int, stats array<double>").toArrow()
     if not found.num_rows:
         return boost(np.zeros((0, N_STATS)), np.zeros(0))
     order = np.lexsort((found["y"].to_numpy(), found[key].to_numpy()))

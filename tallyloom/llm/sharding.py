@@ -15,9 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm.shared import Store
+
 #: Parts that the rows of a shard are numbered in: at 100 TB some millions of rows each; the broadcast counts are 24 bytes
 #: for each part and shard.
 BUCKETS = 2048
+#: Slots that one row of a repeated record is given at once.
+PIECE = 100_000
 
 
 def bid(key: Column, shard: int, weight: float) -> Column:
@@ -34,7 +38,7 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return (-(F.greatest(*bids) if len(bids) > 1 else bids[0])["minus"]).cast("int")
 
 
-def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, piece: int = PIECE) -> DataFrame:
     """Per row: key, size, text_crc32, shard, slot (gapless from 0 in each shard), grown_shard (with the weights `grown`).
 
     Slots come in two steps, as a shard may hold a third of all rows: keys fall into `buckets` buckets by hash, rows are
@@ -50,5 +54,10 @@ def assign(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | N
     first = held.withColumn("first", F.sum("held").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("held")).select("shard", "bucket", "first")
     inside = Window.partitionBy("shard", "bucket").orderBy(key, "text_crc32", "size")
     numbered = placed.withColumn("before", F.sum("copies").over(inside) - F.col("copies")).join(F.broadcast(first), ["shard", "bucket"])  # shards x buckets rows
-    slots = numbered.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    # a row that stands often is numbered in pieces, each a row of its own when they are dealt to tasks
+    numbered = Store(docs.sparkSession, "slots").put(numbered)
+    many = numbered.where(F.col("copies") > piece).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / piece)))).repartition(key, "piece")
+    last = F.least(F.col("copies"), (F.col("piece") + 1) * piece) - 1
+    slots = numbered.where(F.col("copies") <= piece).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    slots = slots.unionByName(many.withColumn("nth", F.explode(F.sequence(F.col("piece") * piece, last))).drop("piece"))
     return slots.select(key, "size", "text_crc32", "shard", (F.col("first") + F.col("before") + F.col("nth")).alias("slot"), "grown_shard")
