@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import counterparty_text, key_text
+from tallyloom.operators.numbering import numbered
 from tallyloom.staging import staged
 
 H = "household_id"
@@ -17,19 +18,18 @@ def content_tuple() -> Column:
     return F.to_json(F.array(F.col("account_id"), F.col("booking_date").cast("string"), F.col("amount_cents").cast("string"), name, F.coalesce("reference", F.lit(""))))
 
 
-def with_keys(rows: DataFrame, natural: Column | bool = True, file: str = "import_id", line: str = "line_no") -> DataFrame:
+def with_keys(rows: DataFrame, natural: Column | bool = True, file: str = "import_id", line: str = "line_no", ranges: int | None = None) -> DataFrame:
     """rows with dedup_key: the natural key where the profile has one and both numbers stand, else a content hash with
-    the 0-based ordinal of the row among equal ones of its file. Rows with natural keys do not count in ordinals.
-
-    A file with many equal rows would make one large window group; ordinals are counted in it in the order of lines.
+    the 0-based ordinal of the row among equal ones of its file. Rows with natural keys do not count in ordinals and are
+    not sorted; the others are numbered in ranges, so that a file of equal rows is not one task's.
     """
     by_number = F.lit(natural) if isinstance(natural, bool) else natural
-    by_number = by_number & F.col("statement_number").isNotNull() & F.col("sequence_number").isNotNull()
-    whole = F.sha2(content_tuple().cast("binary"), 256)
-    rows = rows.withColumn("_natural", by_number).withColumn("_hash", F.when(by_number, None).otherwise(whole))
-    nth = F.row_number().over(Window.partitionBy(H, file, "_natural", "_hash").orderBy(line)) - 1
-    key = F.when(F.col("_natural"), F.concat_ws(":", F.lit("nat"), "account_id", "statement_number", "sequence_number")).otherwise(F.concat(F.lit("h:"), "_hash", F.lit("#"), nth.cast("string")))
-    return rows.withColumn("dedup_key", key).drop("_natural", "_hash")
+    by_number = F.coalesce(by_number & F.col("statement_number").isNotNull() & F.col("sequence_number").isNotNull(), F.lit(False))
+    known = rows.where(by_number).withColumn("dedup_key", F.concat_ws(":", F.lit("nat"), "account_id", "statement_number", "sequence_number"))
+    hashed = rows.where(~by_number).withColumn("_hash", F.sha2(content_tuple().cast("binary"), 256))
+    nth = numbered(hashed, [H, file, "_hash"], [line], "_nth", ranges)
+    key = F.concat(F.lit("h:"), "_hash", F.lit("#"), (F.col("_nth") - 1).cast("string"))
+    return known.unionByName(nth.withColumn("dedup_key", key).drop("_hash", "_nth"))
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, line: str = "line_no") -> DataFrame:
