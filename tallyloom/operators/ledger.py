@@ -64,16 +64,17 @@ def settlement_candidates(facts: DataFrame, accounts: DataFrame) -> DataFrame:
     return near.where((F.col("debit_account") != F.col("card_account")) & (F.col("distance") <= SETTLEMENT_DAYS))
 
 
-def classify(facts: DataFrame, accounts: DataFrame) -> DataFrame:
+def classify(facts: DataFrame, accounts: DataFrame, paid: DataFrame | None = None) -> DataFrame:
     """Facts of the pot with flow, is_cash, mirror_credit and pattern_debit (a settlement debit that has a candidate).
 
     Order of the rules: reserve, pot, settlement, outgoing, refund, incoming, nothing. IBANs are compared as they stand.
+    `paid` (household_id, refund_key) is what ever went out, where facts are only a part of the ledger.
     """
     ring = rings(accounts).where("iban IS NOT NULL")
     reserve = ring.where("ring = 'reserve'").select(H, F.col("iban").alias("counterparty_iban"), F.lit(True).alias("to_reserve")).distinct()
     pot = ring.where("ring = 'pot'").select(H, F.col("iban").alias("counterparty_iban"), F.lit(True).alias("to_pot")).distinct()
     settled = settlement_candidates(facts, accounts).select(H, F.col("debit_id").alias("id"), F.lit(True).alias("has_import")).distinct()
-    paid = outgoing_keys(facts, accounts).withColumn("paid_before", F.lit(True))
+    paid = (outgoing_keys(facts, accounts) if paid is None else paid).withColumn("paid_before", F.lit(True))
     key = refund_key(F.col("counterparty_iban"), F.col("counterparty_name"), F.col("description"))
     rows = pot_facts(facts, accounts).withColumn("refund_key", key)
     rows = rows.join(reserve, [H, "counterparty_iban"], "left").join(pot, [H, "counterparty_iban"], "left").join(settled, [H, "id"], "left").join(paid, [H, "refund_key"], "left")

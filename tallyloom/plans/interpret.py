@@ -23,9 +23,10 @@ class Interpretation:
     links: DataFrame
 
 
-def interpret(facts: DataFrame, accounts: DataFrame, rules: DataFrame | None = None) -> Interpretation:
-    """Classify, allocate settlements (losers become spend), assign mirrors, pair what internal legs remain."""
-    flows = staged(ledger.classify(facts, accounts), "flows")  # read by each of the three matchings and by the rows
+def interpret(facts: DataFrame, accounts: DataFrame, rules: DataFrame | None = None, paid: DataFrame | None = None) -> Interpretation:
+    """Classify, allocate settlements (losers become spend), assign mirrors, pair what internal legs remain. `paid` as in
+    `ledger.classify`."""
+    flows = staged(ledger.classify(facts, accounts, paid), "flows")  # read by each of the three matchings and by the rows
     settled = staged(ledger.allocate_settlements(flows, facts, accounts), "settled")
     mirrors = ledger.assign_mirrors(flows, settled)
     won = settled.select(H, F.col("debit_id").alias("id"), F.lit(True).alias("won"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyloom.operators.dedup import align_reparse, ingest_report, new_rows, with_keys
 from tallyloom.sources.delimited import statements
 from tallyloom.sources.profile import recognised
+from tallyloom.sources.snapshots import PARTS, Snapshot, part_of
 from tallyloom.staging import staged
 
 H = "household_id"
@@ -84,11 +86,67 @@ def ingest(rows: DataFrame, stored: DataFrame, natural: bool = True) -> tuple[Da
     return added, ingest_report(keyed, added)
 
 
-def append(facts: DataFrame, path: str) -> None:
-    """Facts are only ever added; one writer at a time, partitioned by household and month for pruning."""
-    facts.withColumn("month", F.date_format("booking_date", "yyyy-MM")).write.mode("append").partitionBy(H, "month").parquet(path)
+#: Columns of stored facts, of their imports' states and of the profiles that files are read by.
+STORED = {
+    "facts": "household_id string, period string, id string, import_id string, account_id string, profile_id string, line_no long, booking_date date, value_date date, amount_cents long, description string, counterparty_iban string, counterparty_name string, reference string, statement_number string, sequence_number string, raw_line string, dedup_key string",
+    "states": "household_id string, period string, import_id string, status string",
+    "profiles": "household_id string, period string, profile_id string, spec string",
+}
 
 
-def replace(rows: DataFrame, path: str, by: list[str]) -> None:
-    """Overwrites just the partitions that rows fall into (interpretations, files parsed anew)."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def fact_store(spark: SparkSession, root: str, parts: int = PARTS) -> Snapshot:
+    return Snapshot(spark, root, {n: StructType.fromDDL(s) for n, s in STORED.items()}, parts)
+
+
+def _stored(rows: DataFrame, name: str, period: Column) -> DataFrame:
+    """rows with the columns of a stored table, null where they have none."""
+    rows = rows.withColumn("period", period)
+    fields = StructType.fromDDL(STORED[name])
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
+def put_facts(store: Snapshot, facts: DataFrame, states: DataFrame, profiles: DataFrame) -> int:
+    """A first version: facts by the year of their day, states (household_id, import_id, status), profiles (household_id,
+    profile_id, spec as a struct)."""
+    year = F.date_format("booking_date", "yyyy")
+    specs = profiles.withColumn("spec", F.to_json("spec"))
+    return store.commit({"facts": (_stored(facts, "facts", year), None), "states": (_stored(states, "states", F.lit("all")), None), "profiles": (_stored(specs, "profiles", F.lit("all")), None)})
+
+
+def rewrite(store: Snapshot, files: DataFrame) -> tuple[int, DataFrame]:
+    """Corrected profiles over their stored facts, in one switch: facts rewritten under their ids, imports that were
+    interpreted open again, specs replaced. A profile with a file that no longer parses is refused whole (second value);
+    a failure before the switch leaves everything as it was.
+
+    files: household_id, profile_id, import_order, import_id, content, spec (the corrected one), of all households touched.
+    """
+    homes = files.select(H).distinct()
+    stored = staged(store.read("facts", households=homes).join(files.select(H, "profile_id", "import_id").distinct(), [H, "profile_id", "import_id"], "left_semi"), "facts")
+    rewritten, refused = fix_profile(files, stored.select(H, "profile_id", "import_id", "account_id", "id", "raw_line", "dedup_key"))
+    rewritten = staged(rewritten, "rewritten")
+    gone = stored.join(rewritten.select(H, "id"), [H, "id"], "left_semi").select(H, "id", "period")
+    facts = store.splice("facts", _stored(rewritten, "facts", F.date_format("booking_date", "yyyy")), [H, "id"], gone)
+    opened = reopened(rewritten, store.read("states", households=homes))
+    states = store.splice("states", _stored(opened, "states", F.lit("all")), [H, "import_id"], opened.withColumn("period", F.lit("all")))
+    fixed = files.select(H, "profile_id", F.to_json("spec").alias("spec")).distinct().join(refused, [H, "profile_id"], "left_anti")
+    fixed = _stored(fixed, "profiles", F.lit("all"))
+    return store.commit({"facts": facts, "states": states, "profiles": store.splice("profiles", fixed, [H, "profile_id"], fixed)}), refused
+
+
+def append(facts: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Facts are only ever added; one writer at a time, partitioned by a hash of the household and by month."""
+    placed = facts.withColumns({"part": part_of(F.col(H), parts), "month": F.date_format("booking_date", "yyyy-MM")})
+    placed.write.mode("append").partitionBy("part", "month").parquet(path)
+
+
+def stored_keys(spark: SparkSession, path: str, rows: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(household_id, dedup_key) of the appended facts in the parts that rows fall into; other parts are not opened."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    empty = spark.createDataFrame([], "household_id string, dedup_key string")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return empty
+    touched = [r.part for r in rows.select(part_of(F.col(H), parts).alias("part")).distinct().collect()]  # at most `parts`
+    if not touched:
+        return empty
+    schema = "household_id string, dedup_key string, part int, month string"
+    return spark.read.schema(schema).parquet(path).where(F.col("part").isin(touched)).select(H, "dedup_key")

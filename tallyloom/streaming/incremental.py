@@ -7,23 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyloom.sources.ingest import append, ingest
+from tallyloom.sources.ingest import append, ingest, stored_keys
 
 
 def stream_ingest(rows: DataFrame, facts_path: str, checkpoint: str, natural: bool = True, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Appends what is new of a stream of parsed rows to the facts at a path; `after` gets each batch's new facts.
 
-    A batch that is run again after a failure finds its rows stored and adds nothing, so each row is added once.
+    Keys are looked up in the parts that the batch's households fall into. A batch that is run again after a failure finds its rows stored and adds nothing, so each row is added once.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        try:
-            stored = spark.read.parquet(facts_path).select("household_id", "dedup_key")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-            stored = spark.createDataFrame([], "household_id string, dedup_key string")
+        stored = stored_keys(df.sparkSession, facts_path, df)
         added, _report = ingest(df, stored, natural)
         append(added, facts_path)
         if after is not None:
