@@ -11,13 +11,17 @@ from tallyloom.staging import staged
 
 H = "household_id"
 TIERS = ("EXACT", "PREFIX", "PATTERN")
+#: Letters of a literal between stars by which a glob is found.
+GRAM = 8
 
 
 def match_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """(household_id, text, merchant_id, rule_id) for distinct normalised texts that a rule takes.
 
-    Exact rules are an equi-join, prefix rules one by the texts' beginnings of the lengths that rules have, globs one by
-    the longer of the literal ends of the glob. Only globs that begin and end with a star meet all texts of a household.
+    Exact rules are an equi-join, prefix rules one by the texts' beginnings of the lengths that rules have. A glob is filed
+    under its longest literal: its end, if that is the longest, or else the first GRAM letters of the longest one between
+    its stars, which meet the texts' own runs of letters of that length. Globs of stars alone match all texts alike, so
+    only the best one of a household takes part. No rule meets all texts of a household but that.
     Longest pattern, smallest pattern, smallest id win inside a tier; an exact rule beats a prefix, a prefix a glob. Empty
     texts and patterns match nothing.
     """
@@ -29,14 +33,20 @@ def match_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
     cut = keys.join(sizes, H).withColumn("size", F.explode("sizes")).where(F.length("text") >= F.col("size")).withColumn("pattern", F.expr("left(text, size)")).drop("sizes")
     prefix = cut.join(prefixes, [H, "size", "pattern"])
     globs = rules.where("kind = 'PATTERN'").withColumn("shape", glob_to_regex(F.col("pattern")))
-    head, tail = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
-    ends = F.when(F.length(head) >= F.length(tail), F.struct(F.lit("head").alias("side"), head.alias("part"))).otherwise(F.struct(F.lit("tail").alias("side"), tail.alias("part")))
-    globs = globs.withColumn("end", ends).select("*", "end.side", "end.part", F.length("end.part").alias("size")).drop("end")
-    narrow = globs.where("size > 0")
+    literals = F.filter(F.split("pattern", r"\*"), lambda x: x != "")
+    longest = F.array_sort(F.transform(literals, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x"))))[0]["x"]
+    ends = [F.struct(F.lit(side).alias("side"), F.substring_index("pattern", "*", n).alias("part")) for side, n in (("head", 1), ("tail", -1))]
+    end = F.when(F.length(ends[0]["part"]) >= F.length(ends[1]["part"]), ends[0]).otherwise(ends[1])
+    inner = F.struct(F.lit("in").alias("side"), F.left(longest, F.lit(GRAM)).alias("part"))
+    globs = globs.withColumn("filed", F.when(F.size(literals) > 0, F.when(F.length(end["part"]) >= F.least(F.length(longest), F.lit(GRAM)), end).otherwise(inner)))
+    narrow = globs.where("filed IS NOT NULL").select("*", "filed.*", F.length("filed.part").alias("size"))
     asked = narrow.groupBy(H).agg(F.collect_set(F.struct("side", "size")).alias("asked"))
     cut = keys.join(asked, H).select(H, "text", F.explode("asked").alias("a")).select(H, "text", "a.side", "a.size").where("length(text) >= size")
-    cut = cut.withColumn("part", F.expr("CASE WHEN side = 'head' THEN left(text, size) ELSE right(text, size) END"))
-    glob = cut.join(narrow, [H, "side", "size", "part"]).select(H, "text", *(c for c in globs.columns if c != H)).unionByName(keys.join(globs.where("size = 0"), H)).where(F.expr("text rlike shape"))
+    runs = F.expr("array_distinct(transform(sequence(1, length(text) - size + 1), i -> substr(text, i, size)))")
+    parts = F.when(F.col("side") == "head", F.array(F.expr("left(text, size)"))).when(F.col("side") == "tail", F.array(F.expr("right(text, size)"))).otherwise(runs)
+    met = cut.withColumn("part", F.explode(parts)).join(narrow, [H, "side", "size", "part"]).where(F.expr("text rlike shape"))
+    plain = globs.where("filed IS NULL").groupBy(H).agg(F.min(F.struct(-F.length("pattern"), "pattern", "rule_id", "merchant_id", "kind")).alias("b")).select(H, "b.pattern", "b.rule_id", "b.merchant_id", "b.kind")
+    glob = met.select(H, "text", "merchant_id", "rule_id", "kind", "pattern").unionByName(keys.join(plain, H))
     cols = [H, "text", "merchant_id", "rule_id", "kind", "pattern"]
     every = exact.select(*cols).unionByName(prefix.select(*cols)).unionByName(glob.select(*cols))
     tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("kind"))

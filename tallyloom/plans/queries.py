@@ -270,6 +270,19 @@ def rule_resolution(spark: SparkSession, d: str) -> DataFrame:
     return merchants.match_rules(texts, book.rules)
 
 
+_GLOBS = """SELECT household_id, id, merchant_id, 'PATTERN' AS kind, CASE CAST(right(id, 2) AS INT) % 5 WHEN 0 THEN concat('*', bare, '*') WHEN 1 THEN concat('*', left(bare, 3), '*', right(bare, 1), '*') WHEN 2 THEN concat('*', substr(bare, 2, 20)) WHEN 3 THEN concat(left(bare, 2), '*', right(bare, 3)) ELSE concat('*', repeat('*', CAST(right(id, 1) AS INT) % 3)) END AS pattern
+ FROM (SELECT *, replace(pattern, '*', '') AS bare FROM {rules})"""
+
+
+@query("glob_resolution", "merch", f", g AS ({_GLOBS.format(rules='rules')}), m AS (SELECT t.household_id, t.text, r.id AS rule_id, r.merchant_id, row_number() OVER (PARTITION BY t.household_id, t.text ORDER BY length(r.pattern) DESC, r.pattern, r.id) AS rn FROM (SELECT DISTINCT household_id, text FROM ntexts) t JOIN g r ON r.household_id = t.household_id AND t.text GLOB r.pattern) SELECT household_id, text, merchant_id, rule_id FROM m WHERE rn = 1")
+def glob_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of all counted rows under globs with stars on both ends, between, and alone."""
+    book, found = _interpreted(spark, d)
+    raw = text.counterparty_text(F.col("counterparty_name"), F.col("description"))
+    texts = found.rows.where("flow IN ('INCOME', 'SPEND')").select(H, raw.alias("raw")).distinct().select(H, text.normalise_counterparty(F.col("raw")).alias("text"))
+    return merchants.match_rules(texts, spark.sql(_GLOBS.format(rules="{rules}"), rules=book.rules))
+
+
 @query("resolved_rows", "merch", "SELECT household_id, id, flow, merchant_id, normal_text FROM resolved")
 def resolved_rows(spark: SparkSession, d: str) -> DataFrame:
     return _interpreted(spark, d, rules=True)[1].rows.select(H, "id", "flow", "merchant_id", "normal_text")

@@ -123,6 +123,29 @@ def test_rules_by_tier_and_specificity(spark):
     assert {r.text: r.merchant_id for r in merchants.match_rules(keys, rules).collect()} == {"SHOP 12": "m3", "SHOP 13": "m2", "SHOP 3": "m1", "CHOPIN": "m5", "COPY": "m4"}
 
 
+def test_globs_by_their_longest_literal(spark):
+    import fnmatch
+    import random
+
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("AB*") for _ in range(n))
+    patterns = sorted({word(r.randint(1, 14)) for _ in range(120)} | {"*", "**", "*ABABABABAB*", "A*B", "*A.B*"})
+    rules = spark.createDataFrame([("h", f"{n:03}", f"m{n}", "PATTERN", p) for n, p in enumerate(patterns)] + [("g", "x", "mg", "PATTERN", "*ABA*")], "household_id string, id string, merchant_id string, kind string, pattern string")
+    texts = sorted({word(r.randint(1, 16)).replace("*", "C") for _ in range(150)} | {"XA.BX", "XABABABABABX"})
+    keys = spark.createDataFrame([(h, t) for h in "gh" for t in texts], "household_id string, text string")
+    want = {}
+    for t in texts:
+        fits = [(-len(p), p, f"{n:03}") for n, p in enumerate(patterns) if fnmatch.fnmatchcase(t, p)]
+        want["h", t] = min(fits)[2]
+        if "ABA" in t:
+            want["g", t] = "x"
+    assert {(x.household_id, x.text): x.rule_id for x in merchants.match_rules(keys, rules).collect()} == want
+    # without a glob of stars alone no join is by household only
+    some = merchants.match_rules(keys, rules.where("pattern = '*ABA*'"))
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "part" in plan
+
+
 def test_dedup_ordinals_and_idempotent_ingest(spark):
     rows = spark.createDataFrame([("h", "a", f, n, D0, 100, "x", None, None, s, s and "1") for f, n, s in (("f", 1, None), ("f", 2, None), ("f", 3, "9"), ("g", 1, None))], "household_id string, account_id string, import_id string, line_no long, booking_date date, amount_cents long, description string, counterparty_name string, reference string, statement_number string, sequence_number string")
     keyed = dedup.with_keys(rows)
