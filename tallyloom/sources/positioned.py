@@ -17,6 +17,7 @@ from tallyloom.constants import INDENT, LINE_Y_TOLERANCE, WORD_GAP
 from tallyloom.functions.dates import parse_date
 from tallyloom.functions.money import WS, parse_cents
 from tallyloom.functions.text import first_foreign_iban
+from tallyloom.staging import staged
 
 H = ["household_id", "file_id"]
 #: The layout's texts.
@@ -110,17 +111,23 @@ def statements(found: DataFrame, asked: DataFrame | None = None) -> tuple[DataFr
     body = body.withColumn("kind", kind)
     so_far = page.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     body = body.withColumn("last", F.last(F.when(F.col("kind").isin("band", "balance", "start"), F.col("kind")), ignorenulls=True).over(so_far))
-    whole = Window.partitionBy(*H).orderBy("page", "line_no")
-    body = body.withColumn("block", F.sum((F.col("kind") == "start").cast("int")).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    begins = F.when(F.col("kind") == "start", F.regexp_extract("text", START, 1).cast("int"))
+    body = body.withColumns({"begins": begins, "nth": F.count(begins).over(so_far), "above": F.last(begins, ignorenulls=True).over(page.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))})
+    body = staged(body.drop("margin", "marker", "annex"), "body")  # read by each of the summaries below
+    # blocks and sequence numbers run on over pages: a scan of one row a page carries both
+    each = body.groupBy(*H, "page").agg(F.count("begins").alias("starts"), F.max_by("begins", F.when(F.col("begins").isNotNull(), F.col("line_no"))).alias("ends_with"))
+    pages = Window.partitionBy(*H).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.select(*H, "page", F.coalesce(F.sum("starts").over(pages), F.lit(0)).alias("before"), F.last("ends_with", ignorenulls=True).over(pages).alias("carried"))
+    body = body.join(carried, [*H, "page"]).withColumns({"block": F.col("before") + F.col("nth"), "gap": F.col("begins") - F.coalesce("above", "carried")})
     stray = body.where("kind = 'other' AND last = 'start'").groupBy(*H).agg(F.min(F.struct("page", "line_no", F.lit("unrecognized-line").alias("reason"))).alias("e"))
     blocks = body.where("last = 'start' AND kind IN ('start', 'indented')").groupBy(*H, "block").agg(
         F.max(F.when(F.col("kind") == "start", t)).alias("start"),
+        F.max("gap").alias("gap"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "indented", F.struct("page", "line_no", "text")))), lambda s: s["text"]).alias("said"),
     )
     part = lambda n: F.regexp_extract("start", START, n)
     dash = lambda c: F.translate(c, "-", "/")
-    blocks = blocks.select(*H, "block", "start", "said", part(1).alias("sequence_number"), parse_date(dash(part(2)), "DD/MM/YYYY").alias("booking_date"), parse_date(dash(part(3)), "DD/MM/YYYY").alias("value_date"), parse_cents(part(4), "comma").alias("amount_cents"))
-    blocks = blocks.withColumn("gap", F.col("sequence_number").cast("int") - F.lag(F.col("sequence_number").cast("int")).over(Window.partitionBy(*H).orderBy("block")))
+    blocks = blocks.select(*H, "block", "gap", "start", "said", part(1).alias("sequence_number"), parse_date(dash(part(2)), "DD/MM/YYYY").alias("booking_date"), parse_date(dash(part(3)), "DD/MM/YYYY").alias("value_date"), parse_cents(part(4), "comma").alias("amount_cents"))
     bands = body.where("kind = 'band'").groupBy(*H, F.regexp_replace(F.regexp_extract("text", BAND, 1), f"{WS}", "").alias("iban")).agg(F.min(F.struct("page", "line_no")).alias("at"))
     own = bands.groupBy(*H).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "iban"))), lambda s: s["iban"]).alias("account_ibans"))
     cents = parse_cents(F.regexp_extract("text", BALANCE_LINE, 2), "comma")

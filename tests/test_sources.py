@@ -84,6 +84,27 @@ def test_positioned_statements_and_their_gates(spark):
     assert got == [(2000, "2026-08-02", "BE22222222222222", "BE11111111111111", "FROM BE22 2222 2222 2222 BOSS"), (-1000, "2026-08-04", None, "BE11111111111111", "SALDO OP LOOKALIKE")]
 
 
+def test_blocks_and_sequences_run_on_over_pages(spark):
+    def page(n, numbers, extra=()):
+        runs = [(800, 40, "Belfius Bank NV"), (780, 40, f"BLZ. : {n + 1}/5"), *extra]
+        for i, number in enumerate(numbers):
+            runs += [(700 - 30 * i, 40, f"{number:04} 02-08-2026 (VAL. 03-08-2026) + 1,00"), (690 - 30 * i, 60, f"SAID {number}")]
+        return [(n, float(y), float(x), t) for y, x, t in runs]
+
+    def file(name, numbers):
+        head = [(770, 40, "-- BE11 1111 1111 1111 --"), (760, 40, "SALDO OP 01-08-2026 EUR + 0,00")]
+        total = sum(map(len, numbers))
+        rows = [r for n, some in enumerate(numbers) for r in page(n, some, head if n == 0 else ())]
+        rows += [(len(numbers) - 1, 100.0, 40.0, f"SALDO OP 31-08-2026 EUR + {total},00")]
+        return [("h", name, n, x, y, 100.0, t) for n, y, x, t in rows]
+
+    # a page without a transaction in between carries on; a hole between two pages breaks the file
+    items = file("good", [[1, 2, 3], [], [4], [5, 6]]) + file("hole", [[1, 2], [], [4, 5]]) + file("again", [[1, 2], [2, 3]])
+    rows, bad = positioned.statements(positioned.lines(spark.createDataFrame(items, ITEM)))
+    assert {r.file_id: r.reason for r in bad.collect()} == {"hole": "sequence-order", "again": "sequence-order"}
+    assert [(r.line_no, r.sequence_number, r.description) for r in rows.orderBy("line_no").collect()] == [(n, f"{n:04}", f"SAID {n}") for n in range(1, 7)]
+
+
 def test_stream_ingest_adds_each_row_once(spark, tmp_path):
     from tallyloom.streaming.incremental import stream_ingest
 
