@@ -706,3 +706,25 @@ _NUMBERED = "(row_number() OVER (PARTITION BY f.household_id, f.account_id, year
 def positioned_statements(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = positioned.statements(positioned.lines(statement_items(Ledger(spark, d))))
     return rows.select(H, "file_id", "line_no", "booking_date", "amount_cents", "description", "counterparty_iban", "account_iban")
+
+
+#: An invented layout beside the registered one: statements of savings, whose numbers begin anew and tell no rows apart.
+SAVINGS = positioned.Layout("savings-nl", 3, "Rekenuittreksel Sparen", "STAND OP ", "BIJLAGE", r"^PAGINA \d+/\d+$", positioned.BAND, positioned.BALANCE_LINE.replace("SALDO", "STAND"), positioned.START, natural=False)
+
+
+@query("template_gates", "facts", f"SELECT household_id, file_id, CASE k % 5 WHEN 1 THEN 'unknown-template' WHEN 2 THEN 'template-version' WHEN 3 THEN 'layout-unsupported' END AS reason, CASE WHEN k % 5 IN (0, 4) THEN n ELSE 0 END AS n_rows, k % 5 = 0 AS natural_key FROM (SELECT household_id, file_id, CAST(substr(file_id, 2, 9) AS INT) // 10 AS k, count(*) AS n FROM (SELECT f.household_id, {_FILE} || '-' || CAST({_NUMBERED} // {STATEMENT_ROWS} AS VARCHAR) AS file_id FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT') GROUP BY 1, 2)")
+def template_gates(spark: SparkSession, d: str) -> DataFrame:
+    """All statements under two layouts: a fifth each asks for the one it has, for one that nobody knows, for another
+    version, for the other layout, and is in the second layout and asks for that."""
+    items = statement_items(Ledger(spark, d))
+    kind = F.floor(F.substring("file_id", 2, 9).cast("int") / 10) % 5
+    said = F.replace(F.replace(F.replace("text", F.lit(positioned.FINGERPRINT), F.lit(SAVINGS.fingerprint)), F.lit("BLZ. : "), F.lit("PAGINA ")), F.lit("SALDO OP"), F.lit("STAND OP"))
+    items = items.withColumn("text", F.when(kind == 4, said).otherwise(F.col("text")))
+    found = staged(positioned.lines(items), "lines")
+    files = found.select(H, "file_id").distinct()
+    name = F.when(kind == 1, "nobody-knows").when(kind >= 3, SAVINGS.id).otherwise(positioned.LAYOUT)
+    version = F.when(kind == 2, positioned.VERSION + 1).when(kind >= 3, SAVINGS.version).otherwise(positioned.VERSION)
+    asked = files.withColumns({"template_id": name, "template_version": version})
+    rows, bad = positioned.statements(found, asked, (*positioned.REGISTRY, SAVINGS))
+    whole = rows.groupBy(H, "file_id").agg(F.count(F.lit(1)).alias("n_rows"), F.bool_and("natural_key").alias("natural_key"))
+    return files.join(bad, [H, "file_id"], "left").join(whole, [H, "file_id"], "left").select(H, "file_id", "reason", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), F.coalesce("natural_key", F.lit(False)).alias("natural_key"))

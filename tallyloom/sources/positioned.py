@@ -6,11 +6,12 @@ any function from bytes to pages of runs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.constants import INDENT, LINE_Y_TOLERANCE, WORD_GAP
@@ -30,6 +31,33 @@ BALANCE_LINE = rf"^SALDO OP (\d{{2}}-\d{{2}}-\d{{4}})(?:\s+\d{{2}}:\d{{2}})?\s+E
 START = rf"^(\d{{4}})\s(\d{{2}}-\d{{2}}-\d{{4}})\s\(VAL\.\s(\d{{2}}-\d{{2}}-\d{{4}})\)\s+({AMOUNT})$"
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How a kind of statement is known and read. A file has it if some line holds the fingerprint and some line begins with
+    the balance's words. `band` has the own IBAN, `balance_line` the day and amount, `start` the number, booking day, value
+    day and amount of a transaction as groups. `natural`: statement and sequence numbers tell rows apart for good."""
+
+    id: str
+    version: int
+    fingerprint: str
+    balance: str
+    annex: str
+    page_marker: str
+    band: str
+    balance_line: str
+    start: str
+    natural: bool = True
+
+
+#: In the order in which files are tried.
+REGISTRY = (Layout(LAYOUT, VERSION, FINGERPRINT, BALANCE, ANNEX, PAGE_MARKER, BAND, BALANCE_LINE, START),)
+
+
+def _by_layout(registry: Sequence[Layout], value: Callable[[Layout], Column]) -> Column:
+    """What the row's layout says; null where it has none."""
+    return F.coalesce(*(F.when(F.col("layout") == r.id, value(r)) for r in registry))
+
+
 def items_from_bytes(files: DataFrame, extract: Callable[[bytes], Iterable[Iterable[tuple[float, float, float, str]]]]) -> DataFrame:
     """Items of files (content binary) by an extractor that yields, per page, (x, y, width, text); a file it fails on has none."""
     names = ("household_id", "file_id", "page", "x", "y", "width", "text")
@@ -80,10 +108,16 @@ def lines(items: DataFrame) -> DataFrame:
     return items.where("text IS NOT NULL").groupBy(*H, "page").applyInPandas(walk, "household_id string, file_id string, page int, line_no int, text string, x double")
 
 
-def layouts(found: DataFrame) -> DataFrame:
+def _fitting(found: DataFrame, registry: Sequence[Layout]) -> DataFrame:
+    """(household_id, file_id, fits): the layouts whose marks a file has, in their order."""
+    has = [F.bool_or(F.col("text").contains(r.fingerprint)) & F.bool_or(F.col("text").startswith(r.balance)) for r in registry]
+    return found.groupBy(*H).agg(F.array_compact(F.array(*(F.when(h, F.lit(r.id)) for h, r in zip(has, registry)))).alias("fits"))
+
+
+def layouts(found: DataFrame, registry: Sequence[Layout] = REGISTRY) -> DataFrame:
     """(household_id, file_id, template_id, template_version) of the first registered layout whose marks a file has."""
-    marks = found.groupBy(*H).agg(F.bool_or(F.col("text").contains(FINGERPRINT)).alias("a"), F.bool_or(F.col("text").startswith(BALANCE)).alias("b"))
-    return marks.select(*H, F.when(F.col("a") & F.col("b"), LAYOUT).alias("template_id"), F.when(F.col("a") & F.col("b"), VERSION).alias("template_version"))
+    of = _fitting(found, registry).select(*H, F.try_element_at("fits", F.lit(1)).alias("layout"))
+    return of.select(*H, F.col("layout").alias("template_id"), _by_layout(registry, lambda r: F.lit(r.version)).alias("template_version"))
 
 
 def stale(found: DataFrame, stored: DataFrame) -> DataFrame:
@@ -95,23 +129,34 @@ def stale(found: DataFrame, stored: DataFrame) -> DataFrame:
     return known.join(same, ["household_id", "template_id", "template_version"], "left").where("_same IS NULL").select(*found.columns)
 
 
-def statements(found: DataFrame, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def statements(found: DataFrame, asked: DataFrame | None = None, registry: Sequence[Layout] = REGISTRY) -> tuple[DataFrame, DataFrame]:
     """Rows of the files that parse whole and whose balances agree, and the others with a reason. found: `lines`.
 
     asked (household_id, file_id, template_id, template_version), if given, is the layout that each file's profile names: a
-    file without one, with an unknown one or with another version than the one registered fails.
+    file without one, with an unknown one or with another version than the one registered fails, and one without the marks
+    of the layout named is not read by another. Without it a file is read by the first layout whose marks it has.
     """
+    says = lambda value: _by_layout(registry, value)
+    fits = _fitting(found, registry)
+    if asked is None:
+        read_by = fits.select(*H, F.try_element_at("fits", F.lit(1)).alias("layout"), F.lit(None).cast("string").alias("gate"))
+    else:
+        named = asked.select(*H, F.col("template_id").alias("layout"), F.col("template_version").alias("_version"))
+        gate = F.when(~F.coalesce(F.col("layout").isin([r.id for r in registry]), F.lit(False)), "unknown-template").when(~F.col("_version").eqNullSafe(says(lambda r: F.lit(r.version))), "template-version")
+        read_by = fits.join(named, H, "left").select(*H, F.when(F.array_contains("fits", F.col("layout")), F.col("layout")).alias("layout"), gate.alias("gate"))
+    read_by = staged(read_by, "layouts")
+    found = found.join(read_by.drop("gate"), H)
     page = Window.partitionBy(*H, "page")
-    marked = found.withColumn("marker", F.min(F.when(F.col("text").rlike(PAGE_MARKER), F.col("line_no"))).over(page))
+    marked = found.withColumn("marker", F.min(F.when(says(lambda r: F.col("text").rlike(r.page_marker)), F.col("line_no"))).over(page))
     lost = marked.where("marker IS NULL").groupBy(*H).agg(F.min("page").alias("page")).select(*H, F.struct("page", F.lit(-1).alias("line_no"), F.lit("page-marker").alias("reason")).alias("e"))
     body = marked.where("line_no > marker")
-    body = body.withColumn("annex", F.first(F.col("text").startswith(ANNEX)).over(page.orderBy("line_no"))).where("NOT annex").withColumn("margin", F.min("x").over(page))
+    body = body.withColumn("annex", F.coalesce(F.first(says(lambda r: F.col("text").startswith(r.annex))).over(page.orderBy("line_no")), F.lit(False))).where("NOT annex").withColumn("margin", F.min("x").over(page))
     t = F.col("text")
-    kind = F.when(F.col("x") >= F.col("margin") + INDENT, "indented").when(t.rlike(BAND), "band").when(t.rlike(BALANCE_LINE), "balance").when(t.rlike(START), "start").otherwise("other")
+    kind = F.when(F.col("x") >= F.col("margin") + INDENT, "indented").when(says(lambda r: t.rlike(r.band)), "band").when(says(lambda r: t.rlike(r.balance_line)), "balance").when(says(lambda r: t.rlike(r.start)), "start").otherwise("other")
     body = body.withColumn("kind", kind)
     so_far = page.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     body = body.withColumn("last", F.last(F.when(F.col("kind").isin("band", "balance", "start"), F.col("kind")), ignorenulls=True).over(so_far))
-    begins = F.when(F.col("kind") == "start", F.regexp_extract("text", START, 1).cast("int"))
+    begins = F.when(F.col("kind") == "start", says(lambda r: F.regexp_extract("text", r.start, 1)).try_cast("int"))
     body = body.withColumns({"begins": begins, "nth": F.count(begins).over(so_far), "above": F.last(begins, ignorenulls=True).over(page.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))})
     body = staged(body.drop("margin", "marker", "annex"), "body")  # read by each of the summaries below
     # blocks and sequence numbers run on over pages: a scan of one row a page carries both
@@ -120,32 +165,27 @@ def statements(found: DataFrame, asked: DataFrame | None = None) -> tuple[DataFr
     carried = each.select(*H, "page", F.coalesce(F.sum("starts").over(pages), F.lit(0)).alias("before"), F.last("ends_with", ignorenulls=True).over(pages).alias("carried"))
     body = body.join(carried, [*H, "page"]).withColumns({"block": F.col("before") + F.col("nth"), "gap": F.col("begins") - F.coalesce("above", "carried")})
     stray = body.where("kind = 'other' AND last = 'start'").groupBy(*H).agg(F.min(F.struct("page", "line_no", F.lit("unrecognized-line").alias("reason"))).alias("e"))
-    blocks = body.where("last = 'start' AND kind IN ('start', 'indented')").groupBy(*H, "block").agg(
+    blocks = body.where("last = 'start' AND kind IN ('start', 'indented')").groupBy(*H, "layout", "block").agg(
         F.max(F.when(F.col("kind") == "start", t)).alias("start"),
         F.max("gap").alias("gap"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "indented", F.struct("page", "line_no", "text")))), lambda s: s["text"]).alias("said"),
     )
-    part = lambda n: F.regexp_extract("start", START, n)
+    part = lambda n: says(lambda r: F.regexp_extract("start", r.start, n))
     dash = lambda c: F.translate(c, "-", "/")
-    blocks = blocks.select(*H, "block", "gap", "start", "said", part(1).alias("sequence_number"), parse_date(dash(part(2)), "DD/MM/YYYY").alias("booking_date"), parse_date(dash(part(3)), "DD/MM/YYYY").alias("value_date"), parse_cents(part(4), "comma").alias("amount_cents"))
-    bands = body.where("kind = 'band'").groupBy(*H, F.regexp_replace(F.regexp_extract("text", BAND, 1), f"{WS}", "").alias("iban")).agg(F.min(F.struct("page", "line_no")).alias("at"))
+    blocks = blocks.select(*H, "layout", "block", "gap", "start", "said", part(1).alias("sequence_number"), parse_date(dash(part(2)), "DD/MM/YYYY").alias("booking_date"), parse_date(dash(part(3)), "DD/MM/YYYY").alias("value_date"), parse_cents(part(4), "comma").alias("amount_cents"))
+    bands = body.where("kind = 'band'").groupBy(*H, F.regexp_replace(says(lambda r: F.regexp_extract("text", r.band, 1)), f"{WS}", "").alias("iban")).agg(F.min(F.struct("page", "line_no")).alias("at"))
     own = bands.groupBy(*H).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "iban"))), lambda s: s["iban"]).alias("account_ibans"))
-    cents = parse_cents(F.regexp_extract("text", BALANCE_LINE, 2), "comma")
+    cents = parse_cents(says(lambda r: F.regexp_extract("text", r.balance_line, 2)), "comma")
     place = F.struct("page", "line_no")
     balances = body.where("kind = 'balance'").groupBy(*H).agg(F.count(F.lit(1)).alias("n_balances"), F.min_by(cents, place).alias("opening_cents"), F.max_by(cents, place).alias("closing_cents"))
     sums = blocks.groupBy(*H).agg(F.sum("amount_cents").alias("moved"), F.bool_or(F.coalesce(F.col("gap") != 1, F.lit(False))).alias("broken"), F.bool_or(F.col("booking_date").isNull() | F.col("value_date").isNull()).alias("undated"))
     state = found.select(*H).distinct()
-    for other in (sums, own, balances, layouts(found), lost.withColumnRenamed("e", "lost"), stray.withColumnRenamed("e", "stray")):
+    for other in (sums, own, balances, read_by, lost.withColumnRenamed("e", "lost"), stray.withColumnRenamed("e", "stray")):
         state = state.join(other, H, "left")
-    if asked is None:
-        gate = F.lit(None).cast("string")
-    else:
-        state = state.join(asked.select(*H, F.col("template_id").alias("_id"), F.col("template_version").alias("_version")), H, "left")
-        gate = F.when(F.coalesce(F.col("_id"), F.lit("")) != LAYOUT, "unknown-template").when(F.coalesce(F.col("_version"), F.lit(-1)) != VERSION, "template-version")
     first = F.least(F.col("lost"), F.col("stray"))  # the earlier of the two; null only if there is neither
     reason = (
-        F.when(gate.isNotNull(), gate)
-        .when(F.col("template_id").isNull(), "layout-unsupported")
+        F.when(F.col("gate").isNotNull(), F.col("gate"))
+        .when(F.col("layout").isNull(), "layout-unsupported")
         .when(first.isNotNull(), first["reason"])
         .when(F.col("broken"), "sequence-order")
         .when(F.col("account_ibans").isNull(), "no-account-iban")
@@ -157,6 +197,6 @@ def statements(found: DataFrame, asked: DataFrame | None = None) -> tuple[DataFr
     said = F.array_join("said", " ")
     rows = blocks.join(state.where("reason IS NULL").select(*H, "account_ibans"), H).select(
         *H, F.col("block").cast("long").alias("line_no"), "booking_date", "value_date", "amount_cents", said.alias("description"), F.concat_ws("\n", "start", "said").alias("raw_line"),
-        first_foreign_iban(said, F.col("account_ibans")).alias("counterparty_iban"), F.date_format("booking_date", "yyyy").alias("statement_number"), "sequence_number", F.try_element_at("account_ibans", F.lit(1)).alias("account_iban"),
+        first_foreign_iban(said, F.col("account_ibans")).alias("counterparty_iban"), F.date_format("booking_date", "yyyy").alias("statement_number"), "sequence_number", F.try_element_at("account_ibans", F.lit(1)).alias("account_iban"), says(lambda r: F.lit(r.natural)).alias("natural_key"),
     )
     return rows, state.where("reason IS NOT NULL").select(*H, "reason")
