@@ -728,3 +728,18 @@ def template_gates(spark: SparkSession, d: str) -> DataFrame:
     rows, bad = positioned.statements(found, asked, (*positioned.REGISTRY, SAVINGS))
     whole = rows.groupBy(H, "file_id").agg(F.count(F.lit(1)).alias("n_rows"), F.bool_and("natural_key").alias("natural_key"))
     return files.join(bad, [H, "file_id"], "left").join(whole, [H, "file_id"], "left").select(H, "file_id", "reason", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), F.coalesce("natural_key", F.lit(False)).alias("natural_key"))
+
+
+_SPECS = """SELECT s_suppkey AS k, CASE s_suppkey % 9 WHEN 7 THEN '|' WHEN 8 THEN ',' ELSE ';' END AS delimiter, CASE s_suppkey % 7 WHEN 3 THEN 'latin' ELSE 'utf-8' END AS encoding, CAST(s_suppkey % 11 - 1 AS INT) AS header_row_index,
+ CASE s_suppkey % 3 WHEN 0 THEN 'signed' WHEN 1 THEN 'debitCredit' ELSE 'indicator' END AS amount_kind, CAST(s_suppkey % 8 - 1 AS INT) AS a, CAST(s_nationkey % 9 - 1 AS INT) AS b, CASE s_nationkey % 4 WHEN 0 THEN 'd' ELSE 'C' END AS mark, CAST(s_nationkey % 10 - 1 AS INT) AS said, CAST(s_nationkey % 6 - 1 AS INT) AS value_date FROM {supplier}"""
+
+
+@query("spec_checks", None, f"SELECT k, CASE WHEN delimiter NOT IN (';', ',') THEN 'delimiter' WHEN encoding NOT IN ('utf-8', 'windows-1252') THEN 'encoding' WHEN header_row_index < 0 THEN 'header_row_index' WHEN a < 0 OR amount_kind <> 'signed' AND b < 0 THEN 'amount' WHEN amount_kind = 'indicator' AND upper(mark) = 'D' THEN 'indicator' WHEN said < 0 OR value_date < 0 THEN 'columns' END AS problem FROM ({_SPECS.format(supplier='supplier')})")
+def spec_checks(spark: SparkSession, d: str) -> DataFrame:
+    """A profile for each supplier, written as JSON, many of them with one thing or another wrong."""
+    raw = spark.sql(_SPECS, supplier=spark.read.parquet(f"{d}/supplier.parquet"))
+    only = lambda kind, column: F.when(F.col("amount_kind") == kind, F.col(column))
+    amount = F.struct(F.col("amount_kind").alias("kind"), F.when(F.col("amount_kind") != "debitCredit", F.col("a")).alias("column"), only("debitCredit", "a").alias("debit_column"), only("debitCredit", "b").alias("credit_column"), only("indicator", "b").alias("indicator_column"), F.lit("D").alias("debit_value"), F.col("mark").alias("credit_value"))
+    columns = F.struct(F.lit(0).alias("booking_date"), F.col("said").alias("description"), "value_date")
+    spec = F.to_json(F.struct("delimiter", "encoding", "header_row_index", F.lit("DD/MM/YYYY").alias("date_format"), F.lit("comma").alias("decimal_style"), amount.alias("amount"), columns.alias("columns")))
+    return profile.spec_problems(raw.select("k", spec.alias("spec"))).select("k", "problem")

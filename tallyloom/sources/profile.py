@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -213,3 +214,28 @@ def spec_problem(spec: dict) -> str | None:
     if not all(index(cols.get(c)) for c in ("booking_date", "description")) or not all(v is None or index(v) for v in cols.values()):
         return "columns"
     return None
+
+
+def spec_problems(specs: DataFrame, spec: str = "spec") -> DataFrame:
+    """specs (column `spec`: JSON texts) with `problem`: what `spec_problem` says of each, found without Python. A text that
+    is no JSON is not an object."""
+    v = F.try_parse_json(F.col(spec))
+    at = lambda path: F.try_variant_get(v, path, "variant")
+    sort = lambda path: F.coalesce(F.schema_of_variant(at(path)), F.lit("missing"))
+    index = lambda path: (sort(path) == "BIGINT") & F.coalesce(F.try_variant_get(v, path, "bigint") >= 0, F.lit(False))
+    text = lambda path: F.when(sort(path) == "STRING", F.try_variant_get(v, path, "string"))
+    fits = lambda name, known: F.coalesce(text(f"$.{name}").isin(list(known)), F.lit(False))
+    kind = F.when(sort("$.kind") == "missing", F.lit("delimited")).otherwise(F.coalesce(text("$.kind"), F.lit("")))
+    by_kind = {"signed": ("column",), "debitCredit": ("debit_column", "credit_column"), "indicator": ("column", "indicator_column")}
+    amount = F.coalesce(text("$.amount.kind"), F.lit(""))
+    amounts = reduce(Column.__or__, [(amount == k) & reduce(Column.__and__, [index(f"$.amount.{c}") for c in cs]) for k, cs in by_kind.items()])
+    marks = [F.coalesce(text(f"$.amount.{m}"), F.lit("")) for m in ("debit_value", "credit_value")]
+    marked = (marks[0] != "") & (marks[1] != "") & (F.upper(marks[0]) != F.upper(marks[1]))
+    number = lambda x: (F.schema_of_variant(x) == "VOID") | ((F.schema_of_variant(x) == "BIGINT") & F.coalesce(F.try_variant_get(x, "$", "bigint") >= 0, F.lit(False)))
+    others = F.coalesce(F.forall(F.map_values(F.try_variant_get(v, "$.columns", "map<string, variant>")), lambda x: x.isNull() | number(x)), F.lit(False))
+    problem = F.when(~F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)), "not an object")
+    problem = problem.when((kind == "pdf-layout") & ~(text("$.template_id").isNotNull() & index("$.version")), "template").when(kind == "pdf-layout", None).when(kind != "delimited", "kind")
+    for name, known in (("delimiter", (";", ",")), ("encoding", ("utf-8", "windows-1252")), ("date_format", tuple(FORMATS)), ("decimal_style", ("comma", "dot"))):
+        problem = problem.when(~fits(name, known), name)
+    problem = problem.when(~index("$.header_row_index"), "header_row_index").when(~amounts, "amount").when((amount == "indicator") & ~marked, "indicator")
+    return specs.withColumn("problem", problem.when(~(index("$.columns.booking_date") & index("$.columns.description") & others), "columns"))
