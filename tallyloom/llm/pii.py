@@ -3,17 +3,24 @@
 Base spans are what four patterns find, leftmost and not overlapping, less those that fail a check (octets, Luhn, digit
 counts); they always stay. Beside them, candidate spans of other kinds come from wide patterns that also find much else:
 names, IBANs, national numbers, dates of birth, street addresses, phones without a country code, and long numbers and
-dotted quads that are near misses of base kinds. Labelers of three sorts vote on each candidate and on each base span: a
-strict pattern, a gazetteer, and the words before it, each saying yes, no or nothing. Expectation-maximisation estimates
-from the votes alone how often each labeler is right and how common true spans are; the posteriors weigh a final
-classifier over features of the span, fitted by a few Newton steps, and candidates it accepts are added.
-
-Both work on the distinct vote-and-feature patterns with their counts: at most 2 x 3^labelers x 2^features rows, so
-neither a hot group nor the size of the corpus changes what the driver sees. The gazetteers of names are parameters
+dotted quads that are near misses of base kinds: these failed a base check, so they are known to be false and only teach,
+as base spans are known to be true; the check that made them known has no vote on them. Labelers of three sorts vote on each candidate and on each base span: a
+strict pattern, a gazetteer, and the words before it (CONTEXT code points of spans.py, 30), each saying yes, no or
+nothing. Expectation-maximisation estimates from the votes what each labeler says of true and of false spans and how
+common true spans are among the candidates of a kind (RAREST at least: whether a kind is rarer, its candidates cannot
+tell, and a rare kind must still be found where the words before it are clear). A final classifier over features of the span is fitted to the posteriors by a few Newton
+steps around the log-odds of the votes, and candidates it accepts are added. So a vote that the corpus never shows keeps
+the weight its labeler earned: words like "lives at" that stand before none of a million false spans are strong evidence
+for the first true one.
+
+Both work on the distinct vote-and-feature patterns with their counts: at most kinds x 3^labelers x 2^2 rows, so neither a
+hot group nor the size of the corpus changes what the driver sees. Texts are searched once: the candidates with their
+votes go to the shared folder, where the estimate and the result read them. The gazetteers of names are parameters
 (module values that may be set to larger ones; they are looked up by hash).
 
 Positions are code points, end exclusive. Null and empty texts have no spans. Repeated rows each get a row, and a table
-without any candidate simply has none accepted. Long texts are searched whole, in proportion to their length and spans.
+without any candidate simply has none accepted; a table without rows gives none. Ties: a span whose score is exactly
+that of ACCEPT is added. Long texts are searched whole, in proportion to their length and spans.
 Columns of docs stay, but for those named like a result, which are replaced. Patterns are possessive where that changes
 no match, so that a long run of digits or dots is walked once and needs no stack.
 """
@@ -25,7 +32,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.spans import apart_from, let, match_spans
+from tallyloom.llm.shared import Store
+from tallyloom.llm.spans import NO_SPANS, apart_from, let, match_spans
 
 #: The base patterns. \\G or a lookbehind lets a match start only where the leftmost one can.
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -67,7 +75,6 @@ HINT = {
     "quad": r"[0-9]\.[0-9]+\.",
 }
 STRICT = {
-    "name": r"^$",
     "iban": r"^(?:BE[0-9]{2}( ?[0-9]{4}){3}|DE[0-9]{2}( ?[0-9]{4}){4} ?[0-9]{2}|FR[0-9]{2}( ?[0-9A-Z]{4}){5} ?[0-9A-Z]{3}|ES[0-9]{2}( ?[0-9]{4}){5}|NL[0-9]{2} ?[A-Z]{4}( ?[0-9]{4}){2} ?[0-9]{2}|GB[0-9]{2} ?[A-Z]{4}( ?[0-9]{4}){3} ?[0-9]{2})$",
     "national": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "birth": r"^(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[/.](?:0?[1-9]|1[0-2])[/.](?:19|20)[0-9]{2})$",
@@ -125,8 +132,15 @@ GAZETTEER = {
     "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
 }
 LABELERS = ("strict", "gazetteer", "context")
+#: Labelers that look at every kind, so that their silence is an outcome too; the others are silent by the span's kind.
+HEARD = ("context",)
 EM_ROUNDS, NEWTON_ROUNDS, ACCEPT = 25, 8, 0.5
-FEATURES = ("one", "strict_ok", "listed", "before_yes", "before_no", "digits", "long")
+#: The share of true spans among a kind's candidates: as held before any is seen, and the least.
+PRIOR, RAREST = 0.3, 0.02
+#: Pseudo-counts of each labeler's no, silence and yes on true and on false spans: right more often than not.
+HELD = {1: {-1: 0.5, 0: 4.5, 1: 5.0}, 0: {-1: 3.0, 0: 6.5, 1: 0.5}}
+HELD_OF_KIND = {1: {-1: 1.5, 1: 8.5}, 0: {-1: 8.5, 1: 1.5}}
+FEATURES = ("one", "form_yes", "form_no", "listed_yes", "listed_no", "before_yes", "before_no", "digits", "long", *(k for k in WIDE if k not in NEAR_MISSES))
 
 
 def _luhn(digits: Column) -> Column:
@@ -148,7 +162,6 @@ VALID = {
     "card": lambda v: F.when(F.length(_digits(v)).between(14, 19), _luhn(_digits(v))).otherwise(False),
     "phone": lambda v: F.length(_digits(v)).between(10, 15),
 }
-NO_SPANS = "cast(array() as array<struct<start:int,end:int,value:string,before:string>>)"
 VOTED = "cast(array() as array<struct<kind:string,start:int,end:int,votes:array<int>,x:array<double>>>)"
 
 
@@ -177,16 +190,18 @@ def _voted(s: Column, kind: str) -> Column:
     """A span with the votes of the labelers and the features of the classifier."""
     value, before = s["value"], s["before"]
     yes, no, none = before.rlike(CONTEXT[kind]), before.rlike(AGAINST[kind]), F.lit(0)
-    # base spans passed their checks, near misses did not
-    strict = F.lit(kind in BASE) if kind in BASE or kind in NEAR_MISSES else value.rlike(STRICT[kind]) if STRICT[kind] != "^$" else None
+    known = kind in BASE or kind in NEAR_MISSES
+    strict = None if known or kind not in STRICT else value.rlike(STRICT[kind])
     listed = _listed(value, kind)
     says = lambda c: none if c is None else F.when(c, 1).otherwise(-1)
-    form = says(strict)
-    if kind in ONLY_NO:
-        form, strict = F.when(strict, 0).otherwise(-1), None
-    vote = F.array(form, says(listed), F.when(yes, 1).when(no, -1).otherwise(0))
-    x = F.array(*((none if c is None else c).cast("double") for c in (F.lit(1), strict, listed, yes, no, value.rlike("[0-9]"), F.length(value) > 14)))
-    return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), vote.alias("votes"), x.alias("x"))
+    form = F.when(strict, 0).otherwise(-1) if kind in ONLY_NO else says(strict)
+    votes = F.array(form, says(listed), F.when(yes, 1).when(no, -1).otherwise(0))
+
+    def with_features(v: Column) -> Column:
+        each = [F.lit(True), *(v[j] == said for j in range(len(LABELERS)) for said in (1, -1)), value.rlike("[0-9]"), F.length(value) > 14, *(F.lit(kind == k) for k in FEATURES if k in WIDE)]
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), v.alias("votes"), F.array(*(c.cast("double") for c in each)).alias("x"))
+
+    return let(votes, with_features)
 
 
 def _with_votes(spans: Column, kind: str) -> Column:
@@ -199,46 +214,71 @@ def candidates(text: Column) -> Column:
     return F.concat(*(F.coalesce(f, F.expr(VOTED)) for f in found))
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float], list[float]]:
-    """EM over distinct vote patterns and their counts: the prior, and per labeler P(yes | true) and P(yes | false).
+def outcomes(patterns: list[tuple]) -> tuple[dict[str, float], list[dict[int, list[float]]]]:
+    """EM over (votes, count) or (votes, count, truth, kind): each kind's prior, and per labeler and vote
+    [P(vote | false), P(vote | true)].
 
-    A vote is -1, 0 or 1; a labeler that says nothing is no evidence, as it is the span's kind that makes it silent.
-    Pseudo-counts (a tenth of the spans, 10 at least) hold that labelers are right more often than not, which tells the
-    two classes apart.
+    A vote is -1, 0 or 1; truth is 1 or 0 where it is known, else -1. The silence of a labeler in HEARD is an outcome
+    like the others; that of another is no evidence, as it is the span's kind that makes it silent. Pseudo-counts of a
+    few spans hold that labelers are right more often than not, which tells the two classes apart.
     """
-    n = sum(c for _, c in patterns)
-    held = max(10.0, 0.1 * n)
-    p, right, wrong = 0.3, [0.85] * len(LABELERS), [0.15] * len(LABELERS)
-    for _ in range(EM_ROUNDS if patterns else 0):
-        t, yes, all_ = 0.0, [[0.15 * held, 0.85 * held] for _ in LABELERS], [[held, held] for _ in LABELERS]
-        for votes, c in patterns:
-            q = posterior(votes, p, right, wrong)
-            t += c * q
-            for j, v in enumerate(votes):
-                if v:
-                    for k, w in ((1, c * q), (0, c * (1 - q))):
-                        all_[j][k] += w
-                        yes[j][k] += w * (v > 0)
-        p = min(0.95, max(1e-4, (t + 1) / (n + 4)))
-        right, wrong = [y[1] / a[1] for y, a in zip(yes, all_)], [y[0] / a[0] for y, a in zip(yes, all_)]
-    return p, right, wrong
-
-
-def posterior(votes: tuple[int, ...], p: float, right: list[float], wrong: list[float]) -> float:
-    s = math.log(p / (1 - p))
-    for v, r, w in zip(votes, right, wrong):
-        s += math.log(r / w) if v > 0 else math.log((1 - r) / (1 - w)) if v < 0 else 0.0
-    return 1 / (1 + math.exp(-max(-50.0, min(50.0, s))))
-
-
-def classifier(rows: list[tuple[tuple[float, ...], float, float]]) -> list[float]:
-    """Weights of a ridge logistic regression on (features, count, mean posterior) rows; all zero but the first without rows."""
-    d = len(FEATURES)
-    if not rows:
-        return [-3.0] + [0.0] * (d - 1)
-    w = [0.0] * d
-    for _ in range(NEWTON_ROUNDS):
-        grad, hess = [-x for x in w], [[1.0 * (i == j) for j in range(d)] for i in range(d)]
+    rows = [(votes, c, *(rest or (-1, ""))) for votes, c, *rest in patterns]
+    held = [HELD if name in HEARD else HELD_OF_KIND for name in LABELERS]
+
+    def shares(counts: list[dict[int, list[float]]]) -> list[dict[int, list[float]]]:
+        whole = [[sum(v[k] for v in by.values()) for k in (0, 1)] for by in counts]
+        return [{v: [x / w for x, w in zip(each, sums)] for v, each in by.items()} for by, sums in zip(counts, whole)]
+
+    start = lambda: [{v: [h[0][v], h[1][v]] for v in h[0]} for h in held]
+    n = {kind: sum(c for _, c, t, k in rows if k == kind and t < 0) for kind in {k for *_, k in rows}}
+    prior, says = dict.fromkeys(n, PRIOR), shares(start())
+    for _ in range(EM_ROUNDS):
+        true, counts = dict.fromkeys(n, 0.0), start()
+        for votes, c, truth, kind in rows:
+            q = _posterior(votes, prior[kind], says, truth)
+            true[kind] += c * q * (truth < 0)
+            for by, v in zip(counts, votes):
+                if v in by:
+                    by[v][0] += c * (1 - q)
+                    by[v][1] += c * q
+        prior = {k: min(0.95, max(RAREST, (true[k] + 10 * PRIOR) / (n[k] + 10))) for k in n}
+        says = shares(counts)
+    return prior, says
+
+
+def _log_odds(votes: tuple[int, ...], p: float, says: list[dict[int, list[float]]]) -> float:
+    return math.log(p / (1 - p)) + sum(math.log(by[v][1] / by[v][0]) for by, v in zip(says, votes) if v in by)
+
+
+def _posterior(votes: tuple[int, ...], p: float, says: list[dict[int, list[float]]], truth: int = -1) -> float:
+    return float(truth) if truth >= 0 else 1 / (1 + math.exp(-max(-50.0, min(50.0, _log_odds(votes, p, says)))))
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float], list[float]]:
+    """Of spans of one kind the prior, and per labeler P(yes | true) and P(yes | false) where it does not stay silent."""
+    prior, says = outcomes(patterns)
+    share = lambda by, k: by[1][k] / (by[1][k] + by[-1][k])
+    return prior.get("", PRIOR), [share(by, 1) for by in says], [share(by, 0) for by in says]
+
+
+def evidence(prior: dict[str, float], says: list[dict[int, list[float]]]) -> list[float]:
+    """The log-odds of the votes as weights of FEATURES."""
+    silent = [math.log(by[0][1] / by[0][0]) if 0 in by else 0.0 for by in says]
+    weights = dict.fromkeys(FEATURES, 0.0) | {"one": sum(silent)}
+    for name, by, quiet in zip(("form", "listed", "before"), says, silent):
+        weights |= {f"{name}_{said}": math.log(by[v][1] / by[v][0]) - quiet for said, v in (("yes", 1), ("no", -1))}
+    for kind in FEATURES:
+        if kind in WIDE:
+            p = prior.get(kind, PRIOR)
+            weights[kind] = math.log(p / (1 - p))
+    return list(weights.values())
+
+
+def classifier(rows: list[tuple[tuple[float, ...], float, float]], centre: list[float]) -> list[float]:
+    """Weights of a logistic regression on (features, count, mean posterior) rows, held to the centre by a ridge."""
+    d, w = len(FEATURES), list(centre)
+    for _ in range(NEWTON_ROUNDS if rows else 0):
+        grad, hess = [m - x for x, m in zip(w, centre)], [[1.0 * (i == j) for j in range(d)] for i in range(d)]
         for x, c, q in rows:
             z = sum(a * b for a, b in zip(w, x))
             m = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -268,44 +308,64 @@ def _clear(wide: Column, base: Column) -> Column:
     return F.transform(apart_from(keyed, base), lambda k: k["s"])
 
 
-def tally(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(base, votes, x, count): how often each pattern of votes and features stands in docs, on base spans and others."""
+def searched(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`row` (the columns of docs, or those in keep), `base` and `wide`: spans with their votes and features.
+
+    A wide span that overlaps a base span is left out.
+    """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = F.concat(*(_with_votes(c, k) for k, c in base_spans(t).items()))
-    both = docs.select(base.alias("b"), candidates(t).alias("w")).where("size(b) + size(w) > 0")
-    marked = lambda spans, is_base: F.transform(spans, lambda s: F.struct(F.lit(is_base).alias("base"), s["votes"].alias("votes"), s["x"].alias("x")))
-    return both.select(F.explode(F.concat(marked(F.col("b"), True), marked(_clear(F.col("w"), F.col("b")), False))).alias("s")).groupBy("s.base", "s.votes", "s.x").count()
+    # spans ride beside the row, so that no column of it can be in their way
+    both = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), base.alias("base"), candidates(t).alias("wide"))
+    return both.select("row", "base", _clear(F.col("wide"), F.col("base")).alias("wide"))
+
+
+def _tallied(found: DataFrame) -> DataFrame:
+    marked = lambda name: F.transform(name, lambda s: F.struct(F.lit(name == "base").alias("base"), s["kind"].alias("kind"), s["votes"].alias("votes"), s["x"].alias("x")))
+    return found.select(F.explode(F.concat(marked("base"), marked("wide"))).alias("s")).groupBy("s.base", "s.kind", "s.votes", "s.x").count()
+
+
+def tally(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(base, kind, votes, x, count): how often each pattern of votes and features stands on base spans and others."""
+    return _tallied(searched(docs, text, []))
+
+
+def _fitted(tallied: DataFrame) -> list[float]:
+    rows = tallied.collect()  # at most 12 kinds x 3^3 x 2^2 rows
+    each = sorted((tuple(r["votes"]), r["count"], 1 if r["base"] else 0 if r["kind"] in NEAR_MISSES else -1, r["kind"], tuple(r["x"])) for r in rows)
+    prior, says = outcomes([r[:4] for r in each])
+    # known spans teach what the labelers are worth; what the classifier decides are the others
+    open_ = [(x, float(c), _posterior(votes, prior[kind], says)) for votes, c, truth, kind, x in each if truth < 0]
+    return classifier(open_, evidence(prior, says))
 
 
 def fit(docs: DataFrame, text: str = "text") -> list[float]:
     """Weights of the span classifier, from the votes on every span of docs; its input is one row per vote pattern."""
-    each = tally(docs, text).collect()  # at most 2 x 3^3 x 2^6 rows
-    votes: dict[tuple[int, ...], int] = {}
-    for r in each:
-        votes[tuple(r["votes"])] = votes.get(tuple(r["votes"]), 0) + r["count"]
-    p, right, wrong = estimate(sorted(votes.items()))
-    return classifier(sorted((tuple(r["x"]), float(r["count"]), posterior(tuple(r["votes"]), p, right, wrong)) for r in each))
+    return _fitted(tally(docs, text))
 
 
-def find(docs: DataFrame, weights: list[float] | None = None, text: str = "text") -> DataFrame:
+def find(docs: DataFrame, weights: list[float] | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone, `base` and `spans` (arrays of kind, start, end; by start, then kind as listed).
 
-    An added span that overlaps a base span is left out; of two added ones that overlap both stay.
+    An added span that overlaps a base span is left out; of two added ones that overlap both stay. keep names the columns
+    of docs that the result carries (all). Without weights they are fitted on docs; then the kept columns and the spans
+    are written to the shared folder once, and a caller who does not want the texts back should leave them out of keep.
     """
-    weights = fit(docs, text) if weights is None else weights
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    slim = lambda spans, kind=None: F.transform(spans, lambda s: F.struct((s["kind"] if kind is None else F.lit(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    columns = docs.columns if keep is None else keep
+    found = searched(docs, text, columns)
+    if weights is None:
+        found = Store(docs.sparkSession, "pii").put(found, "spans")
+        weights = _fitted(_tallied(found))
+    slim = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     score = lambda s: sum((F.lit(w) * s["x"][i] for i, w in enumerate(weights)), F.lit(0.0))
-    accepted = F.filter(candidates(t), lambda s: score(s) >= math.log(ACCEPT / (1 - ACCEPT)))
-    # spans ride beside the row, so that no column of it can be in their way
-    found = docs.select(F.struct("*").alias("row"), *(slim(c, k).alias(k) for k, c in base_spans(t).items()), accepted.alias("wide"))
-    found = found.withColumn("base", F.concat(*KINDS))
     order = [*KINDS, *WIDE]
     rank = lambda s: F.array_position(F.array(*map(F.lit, order)), s["kind"]).cast("int")
-    sort = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], rank(s).alias("rank"), s["end"], s["kind"]))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    made = {f"n_{k}": F.size(k).cast("long") for k in KINDS} | {"base": sort(F.col("base")), "spans": sort(F.concat("base", slim(_clear(F.col("wide"), F.col("base")))))}
+    sort = lambda spans: slim(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], rank(s).alias("rank"), s["end"], s["kind"]))))
+    accepted = F.filter("wide", lambda s: ~s["kind"].isin(*NEAR_MISSES) & (score(s) >= math.log(ACCEPT / (1 - ACCEPT))))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    made = {f"n_{k}": count(k) for k in KINDS} | {"base": sort(slim(F.col("base"))), "spans": sort(F.concat(slim(F.col("base")), slim(accepted)))}
     found = found.select(F.col("row").alias("_row"), F.struct(*(v.alias(n) for n, v in made.items())).alias("_made"))
-    return found.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in made), *(F.col("_made")[n].alias(n) for n in made))
+    return found.select(*(F.col("_row")[c].alias(c) for c in columns if c not in made), *(F.col("_made")[n].alias(n) for n in made))
 
 
 def listed(spans: Column) -> Column:

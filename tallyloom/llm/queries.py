@@ -62,7 +62,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     base = pii.listed(F.col("base"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Matches in a block; code points of context before a match; spans from which on a text is taken apart by code points.
 BLOCK, CONTEXT, MANY = 128, 30, 8
+NO_SPANS = "cast(array() as array<struct<start:int,end:int,value:string,before:string>>)"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -50,8 +51,8 @@ def match_spans(text: Column, pattern: str, shortest: int = 1) -> Column:
     `before` is the CONTEXT code points before the match. The pieces between matches, as `split` gives them, have the
     lengths from which the places of the matches follow. Patterns must not match less than `shortest` code points.
     """
-    found, between = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda v, g: F.struct(g.alias("gap"), v.alias("value"), F.length(g).alias("n"), F.length(v).alias("m")))
+    between = F.split(text, pattern, -1)
+    paired = lambda found: F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda v, g: F.struct(g.alias("gap"), v.alias("value"), F.length(g).alias("n"), F.length(v).alias("m")))
     back = -(-CONTEXT // shortest)
 
     def before(pairs: Column, i: Column, gap: Column) -> Column:
@@ -65,7 +66,9 @@ def match_spans(text: Column, pattern: str, shortest: int = 1) -> Column:
         placed = F.zip_with(pairs, at, lambda p, s: F.struct((s + p["n"]).alias("start"), (s + p["n"] + p["m"]).alias("end"), p["value"].alias("value"), p["gap"].alias("gap")))
         return F.transform(placed, lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value"), before(pairs, i, p["gap"]).alias("before")))
 
-    return let(pairs, spans)
+    # a text without a match is walked once
+    some = lambda found: F.when(F.size(found) == 0, F.expr(NO_SPANS)).otherwise(let(paired(found), spans))
+    return let(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)), some)
 
 
 def apart_from(spans: Column, others: Column) -> Column:

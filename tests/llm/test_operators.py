@@ -493,6 +493,39 @@ def test_what_the_method_finds_on_the_documents(spark):
     assert {r.kind for r in found} <= set(pii.KINDS)
 
 
+#: (text, the span that must be added); and texts in which nothing must be.
+RARE = [
+    ("my social security number is 123-45-6789 ok", "123-45-6789"), ("her SSN: 219-09-9999", "219-09-9999"),
+    ("please call (504) 555-2652 now", "(504) 555-2652"), ("reach me by phone 415-555-2671 at noon", "415-555-2671"),
+    ("she lives at 12 Baker Street in", "12 Baker Street"), ("ship to 44 Elm Road please", "44 Elm Road"),
+    ("Regards, Maria Lopez", "Maria Lopez"), ("contact John Smith there", "John Smith"), ("Dr. Peter Weber spoke", "Peter Weber"),
+    ("the iban is BE68 5390 0754 7034 of", "BE68 5390 0754 7034"), ("konto DE89 3704 0044 0532 0130 00 ist", "DE89 3704 0044 0532 0130 00"),
+    ("born 12/03/1985 in town", "12/03/1985"), ("DOB: 1985-03-12 listed", "1985-03-12"),
+]
+HARMLESS = [
+    "order 1234567812345678 of", "version 1.2.3.400 was", "published 12/03/1985 by", "page 12 High Chapter of", "Licensed under the Apache License of", "isbn 978-01-2345 x",
+    "part 123-45-6789 fits", "serial 415-555-2671 of", "Many Things happen", "see chapter 4 Introduction", "card 4111 1111 1111 1112 of", "The General Public License", "due 1985-03-12 at",
+]
+
+
+def test_kinds_that_the_corpus_hardly_has_are_found(spark):
+    """One row a form among 1,000 documents that hold none of its kind: nine in ten at least, and no harmless one."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [t for t, _ in RARE] + HARMLESS
+    planted = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id - 10**9: {texts[r.doc_id - 10**9][s.start : s.end] for s in r.spans} for r in pii.find(table.unionByName(planted), keep=["doc_id"]).where(F.col("doc_id") >= 10**9).collect()}
+    assert sum(got[i] == {span} for i, (_, span) in enumerate(RARE)) >= 0.9 * len(RARE)
+    assert not any(got[len(RARE) + i] for i in range(len(HARMLESS)))
+
+
+def test_evidence_outlives_a_corpus_without_examples():
+    """Words before a span that stand before no false one weigh more, the more false ones there are."""
+    weigh = lambda n: dict(zip(pii.FEATURES, pii.evidence(*pii.outcomes([((0, -1, 0), n, -1, "name"), ((0, 1, 0), 50, 1, "email")]))))
+    few, many = weigh(100), weigh(100_000)
+    assert 2 < few["before_yes"] < many["before_yes"] and math.log(pii.RAREST / (1 - pii.RAREST)) <= many["name"] < few["name"]
+    assert pii.classifier([], [1.0, 2.0]) == [1.0, 2.0]
+
+
 def test_em_recovers_reliabilities():
     rng = random.Random(4)
     tally = collections.Counter()
