@@ -78,7 +78,8 @@ def lexicon(docs: DataFrame | None = None, text: str = "text", words: int = WORD
     """From all docs: at most `words` words of 4 to 20 letters, those in most documents first; a few words always."""
     found = []
     if docs is not None:
-        each = F.array_distinct(F.filter(F.split(F.lower(F.col(text).cast("string")), "[^a-z0-9_+/]+"), lambda w: w.rlike("^[a-z]{4,20}$")))
+        # one walk of the text: splitting it and looking at each piece takes twice as long
+        each = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit("(?<![a-z0-9_+/])[a-z]{4,20}+(?![a-z0-9_+/])"), F.lit(0)))
         counts = docs.select(F.explode(each).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
         found = [(r.w, r.n) for r in counts.where("n > 1").orderBy(F.desc("n"), "w").limit(words).collect()]
     seen = np.ones((26, 26))
