@@ -156,18 +156,22 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     # what a document shares with an item, by where the item would start in it
     items_at = windows.select("_item", *by, "h", F.col("at").alias("item_at"))
     pairs = hits.join(sized(items_at), [*by, "h"]).select("_doc", "_item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    pairs = store.put(pairs, "pairs")
     held = lambda df, k, *more: df.select(k, raw_tokens(F.col("_text")).alias("r"), *more).select(k, "r", template(F.col("r")).alias("t"), *(["inner"] if more else []))
+    of = held(items.where("_item IS NOT NULL"), "_item", template(inner_tokens(F.coalesce("_text", F.lit("")))).alias("inner")).select("_item", F.col("r").alias("ir"), F.col("t").alias("it"), F.col("inner"))
+    longest = sized(store.put(of.groupBy("_item").agg(F.max(F.size("it")).alias("longest")), "lengths"))
+    pairs = store.put(pairs.join(longest, "_item"), "pairs")
     told = store.put(pairs.select("_doc").distinct(), "found")
     some = held(docs.join(sized(told), "_doc", "left_semi"), "_doc")
-    of = held(items.where("_item IS NOT NULL"), "_item", template(inner_tokens(F.coalesce("_text", F.lit("")))).alias("inner")).select("_item", F.col("r").alias("ir"), F.col("t").alias("it"), F.col("inner"))
-    both = some.join(pairs, "_doc").join(of, "_item")
-    # the part of the document under the item; cut at its ends, so that positions keep their partners
+    both = some.join(pairs, "_doc")
+    # the part of the document under the longest text of the item, cut before the items' tokens come: what is joined to them
+    # has at most an item's length of the document for each alignment; cut at both ends, so that positions keep their partners
     lo = F.greatest(F.col("shift"), F.lit(0))
-    skip = lo - F.col("shift")
-    span = F.least(F.size("it") - skip, F.size("t") - lo)
-    under = lambda c, start: F.slice(c, start + 1, F.greatest(span, F.lit(0)))
-    both = both.select("_doc", "_item", "shift", skip.alias("skip"), F.size("it").alias("n"), F.arrays_zip(under("r", lo).alias("dr"), under("t", lo).alias("dt"), under("ir", skip).alias("ir"), under("it", skip).alias("it"), under("inner", skip).alias("inner")).alias("z"))
+    room = F.greatest(F.least(F.col("longest") - (lo - F.col("shift")), F.size("t") - lo), F.lit(0))
+    both = both.select("_doc", "_item", "shift", (lo - F.col("shift")).alias("skip"), F.slice("r", lo + 1, room).alias("dr"), F.slice("t", lo + 1, room).alias("dt")).join(of, "_item")
+    span = F.greatest(F.least(F.size("it") - F.col("skip"), F.size("dt")), F.lit(0))
+    under = lambda c, start: F.slice(c, start + 1, span)
+    z = F.arrays_zip(under("dr", F.lit(0)).alias("dr"), under("dt", F.lit(0)).alias("dt"), *(under(c, F.col("skip")).alias(c) for c in ("ir", "it", "inner")))
+    both = both.select("_doc", "_item", "shift", "skip", F.size("it").alias("n"), z.alias("z"))
     same = lambda x: (x["dt"] == x["it"]) | (x["dt"] == x["inner"])
     agreed = F.filter("z", same)
     last = F.size("z") - 1
