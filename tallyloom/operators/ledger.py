@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.constants import CASH, SETTLEMENT_CREDIT, SETTLEMENT_DAYS, SETTLEMENT_DEBIT, TRANSFER_DAYS
 from tallyloom.functions.dates import day_distance
 from tallyloom.functions.text import refund_key
+from tallyloom.operators.numbering import numbered
 from tallyloom.staging import staged
 
 H = "household_id"
@@ -102,16 +103,22 @@ def _islands(edges: DataFrame, keys: list[str], day: str, gap: int) -> DataFrame
     return edges.withColumn("_far", far.cast("int")).withColumn("island", F.sum("_far").over(by.rangeBetween(Window.unboundedPreceding, 0))).drop("_far")
 
 
-#: Edges of one component that one Python task walks at most; larger components first lose edges by rounds.
+#: Edges of one component that one Python task walks at once; larger components go by rounds of so many.
 WALKED = 1_000_000
 
 
 def greedy(edges: DataFrame, component: list[str], left: str, right: str, order: list[str], walked: int = WALKED) -> DataFrame:
-    """Edges that a walk in `order` takes, each end used once. Components are matched apart from each other; `order` tells
-    all edges of a component apart. Components of more than `walked` edges go by rounds: an edge that is first at both of
-    its ends is what the walk takes, whatever came before, and closes these ends."""
+    """Edges that a walk in `order` takes, each end used once. Components (no nulls) are matched apart from each other;
+    `order` tells all edges of a component apart.
+
+    Components of more than `walked` edges go by rounds. A round walks the first `walked` edges that are left of each, on
+    which later ones have no bearing, and takes besides every edge that is first at both of its ends, as the walk would
+    whatever came before; then all edges at used ends go. Each edge walked is taken or meets a taken one, so `walked` edges
+    or more go in each round: a component of n edges is done in n / walked rounds, rounded up, however many of them tie."""
     names = [*component, left, right]
     kinds = dict(edges.dtypes)
+    shape = ", ".join(f"{n} {kinds[n]}" for n in names)
+    walked = max(walked, 1)
 
     def walk(group):
         used, kept = set(), []
@@ -122,20 +129,22 @@ def greedy(edges: DataFrame, component: list[str], left: str, right: str, order:
                 kept.append(i)
         return group.iloc[kept][names]
 
-    parts = []
+    parts, edges = [], staged(edges, "edges")
     while True:
+        sizes = staged(edges.groupBy(*component).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+        alone, few, many = (edges.join(sizes.where(which).select(*component), component, "left_semi") for which in ("_n = 1", F.col("_n").between(2, walked), F.col("_n") > walked))
         # an edge alone in its component is taken as it is; only contested ones are walked in Python
-        counted = staged(edges.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*component))), "edges")
-        parts.append(counted.where("_n = 1").select(*names))
-        parts.append(counted.where(F.col("_n").between(2, walked)).drop("_n").groupBy(*component).applyInPandas(walk, ", ".join(f"{n} {kinds[n]}" for n in names)))
-        large = counted.where(F.col("_n") > max(walked, 1)).drop("_n")
-        if large.isEmpty():
+        parts.append(alone.select(*names))
+        parts.append(few.groupBy(*component).applyInPandas(walk, shape))
+        if sizes.where(F.col("_n") > walked).isEmpty():
             return reduce(DataFrame.unionByName, parts)
         place = F.struct(*order)
         first = [F.min(place).over(Window.partitionBy(*component, end)) for end in (left, right)]
-        won = staged(large.select(*names, (place == first[0]).alias("_l"), (place == first[1]).alias("_r")).where("_l AND _r").select(*names), "won")
+        sure = many.select(*names, (place == first[0]).alias("_l"), (place == first[1]).alias("_r")).where("_l AND _r").select(*names)
+        ahead = numbered(many, component, order, "_place").where(F.col("_place") <= walked)
+        won = staged(ahead.groupBy(*component).applyInPandas(walk, shape).unionByName(sure).distinct(), "won")
         parts.append(won)
-        edges = large.join(won.drop(right), [*component, left], "left_anti").join(won.drop(left), [*component, right], "left_anti")
+        edges = staged(many.join(won.drop(right), [*component, left], "left_anti").join(won.drop(left), [*component, right], "left_anti"), "edges")
 
 
 def allocate_settlements(flows: DataFrame, facts: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -283,6 +284,25 @@ def glob_resolution(spark: SparkSession, d: str) -> DataFrame:
     return merchants.match_rules(texts, spark.sql(_GLOBS.format(rules="{rules}"), rules=book.rules))
 
 
+#: A name in the dress of each pattern that the normaliser takes off.
+_DRESSED = {
+    0: ("DEBITMASTERCARD-BETALING VIA Google Pay - ", ""), 1: ("BANCONTACT-AANKOOP ", ""), 2: ("", " 1.012,50 EUR KAART NR 1234 XXXX XXXX 5678"), 3: ("", " CARTE N\u00b0 1234.XXXX.XXXX.5678 - JAN JANSEN"),
+    4: ("", " <BE>"), 5: ("BETALING MET KBC-DEBETKAART ", ""), 6: ("", " VIA BANCONTACT"), 7: ("", " MAESTRO"), 8: ("Contactloos ", ""), 9: ("", " XXXX 1234"), 10: ("", " USD 12.50 KOERS 1.08"),
+    11: ("12/03/2024 ", " 10:15"), 12: ("", " 12-03"), 13: ("", " 9000 GENT"), 14: ("", " contactless -,;"), 15: ("  ", "  "), 16: ("", " ANTWERPEN LUIK"), 17: ("", " ****99"),
+}
+
+
+@query("dressed_texts", None, f"SELECT o_orderkey AS k, upper(p_name) || ' NO' || CAST(o_orderkey % 1000 AS VARCHAR) AS text, true AS stays FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)")
+def dressed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The name of a part of each order in one of the dresses, normalised, and whether that is itself normal: once is enough."""
+    orders, parts = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "part"))
+    keyed = orders.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % parts.count()).alias("p_partkey"))
+    dress = F.element_at(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _DRESSED.values())), (F.col("k") % len(_DRESSED) + 1).cast("int"))
+    said = keyed.join(parts.select("p_partkey", "p_name"), "p_partkey").select("k", F.concat(dress["a"], "p_name", F.lit(" no"), (F.col("k") % 1000).cast("string"), dress["b"]).alias("said"))
+    once = staged(said.select("k", text.normalise_counterparty(F.col("said")).alias("text")), "once")
+    return once.select("k", "text", (text.normalise_counterparty(F.col("text")) == F.col("text")).alias("stays"))
+
+
 @query("resolved_rows", "merch", "SELECT household_id, id, flow, merchant_id, normal_text FROM resolved")
 def resolved_rows(spark: SparkSession, d: str) -> DataFrame:
     return _interpreted(spark, d, rules=True)[1].rows.select(H, "id", "flow", "merchant_id", "normal_text")
@@ -488,6 +508,21 @@ def import_states(spark: SparkSession, d: str) -> DataFrame:
     return ingest.import_states(each.select(H, "import_id", F.posexplode(path).alias("at", "status")))
 
 
+#: What the kinds of events stand for in a log of imports.
+_LOGGED = {"signup": "PARSED", "view": "AWAITING_DECLARATION", "click": "INGESTED", "purchase": "INTERPRETED", "error": "FAILED"}
+_STEPS = "'PARSED>INGESTED', 'AWAITING_DECLARATION>INGESTED', 'AWAITING_DECLARATION>FAILED', 'INGESTED>INTERPRETED', 'INTERPRETED>INGESTED'"
+
+
+@query("import_log", None, f"""SELECT household_id, import_id, list_reduce(list(status ORDER BY ts, event_id), lambda now, nxt: CASE WHEN now || '>' || nxt IN ({_STEPS}) THEN nxt ELSE now END) AS status
+ FROM (SELECT ts, event_id, CAST(user_id AS VARCHAR) AS household_id, CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS import_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _LOGGED.items())} END AS status FROM events) GROUP BY ALL""")
+def import_log(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a log, one import a user and day, in whatever order the kinds come."""
+    status = F.create_map(*(F.lit(x) for pair in _LOGGED.items() for x in pair))[F.col("event_type")]
+    user = F.col("user_id").cast("string")
+    log = spark.read.parquet(f"{d}/events.parquet").select(user.alias(H), F.concat_ws("-", user, F.col("ts").cast("date")).alias("import_id"), F.struct("ts", "event_id").alias("at"), status.alias("status"))
+    return ingest.import_states(log)
+
+
 @query("refund_keys", "flows", "SELECT household_id, id, refund_key FROM rkey")
 def refund_keys(spark: SparkSession, d: str) -> DataFrame:
     book = Ledger(spark, d)
@@ -514,6 +549,23 @@ def file_routing(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", delimited.is_positioned(content).alias("positioned"), (F.octet_length(content) == 0).alias("is_empty"), delimited.encoding_of(content).alias("encoding"))
 
 
+_NARROW = r"regexp_replace(coalesce(text, ''), '[^\x{00}-\x{FF}]', '?', 'g')"
+#: Bytes, each as the letter of its number, that are UTF-8.
+_AS_UTF8 = r"^([\x{00}-\x{7F}]|[\x{C2}-\x{DF}][\x{80}-\x{BF}]|\x{E0}[\x{A0}-\x{BF}][\x{80}-\x{BF}]|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]{2}|\x{ED}[\x{80}-\x{9F}][\x{80}-\x{BF}])*$"
+
+
+@query("file_forms", None, f"SELECT doc_id, doc_id % 5 = 1 OR doc_id % 5 <> 3 AND starts_with(coalesce(text, ''), '%PDF-') AS positioned, coalesce(text, '') = '' AND doc_id % 5 NOT IN (1, 3, 4) AS is_empty, CASE WHEN doc_id % 5 = 2 AND NOT regexp_full_match({_NARROW}, '{_AS_UTF8}') THEN 'windows-1252' WHEN doc_id % 5 = 4 THEN 'windows-1252' ELSE 'utf-8' END AS encoding FROM documents")
+def file_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of five forms: as they are, behind the mark of positioned files, in an old encoding, behind a byte
+    order mark, and with a byte at the end that is no UTF-8."""
+    said, form = F.coalesce("text", F.lit("")), F.pmod("doc_id", F.lit(5))
+    plain = said.cast("binary")
+    old = F.encode(F.regexp_replace(said, r"[^\x00-\xFF]", "?"), "iso-8859-1")
+    content = F.when(form == 1, F.concat(F.lit(b"%PDF-"), plain)).when(form == 2, old).when(form == 3, F.concat(F.lit(b"\xef\xbb\xbf"), plain)).when(form == 4, F.concat(plain, F.lit(b"\xff"))).otherwise(plain)
+    files = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", content.alias("content"))
+    return files.select("doc_id", delimited.is_positioned(F.col("content")).alias("positioned"), (F.octet_length("content") == 0).alias("is_empty"), delimited.encoding_of(F.col("content")).alias("encoding"))
+
+
 @query("document_lines", None, r"SELECT doc_id, CAST(len(string_split(kept, chr(10))) AS BIGINT) AS n_lines FROM (SELECT doc_id, regexp_replace(text, '(\r?\n|\r$)+$', '') AS kept FROM documents) WHERE kept <> ''")
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.lit("H").alias(H), F.col("doc_id").cast("string").alias("file_id"), "text")
@@ -708,6 +760,33 @@ def positioned_statements(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(H, "file_id", "line_no", "booking_date", "amount_cents", "description", "counterparty_iban", "account_iban")
 
 
+def _pages(content: bytes) -> list[list[tuple]]:
+    """A stand-in for an extractor: pages as lists of runs in JSON."""
+    if content.startswith(b"%PDF-LOCKED"):
+        raise PermissionError("locked")
+    if content.startswith(b"%PDF-NEEDS"):
+        raise ModuleNotFoundError("no such reader")
+    runs: dict[int, list[tuple]] = {}
+    for r in json.loads(content[5:]):
+        runs.setdefault(r["page"], []).append((r["x"], r["y"], r["width"], r["text"]))
+    return [runs[p] for p in sorted(runs)]
+
+
+@query("extracted_files", "facts", f"SELECT household_id, file_id, CASE k % 5 WHEN 1 THEN 'extraction-failed' WHEN 2 THEN 'module-unavailable' WHEN 3 THEN 'extraction-failed' END AS reason, CASE k % 5 WHEN 1 THEN 'PermissionError' WHEN 2 THEN 'ModuleNotFoundError' WHEN 3 THEN 'JSONDecodeError' END AS error, CASE WHEN k % 5 IN (0, 4) THEN (n + 19) // 20 ELSE 0 END AS n_pages, CASE WHEN k % 5 IN (0, 4) THEN 4 * n + 2 * ((n + 19) // 20) + 3 ELSE 0 END AS n_runs FROM (SELECT household_id, file_id, CAST(substr(file_id, 2, 9) AS INT) // 10 AS k, count(*) AS n FROM (SELECT f.household_id, {_FILE} || '-' || CAST({_NUMBERED} // {STATEMENT_ROWS} AS VARCHAR) AS file_id FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT') GROUP BY 1, 2)")
+def extracted_files(spark: SparkSession, d: str) -> DataFrame:
+    """All statements as bytes, read again by an extractor: a fifth each is locked, needs a reader that is not there, and is
+    cut off in the middle."""
+    kind = F.floor(F.substring("file_id", 2, 9).cast("int") / 10) % 5
+    whole = F.concat(F.lit("%PDF-"), F.to_json(F.collect_list(F.struct("page", "x", "y", "width", "text"))))
+    files = statement_items(Ledger(spark, d)).groupBy(H, "file_id").agg(whole.alias("content"))
+    content = F.when(kind == 1, F.concat(F.lit("%PDF-LOCKED"), "content")).when(kind == 2, "%PDF-NEEDS").when(kind == 3, F.left("content", F.floor(F.length("content") / 2).cast("int"))).otherwise(F.col("content"))
+    files = staged(files.select(H, "file_id", F.encode(content, "utf-8").alias("content")), "bytes")
+    items, bad = positioned.items_from_bytes(files.where(delimited.is_positioned(F.col("content"))), _pages)
+    read = items.groupBy(H, "file_id").agg(F.count_distinct("page").alias("n_pages"), F.count(F.lit(1)).alias("n_runs"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return files.select(H, "file_id").join(bad, [H, "file_id"], "left").join(read, [H, "file_id"], "left").select(H, "file_id", "reason", "error", zero("n_pages"), zero("n_runs"))
+
+
 #: An invented layout beside the registered one: statements of savings, whose numbers begin anew and tell no rows apart.
 SAVINGS = positioned.Layout("savings-nl", 3, "Rekenuittreksel Sparen", "STAND OP ", "BIJLAGE", r"^PAGINA \d+/\d+$", positioned.BAND, positioned.BALANCE_LINE.replace("SALDO", "STAND"), positioned.START, natural=False)
 

@@ -58,21 +58,37 @@ def _by_layout(registry: Sequence[Layout], value: Callable[[Layout], Column]) ->
     return F.coalesce(*(F.when(F.col("layout") == r.id, value(r)) for r in registry))
 
 
-def items_from_bytes(files: DataFrame, extract: Callable[[bytes], Iterable[Iterable[tuple[float, float, float, str]]]]) -> DataFrame:
-    """Items of files (content binary) by an extractor that yields, per page, (x, y, width, text); a file it fails on has none."""
-    names = ("household_id", "file_id", "page", "x", "y", "width", "text")
-    schema = pa.schema(list(zip(names, (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string()))))
+#: What an extractor's failure is told as: it could not be loaded at all, or not read this file.
+UNAVAILABLE, FAILED = "module-unavailable", "extraction-failed"
+
+
+def items_from_bytes(files: DataFrame, extract: Callable[[bytes], Iterable[Iterable[tuple[float, float, float, str]]]]) -> tuple[DataFrame, DataFrame]:
+    """Items of files (household_id, file_id, content binary) by an extractor that yields, per page, (x, y, width, text), and
+    the files that it fails on (household_id, file_id, reason, error: the exception's name).
+
+    A file fails whole: runs of pages before the failure are dropped. A file without content fails too. One without any
+    run has neither items nor a failure. Files are read once; what they hold is written before it is told apart.
+    """
+    kinds = [(n, pa.string()) for n in ("household_id", "file_id")] + [("page", pa.int32())] + [(n, pa.float64()) for n in ("x", "y", "width")] + [(n, pa.string()) for n in ("text", "reason", "error")]
+    schema = pa.schema(kinds)
+
+    def read(h: str, f: str, content: bytes | None) -> list[tuple]:
+        try:
+            if content is None:
+                raise ValueError("no content")
+            return [(h, f, p, *map(float, run[:3]), run[3], None, None) for p, runs in enumerate(extract(content)) for run in runs]
+        except Exception as e:  # an extractor may raise anything; the kind is kept
+            return [(h, f, *[None] * 5, UNAVAILABLE if isinstance(e, ImportError) else FAILED, type(e).__name__)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for h, f, content in zip(*(b.column(c).to_pylist() for c in ("household_id", "file_id", "content"))):
-                try:
-                    rows = [(h, f, p, *run_) for p, runs in enumerate(extract(content)) for run_ in runs]
-                except Exception:  # an extractor may raise anything; the file then counts as not extracted
-                    rows = []
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 7, schema.types)], schema=schema)
-
-    return files.select("household_id", "file_id", "content").mapInArrow(run, "household_id string, file_id string, page int, x double, y double, width double, text string")
+            for at in zip(*(b.column(c).to_pylist() for c in ("household_id", "file_id", "content"))):
+                if rows := read(*at):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    told = files.select("household_id", "file_id", "content").mapInArrow(run, "household_id string, file_id string, page int, x double, y double, width double, text string, reason string, error string")
+    told = staged(told, "items")
+    return told.where("reason IS NULL").drop("reason", "error"), told.where("reason IS NOT NULL").select(*H, "reason", "error")
 
 
 def lines(items: DataFrame) -> DataFrame:

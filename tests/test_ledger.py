@@ -116,6 +116,17 @@ def test_greedy_by_rounds_equals_the_walk(spark):
         assert sorted((x.c, x.o, x.i) for x in got.collect()) == sorted(want)
 
 
+def test_ties_are_closed_in_bounded_rounds(spark, monkeypatch):
+    """Each of 30 outs ties with each of 30 ins: of all edges one is first at both ends, so without the walk ahead it takes 30 rounds."""
+    edges = spark.range(900).selectExpr("'c' AS c", "id div 30 AS o", "id % 30 AS i", "1 AS d")
+    rounds = []
+    whole = ledger.numbered
+    monkeypatch.setattr(ledger, "numbered", lambda *a, **k: rounds.append(1) or whole(*a, **k))
+    got = ledger.greedy(edges, ["c"], "o", "i", ["d", "o", "i"], walked=300)
+    assert sorted((x.o, x.i) for x in got.collect()) == [(n, n) for n in range(30)]
+    assert 1 <= len(rounds) <= 900 // 300
+
+
 def test_rules_by_tier_and_specificity(spark):
     rules = [("h", "1", "m1", "PREFIX", "SHOP"), ("h", "2", "m2", "PREFIX", "SHOP 1"), ("h", "3", "m3", "EXACT", "SHOP 12"), ("h", "4", "m4", "PATTERN", "*OP*"), ("h", "5", "m5", "PATTERN", "*HOP*"), ("h", "6", "m6", "EXACT", ""), ("x", "7", "m7", "EXACT", "SHOP 3")]
     rules = spark.createDataFrame(rules, "household_id string, id string, merchant_id string, kind string, pattern string")

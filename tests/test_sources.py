@@ -134,3 +134,24 @@ def test_fix_profile_rewrites_whole_profiles_or_nothing(spark):
     mixed = facts.withColumn("account_id", F.col("id"))
     with pytest.raises(Exception, match="facts of two accounts"):
         ingest.fix_profile(given, mixed)[0].collect()
+
+
+def test_an_extractor_that_fails_fails_its_file_whole(spark):
+    def extract(content):
+        if content == b"none":
+            raise ModuleNotFoundError("reader")
+        yield [(1, 2, 3, "a"), (4, 5, 6, None)]
+        if content == b"late":
+            raise KeyError("second page")
+        yield [] if content == b"short" else [(7, 8, 9, "b")]
+
+    def nothing(content):
+        return []
+
+    shape = "household_id string, file_id string, content binary, page string"
+    files = spark.createDataFrame([("h", f, c, "clash") for f, c in (("1", b"good"), ("2", b"late"), ("3", b"none"), ("4", None), ("5", b"short"))], shape)
+    items, failed = positioned.items_from_bytes(files, extract)
+    assert sorted((r.file_id, r.page, r.x, r.text or "") for r in items.collect()) == [("1", 0, 1.0, "a"), ("1", 0, 4.0, ""), ("1", 1, 7.0, "b"), ("5", 0, 1.0, "a"), ("5", 0, 4.0, "")]
+    assert {(r.file_id, r.reason, r.error) for r in failed.collect()} == {("2", "extraction-failed", "KeyError"), ("3", "module-unavailable", "ModuleNotFoundError"), ("4", "extraction-failed", "ValueError")}
+    for files in (files.limit(0), files.where("file_id = '1'")):
+        assert [x.count() for x in positioned.items_from_bytes(files, nothing)] == [0, 0]
