@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,23 +71,30 @@ def align_reparse(stored: DataFrame, parsed: DataFrame) -> DataFrame:
 
     def align(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         taken: set[str] = set()
+        beyond: dict[str, int] = {}  # of a file's first key, the ordinal before which none is free; none ever becomes free again
         out = []
-        lines = {k: g.sort_values("line_no")[["line_no", "dedup_key"]].values.tolist() for k, g in new.groupby(["import_id", "raw_line"])}
-        for (_, imported), rows in old.groupby(["import_order", "import_id"], sort=True):
-            for raw, twins in sorted(rows.groupby("raw_line"), key=lambda g: g[1]["id"].min()):
+        lines, files = defaultdict(list), defaultdict(lambda: defaultdict(list))
+        for n, k, imported, raw in sorted(zip(new["line_no"], new["dedup_key"], new["import_id"], new["raw_line"])):
+            lines[imported, raw].append((n, k))
+        for place, imported, raw, k, i in zip(old["import_order"], old["import_id"], old["raw_line"], old["dedup_key"], old["id"]):
+            files[place, imported][raw].append((_split_key(k), i))
+        for (_, imported), rows in sorted(files.items(), key=lambda f: f[0]):
+            for raw, twins in sorted(rows.items(), key=lambda r: min(i for _, i in r[1])):
                 free = iter(at := lines[imported, raw])
-                for stored_id in sorted(zip(twins["dedup_key"].map(_split_key), twins["id"])):
+                for _, stored_id in sorted(twins):
                     spot = next(((n, k) for n, k in free if k not in taken), None)
                     if spot is None:
                         n, k = at[0]
                         base, nth = _split_key(k)
                         if nth < 0:
                             raise ValueError(f"natural key {k} is taken")
+                        nth = beyond.get(k, nth)
                         while f"{base}#{nth}" in taken:
                             nth += 1
+                        beyond[k] = nth + 1
                         spot = n, f"{base}#{nth}"
                     taken.add(spot[1])
-                    out.append((*key[:2], stored_id[1], imported, *spot))
+                    out.append((*key[:2], stored_id, imported, *spot))
         return pd.DataFrame(out, columns=["household_id", "profile_id", "id", "import_id", "line_no", "dedup_key"])
 
     parsed = parsed.select(H, "profile_id", "import_id", "line_no", "raw_line", "dedup_key", _base(F.col("dedup_key")).alias("_base"))

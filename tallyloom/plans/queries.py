@@ -688,6 +688,24 @@ def reparsed_profiles(spark: SparkSession, d: str) -> DataFrame:
     return done.select(H, "profile_id", F.lit(None).cast("string").alias("reason"), "n_imports", "n_rows", "cents").unionByName(refused.select(H, "profile_id", "reason", none.alias("n_imports"), none.alias("n_rows"), none.alias("cents")))
 
 
+@query("reparsed_twins", "facts", """, r AS (SELECT household_id, import_id, id, abs(amount_cents) % 3 AS raw, row_number() OVER (PARTITION BY household_id, import_id ORDER BY id) AS line_no FROM facts),
+ t AS (SELECT *, row_number() OVER (PARTITION BY household_id, raw ORDER BY import_id, id DESC) - 1 AS g, list(line_no) OVER (PARTITION BY household_id, import_id, raw ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS spots FROM r)
+ SELECT household_id, id, coalesce(spots[g + 1], spots[1]) AS line_no, 'h:' || household_id || '-' || raw || '#' || g AS dedup_key FROM t""")
+def reparsed_twins(spark: SparkSession, d: str) -> DataFrame:
+    """Facts that share three lines a household, parsed anew: twins were numbered from the last to the first, and the same
+    keys come up in each of their files, so each takes the next that no earlier file or twin has."""
+    raw = F.concat(F.lit("L"), F.abs("amount_cents") % 3)
+    rows = Ledger(spark, d).facts.select(H, F.lit("P").alias("profile_id"), "import_id", "id", raw.alias("raw_line"))
+    rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy(H, "import_id").orderBy("id")).cast("long"))
+    twins = Window.partitionBy(H, "import_id", "raw_line")
+    was, now = (F.row_number().over(twins.orderBy(by)) - 1 for by in (F.desc("id"), F.col("line_no")))
+    key = lambda kind, n: F.concat(F.lit("h:"), kind, F.lit("#"), n)
+    rows = staged(rows.withColumns({"was": was, "now": now}), "twins")
+    stored = rows.select(H, "profile_id", F.col("import_id").alias("import_order"), "import_id", "id", "raw_line", key(F.concat(F.lit("old"), "raw_line"), F.col("was")).alias("dedup_key"))
+    parsed = rows.select(H, "profile_id", "import_id", "line_no", "raw_line", key(F.concat(F.col(H), F.lit("-"), F.substring("raw_line", 2, 1)), F.col("now")).alias("dedup_key"))
+    return dedup.align_reparse(stored, parsed).select(H, "id", "line_no", "dedup_key")
+
+
 _FIXED = f"SELECT p.household_id, p.file_id || ':' || CAST(line_no AS VARCHAR) AS id, p.file_id AS import_id, booking_date, amount_cents, CASE WHEN CAST(right(p.household_id, 3) AS INT) % 5 = 0 THEN account_iban ELSE description END AS description, CASE WHEN CAST(right(p.household_id, 3) AS INT) % 5 = 0 THEN 'INTERPRETED' ELSE 'INGESTED' END AS status, CAST(CASE WHEN CAST(right(p.household_id, 3) AS INT) % 5 = 0 THEN 4 ELSE 7 END AS BIGINT) AS said FROM ({_PARSED}) p"
 
 
