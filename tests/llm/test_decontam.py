@@ -164,3 +164,14 @@ def test_recall_on_verbatim_reparameterised_and_edited_copies(spark):
     assert recall["verbatim"] == recall["reparameterised"] == 1
     assert min(recall.values()) >= 0.9, recall
     assert found <= set().union(*true.values())
+
+
+def test_a_long_document_of_one_template_meets_all_its_items(spark):
+    """100 sentences of one template in 20,000 tokens, 100 items of that template: each item is in it with other numbers."""
+    said = lambda a, b: f"the basket of Anna holds {a} red apples and {b} green pears today"
+    between = lambda n: " ".join(f"w{chr(97 + n % 26)}{chr(97 + n // 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(187))
+    long = " ".join(f"{said(n + 5, n + 500)} {between(n)}" for n in range(100))
+    docs = spark.createDataFrame([(1, long), (2, between(3)), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(n, said(3 * n + 1000, 7 * n + 2000)) for n in range(100)], "item_id long, text string")
+    got = decontam.leaks(docs, items)
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in got.collect()) == [(1, n, 13) for n in range(100)]
