@@ -5,26 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.binding import let
 from tallyloom.functions.money import trimmed
 
-#: The formats of statement files, in the order in which they are tried.
+#: The formats of statement files, in the order in which they are tried, and what makes an ISO day of each.
 FORMATS = {
-    "DD/MM/YYYY": (r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "dd/MM/yyyy"),
-    "YYYY-MM-DD": (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd"),
-    "DD.MM.YY": (r"^[0-9]{2}\.[0-9]{2}\.[0-9]{2}$", "dd.MM.yyyy"),
+    "DD/MM/YYYY": (r"^([0-9]{2})/([0-9]{2})/((?!0000)[0-9]{4})\z", "$3-$2-$1"),
+    "YYYY-MM-DD": (r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}\z", None),
+    "DD.MM.YY": (r"^([0-9]{2})\.([0-9]{2})\.([0-9]{2})\z", "20$3-$2-$1"),
 }
 
 
 def parse_date(text: Column, form: str) -> Column:
     """Null unless the text has the format and names a day of the calendar; two-digit years are 20YY."""
-    shape, pattern = FORMATS[form]
-
-    def read(t: Column) -> Column:
-        full = F.concat(F.substring(t, 1, 6), F.lit("20"), F.substring(t, 7, 2)) if form == "DD.MM.YY" else t
-        return F.when(t.rlike(shape), F.try_to_date(full, pattern))
-
-    return let(trimmed(text), read)
+    shape, iso = FORMATS[form]
+    bare = trimmed(text)
+    day = bare if iso is None else F.regexp_replace(bare, shape, iso)
+    return F.when(bare.rlike(shape), day.try_cast("date"))
 
 
 def parse_date_as(text: Column, form: Column) -> Column:

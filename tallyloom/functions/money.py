@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.binding import let
-
 #: What an amount may look like in each decimal style, and the largest exact integer of the source format.
 COMMA, DOT = r"^([0-9]{1,3}(?:\.[0-9]{3})*|[0-9]+)(?:,([0-9]{1,2}))?$", r"^([0-9]+)(?:\.([0-9]{1,2}))?$"
 LARGEST = 2**53 - 1
@@ -15,39 +13,43 @@ LARGEST = 2**53 - 1
 WS = r"[\s   -     　﻿]"
 
 
+#: The same characters as a set.
+WS_CHARACTERS = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(WS_CHARACTERS))
 
 
-def without_currency(text: Column) -> Column:
-    """EUR or the sign, at either end and however often, never in the middle."""
-    return trimmed(F.regexp_replace(trimmed(text), rf"^(?:(?i:EUR|€){WS}*)+|(?:{WS}*(?i:EUR|€))+$", ""))
+def _whole(number: str, sign: str) -> str:
+    """The whole text of an amount: EUR or the sign stand at either end and however often, never in the middle."""
+    currency = "(?i:EUR|€)"
+    return rf"^{WS}*+(?:{currency}{WS}*+)*+{sign}{number[1:-1]}(?:{WS}*+{currency})*+{WS}*+\z"
 
 
-def _magnitude(text: Column, style: Column) -> Column:
-    comma = style == "comma"
-    pattern = F.when(comma, COMMA).otherwise(DOT)
-    group = lambda n: F.call_function("regexp_extract", text, pattern, F.lit(n))
-    whole, part = F.nullif(F.translate(group(1), ".", ""), F.lit("")), F.rpad(group(2), 2, "0")
-    cents = F.concat(whole, part).try_cast("decimal(38,0)")
-    return let(cents, lambda c: F.when(c <= LARGEST, c.cast("bigint")))
+def _cents(text: Column, style: Column | str, sign: str) -> Column:
+    """One match a text; what is left of digits, minus and point is the number. No lambda stands here and nothing long is
+    repeated: these expressions run on every cell of every file."""
 
+    def read(number: str, keep: str, to: str) -> Column:
+        bare = F.translate(text, keep + "EUReur€+" + WS_CHARACTERS, to)
+        cents = (bare.try_cast("decimal(18,2)") * 100).cast("bigint")
+        # null beyond the largest; the sum keeps the cents outside the condition, so they are computed once
+        return F.when(text.rlike(_whole(number, sign)), cents + F.when(F.abs(cents) <= LARGEST, 0))
 
-def _signed(bare: Column, style: Column) -> Column:
-    magnitude = _magnitude(trimmed(F.regexp_replace(bare, "^[-+]", "")), style)
-    return F.when(bare.startswith("-"), -magnitude).otherwise(magnitude)
+    if isinstance(style, str):
+        return read(COMMA, ",.", ".") if style == "comma" else read(DOT, ".", ".")
+    return F.when(style == "comma", read(COMMA, ",.", ".")).otherwise(read(DOT, ".", "."))
 
 
 def parse_cents(text: Column, style: Column | str) -> Column:
     """Signed amount text to cents; null if it is none. style: 'comma' or 'dot'."""
-    style = F.lit(style) if isinstance(style, str) else style
-    return let(without_currency(text), lambda bare: _signed(bare, style))
+    return _cents(text, style, f"[-+]?{WS}*+")
 
 
 def parse_unsigned_cents(text: Column, style: Column | str) -> Column:
     """The same for texts that must not carry a sign."""
-    style = F.lit(style) if isinstance(style, str) else style
-    return let(without_currency(text), lambda bare: F.when(~bare.rlike("^[-+]"), _magnitude(bare, style)))
+    return _cents(text, style, "")
 
 
 def display(cents: Column) -> Column:

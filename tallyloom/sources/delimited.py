@@ -5,9 +5,6 @@ Files: household_id, file_id, content (binary), spec (struct SPEC). Line numbers
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,49 +28,44 @@ def encoding_of(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise("windows-1252")
 
 
+#: What windows-1252 says of the bytes that ISO 8859-1 has as controls; its five undefined bytes stay controls.
+_CONTROLS = "".join(chr(i) for i in range(0x80, 0xA0) if bytes([i]).decode("cp1252", "ignore"))
+_SIGNS = _CONTROLS.encode("latin-1").decode("cp1252")
+
+
 def decoded(files: DataFrame) -> DataFrame:
-    """files with `text`. Only files that are not UTF-8 go through Python; its five undefined bytes become controls."""
-    wide = files.withColumn("text", F.when(encoding_of(F.col("content")) == "utf-8", F.regexp_replace(F.col("content").cast("string"), "^\\uFEFF", "")))
-    table = bytes(range(256)).decode("cp1252", "replace")
-    table = "".join(chr(i) if c == "�" else c for i, c in enumerate(table))
+    """files with `text`, without a mark of byte order."""
+    utf8 = F.col("content").cast("string")
+    text = F.when(utf8.startswith("\ufeff"), F.substring(utf8, 2, 2**31 - 1)).otherwise(utf8)
+    old = F.translate(F.decode("content", "ISO-8859-1"), _CONTROLS, _SIGNS)
+    return files.withColumn("text", F.when(F.is_valid_utf8(utf8), text).otherwise(old))
 
-    def old(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [c.decode("latin-1").translate(dict(enumerate(table))) for c in b.column("content").to_pylist()]
-            at = b.schema.get_field_index("text")
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, pa.string()))
 
-    return wide.where("text IS NOT NULL OR content IS NULL").unionByName(wide.where("text IS NULL AND content IS NOT NULL").mapInArrow(old, wide.schema))
+def by_file(files: DataFrame) -> DataFrame:
+    """files dealt by their key, before their lines are taken apart: whatever is grouped or joined by file after that
+    stays where it is, so a file's lines and cells are never shuffled."""
+    return files.repartition("household_id", "file_id")
 
 
 def lines(files: DataFrame) -> DataFrame:
     """One row per physical line, without the carriage return; empty lines at the end are none."""
-    kept = F.regexp_replace("text", r"(?:\r?\n|\r$)+\z", "")
-    n = F.when(kept == "", 0).otherwise(F.regexp_count(kept, F.lit("\n")) + 1)
+    kept = F.regexp_replace("text", r"(?=[\r\n])(?:\r?\n|\r$)+\z", "")
+    n = F.when(kept == "", 0).otherwise(F.length(kept) - F.length(F.replace(kept, F.lit("\n"))) + 1)
     each = files.select(*[c for c in files.columns if c not in ("content", "text")], F.posexplode(F.slice(F.split("text", "\n", -1), F.lit(1), n)).alias("index", "line"))
-    return each.withColumn("line", F.regexp_replace("line", "\r$", ""))
+    ends = F.col("line").endswith("\r")
+    return each.withColumn("line", F.when(ends, F.regexp_replace("line", "\r$", "")).otherwise(F.col("line")))
 
 
 def fields(line: Column, delimiter: Column) -> Column:
     """Cells of a line. A quote opens on an empty cell only, a doubled one is a quote, text behind a closing one is added,
     an open one takes the rest. Lines without a quote are simply split."""
-    nothing = F.expr("cast(array() as array<string>)")
-    start = F.struct(nothing.alias("out"), F.lit("").alias("cell"), F.lit(0).alias("mode"))
-
-    def step(s: Column, c: Column) -> Column:
-        out, cell, mode = s["out"], s["cell"], s["mode"]
-        to = lambda o, t, m: F.struct(o.alias("out"), t.alias("cell"), F.lit(m).alias("mode"))
-        quote = c == '"'
-        inside = F.when(quote, to(out, cell, 2)).otherwise(to(out, F.concat(cell, c), 1))
-        return (
-            F.when(mode == 1, inside)
-            .when((mode == 2) & quote, to(out, F.concat(cell, c), 1))
-            .when(quote & (cell == "") & (mode == 0), to(out, cell, 1))
-            .when(c == delimiter, to(F.concat(out, F.array(cell)), F.lit(""), 0))
-            .otherwise(to(out, F.concat(cell, c), 0))
-        )
-
-    slow = F.aggregate(F.split(line, ""), start, step, lambda s: F.concat(s["out"], F.array(s["cell"])))
+    other = F.concat(F.lit(r"[^\Q"), delimiter, F.lit(r"\E]*+"))
+    quoted = r'"[^"]*+(?:""[^"]*+)*+'
+    pattern = F.concat(F.lit(r"\Q"), delimiter, F.lit(rf'\E({quoted}(?:"'), other, F.lit(")?+|"), other, F.lit(")"))
+    part = lambda cell, n: F.regexp_extract(cell, rf'(?s)^({quoted})(?:"(.*))?\z', n)
+    whole = lambda cell: F.concat(F.replace(F.substring(part(cell, 1), 2, 2**31 - 1), F.lit('""'), F.lit('"')), part(cell, 2))
+    cells = F.regexp_extract_all(F.concat(delimiter, line), pattern, F.lit(1))
+    slow = F.transform(cells, lambda c: F.when(c.startswith('"'), whole(c)).otherwise(c))
     return F.when(line.contains('"'), slow).otherwise(F.split(line, delimiter, -1))
 
 
@@ -84,7 +76,7 @@ def _cell(cells: Column, at: Column) -> Column:
 def parsed(files: DataFrame) -> DataFrame:
     """Data lines as rows with `problem` (null, date, amount, missing-column or indicator), over all files at once."""
     spec, cells = F.col("spec"), F.col("cells")
-    rows = lines(decoded(files)).where((F.col("index") > spec["header_row_index"]) & (trimmed(F.col("line")) != ""))
+    rows = lines(by_file(decoded(files).drop("content"))).where((F.col("index") > spec["header_row_index"]) & (trimmed(F.col("line")) != ""))
     rows = rows.withColumn("cells", fields(F.col("line"), spec["delimiter"]))
     at, amount, style = spec["columns"], spec["amount"], spec["decimal_style"]
     rows = rows.withColumns({"_debit": _cell(cells, amount["debit_column"]), "_credit": _cell(cells, amount["credit_column"]), "_amount": _cell(cells, amount["column"])})
