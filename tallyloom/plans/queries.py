@@ -774,7 +774,7 @@ _NUMBERED = "(row_number() OVER (PARTITION BY f.household_id, f.account_id, year
 
 @query("positioned_statements", "facts", f"SELECT f.household_id, {_FILE} || '-' || CAST({_NUMBERED} // {STATEMENT_ROWS} AS VARCHAR) AS file_id, {_NUMBERED} % {STATEMENT_ROWS} + 1 AS line_no, booking_date, amount_cents, coalesce(counterparty_iban, 'geen') || ' ' || description AS description, CASE WHEN counterparty_iban <> a.iban THEN counterparty_iban END AS counterparty_iban, a.iban AS account_iban FROM facts f JOIN acct a ON a.household_id = f.household_id AND a.id = f.account_id AND a.iban IS NOT NULL AND a.role = 'POT'")
 def positioned_statements(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = positioned.statements(positioned.lines(statement_items(Ledger(spark, d))))
+    rows, _ = positioned.statements(staged(positioned.lines(statement_items(Ledger(spark, d))), "lines"))
     return rows.select(H, "file_id", "line_no", "booking_date", "amount_cents", "description", "counterparty_iban", "account_iban")
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,17 +94,16 @@ def lines(items: DataFrame) -> DataFrame:
     """(.., page, line_no, text, x): runs whose baseline is within the tolerance of the line's first run, left to right.
 
     A line begins at the run that lies too far from the first run of the line before, not from its neighbour, so the
-    grouping is a walk; one page is one group, however long the file.
+    grouping is a walk; one page is one group, however long the file. Pages come to Python as rows with arrays of runs, many
+    in a batch, as a call and a frame for each page would cost more than the walk.
     """
+    schema = pa.schema([("household_id", pa.string()), ("file_id", pa.string()), ("page", pa.int32()), ("line_no", pa.int32()), ("text", pa.string()), ("x", pa.float64())])
 
-    def walk(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
-        page = page[page["text"].str.strip() != ""].sort_values(["y", "x"], ascending=[False, True], kind="stable")
-        return pd.DataFrame([(*key, *line) for line in on_page(page)], columns=[*H, "page", "line_no", "text", "x"])
-
-    def on_page(page: pd.DataFrame) -> list[tuple]:
+    def on_page(runs: list[tuple]) -> list[tuple]:
         groups: list[list] = []
         anchor = None
-        for x, y, w, t in zip(page["x"], page["y"], page["width"], page["text"]):
+        # highest first, then left to right; runs without a place come last
+        for y, x, w, t in sorted((r for r in runs if r[3].strip()), key=lambda r: (r[0] != r[0], -r[0], r[1] != r[1], r[1])):
             if anchor is None or abs(anchor - y) > LINE_Y_TOLERANCE:
                 groups.append([])
                 anchor = y
@@ -121,7 +119,21 @@ def lines(items: DataFrame) -> DataFrame:
                 out.append((len(out), text, g[0][0]))
         return out
 
-    return items.where("text IS NOT NULL").groupBy(*H, "page").applyInPandas(walk, "household_id string, file_id string, page int, line_no int, text string, x double")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(c).flatten().to_pylist() for c in ("ys", "xs", "widths", "texts")]
+            at, found = 0, []
+            for h, f, p, n in zip(*(b.column(c).to_pylist() for c in (*H, "page", "n"))):
+                found += [(h, f, p, *line) for line in on_page(list(zip(*(c[at : at + n] for c in columns))))]
+                at += n
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
+
+    number = lambda c: F.coalesce(c, F.lit(float("nan"))).alias(c)
+    runs = items.where("text IS NOT NULL").select(*H, "page", F.struct(number("y"), number("x"), number("width"), "text").alias("run"))
+    pages = runs.groupBy(*H, "page").agg(F.collect_list("run").alias("runs"))
+    arrays = [F.col(f"runs.{c}").alias(f"{c}s") for c in ("y", "x", "width", "text")]
+    return pages.select(*H, "page", F.size("runs").alias("n"), *arrays).mapInArrow(walk, "household_id string, file_id string, page int, line_no int, text string, x double")
 
 
 def _fitting(found: DataFrame, registry: Sequence[Layout]) -> DataFrame:

@@ -174,3 +174,12 @@ def test_files_of_one_kind_are_decided_once_and_their_lines_stay(spark):
     assert {(int(r.file_id[1:]) % 2, r.spec.columns.description) for r in found.collect()} == {(1, 2), (0, 1)}
     plan = profile.column_statistics(files, spark.createDataFrame([("h", "f0", "utf-8", ";", 1, None)], "household_id string, file_id string, encoding string, delimiter string, first_data int, reason string"))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "MapInArrow" not in plan
+
+
+def test_pages_come_to_python_many_in_a_batch(spark):
+    runs = [("h", "f", p, 10.0 + p, 5.0 - (i % 2), 3.0, t) for p in range(50) for i, t in enumerate(("b", " ", "a"))] + [("h", "f", 50, 1.0, None, 1.0, "last"), ("h", "f", 50, 1.0, 9.0, 1.0, "first"), ("h", "f", 50, 1.0, 9.0, 1.0, None)]
+    items = spark.createDataFrame(runs, "household_id string, file_id string, page int, x double, y double, width double, text string")
+    found = positioned.lines(items)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    rows = {(r.page, r.line_no): r.text for r in found.collect()}
+    assert len(rows) == 51 and rows[50, 0] == "first last" and all("a" in rows[p, 0] and "b" in rows[p, 0] for p in range(50))
