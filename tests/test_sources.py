@@ -177,7 +177,7 @@ def test_files_of_one_kind_are_decided_once_and_their_lines_stay(spark):
 
 
 def test_pages_come_to_python_many_in_a_batch(spark):
-    runs = [("h", "f", p, 10.0 + p, 5.0 - (i % 2), 3.0, t) for p in range(50) for i, t in enumerate(("b", " ", "a"))] + [("h", "f", 50, 1.0, None, 1.0, "last"), ("h", "f", 50, 1.0, 9.0, 1.0, "first"), ("h", "f", 50, 1.0, 9.0, 1.0, None)]
+    runs = [("h", "f", p, 10.0 + p, 5.0 - (i % 2), 3.0, t) for p in range(50) for i, t in enumerate(("b", " ", "a"))] + [("h", "f", 50, 50.0, None, 1.0, "last"), ("h", "f", 50, 1.0, 9.0, 1.0, "first"), ("h", "f", 50, 1.0, 9.0, 1.0, None)]
     items = spark.createDataFrame(runs, "household_id string, file_id string, page int, x double, y double, width double, text string")
     found = positioned.lines(items)
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
