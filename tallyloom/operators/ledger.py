@@ -8,8 +8,10 @@ their size allows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,14 +122,23 @@ def greedy(edges: DataFrame, component: list[str], left: str, right: str, order:
     shape = ", ".join(f"{n} {kinds[n]}" for n in names)
     walked = max(walked, 1)
 
-    def walk(group):
-        used, kept = set(), []
-        group = group.sort_values(order)
-        for i, (a, b) in enumerate(zip(group[left], group[right])):
-            if ("l", a) not in used and ("r", b) not in used:
-                used |= {("l", a), ("r", b)}
-                kept.append(i)
-        return group.iloc[kept][names]
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # components follow each other in a task's rows, each in its order, over however many batches
+        at, used = None, set()
+        for b in batches:
+            kept = []
+            for of, x, y in zip(zip(*(b.column(c).to_pylist() for c in component)), b.column(left).to_pylist(), b.column(right).to_pylist()):
+                if of != at:
+                    at, used = of, set()
+                free = ("l", x) not in used and ("r", y) not in used
+                if free:
+                    used |= {("l", x), ("r", y)}
+                kept.append(free)
+            yield b.filter(pa.array(kept, pa.bool_())).select(names)
+
+    def walks(some: DataFrame) -> DataFrame:
+        """A call and a frame for each component would cost more than its few edges."""
+        return some.repartition(*component).sortWithinPartitions(*component, *order).mapInArrow(walk, shape)
 
     parts, edges = [], staged(edges, "edges")
     while True:
@@ -135,14 +146,14 @@ def greedy(edges: DataFrame, component: list[str], left: str, right: str, order:
         alone, few, many = (edges.join(sizes.where(which).select(*component), component, "left_semi") for which in ("_n = 1", F.col("_n").between(2, walked), F.col("_n") > walked))
         # an edge alone in its component is taken as it is; only contested ones are walked in Python
         parts.append(alone.select(*names))
-        parts.append(few.groupBy(*component).applyInPandas(walk, shape))
+        parts.append(walks(few))
         if sizes.where(F.col("_n") > walked).isEmpty():
             return reduce(DataFrame.unionByName, parts)
         place = F.struct(*order)
         first = [F.min(place).over(Window.partitionBy(*component, end)) for end in (left, right)]
         sure = many.select(*names, (place == first[0]).alias("_l"), (place == first[1]).alias("_r")).where("_l AND _r").select(*names)
         ahead = numbered(many, component, order, "_place").where(F.col("_place") <= walked)
-        won = staged(ahead.groupBy(*component).applyInPandas(walk, shape).unionByName(sure).distinct(), "won")
+        won = staged(walks(ahead).unionByName(sure).distinct(), "won")
         parts.append(won)
         edges = staged(many.join(won.drop(right), [*component, left], "left_anti").join(won.drop(left), [*component, right], "left_anti"), "edges")
 

@@ -210,3 +210,11 @@ def test_tagging_keeps_one_primary(spark):
     rows, foreign = merchants.tagged(before, declared, of, of)
     assert {(r.merchant_id, r.tag_id): r.is_primary for r in rows.collect()} == {("m", "a"): False, ("m", "b"): False, ("m", "c"): False, ("n", "a"): True, ("n", "b"): False, ("o", "a"): True, ("o", "b"): False}
     assert {r["at"] for r in foreign.collect()} == {7, 8}
+
+
+def test_components_are_walked_many_in_a_batch(spark):
+    rows = [("h", c, a, b, n) for c in range(40) for n, (a, b) in enumerate((("x", "p"), ("x", "q"), ("y", "p"), ("y", "q")))]
+    edges = spark.createDataFrame(rows, "household_id string, c int, l string, r string, n int")
+    taken = ledger.greedy(edges, ["household_id", "c"], "l", "r", ["n"])
+    assert "FlatMapGroupsInPandas" not in taken._jdf.queryExecution().toString()
+    assert sorted((r.c, r.l, r.r) for r in taken.collect()) == sorted((c, *e) for c in range(40) for e in (("x", "p"), ("y", "q")))
