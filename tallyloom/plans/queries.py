@@ -267,7 +267,8 @@ def spliced_interpretation(spark: SparkSession, d: str) -> DataFrame:
 def rule_resolution(spark: SparkSession, d: str) -> DataFrame:
     book, found = _interpreted(spark, d)
     raw = text.counterparty_text(F.col("counterparty_name"), F.col("description"))
-    texts = found.rows.where("flow IN ('INCOME', 'SPEND')").select(H, raw.alias("raw")).distinct().select(H, text.normalise_counterparty(F.col("raw")).alias("text"))
+    # written, as a filter on what is normalised would else be moved before the distinct, onto all rows
+    texts = staged(found.rows.where("flow IN ('INCOME', 'SPEND')").select(H, raw.alias("raw")).distinct(), "raw").select(H, text.normalise_counterparty(F.col("raw")).alias("text"))
     return merchants.match_rules(texts, book.rules)
 
 
@@ -280,7 +281,8 @@ def glob_resolution(spark: SparkSession, d: str) -> DataFrame:
     """The texts of all counted rows under globs with stars on both ends, between, and alone."""
     book, found = _interpreted(spark, d)
     raw = text.counterparty_text(F.col("counterparty_name"), F.col("description"))
-    texts = found.rows.where("flow IN ('INCOME', 'SPEND')").select(H, raw.alias("raw")).distinct().select(H, text.normalise_counterparty(F.col("raw")).alias("text"))
+    # written, as a filter on what is normalised would else be moved before the distinct, onto all rows
+    texts = staged(found.rows.where("flow IN ('INCOME', 'SPEND')").select(H, raw.alias("raw")).distinct(), "raw").select(H, text.normalise_counterparty(F.col("raw")).alias("text"))
     return merchants.match_rules(texts, spark.sql(_GLOBS.format(rules="{rules}"), rules=book.rules))
 
 
