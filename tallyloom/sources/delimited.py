@@ -73,8 +73,9 @@ def _cell(cells: Column, at: Column) -> Column:
     return F.when(at.isNotNull(), trimmed(F.coalesce(F.try_element_at(cells, at + 1), F.lit(""))))
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """Data lines as rows with `problem` (null, date, amount, missing-column or indicator), over all files at once."""
+def parsed(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Data lines as rows with `problem` (null, date, amount, missing-column or indicator), over all files at once. `keep`
+    names columns of the files that their rows carry on."""
     spec, cells = F.col("spec"), F.col("cells")
     rows = lines(by_file(decoded(files).drop("content"))).where((F.col("index") > spec["header_row_index"]) & (trimmed(F.col("line")) != ""))
     rows = rows.withColumn("cells", fields(F.col("line"), spec["delimiter"]))
@@ -97,22 +98,27 @@ def parsed(files: DataFrame) -> DataFrame:
         .otherwise("amount")
     )
     texts = {r: F.nullif(_cell(cells, at[r]), F.lit("")) for r in ROLES}
-    return rows.select("household_id", "file_id", (F.col("index") + 1).cast("long").alias("line_no"), F.col("line").alias("raw_line"), "booking_date", "amount_cents", F.coalesce(_cell(cells, at["description"]), F.lit("")).alias("description"), F.when(at["value_date"].isNotNull(), parse_date_as(_cell(cells, at["value_date"]), spec["date_format"])).alias("value_date"), *(c.alias(r) for r, c in texts.items()), problem.alias("problem"))
+    return rows.select("household_id", "file_id", (F.col("index") + 1).cast("long").alias("line_no"), F.col("line").alias("raw_line"), "booking_date", "amount_cents", F.coalesce(_cell(cells, at["description"]), F.lit("")).alias("description"), F.when(at["value_date"].isNotNull(), parse_date_as(_cell(cells, at["value_date"]), spec["date_format"])).alias("value_date"), *(c.alias(r) for r, c in texts.items()), problem.alias("problem"), *keep)
 
 
 def statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the files that parse whole, and the others with their first problem (line, kind), or 'empty-file', or
     'mixed-accounts' where rows name more than one own IBAN."""
     rows = parsed(files)
-    first = F.min_by(F.when(F.col("problem").isNotNull(), F.struct("line_no", "problem", "raw_line")), F.when(F.col("problem").isNotNull(), F.col("line_no")))
-    state = rows.groupBy("household_id", "file_id").agg(first.alias("bad"), F.count_distinct("account_iban").alias("own"))
-    state = files.select("household_id", "file_id").join(state, ["household_id", "file_id"], "left")
-    reason = F.when(F.col("own").isNull(), "empty-file").when(F.col("bad").isNotNull(), F.concat(F.lit("row-"), F.col("bad.problem"))).when(F.col("own") > 1, "mixed-accounts")
-    state = state.select("household_id", "file_id", reason.alias("reason"), F.col("bad.line_no").alias("line_no"), F.col("bad.raw_line").alias("raw_line"))
+    state = failures(files, rows)
     good = rows.join(state.where("reason IS NULL").select("household_id", "file_id"), ["household_id", "file_id"], "left_semi").drop("problem")
     return good, state.where("reason IS NOT NULL")
 
 
+def failures(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """(household_id, file_id, reason, line_no, raw_line) of all files, from their rows as `parsed`; whole ones have no reason."""
+    first = F.min_by(F.when(F.col("problem").isNotNull(), F.struct("line_no", "problem", "raw_line")), F.when(F.col("problem").isNotNull(), F.col("line_no")))
+    state = rows.groupBy("household_id", "file_id").agg(first.alias("bad"), F.count(F.lit(1)).alias("n"), (F.min("account_iban") < F.max("account_iban")).alias("mixed"))
+    state = files.select("household_id", "file_id").join(state, ["household_id", "file_id"], "left")
+    reason = F.when(F.col("n").isNull(), "empty-file").when(F.col("bad").isNotNull(), F.concat(F.lit("row-"), F.col("bad.problem"))).when(F.col("mixed"), "mixed-accounts")
+    return state.select("household_id", "file_id", reason.alias("reason"), F.col("bad.line_no").alias("line_no"), F.col("bad.raw_line").alias("raw_line"))
+
+
 def own_ibans(rows: DataFrame) -> DataFrame:
     """Distinct own IBANs of a file in the order in which they first occur."""
     first = rows.where("account_iban IS NOT NULL").groupBy("household_id", "file_id", "account_iban").agg(F.min("line_no").alias("line_no"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyloom.operators.dedup import align_reparse, ingest_report, new_rows, with_keys
-from tallyloom.sources.delimited import statements
+from tallyloom.sources.delimited import failures, parsed, statements
 from tallyloom.sources.profile import recognised
 from tallyloom.sources.snapshots import PARTS, Snapshot, part_of
 from tallyloom.staging import staged
@@ -59,18 +59,22 @@ def fix_profile(files: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFra
     """
     key = [H, "import_id"]
     account = F.when(F.min("account_id") == F.max("account_id"), F.min("account_id")).otherwise(F.raise_error(F.concat(F.lit("facts of two accounts in import "), F.col("import_id"))))
-    held = files.join(stored.groupBy(*key).agg(account.alias("account_id")), key)
-    rows, bad = statements(held.withColumn("file_id", F.col("import_id")))
-    bad = bad.select(H, F.col("file_id").alias("import_id"), "reason", "raw_line")
-    lines = stored.groupBy(*key, "raw_line").agg(F.min("id").alias("id"))
+    held = files.join(stored.groupBy(*key).agg(account.alias("account_id")), key).withColumn("file_id", F.col("import_id"))
+    # parsed once, as all that follows reads the rows again
+    rows = staged(parsed(held, ("profile_id", "import_order", "account_id")), "parsed")
+    bad = failures(held, rows).where("reason IS NOT NULL").select(H, F.col("file_id").alias("import_id"), "reason", "raw_line")
+    bad = staged(bad, "bad")  # few, as is known once they are written
+    lines = stored.join(bad.select(*key), key, "left_semi").groupBy(*key, "raw_line").agg(F.min("id").alias("id"))
     bad = bad.join(held.select(*key, "profile_id", "import_order"), key).join(lines, [*key, "raw_line"], "left")
     first = F.min(F.struct("import_order", "import_id", "reason", "id")).alias("b")
     refused = staged(bad.groupBy(H, "profile_id").agg(first).select(H, "profile_id", "b.import_id", "b.reason", "b.id"), "refused")
-    of = held.select(*key, "profile_id", "import_order", "account_id").join(refused, [H, "profile_id"], "left_anti")
-    anew = staged(with_keys(rows.withColumnRenamed("file_id", "import_id").join(of, key)), "anew")
-    old = stored.select(*key, "id", "raw_line", "dedup_key").join(of.select(*key, "profile_id", "import_order"), key)
-    spots = align_reparse(old, anew)
-    return spots.join(anew.drop("dedup_key", "import_order"), [H, "profile_id", "import_id", "line_no"]), refused
+    of = held.select(*key, "profile_id", "import_order").join(refused, [H, "profile_id"], "left_anti")
+    # a file that fails is one of a refused profile, so the rows that are left are those of whole files
+    anew = rows.withColumnRenamed("file_id", "import_id").drop("problem").join(refused, [H, "profile_id"], "left_anti")
+    keyed = staged(with_keys(anew).select(H, "profile_id", "import_id", "line_no", "raw_line", "dedup_key"), "keyed")
+    old = stored.select(*key, "id", "raw_line", "dedup_key").join(of, key)
+    spots = align_reparse(old, keyed)
+    return spots.join(anew.drop("import_order"), [H, "profile_id", "import_id", "line_no"]), refused
 
 
 def reopened(rewritten: DataFrame, states: DataFrame) -> DataFrame:
@@ -83,7 +87,7 @@ def ingest(rows: DataFrame, stored: DataFrame, natural: bool = True) -> tuple[Da
     """New facts of a batch of parsed rows, and what each import added and already knew."""
     keyed = with_keys(rows, natural)
     added = new_rows(keyed, stored)
-    return added, ingest_report(keyed, added)
+    return added, ingest_report(rows, added)
 
 
 #: Columns of stored facts, of their imports' states and of the profiles that files are read by.
@@ -121,15 +125,16 @@ def rewrite(store: Snapshot, files: DataFrame) -> tuple[int, DataFrame]:
     files: household_id, profile_id, import_order, import_id, content, spec (the corrected one), of all households touched.
     """
     homes = files.select(H).distinct()
-    stored = staged(store.read("facts", households=homes).join(files.select(H, "profile_id", "import_id").distinct(), [H, "profile_id", "import_id"], "left_semi"), "facts")
-    rewritten, refused = fix_profile(files, stored.select(H, "profile_id", "import_id", "account_id", "id", "raw_line", "dedup_key"))
+    stored = staged(store.read("facts", households=homes).join(files.select(H, "profile_id", "import_id").distinct(), [H, "profile_id", "import_id"], "left_semi").select(H, "profile_id", "import_id", "account_id", "id", "raw_line", "dedup_key", "period"), "facts")
+    rewritten, refused = fix_profile(files, stored.drop("period"))
     rewritten = staged(rewritten, "rewritten")
-    gone = stored.join(rewritten.select(H, "id"), [H, "id"], "left_semi").select(H, "id", "period")
+    # what is read by a splice is read several times
+    gone = staged(stored.join(rewritten.select(H, "id"), [H, "id"], "left_semi").select(H, "id", "period"), "gone")
     facts = store.splice("facts", _stored(rewritten, "facts", F.date_format("booking_date", "yyyy")), [H, "id"], gone)
-    opened = reopened(rewritten, store.read("states", households=homes))
+    opened = staged(reopened(rewritten, store.read("states", households=homes)), "opened")
     states = store.splice("states", _stored(opened, "states", F.lit("all")), [H, "import_id"], opened.withColumn("period", F.lit("all")))
     fixed = files.select(H, "profile_id", F.to_json("spec").alias("spec")).distinct().join(refused, [H, "profile_id"], "left_anti")
-    fixed = _stored(fixed, "profiles", F.lit("all"))
+    fixed = staged(_stored(fixed, "profiles", F.lit("all")), "fixed")
     return store.commit({"facts": facts, "states": states, "profiles": store.splice("profiles", fixed, [H, "profile_id"], fixed)}), refused
 
 

@@ -133,3 +133,16 @@ def test_keys_are_looked_up_in_touched_parts_only(spark, tmp_path):
     assert re.search(rf"PartitionFilters: \[[^\]]*part#\d+ = {part}\)", plan) and ("h7", "k7") in set(map(tuple, found.collect()))
     assert {r.household_id for r in found.collect()} == {r.household_id for r in rows.where(part_of(F.col("household_id")) == part).collect()}
     assert stored_keys(spark, path, rows.limit(0)).count() == 0
+
+
+def test_files_are_parsed_once_for_a_corrected_profile(spark):
+    files = spark.createDataFrame([("h", f, bytearray(CARD.encode())) for f in ("f", "g")], "household_id string, import_id string, content binary")
+    spec = profile.infer(files.withColumnRenamed("import_id", "file_id")).where("reason IS NULL").select("household_id", F.col("file_id").alias("import_id"), "spec")
+    given = files.join(spec, ["household_id", "import_id"]).withColumns({"profile_id": F.lit("p"), "import_order": F.lit(1)})
+    rows = [("h", "p", f, f"acc-{f}", f"{f}{n}", raw, f"h:o{f}{n}#0") for f in "fg" for n, raw in enumerate(CARD.split("\n")[2:4])]
+    stored = spark.createDataFrame(rows, "household_id string, profile_id string, import_id string, account_id string, id string, raw_line string, dedup_key string")
+    rewritten, refused = ingest.fix_profile(given, stored)
+    # nothing that is made of the rows takes the files' lines apart again
+    assert "posexplode" not in rewritten._jdf.queryExecution().optimizedPlan().toString()
+    assert refused.count() == 0
+    assert sorted((r.import_id, r.id, r.line_no, r.account_id, r.amount_cents) for r in rewritten.collect()) == [(f, f"{f}{n}", n + 3, f"acc-{f}", c) for f in "fg" for n, c in enumerate((-1200, 550))]
