@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from array import array
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +24,25 @@ def content_tuple() -> Column:
 def with_keys(rows: DataFrame, natural: Column | bool = True, file: str = "import_id", line: str = "line_no", ranges: int | None = None) -> DataFrame:
     """rows with dedup_key: the natural key where the profile has one and both numbers stand, else a content hash with
     the 0-based ordinal of the row among equal ones of its file. Rows with natural keys do not count in ordinals and are
-    not sorted; the others are numbered in ranges, so that a file of equal rows is not one task's.
+    not sorted. Of the others only those are numbered whose content comes up again in their file, as found by a short hash
+    (two contents of one hash are numbered apart all the same); in ranges, so that a file of equal rows is not one task's.
     """
     by_number = F.lit(natural) if isinstance(natural, bool) else natural
     by_number = F.coalesce(by_number & F.col("statement_number").isNotNull() & F.col("sequence_number").isNotNull(), F.lit(False))
     known = rows.where(by_number).withColumn("dedup_key", F.concat_ws(":", F.lit("nat"), "account_id", "statement_number", "sequence_number"))
     hashed = rows.where(~by_number).withColumn("_hash", F.sha2(content_tuple().cast("binary"), 256))
-    nth = numbered(hashed, [H, file, "_hash"], [line], "_nth", ranges)
+    hashed = hashed.withColumn("_short", F.xxhash64(H, F.col(file), "_hash"))
+    often = staged(hashed.groupBy("_short").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_short"), "often")
+    alone, twins = (hashed.join(often, "_short", how).drop("_short") for how in ("left_anti", "left_semi"))
+    nth = numbered(twins, [H, file, "_hash"], [line], "_nth", ranges).unionByName(alone.withColumn("_nth", F.lit(1).cast("long")))
     key = F.concat(F.lit("h:"), "_hash", F.lit("#"), (F.col("_nth") - 1).cast("string"))
     return known.unionByName(nth.withColumn("dedup_key", key).drop("_hash", "_nth"))
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, line: str = "line_no") -> DataFrame:
     """Rows whose key is not stored; of rows with one key the first of the batch. Ingesting them twice adds nothing."""
-    first = rows.groupBy(H, "dedup_key").agg(F.min(F.struct("import_id", line)).alias("_first"))
-    own = rows.join(first, [H, "dedup_key"]).where((F.col("import_id") == F.col("_first.import_id")) & (F.col(line) == F.col(f"_first.{line}"))).drop("_first")
+    nth = F.row_number().over(Window.partitionBy(H, "dedup_key").orderBy("import_id", line))
+    own = rows.withColumn("_n", nth).where("_n = 1").drop("_n")
     return own.join(stored.select(H, "dedup_key"), [H, "dedup_key"], "left_anti")
 
 
@@ -49,9 +54,9 @@ def ingest_report(rows: DataFrame, added: DataFrame) -> DataFrame:
     return all_.join(some, [H, "import_id"], "left").select(H, "import_id", n.alias("rows_added"), (F.col("_all") - n).alias("rows_known"))
 
 
-def _split_key(key: str) -> tuple[str, int]:
-    base, mark, nth = key.rpartition("#")
-    return (base, int(nth)) if key.startswith("h:") and mark and nth.isdigit() else (key, -1)
+def _ordinal(key: Column) -> Column:
+    """The ordinal of a content key, -1 for a natural key."""
+    return F.when(key.startswith("h:") & key.rlike("#[0-9]+$"), F.substring_index(key, "#", -1).cast("long")).otherwise(F.lit(-1).cast("long"))
 
 
 def _base(key: Column) -> Column:
@@ -67,43 +72,64 @@ def align_reparse(stored: DataFrame, parsed: DataFrame) -> DataFrame:
     over, and where none is left the next free ordinal is used. Only rows that are alike under the new profile can take
     each other's keys, so these are one group, not the profile; a row without such takes its line as it is. A stored row whose line is not in its file fails the run.
     """
+    group, names = [H, "profile_id", "_base"], [H, "profile_id", "id", "import_id", "line_no", "dedup_key"]
     shape = "household_id string, profile_id string, id string, import_id string, line_no long, dedup_key string"
-
-    def align(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        beyond: dict[str, int] = {}  # of a file's first key, the ordinal before which none is free; none ever becomes free again
-        out = []
-        lines, files = defaultdict(list), defaultdict(lambda: defaultdict(list))
-        for n, k, imported, raw in sorted(zip(new["line_no"], new["dedup_key"], new["import_id"], new["raw_line"])):
-            lines[imported, raw].append((n, k))
-        for place, imported, raw, k, i in zip(old["import_order"], old["import_id"], old["raw_line"], old["dedup_key"], old["id"]):
-            files[place, imported][raw].append((_split_key(k), i))
-        for (_, imported), rows in sorted(files.items(), key=lambda f: f[0]):
-            for raw, twins in sorted(rows.items(), key=lambda r: min(i for _, i in r[1])):
-                free = iter(at := lines[imported, raw])
-                for _, stored_id in sorted(twins):
-                    spot = next(((n, k) for n, k in free if k not in taken), None)
-                    if spot is None:
-                        n, k = at[0]
-                        base, nth = _split_key(k)
-                        if nth < 0:
-                            raise ValueError(f"natural key {k} is taken")
-                        nth = beyond.get(k, nth)
-                        while f"{base}#{nth}" in taken:
-                            nth += 1
-                        beyond[k] = nth + 1
-                        spot = n, f"{base}#{nth}"
-                    taken.add(spot[1])
-                    out.append((*key[:2], stored_id, imported, *spot))
-        return pd.DataFrame(out, columns=["household_id", "profile_id", "id", "import_id", "line_no", "dedup_key"])
+    schema = pa.schema([(n, pa.int64() if n == "line_no" else pa.string()) for n in names])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a group's files follow each other, in a file its raw lines, of each first the lines and then the stored rows; what
+        # is kept is the lines of one raw line, and which ordinals of the group are taken: all below `floor`, and `above`
+        at = raw_at = None
+        floor, above, beyond = 0, set(), {}
+        spots, keys, turn = array("q"), array("q"), 0
+        for b in batches:
+            out = []
+            for *of, place, imported, first, raw, line, n, stored_id in zip(*(b.column(c).to_pylist() for c in (*group, "import_order", "import_id", "_at", "raw_line", "line_no", "_nth", "id"))):
+                if of != at:
+                    at, raw_at, floor, above, beyond = of, None, 0, set(), {}
+                if (place, imported, first, raw) != raw_at:
+                    raw_at, spots, keys, turn = (place, imported, first, raw), array("q"), array("q"), 0
+                if stored_id is None:
+                    spots.append(line)
+                    keys.append(n)
+                    continue
+                while turn < len(keys) and (0 <= keys[turn] < floor or keys[turn] in above):
+                    turn += 1
+                if turn < len(keys):
+                    n, line = keys[turn], spots[turn]
+                    turn += 1
+                else:
+                    n, line = keys[0], spots[0]
+                    if n < 0:
+                        raise ValueError(f"natural key {of[-1]} is taken")
+                    # of a file's first key, the ordinal before which none is free; none ever becomes free again
+                    n, key = max(floor, beyond.get(n, n)), n
+                    while n in above:
+                        n += 1
+                    beyond[key] = n + 1
+                above.add(n)
+                while floor in above:
+                    above.remove(floor)
+                    floor += 1
+                out.append((*of[:2], stored_id, imported, line, of[-1] if n < 0 else f"{of[-1]}#{n}"))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     parsed = parsed.select(H, "profile_id", "import_id", "line_no", "raw_line", "dedup_key", _base(F.col("dedup_key")).alias("_base"))
-    line, group = [H, "profile_id", "import_id", "raw_line"], [H, "profile_id", "_base"]
+    line = [H, "profile_id", "import_id", "raw_line"]
     first = parsed.groupBy(*line, "_base").agg(F.min(F.struct("line_no", "dedup_key")).alias("_first"))
     stored = stored.select(*line, "import_order", "id", "dedup_key").join(first, line, "left")
     stored = stored.withColumn("_base", F.coalesce("_base", F.raise_error(F.concat(F.lit("no such line in its file: row "), F.col("id")))))
-    stored = staged(stored.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group))), "stored")
-    alone = stored.where("_n = 1").select(H, "profile_id", "id", "import_id", "_first.line_no", "_first.dedup_key")
-    twins = stored.where("_n > 1").drop("_first", "_n")
-    lines = parsed.join(twins.select(*group).distinct(), group, "left_semi")
-    return alone.unionByName(twins.groupBy(*group).cogroup(lines.groupBy(*group)).applyInPandas(align, shape))
+    stored = staged(stored.withColumn("_short", F.xxhash64(*group)), "stored")
+    # groups of one row, as far as a short hash tells; the walk does the same for those that share one
+    often = staged(stored.groupBy("_short").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_short"), "often")
+    alone = stored.join(often, "_short", "left_anti").select(H, "profile_id", "id", "import_id", "_first.line_no", "_first.dedup_key")
+    twins = stored.join(often, "_short", "left_semi").drop("_first", "_short")
+    asked = twins.groupBy(*group, "import_order", "import_id", "raw_line").agg(F.min("id").alias("_at"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    nth = _ordinal(F.col("dedup_key")).alias("_nth")
+    olds = twins.join(asked, [*group, "import_order", "import_id", "raw_line"]).select(*group, "import_order", "import_id", "_at", "raw_line", F.lit(1).alias("_kind"), nothing("long").alias("line_no"), _base(F.col("dedup_key")).alias("_was"), nth, "id")
+    news = parsed.join(asked, [*group, "import_id", "raw_line"]).select(*group, "import_order", "import_id", "_at", "raw_line", F.lit(0).alias("_kind"), "line_no", nothing("string").alias("_was"), nth, nothing("string").alias("id"))
+    order = [*group, "import_order", "import_id", "_at", "raw_line", "_kind", "line_no", "_was", "_nth", "id"]
+    walked = news.unionByName(olds).repartition(*group).sortWithinPartitions(*order).mapInArrow(align, shape)
+    return alone.unionByName(walked)

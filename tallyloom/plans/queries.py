@@ -443,9 +443,10 @@ def dedup_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ingest_report", "facts", f", k AS ({_KEYED}), old AS (SELECT DISTINCT household_id, dedup_key FROM k WHERE right(id, 1) IN ('0', '1', '2')), fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY household_id, dedup_key ORDER BY import_id, id) AS n FROM k) x WHERE n = 1 AND (household_id, dedup_key) NOT IN (SELECT (household_id, dedup_key) FROM old)) SELECT k.household_id, k.import_id, count(f.id) AS rows_added, count(*) - count(f.id) AS rows_known FROM k LEFT JOIN fresh f ON f.household_id = k.household_id AND f.id = k.id GROUP BY 1, 2")
 def ingest_report(spark: SparkSession, d: str) -> DataFrame:
-    keyed = dedup.with_keys(_fact_lines(Ledger(spark, d)))
+    rows = _fact_lines(Ledger(spark, d))
+    keyed = dedup.with_keys(rows).select(H, "import_id", "line_no", "dedup_key")
     old = keyed.where(F.expr("right(line_no, 1) IN ('0', '1', '2')")).select(H, "dedup_key").distinct()
-    return dedup.ingest_report(keyed, dedup.new_rows(keyed, old))
+    return dedup.ingest_report(rows, dedup.new_rows(keyed, old))
 
 
 @query("amount_round_trip", "facts", "SELECT household_id, id, amount_cents, amount_cents AS parsed_cents, CASE WHEN amount_cents >= 0 THEN amount_cents ELSE -1 END AS unsigned_cents FROM facts")
