@@ -756,13 +756,15 @@ def statement_items(book: Ledger) -> DataFrame:
     by = Window.partitionBy(H, "account_id", F.year("booking_date")).orderBy("booking_date", "id")
     rows = book.facts.join(own, [H, "account_id"]).withColumn("n", F.row_number().over(by) - 1)
     rows = rows.withColumn("file_id", F.concat_ws("-", "account_id", F.year("booking_date"), F.floor(F.col("n") / STATEMENT_ROWS))).withColumn("n", F.col("n") % STATEMENT_ROWS + 1)
+    # numbered once: the runs and what stands around them are made of the same rows
+    rows = staged(rows.select(H, "file_id", "iban", "n", "booking_date", "amount_cents", "counterparty_iban", "description"), "statement-rows")
     signed = F.concat(F.when(F.col("amount_cents") < 0, "-").otherwise("+"), F.lit(" "), F.regexp_replace(money.display(F.col("amount_cents")), "^-", ""))
     day = F.date_format("booking_date", "dd-MM-yyyy")
     page, top = F.floor((F.col("n") - 1) / 20).cast("int"), 700.0 - ((F.col("n") - 1) % 20) * 30
     run = lambda y, x, t, w=50.0: F.struct(y.cast("double").alias("y"), F.lit(float(x)).alias("x"), F.lit(w).alias("width"), t.alias("text"))
     body = F.array(run(top, 40, F.concat(F.lpad(F.col("n").cast("string"), 4, "0"), F.lit(" "), day), 90.0), run(top + 1.5, 140, F.concat(F.lit("(VAL. "), day, F.lit(")"))), run(top - 0.5, 300, signed), run(top - 12, 60, F.concat(F.coalesce("counterparty_iban", F.lit("geen")), F.lit(" "), "description")))
     items = rows.select(H, "file_id", page.alias("page"), F.explode(body).alias("i")).select(H, "file_id", "page", "i.*")
-    whole = rows.groupBy(H, "file_id", "iban").agg(F.sum("amount_cents").alias("moved"), F.max(page).alias("last"))
+    whole = staged(rows.groupBy(H, "file_id", "iban").agg(F.sum("amount_cents").alias("moved"), F.max(page).alias("last")), "statements")
     closing = F.concat(F.when(F.col("moved") + 100000 < 0, "-").otherwise("+"), F.lit(" "), F.regexp_replace(money.display(F.col("moved") + 100000), "^-", ""))
     spaced = F.rtrim(F.regexp_replace("iban", "(.{4})", "$1 "))
     one = lambda y, x, t: run(F.lit(float(y)), x, t)

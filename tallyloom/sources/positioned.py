@@ -59,6 +59,8 @@ def _by_layout(registry: Sequence[Layout], value: Callable[[Layout], Column]) ->
 
 #: What an extractor's failure is told as: it could not be loaded at all, or not read this file.
 UNAVAILABLE, FAILED = "module-unavailable", "extraction-failed"
+#: Runs after which a batch of small files goes back to Spark.
+BATCH = 10_000
 
 
 def items_from_bytes(files: DataFrame, extract: Callable[[bytes], Iterable[Iterable[tuple[float, float, float, str]]]]) -> tuple[DataFrame, DataFrame]:
@@ -79,11 +81,20 @@ def items_from_bytes(files: DataFrame, extract: Callable[[bytes], Iterable[Itera
         except Exception as e:  # an extractor may raise anything; the kind is kept
             return [(h, f, *[None] * 5, UNAVAILABLE if isinstance(e, ImportError) else FAILED, type(e).__name__)]
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # small files share a batch, as one for each would cost more than reading it
+        rows: list[tuple] = []
         for b in batches:
             for at in zip(*(b.column(c).to_pylist() for c in ("household_id", "file_id", "content"))):
-                if rows := read(*at):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                rows += read(*at)
+                if len(rows) >= BATCH:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
 
     told = files.select("household_id", "file_id", "content").mapInArrow(run, "household_id string, file_id string, page int, x double, y double, width double, text string, reason string, error string")
     told = staged(told, "items")
