@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.constants import CASH, SETTLEMENT_CREDIT, SETTLEMENT_DAYS, SETTLEMENT_DEBIT, TRANSFER_DAYS
 from tallyloom.functions.dates import day_distance
-from tallyloom.functions.text import refund_key
+from tallyloom.functions.text import counterparty_text, refund_key
+from tallyloom.operators.joins import HASH, hashed_join, key_hash
 from tallyloom.operators.numbering import numbered
 from tallyloom.staging import staged
 
@@ -38,7 +39,7 @@ def rings(accounts: DataFrame) -> DataFrame:
 def pot_facts(facts: DataFrame, accounts: DataFrame) -> DataFrame:
     """Facts on pot and card accounts, with is_card and the account's own IBAN."""
     own = rings(accounts).where("role = 'POT'").select(H, F.col("id").alias("account_id"), F.col("iban").alias("own_iban"), (F.col("ring") == "card").alias("is_card"))
-    return facts.join(own, [H, "account_id"])
+    return hashed_join(facts, own, [H, "account_id"])
 
 
 def card_imports(facts: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -53,39 +54,87 @@ def import_periods(facts: DataFrame) -> DataFrame:
 
 def outgoing_keys(facts: DataFrame, accounts: DataFrame) -> DataFrame:
     """Distinct refund keys of everything that ever went out of the pot, whatever the date."""
-    key = refund_key(F.col("counterparty_iban"), F.col("counterparty_name"), F.col("description"))
-    return pot_facts(facts, accounts).where("amount_cents < 0").select(H, key.alias("refund_key")).distinct()
+    return _parties(pot_facts(facts, accounts)).where("went").select(H, "refund_key").distinct()
 
 
-def settlement_candidates(facts: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Settlement debits with the card imports whose total they could pay: an equi-join on the amount, days as residue."""
+def _party(iban: Column, name: Column, description: Column) -> Column:
+    """What a refund key is made of, as it stands: rows have one key if they have this in common."""
+    return F.when(iban.isNotNull(), F.concat(F.lit("iban:"), iban)).otherwise(F.concat(F.lit("text:"), counterparty_text(name, description)))
+
+
+def _parties(rows: DataFrame) -> DataFrame:
+    """(household_id, counterparty_iban, party, refund_key, went, came): once for each party, whether money ever went to it
+    and came from it. Keys cost much, so they are made of parties, written for no filter on a key to move onto all rows."""
+    iban, text, cents = F.col("counterparty_iban"), F.col("text"), F.col("amount_cents")
+    told = rows.withColumn("text", F.when(iban.isNull(), counterparty_text(F.col("counterparty_name"), F.col("description"))))
+    told = staged(told.groupBy(H, "counterparty_iban", "text").agg(F.max(cents < 0).alias("went"), F.max(cents > 0).alias("came")), "parties")
+    return told.select(H, "counterparty_iban", _party(iban, text, text).alias("party"), refund_key(iban, text, text).alias("refund_key"), "went", "came")
+
+
+def settlement_debits(facts: DataFrame, accounts: DataFrame) -> DataFrame:
     debits = pot_facts(facts, accounts).where((F.col("amount_cents") < 0) & matches(F.col("description"), SETTLEMENT_DEBIT))
-    debits = debits.select(H, F.col("id").alias("debit_id"), F.col("account_id").alias("debit_account"), (-F.col("amount_cents")).alias("cents"), F.col("booking_date").alias("debit_date"))
+    return debits.select(H, F.col("id").alias("debit_id"), F.col("account_id").alias("debit_account"), (-F.col("amount_cents")).alias("cents"), F.col("booking_date").alias("debit_date"))
+
+
+def settlement_cards(facts: DataFrame, accounts: DataFrame) -> DataFrame:
     cards = card_imports(facts, accounts).where("settlement_total_cents > 0")
-    cards = cards.select(H, F.col("import_id").alias("card_import_id"), F.col("account_id").alias("card_account"), F.col("settlement_total_cents").alias("cents"), "period_end")
-    near = debits.join(cards, [H, "cents"]).withColumn("distance", day_distance(F.col("debit_date"), F.col("period_end")))
+    return cards.select(H, F.col("import_id").alias("card_import_id"), F.col("account_id").alias("card_account"), F.col("settlement_total_cents").alias("cents"), "period_end")
+
+
+def settlement_candidates(facts: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Settlement debits with the card imports whose total they could pay: an equi-join on the amount, days as residue."""
+    return _candidates(settlement_debits(facts, accounts), settlement_cards(facts, accounts))
+
+
+def _candidates(debits: DataFrame, cards: DataFrame) -> DataFrame:
+    near = hashed_join(debits, cards, [H, "cents"]).withColumn("distance", day_distance(F.col("debit_date"), F.col("period_end")))
     return near.where((F.col("debit_account") != F.col("card_account")) & (F.col("distance") <= SETTLEMENT_DAYS))
 
 
-def classify(facts: DataFrame, accounts: DataFrame, paid: DataFrame | None = None) -> DataFrame:
+def payable(debits: DataFrame, cards: DataFrame) -> DataFrame:
+    """(household_id, debit_id) of the debits that have a candidate. Days and accounts are compared once each, as an amount
+    that comes up often would give pairs by the square of its number."""
+    told = [H, "cents", "debit_date", "debit_account"]
+    ends = cards.groupBy(H, "cents", "period_end").agg(F.min("card_account").alias("_low"), F.max("card_account").alias("_high"))
+    near = hashed_join(debits.select(*told).distinct(), ends, [H, "cents"]).where(day_distance(F.col("debit_date"), F.col("period_end")) <= SETTLEMENT_DAYS)
+    other = (F.col("_low") != F.col("debit_account")) | (F.col("_high") != F.col("debit_account"))
+    return hashed_join(debits, near.where(other).select(*told).distinct(), told, "left_semi").select(H, "debit_id").distinct()
+
+
+def refunded(facts: DataFrame, accounts: DataFrame, paid: DataFrame | None = None) -> DataFrame:
+    """(household_id, party): those outside the household's rings that money came from and that were ever paid."""
+    ring = rings(accounts).where("ring IN ('reserve', 'pot')").select(H, F.col("iban").alias("counterparty_iban"))
+    parties = _parties(pot_facts(facts, accounts))
+    paid = parties.where("went").select(H, "refund_key").distinct() if paid is None else paid
+    came = hashed_join(parties.where("came"), ring, [H, "counterparty_iban"], "left_anti", spread="party")
+    return hashed_join(came, paid, [H, "refund_key"], "left_semi").select(H, "party").distinct()
+
+
+def classify(facts: DataFrame, accounts: DataFrame, paid: DataFrame | None = None, cards: DataFrame | None = None) -> DataFrame:
     """Facts of the pot with flow, is_cash, mirror_credit and pattern_debit (a settlement debit that has a candidate).
 
     Order of the rules: reserve, pot, settlement, outgoing, refund, incoming, nothing. IBANs are compared as they stand.
-    `paid` (household_id, refund_key) is what ever went out, where facts are only a part of the ledger.
+    `paid` (household_id, refund_key) is what ever went out, where facts are only a part of the ledger. `cards`: the
+    `settlement_cards`, if they are there already.
+
+    Sides that rows meet are written first: where they are small, the planner then knows and rows are not shuffled.
+    Rows that a side has nothing to say to (no IBAN, no settlement debit, nothing received) have no key there.
     """
-    ring = rings(accounts).where("iban IS NOT NULL")
-    reserve = ring.where("ring = 'reserve'").select(H, F.col("iban").alias("counterparty_iban"), F.lit(True).alias("to_reserve")).distinct()
-    pot = ring.where("ring = 'pot'").select(H, F.col("iban").alias("counterparty_iban"), F.lit(True).alias("to_pot")).distinct()
-    settled = settlement_candidates(facts, accounts).select(H, F.col("debit_id").alias("id"), F.lit(True).alias("has_import")).distinct()
-    paid = (outgoing_keys(facts, accounts) if paid is None else paid).withColumn("paid_before", F.lit(True))
-    key = refund_key(F.col("counterparty_iban"), F.col("counterparty_name"), F.col("description"))
-    rows = pot_facts(facts, accounts).withColumn("refund_key", key)
-    rows = rows.join(reserve, [H, "counterparty_iban"], "left").join(pot, [H, "counterparty_iban"], "left").join(settled, [H, "id"], "left").join(paid, [H, "refund_key"], "left")
+    owned = rings(accounts).where("ring IN ('reserve', 'pot')").select(H, F.col("iban").alias("counterparty_iban"), (F.col("ring") == "reserve").alias("r"))
+    owned = owned.groupBy(H, "counterparty_iban").agg(F.max("r").alias("to_reserve"), F.max(~F.col("r")).alias("to_pot"))
+    debits = staged(settlement_debits(facts, accounts), "debits")
+    settled = payable(debits, settlement_cards(facts, accounts) if cards is None else cards).select(H, F.col("debit_id").alias("_debit"), F.lit(True).alias("has_import"))
+    paid = staged(refunded(facts, accounts, paid), "refunded").select(H, F.col("party").alias("_party"), F.lit(True).alias("paid_before"))
+    party = _party(F.col("counterparty_iban"), F.col("counterparty_name"), F.col("description"))
+    asks = (F.col("amount_cents") < 0) & matches(F.col("description"), SETTLEMENT_DEBIT)
+    rows = pot_facts(facts, accounts).withColumns({"_party": F.when(F.col("amount_cents") > 0, party), "_debit": F.when(asks, F.col("id"))})
+    for side, key in ((owned, "counterparty_iban"), (settled, "_debit"), (paid, "_party")):
+        rows = hashed_join(rows, side, [H, key], "left", spread="id")
     on = lambda c: F.coalesce(F.col(c), F.lit(False))
     plain = ~on("to_reserve") & ~on("to_pot")
     amount, said = F.col("amount_cents"), F.col("description")
     mirror = plain & (amount > 0) & F.col("is_card") & matches(said, SETTLEMENT_CREDIT)
-    debit = plain & (amount < 0) & matches(said, SETTLEMENT_DEBIT)
+    debit = plain & F.col("_debit").isNotNull()
     flow = (
         F.when(on("to_reserve"), "RESERVE")
         .when(on("to_pot") | mirror | (debit & on("has_import")), "INTERNAL")
@@ -158,13 +207,45 @@ def greedy(edges: DataFrame, component: list[str], left: str, right: str, order:
         edges = staged(many.join(won.drop(right), [*component, left], "left_anti").join(won.drop(left), [*component, right], "left_anti"), "edges")
 
 
-def allocate_settlements(flows: DataFrame, facts: DataFrame, accounts: DataFrame) -> DataFrame:
-    """(household_id, debit_id, card_import_id, card_account, cents): nearest first, then ids; each side once."""
-    wanted = flows.where("pattern_debit").select(H, F.col("id").alias("debit_id"))
-    edges = settlement_candidates(facts, accounts).join(wanted, [H, "debit_id"], "left_semi")
-    edges = _islands(edges, [H, "cents"], "debit_date", 2 * SETTLEMENT_DAYS)
+def allocate_settlements(flows: DataFrame, facts: DataFrame, accounts: DataFrame, cards: DataFrame | None = None) -> DataFrame:
+    """(household_id, debit_id, card_import_id, card_account, cents, debit_date): nearest first, then ids; each side once.
+    `cards`: the `settlement_cards`, if they are there already."""
+    cards = staged(settlement_cards(facts, accounts), "cards") if cards is None else cards
+    wanted = flows.where("pattern_debit").select(H, F.col("id").alias("debit_id"), F.col("account_id").alias("debit_account"), (-F.col("amount_cents")).alias("cents"), F.col("booking_date").alias("debit_date"), "is_card")
+    return match_settlements(staged(wanted, "wanted"), cards)
+
+
+def match_settlements(debits: DataFrame, cards: DataFrame) -> DataFrame:
+    """What `greedy` makes of the candidates (nearest first, then ids). Debits of one amount and day are as far from all
+    imports of that total that end on one day. Where each of two such groups is the other's nearest and no third is as near,
+    nothing comes before their edges, so they pair off by their ids and are numbered against each other here; only what one
+    side has more of, and groups with a rival, meet as edges. Amounts that recur many times thus give no edges by the
+    square of their number. A debit on a card account may be barred from its own imports: its amount goes the long way."""
+    left, right = [H, "cents", "debit_date"], [H, "cents", "period_end"]
+    barred = debits.where("is_card").select(H, "cents").distinct()
+    groups = hashed_join(debits.select(*left).distinct(), barred, [H, "cents"], "left_anti")
+    near = hashed_join(groups, cards.select(*right).distinct(), [H, "cents"]).withColumn("distance", day_distance(F.col("debit_date"), F.col("period_end")))
+    near = near.where(F.col("distance") <= SETTLEMENT_DAYS)
+    for keys, name in ((left, "_l"), (right, "_r")):
+        by = Window.partitionBy(HASH, *keys).orderBy("distance")
+        lead = (F.row_number().over(by) == 1) & (F.coalesce(F.lead("distance").over(by), F.lit(-1)) != F.col("distance"))
+        near = near.withColumn(HASH, key_hash(keys)).withColumn(name, lead).drop(HASH)
+    near = staged(near.where("_l AND _r").select(H, "cents", "debit_date", "period_end"), "near")
+
+    def numbers(side: DataFrame, keys: list[str], of: str) -> DataFrame:
+        some = hashed_join(side, near, keys).withColumn(HASH, key_hash(keys))
+        return some.withColumn("_number", F.row_number().over(Window.partitionBy(HASH, *keys).orderBy(of))).drop(HASH)
+
+    ins = numbers(cards, right, "card_import_id").select(*left, "_number", "card_import_id", "card_account")
+    sure = staged(hashed_join(numbers(debits, left, "debit_id").select(*left, "_number", "debit_id"), ins, [*left, "_number"]), "sure")
+    names = [H, "debit_id", "card_import_id", "card_account", "cents", "debit_date"]
+    rest = hashed_join(debits, sure.select(H, "debit_id"), [H, "debit_id"], "left_anti")
+    open_ = hashed_join(cards, sure.select(H, "card_import_id"), [H, "card_import_id"], "left_anti")
+    known = staged(_candidates(rest, open_), "known")
+    edges = _islands(known, [H, "cents"], "debit_date", 2 * SETTLEMENT_DAYS)
     taken = greedy(edges, [H, "cents", "island"], "debit_id", "card_import_id", ["distance", "debit_id", "card_import_id"])
-    return taken.join(edges.select(H, "debit_id", "card_import_id", "card_account", "debit_date"), [H, "debit_id", "card_import_id"]).drop("island")
+    taken = hashed_join(taken.select(H, "debit_id", "card_import_id"), known, [H, "debit_id", "card_import_id"])
+    return sure.select(*names).unionByName(taken.select(*names))
 
 
 def assign_mirrors(flows: DataFrame, settled: DataFrame) -> DataFrame:
@@ -179,7 +260,7 @@ def transfer_candidates(legs: DataFrame) -> DataFrame:
     """Pairs of opposite legs that name each other's account within the days: an equi-join on household, amount and both IBANs."""
     out = legs.where("amount_cents < 0").select(H, F.col("id").alias("out_id"), F.col("account_id").alias("out_account"), (-F.col("amount_cents")).alias("cents"), F.col("booking_date").alias("out_date"), F.col("own_iban").alias("from_iban"), F.col("counterparty_iban").alias("to_iban"))
     inn = legs.where("amount_cents > 0").select(H, F.col("id").alias("in_id"), F.col("account_id").alias("in_account"), F.col("amount_cents").alias("cents"), F.col("booking_date").alias("in_date"), F.col("counterparty_iban").alias("from_iban"), F.col("own_iban").alias("to_iban"))
-    near = out.join(inn, [H, "cents", "from_iban", "to_iban"]).withColumn("distance", day_distance(F.col("out_date"), F.col("in_date")))
+    near = hashed_join(out, inn, [H, "cents", "from_iban", "to_iban"]).withColumn("distance", day_distance(F.col("out_date"), F.col("in_date")))
     return near.where((F.col("distance") <= TRANSFER_DAYS) & (F.col("out_account") != F.col("in_account")))
 
 
@@ -193,11 +274,12 @@ def match_transfers(legs: DataFrame) -> DataFrame:
     """(household_id, out_id, in_id): what `pair_transfers` makes of the candidates among the legs. Legs of one day come
     first there and pair off by their ids, so they are numbered against each other here; only what one side has more of
     meets the legs of other days. Amounts that recur many times a day thus give no edges by the square of their number."""
-    day = [H, "_cents", "_from", "_to", "booking_date"]
+    ends_of = [H, "_cents", "_from", "_to", "booking_date"]
+    day = [HASH, *ends_of]  # sorted by the hash first, as texts of one household begin alike
     out = F.col("amount_cents") < 0
     own, other = F.col("own_iban"), F.col("counterparty_iban")
     ends = legs.where((F.col("amount_cents") != 0) & own.isNotNull() & other.isNotNull())
-    ends = ends.select(H, "id", "account_id", "booking_date", "amount_cents", "own_iban", "counterparty_iban", out.alias("_out"), F.abs("amount_cents").alias("_cents"), F.when(out, own).otherwise(other).alias("_from"), F.when(out, other).otherwise(own).alias("_to"))
+    ends = ends.select(H, "id", "account_id", "booking_date", "amount_cents", "own_iban", "counterparty_iban", out.alias("_out"), F.abs("amount_cents").alias("_cents"), F.when(out, own).otherwise(other).alias("_from"), F.when(out, other).otherwise(own).alias("_to")).withColumn(HASH, key_hash(ends_of))
     across = F.sum(F.when(F.col("_out"), 1).otherwise(0)).over(Window.partitionBy(*day))
     total = F.count(F.lit(1)).over(Window.partitionBy(*day))
     number = F.row_number().over(Window.partitionBy(*day, "_out").orderBy("id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.money import trimmed
 from tallyloom.functions.text import counterparty_text, glob_to_regex, normalise_counterparty
+from tallyloom.operators.joins import hashed_join
 from tallyloom.staging import staged
 
 H = "household_id"
@@ -59,9 +60,10 @@ def resolve(rows: DataFrame, rules: DataFrame) -> DataFrame:
     raw = counterparty_text(F.col("counterparty_name"), F.col("description"))
     texts = rows.where("flow IN ('INCOME', 'SPEND')").select(H, raw.alias("raw_text")).distinct().withColumn("text", normalise_counterparty(F.col("raw_text")))
     texts = staged(texts, "texts")  # each of the joins below would find and normalise them anew
-    found = texts.join(match_rules(texts, rules), [H, "text"], "left").select(H, "raw_text", "text", "merchant_id")
-    on = (F.col("r." + H) == F.col("f." + H)) & (F.when(F.col("r.flow").isin("INCOME", "SPEND"), raw) == F.col("f.raw_text"))
-    return rows.alias("r").join(found.alias("f"), on, "left").select("r.*", F.col("f.merchant_id"), F.col("f.text").alias("normal_text"))
+    found = texts.join(match_rules(texts, rules), [H, "text"], "left").select(H, F.col("raw_text").alias("_raw"), "merchant_id", F.col("text").alias("normal_text"))
+    rows = rows.withColumn("_raw", F.when(F.col("flow").isin("INCOME", "SPEND"), raw))
+    # written, so that the planner knows how small it is: all rows meet it
+    return hashed_join(rows, staged(found, "found"), [H, "_raw"], "left", spread="id").drop("_raw")
 
 
 def review(rows: DataFrame, merchants: DataFrame) -> DataFrame:

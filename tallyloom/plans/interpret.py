@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.constants import PADDING_DAYS
 from tallyloom.operators import ledger, merchants
+from tallyloom.operators.joins import HASH, hashed_join, key_hash
 from tallyloom.staging import staged
 
 H = "household_id"
@@ -26,20 +27,21 @@ class Interpretation:
 def interpret(facts: DataFrame, accounts: DataFrame, rules: DataFrame | None = None, paid: DataFrame | None = None) -> Interpretation:
     """Classify, allocate settlements (losers become spend), assign mirrors, pair what internal legs remain. `paid` as in
     `ledger.classify`."""
-    flows = staged(ledger.classify(facts, accounts, paid), "flows")  # read by each of the three matchings and by the rows
-    settled = staged(ledger.allocate_settlements(flows, facts, accounts), "settled")
+    cards = staged(ledger.settlement_cards(facts, accounts), "cards")
+    flows = staged(ledger.classify(facts, accounts, paid, cards), "flows")  # read by each of the three matchings and by the rows
+    settled = staged(ledger.allocate_settlements(flows, facts, accounts, cards), "settled")
     mirrors = ledger.assign_mirrors(flows, settled)
-    won = settled.select(H, F.col("debit_id").alias("id"), F.lit(True).alias("won"))
-    rows = flows.join(won, [H, "id"], "left")
-    lost = F.col("pattern_debit") & F.col("won").isNull()
-    rows = rows.withColumn("flow", F.when(lost, "SPEND").otherwise(F.col("flow")))
-    legs = rows.where("flow = 'INTERNAL' AND NOT pattern_debit AND NOT mirror_credit")
-    pairs = ledger.match_transfers(legs)
-    settlements = settled.join(mirrors, [H, "debit_id"], "left").select(H, F.col("debit_id").alias("outgoing_id"), F.col("credit_id").alias("incoming_id"), "card_import_id")
+    pairs = ledger.match_transfers(flows.where("flow = 'INTERNAL' AND NOT pattern_debit AND NOT mirror_credit"))
+    settlements = hashed_join(settled, mirrors, [H, "debit_id"], "left").select(H, F.col("debit_id").alias("outgoing_id"), F.col("credit_id").alias("incoming_id"), "card_import_id")
     links = settlements.unionByName(pairs.select(H, F.col("out_id").alias("outgoing_id"), F.col("in_id").alias("incoming_id"), F.lit(None).cast("string").alias("card_import_id")))
     links = staged(links, "links")
-    sides = matched_sides(links).select(H, "id", F.lit(True).alias("matched"))
-    rows = rows.drop("won").join(sides, [H, "id"], "left").withColumn("is_unmatched", (F.col("flow") == "INTERNAL") & F.col("matched").isNull()).drop("matched")
+    won = links.where("card_import_id IS NOT NULL").select(H, F.col("outgoing_id").alias("id"), F.lit(True).alias("won"), F.lit(None).cast("boolean").alias("matched"))
+    sides = matched_sides(links).select(H, "id", F.lit(None).cast("boolean").alias("won"), F.lit(True).alias("matched"))
+    ends = won.unionByName(sides).groupBy(key_hash([H, "id"]).alias(HASH), H, "id").agg(F.max("won").alias("won"), F.max("matched").alias("matched"))
+    rows = flows.withColumn(HASH, key_hash([H, "id"])).join(ends, [HASH, H, "id"], "left").drop(HASH)
+    lost = F.col("pattern_debit") & F.col("won").isNull()
+    rows = rows.withColumn("flow", F.when(lost, "SPEND").otherwise(F.col("flow")))
+    rows = rows.withColumn("is_unmatched", (F.col("flow") == "INTERNAL") & F.col("matched").isNull()).drop("won", "matched")
     if rules is not None:
         rows = merchants.resolve(rows, rules)
     return Interpretation(staged(rows, "rows"), links)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyloom.constants import CASH
 from tallyloom.functions.dates import month_of, shifted_month
 from tallyloom.functions.text import counterparty_text, normalise_counterparty
+from tallyloom.operators.joins import HASH, hashed_join, key_hash
 from tallyloom.operators.ledger import matches
 from tallyloom.plans.interpret import matched_sides
 
@@ -25,12 +26,14 @@ def at(rows: DataFrame, months: list[str]) -> DataFrame:
 
 def linked(rows: DataFrame, links: DataFrame) -> DataFrame:
     """rows with month, matched and in_transit (the partner lies in another month): links are joined once, by one key."""
-    days = rows.select(H, F.col("id").alias("partner_id"), month_of(F.col("booking_date")).alias("partner_month"))
-    sides = matched_sides(links).join(days, [H, "partner_id"], "left").groupBy(H, "id").agg(F.collect_set("partner_month").alias("partner_months"))
-    rows = rows.withColumn("month", month_of(F.col("booking_date"))).join(sides, [H, "id"], "left")
-    matched = F.col("partner_months").isNotNull()
-    away = matched & F.exists(F.coalesce("partner_months", F.array().cast("array<string>")), lambda m: m != F.col("month"))
-    return rows.withColumns({"matched": matched, "in_transit": away}).drop("partner_months")
+    first = F.trunc("booking_date", "month")
+    days = rows.select(H, F.col("id").alias("partner_id"), first.alias("there"))
+    # days, not texts of months: the earliest and the latest of them are kept without sorting
+    sides = hashed_join(matched_sides(links), days, [H, "partner_id"], "left")
+    sides = sides.groupBy(key_hash([H, "id"]).alias(HASH), H, "id").agg(F.lit(True).alias("matched"), F.min("there").alias("since"), F.max("there").alias("until"))
+    rows = rows.withColumns({"month": month_of(F.col("booking_date")), HASH: key_hash([H, "id"])}).join(sides, [HASH, H, "id"], "left").drop(HASH)
+    away = F.when(F.col("since").isNull(), False).otherwise((F.col("since") != first) | (F.col("until") != first))
+    return rows.withColumns({"matched": F.coalesce("matched", F.lit(False)), "in_transit": away}).drop("since", "until")
 
 
 def figures(rows: DataFrame, links: DataFrame) -> DataFrame:
