@@ -42,10 +42,26 @@ def pot_facts(facts: DataFrame, accounts: DataFrame) -> DataFrame:
     return hashed_join(facts, own, [H, "account_id"])
 
 
+def known_facts(facts: DataFrame, accounts: DataFrame) -> DataFrame:
+    """`pot_facts` with what accounts say of the other side (to_reserve, to_pot; IBANs are compared as they stand) and
+    `asks` (a settlement debit by its text), written. All of an interpretation reads these rows, so facts meet the accounts
+    once, however many accounts there are."""
+    owned = rings(accounts).where("ring IN ('reserve', 'pot')").select(H, F.col("iban").alias("counterparty_iban"), (F.col("ring") == "reserve").alias("r"))
+    owned = owned.groupBy(H, "counterparty_iban").agg(F.max("r").alias("to_reserve"), F.max(~F.col("r")).alias("to_pot"))
+    rows = hashed_join(pot_facts(facts, accounts), owned, [H, "counterparty_iban"], "left", spread="id")
+    asks = (F.col("amount_cents") < 0) & matches(F.col("description"), SETTLEMENT_DEBIT)
+    flags = (F.coalesce(c, F.lit(False)).alias(name) for c, name in ((F.col("to_reserve"), "to_reserve"), (F.col("to_pot"), "to_pot"), (asks, "asks")))
+    return staged(rows.select(*facts.columns, "own_iban", "is_card", *flags), "known")
+
+
 def card_imports(facts: DataFrame, accounts: DataFrame) -> DataFrame:
     """Per import on a card account: the sum of its debits and its last day."""
+    return _card_imports(pot_facts(facts, accounts))
+
+
+def _card_imports(pot: DataFrame) -> DataFrame:
     debit = F.when(F.col("amount_cents") < 0, -F.col("amount_cents")).otherwise(0)
-    return pot_facts(facts, accounts).where("is_card").groupBy(H, "import_id").agg(F.min("account_id").alias("account_id"), F.sum(debit).alias("settlement_total_cents"), F.max("booking_date").alias("period_end"))
+    return pot.where("is_card").groupBy(H, "import_id").agg(F.min("account_id").alias("account_id"), F.sum(debit).alias("settlement_total_cents"), F.max("booking_date").alias("period_end"))
 
 
 def import_periods(facts: DataFrame) -> DataFrame:
@@ -62,22 +78,31 @@ def _party(iban: Column, name: Column, description: Column) -> Column:
     return F.when(iban.isNotNull(), F.concat(F.lit("iban:"), iban)).otherwise(F.concat(F.lit("text:"), counterparty_text(name, description)))
 
 
-def _parties(rows: DataFrame) -> DataFrame:
+def _parties(rows: DataFrame, *more: Column) -> DataFrame:
     """(household_id, counterparty_iban, party, refund_key, went, came): once for each party, whether money ever went to it
-    and came from it. Keys cost much, so they are made of parties, written for no filter on a key to move onto all rows."""
+    and came from it, and what else is asked of its rows. Keys cost much, so they are made of parties, written for no
+    filter on a key to move onto all rows."""
     iban, text, cents = F.col("counterparty_iban"), F.col("text"), F.col("amount_cents")
     told = rows.withColumn("text", F.when(iban.isNull(), counterparty_text(F.col("counterparty_name"), F.col("description"))))
-    told = staged(told.groupBy(H, "counterparty_iban", "text").agg(F.max(cents < 0).alias("went"), F.max(cents > 0).alias("came")), "parties")
-    return told.select(H, "counterparty_iban", _party(iban, text, text).alias("party"), refund_key(iban, text, text).alias("refund_key"), "went", "came")
+    told = staged(told.groupBy(H, "counterparty_iban", "text").agg(F.max(cents < 0).alias("went"), F.max(cents > 0).alias("came"), *more), "parties")
+    return told.withColumns({"party": _party(iban, text, text), "refund_key": refund_key(iban, text, text)}).drop("text")
 
 
 def settlement_debits(facts: DataFrame, accounts: DataFrame) -> DataFrame:
-    debits = pot_facts(facts, accounts).where((F.col("amount_cents") < 0) & matches(F.col("description"), SETTLEMENT_DEBIT))
-    return debits.select(H, F.col("id").alias("debit_id"), F.col("account_id").alias("debit_account"), (-F.col("amount_cents")).alias("cents"), F.col("booking_date").alias("debit_date"))
+    return _debits(pot_facts(facts, accounts).where((F.col("amount_cents") < 0) & matches(F.col("description"), SETTLEMENT_DEBIT)))
+
+
+def _debits(asking: DataFrame) -> DataFrame:
+    return asking.select(H, F.col("id").alias("debit_id"), F.col("account_id").alias("debit_account"), (-F.col("amount_cents")).alias("cents"), F.col("booking_date").alias("debit_date"))
 
 
 def settlement_cards(facts: DataFrame, accounts: DataFrame) -> DataFrame:
-    cards = card_imports(facts, accounts).where("settlement_total_cents > 0")
+    return cards_of(pot_facts(facts, accounts))
+
+
+def cards_of(pot: DataFrame) -> DataFrame:
+    """`settlement_cards` of rows that are `pot_facts` already."""
+    cards = _card_imports(pot).where("settlement_total_cents > 0")
     return cards.select(H, F.col("import_id").alias("card_import_id"), F.col("account_id").alias("card_account"), F.col("settlement_total_cents").alias("cents"), "period_end")
 
 
@@ -92,59 +117,66 @@ def _candidates(debits: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def payable(debits: DataFrame, cards: DataFrame) -> DataFrame:
-    """(household_id, debit_id) of the debits that have a candidate. Days and accounts are compared once each, as an amount
-    that comes up often would give pairs by the square of its number."""
+    """(household_id, cents, debit_date, debit_account), once each, of the debits that have a candidate. Days and accounts
+    are compared once each, as an amount that comes up often would give pairs by the square of its number."""
     told = [H, "cents", "debit_date", "debit_account"]
     ends = cards.groupBy(H, "cents", "period_end").agg(F.min("card_account").alias("_low"), F.max("card_account").alias("_high"))
     near = hashed_join(debits.select(*told).distinct(), ends, [H, "cents"]).where(day_distance(F.col("debit_date"), F.col("period_end")) <= SETTLEMENT_DAYS)
     other = (F.col("_low") != F.col("debit_account")) | (F.col("_high") != F.col("debit_account"))
-    return hashed_join(debits, near.where(other).select(*told).distinct(), told, "left_semi").select(H, "debit_id").distinct()
+    return near.where(other).select(*told).distinct()
 
 
-def refunded(facts: DataFrame, accounts: DataFrame, paid: DataFrame | None = None) -> DataFrame:
+def refunded(known: DataFrame, paid: DataFrame | None = None) -> DataFrame:
     """(household_id, party): those outside the household's rings that money came from and that were ever paid."""
-    ring = rings(accounts).where("ring IN ('reserve', 'pot')").select(H, F.col("iban").alias("counterparty_iban"))
-    parties = _parties(pot_facts(facts, accounts))
+    parties = _parties(known, F.max(~F.col("to_reserve") & ~F.col("to_pot")).alias("outside"))
     paid = parties.where("went").select(H, "refund_key").distinct() if paid is None else paid
-    came = hashed_join(parties.where("came"), ring, [H, "counterparty_iban"], "left_anti", spread="party")
-    return hashed_join(came, paid, [H, "refund_key"], "left_semi").select(H, "party").distinct()
+    return hashed_join(parties.where("came AND outside"), paid, [H, "refund_key"], "left_semi").select(H, "party").distinct()
 
 
-def classify(facts: DataFrame, accounts: DataFrame, paid: DataFrame | None = None, cards: DataFrame | None = None) -> DataFrame:
+def classify(facts: DataFrame, accounts: DataFrame, paid: DataFrame | None = None) -> DataFrame:
     """Facts of the pot with flow, is_cash, mirror_credit and pattern_debit (a settlement debit that has a candidate).
 
     Order of the rules: reserve, pot, settlement, outgoing, refund, incoming, nothing. IBANs are compared as they stand.
-    `paid` (household_id, refund_key) is what ever went out, where facts are only a part of the ledger. `cards`: the
-    `settlement_cards`, if they are there already.
+    `paid` (household_id, refund_key) is what ever went out, where facts are only a part of the ledger.
+    """
+    internal, others = classified(known_facts(facts, accounts), paid)
+    return internal.unionByName(others)
+
 
-    Sides that rows meet are written first: where they are small, the planner then knows and rows are not shuffled.
-    Rows that a side has nothing to say to (no IBAN, no settlement debit, nothing received) have no key there.
+def classified(known: DataFrame, paid: DataFrame | None = None, cards: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """`classify` of `known_facts`: the rows of flow INTERNAL, and all others. `cards`: the `settlement_cards`, if they are
+    there already.
+
+    Only settlement debits meet the imports, and are written with what these say; parties that were paid are written too:
+    where they are few, the planner then knows, and what is left is a filter and a look-up of each row as it is read.
+    Rows that nothing was received by have no key there. The flow of internal rows is a literal, so who asks for other
+    flows does not read them.
     """
-    owned = rings(accounts).where("ring IN ('reserve', 'pot')").select(H, F.col("iban").alias("counterparty_iban"), (F.col("ring") == "reserve").alias("r"))
-    owned = owned.groupBy(H, "counterparty_iban").agg(F.max("r").alias("to_reserve"), F.max(~F.col("r")).alias("to_pot"))
-    debits = staged(settlement_debits(facts, accounts), "debits")
-    settled = payable(debits, settlement_cards(facts, accounts) if cards is None else cards).select(H, F.col("debit_id").alias("_debit"), F.lit(True).alias("has_import"))
-    paid = staged(refunded(facts, accounts, paid), "refunded").select(H, F.col("party").alias("_party"), F.lit(True).alias("paid_before"))
-    party = _party(F.col("counterparty_iban"), F.col("counterparty_name"), F.col("description"))
-    asks = (F.col("amount_cents") < 0) & matches(F.col("description"), SETTLEMENT_DEBIT)
-    rows = pot_facts(facts, accounts).withColumns({"_party": F.when(F.col("amount_cents") > 0, party), "_debit": F.when(asks, F.col("id"))})
-    for side, key in ((owned, "counterparty_iban"), (settled, "_debit"), (paid, "_party")):
-        rows = hashed_join(rows, side, [H, key], "left", spread="id")
-    on = lambda c: F.coalesce(F.col(c), F.lit(False))
-    plain = ~on("to_reserve") & ~on("to_pot")
+    told = {"cents": -F.col("amount_cents"), "debit_date": F.col("booking_date"), "debit_account": F.col("account_id")}
+    asking = known.where("asks").withColumns(told)
+    cards = staged(cards_of(known), "cards") if cards is None else cards
+    asking = hashed_join(asking, payable(asking, cards).withColumn("has_import", F.lit(True)), [H, *told], "left")
+    asking = staged(asking.select(*known.columns, F.coalesce("has_import", F.lit(False)).alias("has_import")), "asking")
+    paid = staged(refunded(known, paid), "refunded").select(H, F.col("party").alias("_party"), F.lit(True).alias("paid_before"))
+    rows = known.where("NOT asks").withColumn("has_import", F.lit(False)).unionByName(asking)
+    plain = ~F.col("to_reserve") & ~F.col("to_pot")
     amount, said = F.col("amount_cents"), F.col("description")
     mirror = plain & (amount > 0) & F.col("is_card") & matches(said, SETTLEMENT_CREDIT)
-    debit = plain & F.col("_debit").isNotNull()
+    debit = plain & F.col("asks")
+    cash = plain & ~debit & (amount < 0) & matches(said, CASH)
+    inner = F.coalesce(~F.col("to_reserve") & (F.col("to_pot") | mirror | (debit & F.col("has_import"))), F.lit(False))
+    party = _party(F.col("counterparty_iban"), F.col("counterparty_name"), said)
+    others = hashed_join(rows.where(~inner).withColumn("_party", F.when(amount > 0, party)), paid, [H, "_party"], "left", spread="id")
     flow = (
-        F.when(on("to_reserve"), "RESERVE")
-        .when(on("to_pot") | mirror | (debit & on("has_import")), "INTERNAL")
+        F.when(F.col("to_reserve"), "RESERVE")
         .when(amount < 0, "SPEND")
-        .when((amount > 0) & on("paid_before"), "SPEND")
+        .when((amount > 0) & F.col("paid_before").isNotNull(), "SPEND")
         .when(amount > 0, "INCOME")
         .otherwise("UNRESOLVED")
     )
-    cash = plain & ~debit & (amount < 0) & matches(said, CASH)
-    return rows.select(*facts.columns, "own_iban", "is_card", flow.alias("flow"), cash.alias("is_cash"), mirror.alias("mirror_credit"), (debit & on("has_import")).alias("pattern_debit"))
+    columns = [c for c in known.columns if c not in ("to_reserve", "to_pot", "asks")]
+    marks = (cash.alias("is_cash"), mirror.alias("mirror_credit"), (debit & F.col("has_import")).alias("pattern_debit"))
+    return rows.where(inner).select(*columns, F.lit("INTERNAL").alias("flow"), *marks), others.select(*columns, flow.alias("flow"), *marks)
 
 
 def _islands(edges: DataFrame, keys: list[str], day: str, gap: int) -> DataFrame:

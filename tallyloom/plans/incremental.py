@@ -74,7 +74,7 @@ def affected(facts: DataFrame, accounts: DataFrame, imports: DataFrame) -> DataF
 
 
 def _shaped(found: Interpretation) -> tuple[DataFrame, DataFrame]:
-    rows = found.rows.withColumn("period", period_of(F.col("booking_date")))
+    rows = staged(found.rows.withColumn("period", period_of(F.col("booking_date"))), "shaped")
     if "merchant_id" not in rows.columns:
         rows = rows.withColumn("merchant_id", F.lit(None).cast("string"))
     out = rows.select(H, F.col("id").alias("outgoing_id"), "period")

@@ -26,25 +26,31 @@ class Interpretation:
 
 def interpret(facts: DataFrame, accounts: DataFrame, rules: DataFrame | None = None, paid: DataFrame | None = None) -> Interpretation:
     """Classify, allocate settlements (losers become spend), assign mirrors, pair what internal legs remain. `paid` as in
-    `ledger.classify`."""
-    cards = staged(ledger.settlement_cards(facts, accounts), "cards")
-    flows = staged(ledger.classify(facts, accounts, paid, cards), "flows")  # read by each of the three matchings and by the rows
-    settled = staged(ledger.allocate_settlements(flows, facts, accounts, cards), "settled")
-    mirrors = ledger.assign_mirrors(flows, settled)
-    pairs = ledger.match_transfers(flows.where("flow = 'INTERNAL' AND NOT pattern_debit AND NOT mirror_credit"))
+    `ledger.classify`. Facts are read once. Only internal rows can have a link, so these alone are written with their flow
+    and meet the links; all others are found in the known facts as they are read."""
+    known = ledger.known_facts(facts, accounts)
+    cards = staged(ledger.cards_of(known), "cards")
+    internal, others = ledger.classified(known, paid, cards)
+    internal = staged(internal, "internal")  # read by each of the three matchings and by the rows
+    settled = staged(ledger.allocate_settlements(internal, facts, accounts, cards), "settled")
+    mirrors = ledger.assign_mirrors(internal, settled)
+    pairs = ledger.match_transfers(internal.where("NOT pattern_debit AND NOT mirror_credit"))
     settlements = hashed_join(settled, mirrors, [H, "debit_id"], "left").select(H, F.col("debit_id").alias("outgoing_id"), F.col("credit_id").alias("incoming_id"), "card_import_id")
     links = settlements.unionByName(pairs.select(H, F.col("out_id").alias("outgoing_id"), F.col("in_id").alias("incoming_id"), F.lit(None).cast("string").alias("card_import_id")))
     links = staged(links, "links")
     won = links.where("card_import_id IS NOT NULL").select(H, F.col("outgoing_id").alias("id"), F.lit(True).alias("won"), F.lit(None).cast("boolean").alias("matched"))
     sides = matched_sides(links).select(H, "id", F.lit(None).cast("boolean").alias("won"), F.lit(True).alias("matched"))
     ends = won.unionByName(sides).groupBy(key_hash([H, "id"]).alias(HASH), H, "id").agg(F.max("won").alias("won"), F.max("matched").alias("matched"))
-    rows = flows.withColumn(HASH, key_hash([H, "id"])).join(ends, [HASH, H, "id"], "left").drop(HASH)
-    lost = F.col("pattern_debit") & F.col("won").isNull()
-    rows = rows.withColumn("flow", F.when(lost, "SPEND").otherwise(F.col("flow")))
-    rows = rows.withColumn("is_unmatched", (F.col("flow") == "INTERNAL") & F.col("matched").isNull()).drop("won", "matched")
+    met = internal.withColumn(HASH, key_hash([H, "id"])).join(ends, [HASH, H, "id"], "left").drop(HASH)
+    flow = F.when(F.col("won").isNull(), "SPEND").otherwise("INTERNAL")
+    debits = met.where("pattern_debit").withColumns({"flow": flow, "is_unmatched": F.col("won").isNotNull() & F.col("matched").isNull()})
+    legs = met.where("NOT pattern_debit").withColumns({"flow": F.lit("INTERNAL"), "is_unmatched": F.col("matched").isNull()})
+    rows = others.withColumn("is_unmatched", F.lit(False))
+    for some in (debits, legs):
+        rows = rows.unionByName(some.drop("won", "matched"))
     if rules is not None:
         rows = merchants.resolve(rows, rules)
-    return Interpretation(staged(rows, "rows"), links)
+    return Interpretation(rows, links)
 
 
 def matched_sides(links: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def query(name: str, upto: str | None = None, sql: str | None = None):
 
 def _interpreted(spark: SparkSession, d: str, rules: bool = False) -> tuple[Ledger, Interpretation]:
     book = Ledger(spark, d)
-    return book, interpret(book.facts, book.accounts, book.rules if rules else None)
+    return book, interpret(book.facts_once, book.accounts, book.rules if rules else None)
 
 
 _FIGURES = """SELECT household_id, month, income_cents, spend_cents, net_to_reserves_cents, change_in_pot_cents, unresolved_cents, unresolved_count, unmatched_internal_cents, unmatched_internal_count, in_transit_cents, in_transit_count, uninterpreted_count, row_count,

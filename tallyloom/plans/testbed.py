@@ -69,6 +69,15 @@ merchant_tags AS (SELECT DISTINCT household_id, merchant_id, concat(household_id
 """
 
 
+#: The part `ord` in two steps: what accounts say of each other is joined once an account, not once an order.
+OWNERS = """SELECT a.k, a.household_id, a.id AS account_id, a.iban AS own, a.role = 'POT' AND a.iban IS NULL AS card, p.next_id, n.iban AS next_iban, s.reserve_iban
+  FROM acct a LEFT JOIN pots p ON p.household_id = a.household_id AND p.id = a.id
+  LEFT JOIN pots n ON n.household_id = a.household_id AND n.id = p.next_id
+  LEFT JOIN saves s ON s.household_id = a.household_id"""
+ORD = """SELECT o_orderkey AS ok, w.household_id, w.account_id, w.own, w.card, cast(round(o_totalprice * 100) AS bigint) AS cents, cast(o_orderdate AS date) AS day, o_orderkey % 8 AS kind, w.next_id, w.next_iban, w.reserve_iban
+  FROM {orders} JOIN {owners} w ON o_custkey = w.k"""
+
+
 def plain_sql() -> str:
     """The text with the tables' own names, for DuckDB."""
     return re.sub(r"\{(\w+)\}", r"\1", LEDGER)
@@ -79,18 +88,34 @@ class Ledger:
     spark: SparkSession
     sf_dir: str
 
-    def _get(self, name: str, **given: DataFrame) -> DataFrame:
-        """Staged, as every step of the lineage reads it again. A part of the text that is given is not made anew."""
-        tables = {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in TABLES}
+    def _tables(self) -> dict[str, DataFrame]:
+        return {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in TABLES}
+
+    def _made(self, select: str, **given: DataFrame) -> DataFrame:
+        """A part of the text that is given is not made anew."""
         text = LEDGER
         for part in given:
             text = re.sub(rf"\n{part} AS \(.*?\),\n(?=\w+ AS \()", f"\n{part} AS (SELECT * FROM {{{part}}}),\n", text, flags=re.DOTALL)
-        return staged(self.spark.sql(f"WITH {text} SELECT * FROM {name}", **tables, **given), name)
+        return self.spark.sql(f"WITH {text} {select}", **self._tables(), **given)
+
+    def _get(self, name: str) -> DataFrame:
+        """Staged, as every step of the lineage reads it again."""
+        return staged(self._made(f"SELECT * FROM {name}"), name)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        """The part `ord`, which four others read."""
+        owners = staged(self._made(OWNERS), "owners")
+        return staged(self.spark.sql(ORD, orders=self._tables()["orders"], owners=owners), "ord")
 
     @cached_property
     def facts(self) -> DataFrame:
-        """Four of its parts read the orders with their accounts, so these are joined once."""
-        return self._get("facts", ord=self._get("ord"))
+        return staged(self.facts_once, "facts")
+
+    @cached_property
+    def facts_once(self) -> DataFrame:
+        """The facts, not written: for what reads them once."""
+        return self._made("SELECT * FROM facts", ord=self.orders)
 
     @cached_property
     def accounts(self) -> DataFrame:
