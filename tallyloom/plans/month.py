@@ -15,6 +15,7 @@ from tallyloom.functions.text import counterparty_text, normalise_counterparty
 from tallyloom.operators.joins import HASH, hashed_join, key_hash
 from tallyloom.operators.ledger import matches
 from tallyloom.plans.interpret import matched_sides
+from tallyloom.staging import staged
 
 H = "household_id"
 BY = [H, "month"]
@@ -71,7 +72,9 @@ def counted_groups(rows: DataFrame, merchants: DataFrame, merchant_tags: DataFra
 
 
 def folded(groups: DataFrame, use_tags: bool) -> DataFrame:
-    """Groups by cash, else tag (if asked), else merchant, else normalised text; texts are normalised once each."""
+    """Groups by cash, else tag (if asked), else merchant, else normalised text; texts are normalised once each. The
+    groups are written, as they are read for their texts and for their sums, and by what compares months again."""
+    groups = staged(groups, "groups")
     texts = groups.where("merchant_id IS NULL AND NOT is_cash").select("counterparty_text").distinct().withColumn("normal", normalise_counterparty(F.col("counterparty_text")))
     groups = groups.join(texts, "counterparty_text", "left")
     known = F.col("merchant_id").isNotNull()
