@@ -1,7 +1,7 @@
 """Tables of a row a file or a line are not sent to all tasks through the driver, however few bytes they take."""
 
 import pytest
-from test_sources import CURRENT, files
+from test_sources import CARD, CURRENT, PAIR, files
 
 from tallyloom.sources import profile
 
@@ -35,3 +35,15 @@ def test_inference_merges_what_is_a_row_a_file(spark, monkeypatch, kinds):
     assert planned(found).count("BroadcastHashJoin") == (kinds is None)
     got = {r.file_id: (r.reason, r.spec and r.spec.columns.description) for r in found.collect()}
     assert got == {"current": (None, 7), "again": (None, 7), "none": ("empty-file", None), "flat": ("no-delimiter", None)}
+
+
+def test_inference_of_uploads_in_many_forms_sends_only_their_kinds(spark, monkeypatch):
+    # two columns of amounts, a mark, an old encoding and two accounts: all that is asked of a file's amounts is asked
+    mixed = CURRENT + CURRENT.split("\n")[-2].replace("BE1", "BE3") + "\n"
+    forms = {"current": CURRENT, "card": CARD, "pair": PAIR, "old": CURRENT.encode("cp1252"), "mixed": mixed, "both": PAIR.replace(",12.50,,", ",12.50,1.00,")}
+    plans = written(monkeypatch, profile)
+    found = profile.infer(files(spark, **forms))
+    assert not [n for n, p in plans.items() if "Broadcast" in p]
+    assert planned(found).count("BroadcastHashJoin") == 1
+    got = {r.file_id: r.reason or (r.spec.amount.kind, r.spec.encoding) for r in found.collect()}
+    assert got == {"current": ("signed", "utf-8"), "card": ("indicator", "utf-8"), "pair": ("debitCredit", "utf-8"), "old": ("signed", "windows-1252"), "mixed": ("signed", "utf-8"), "both": "ambiguous-amount-columns"}
