@@ -106,7 +106,7 @@ def statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     'mixed-accounts' where rows name more than one own IBAN."""
     rows = parsed(files)
     state = failures(files, rows)
-    good = rows.join(state.where("reason IS NULL").select("household_id", "file_id"), ["household_id", "file_id"], "left_semi").drop("problem")
+    good = rows.join(state.where("reason IS NULL").select("household_id", "file_id").hint("merge"), ["household_id", "file_id"], "left_semi").drop("problem")
     return good, state.where("reason IS NOT NULL")
 
 
@@ -114,7 +114,7 @@ def failures(files: DataFrame, rows: DataFrame) -> DataFrame:
     """(household_id, file_id, reason, line_no, raw_line) of all files, from their rows as `parsed`; whole ones have no reason."""
     first = F.min_by(F.when(F.col("problem").isNotNull(), F.struct("line_no", "problem", "raw_line")), F.when(F.col("problem").isNotNull(), F.col("line_no")))
     state = rows.groupBy("household_id", "file_id").agg(first.alias("bad"), F.count(F.lit(1)).alias("n"), (F.min("account_iban") < F.max("account_iban")).alias("mixed"))
-    state = files.select("household_id", "file_id").join(state, ["household_id", "file_id"], "left")
+    state = files.select("household_id", "file_id").join(state.hint("merge"), ["household_id", "file_id"], "left")
     reason = F.when(F.col("n").isNull(), "empty-file").when(F.col("bad").isNotNull(), F.concat(F.lit("row-"), F.col("bad.problem"))).when(F.col("mixed"), "mixed-accounts")
     return state.select("household_id", "file_id", reason.alias("reason"), F.col("bad.line_no").alias("line_no"), F.col("bad.raw_line").alias("raw_line"))
 

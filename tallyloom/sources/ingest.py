@@ -28,12 +28,13 @@ def uploaded(files: DataFrame, specs: DataFrame, stored: DataFrame, accounts: Da
 
     specs: the inferred profile of each file; stored: the profiles that are known (id, account_id, created_at, spec). A file
     is recognised by its profile, parsed whole or not at all, and its account is the one that it names, else its profile's.
+    What is a row a file is merged, as it is many rows, however few bytes they take on disk.
     """
-    rows, bad = statements(files.join(specs, [H, "file_id"]))
+    rows, bad = statements(files.join(specs.hint("merge"), [H, "file_id"]))
     whole = rows.groupBy(H, "file_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amount_cents").alias("cents"), F.min("account_iban").alias("account_iban"))
     known = recognised(specs, stored).select(H, "file_id", "profile_id", "bound_account")
-    placed = resolve_accounts(whole.join(known, [H, "file_id"]), accounts)
-    out = files.select(H, "file_id").join(bad.select(H, "file_id", "reason"), [H, "file_id"], "left").join(placed, [H, "file_id"], "left")
+    placed = resolve_accounts(whole.join(known.hint("merge"), [H, "file_id"]), accounts)
+    out = files.select(H, "file_id").join(bad.select(H, "file_id", "reason").hint("merge"), [H, "file_id"], "left").join(placed.hint("merge"), [H, "file_id"], "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(H, "file_id", "reason", "profile_id", "account_id", count("n_rows"), count("cents"))
 

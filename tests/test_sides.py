@@ -1,9 +1,10 @@
 """Tables of a row a file or a line are not sent to all tasks through the driver, however few bytes they take."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_sources import CARD, CURRENT, PAIR, files
 
-from tallyloom.sources import profile
+from tallyloom.sources import ingest, profile
 
 
 def planned(df):
@@ -47,3 +48,17 @@ def test_inference_of_uploads_in_many_forms_sends_only_their_kinds(spark, monkey
     assert planned(found).count("BroadcastHashJoin") == 1
     got = {r.file_id: r.reason or (r.spec.amount.kind, r.spec.encoding) for r in found.collect()}
     assert got == {"current": ("signed", "utf-8"), "card": ("indicator", "utf-8"), "pair": ("debitCredit", "utf-8"), "old": ("signed", "windows-1252"), "mixed": ("signed", "utf-8"), "both": "ambiguous-amount-columns"}
+
+
+def test_uploads_meet_what_is_a_row_a_file_by_merges(spark):
+    sent = files(spark, a=CARD, b=CARD, c=CURRENT, late=CARD.replace("03.08.26", "33.08.26"), mixed=CURRENT + CURRENT.split("\n")[-2].replace("BE1", "BE3") + "\n")
+    card = profile.infer(files(spark, a=CARD)).first().spec
+    found = profile.infer(sent)
+    specs = spark.createDataFrame([(r.household_id, r.file_id, card if r.file_id == "late" else r.spec) for r in found.collect()], found.drop("reason").schema)
+    stored = specs.where("file_id = 'a'").select("household_id", F.lit("P").alias("id"), F.lit("bound").alias("account_id"), F.lit(1).alias("created_at"), "spec")
+    accounts = spark.createDataFrame([("h", "acc", "BE11111111111111")], "household_id string, id string, iban string")
+    done = ingest.uploaded(*map(profile.staged, (sent, specs, stored, accounts)))
+    # the stored profiles and the accounts may be sent; nothing that has a row a file
+    assert planned(done).count("BroadcastHashJoin") == 2
+    assert "file_id" not in " ".join(x for x in planned(done).split("\n") if "BroadcastHashJoin" in x)
+    assert {tuple(r)[1:] for r in done.collect()} == {("a", None, "P", "bound", 2, -650), ("b", None, "P", "bound", 2, -650), ("c", None, None, "acc", 2, 248750), ("late", "row-date", None, None, 0, 0), ("mixed", "mixed-accounts", None, None, 0, 0)}
