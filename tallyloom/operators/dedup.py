@@ -118,7 +118,7 @@ def align_reparse(stored: DataFrame, parsed: DataFrame) -> DataFrame:
     parsed = parsed.select(H, "profile_id", "import_id", "line_no", "raw_line", "dedup_key", _base(F.col("dedup_key")).alias("_base"))
     line = [H, "profile_id", "import_id", "raw_line"]
     first = parsed.groupBy(*line, "_base").agg(F.min(F.struct("line_no", "dedup_key")).alias("_first"))
-    stored = stored.select(*line, "import_order", "id", "dedup_key").join(first, line, "left")
+    stored = stored.select(*line, "import_order", "id", "dedup_key").join(first.hint("merge"), line, "left")
     stored = stored.withColumn("_base", F.coalesce("_base", F.raise_error(F.concat(F.lit("no such line in its file: row "), F.col("id")))))
     stored = staged(stored.withColumn("_short", F.xxhash64(*group)), "stored")
     # groups of one row, as far as a short hash tells; the walk does the same for those that share one

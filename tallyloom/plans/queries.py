@@ -680,11 +680,12 @@ def reparsed_profiles(spark: SparkSession, d: str) -> DataFrame:
     files = _uploads(Ledger(spark, d))
     kind = F.when(F.col("spec.amount.kind") == "indicator", "P1").when(F.col("spec.amount.kind") == "debitCredit", "P2").when(F.col("spec.encoding") == "windows-1252", "P3").otherwise("P0")
     specs = staged(profile.infer(files).where("reason IS NULL").select(H, "file_id", "spec", kind.alias("profile_id")), "specs")
-    rows, _ = delimited.statements(files.join(specs, [H, "file_id"]))
-    known = staged(rows.join(specs.select(H, "file_id", "profile_id"), [H, "file_id"]), "known")
+    # specs are as many rows as there are files, however few bytes they take on disk
+    rows, _ = delimited.statements(files.join(specs.hint("merge"), [H, "file_id"]))
+    known = staged(rows.join(specs.select(H, "file_id", "profile_id").hint("merge"), [H, "file_id"]), "known")
     row_id = F.concat_ws("-", "file_id", "line_no")
     stored = known.select(H, "profile_id", F.col("file_id").alias("import_id"), F.concat(F.lit("A-"), "file_id").alias("account_id"), row_id.alias("id"), "raw_line", F.concat(F.lit("h:"), row_id, F.lit("#0")).alias("dedup_key"))
-    given = files.join(specs, [H, "file_id"]).select(H, "profile_id", F.col("file_id").alias("import_order"), F.col("file_id").alias("import_id"), "content", F.col("spec").withField("decimal_style", F.lit("comma")).alias("spec"))
+    given = files.join(specs.hint("merge"), [H, "file_id"]).select(H, "profile_id", F.col("file_id").alias("import_order"), F.col("file_id").alias("import_id"), "content", F.col("spec").withField("decimal_style", F.lit("comma")).alias("spec"))
     rewritten, refused = ingest.fix_profile(given, stored)
     done = rewritten.groupBy(H, "profile_id").agg(F.count_distinct("import_id").alias("n_imports"), F.count(F.lit(1)).alias("n_rows"), F.sum("amount_cents").alias("cents"))
     none = F.lit(0).cast("long")

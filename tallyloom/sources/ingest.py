@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyloom.operators.dedup import align_reparse, ingest_report, new_rows, with_keys
+from tallyloom.operators.joins import sent_if_few
 from tallyloom.sources.delimited import failures, parsed, statements
 from tallyloom.sources.profile import recognised
 from tallyloom.sources.snapshots import PARTS, Snapshot, part_of
@@ -60,22 +61,24 @@ def fix_profile(files: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFra
     """
     key = [H, "import_id"]
     account = F.when(F.min("account_id") == F.max("account_id"), F.min("account_id")).otherwise(F.raise_error(F.concat(F.lit("facts of two accounts in import "), F.col("import_id"))))
-    held = files.join(stored.groupBy(*key).agg(account.alias("account_id")), key).withColumn("file_id", F.col("import_id"))
+    # what is a row a file or a line is merged, as it is many rows, however few bytes they take on disk
+    held = files.join(stored.groupBy(*key).agg(account.alias("account_id")).hint("merge"), key).withColumn("file_id", F.col("import_id"))
     # parsed once, as all that follows reads the rows again
     rows = staged(parsed(held, ("profile_id", "import_order", "account_id")), "parsed")
     bad = failures(held, rows).where("reason IS NOT NULL").select(H, F.col("file_id").alias("import_id"), "reason", "raw_line")
-    bad = staged(bad, "bad")  # few, as is known once they are written
-    lines = stored.join(bad.select(*key), key, "left_semi").groupBy(*key, "raw_line").agg(F.min("id").alias("id"))
-    bad = bad.join(held.select(*key, "profile_id", "import_order"), key).join(lines, [*key, "raw_line"], "left")
+    bad = staged(bad, "bad")  # few or many, as is known once they are written
+    lines = stored.join(sent_if_few(bad.select(*key)), key, "left_semi").groupBy(*key, "raw_line").agg(F.min("id").alias("id"))
+    bad = sent_if_few(bad).join(held.select(*key, "profile_id", "import_order"), key).join(lines.hint("merge"), [*key, "raw_line"], "left")
     first = F.min(F.struct("import_order", "import_id", "reason", "id")).alias("b")
     refused = staged(bad.groupBy(H, "profile_id").agg(first).select(H, "profile_id", "b.import_id", "b.reason", "b.id"), "refused")
-    of = held.select(*key, "profile_id", "import_order").join(refused, [H, "profile_id"], "left_anti")
+    without = sent_if_few(refused.select(H, "profile_id"))
+    of = held.select(*key, "profile_id", "import_order").join(without, [H, "profile_id"], "left_anti")
     # a file that fails is one of a refused profile, so the rows that are left are those of whole files
-    anew = rows.withColumnRenamed("file_id", "import_id").drop("problem").join(refused, [H, "profile_id"], "left_anti")
+    anew = rows.withColumnRenamed("file_id", "import_id").drop("problem").join(without, [H, "profile_id"], "left_anti")
     keyed = staged(with_keys(anew).select(H, "profile_id", "import_id", "line_no", "raw_line", "dedup_key"), "keyed")
-    old = stored.select(*key, "id", "raw_line", "dedup_key").join(of, key)
+    old = stored.select(*key, "id", "raw_line", "dedup_key").join(of.hint("merge"), key)
     spots = align_reparse(old, keyed)
-    return spots.join(anew.drop("import_order"), [H, "profile_id", "import_id", "line_no"]), refused
+    return spots.join(anew.drop("import_order").hint("merge"), [H, "profile_id", "import_id", "line_no"]), refused
 
 
 def reopened(rewritten: DataFrame, states: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_sources import CARD, CURRENT, PAIR, files
 
+from tallyloom.operators import joins
 from tallyloom.sources import ingest, profile
 
 
@@ -62,3 +63,24 @@ def test_uploads_meet_what_is_a_row_a_file_by_merges(spark):
     assert planned(done).count("BroadcastHashJoin") == 2
     assert "file_id" not in " ".join(x for x in planned(done).split("\n") if "BroadcastHashJoin" in x)
     assert {tuple(r)[1:] for r in done.collect()} == {("a", None, "P", "bound", 2, -650), ("b", None, "P", "bound", 2, -650), ("c", None, None, "acc", 2, 248750), ("late", "row-date", None, None, 0, 0), ("mixed", "mixed-accounts", None, None, 0, 0)}
+
+
+@pytest.mark.parametrize("few", [None, 0])
+def test_a_reparse_sends_only_what_is_counted_as_few(spark, monkeypatch, few):
+    if few is not None:
+        monkeypatch.setattr(joins, "FEW", few)
+    spec = profile.infer(files(spark, a=CARD)).select("household_id", "spec")
+    wrong, cards = CARD.replace("5,50", "5.5,0"), CARD.split("\n")[2:4]
+    rows = [("h", p, 1, i, bytearray(t.encode())) for p, i, t in (("p", "f", CARD), ("p", "g", CARD), ("q", "x", CARD), ("q", "y", wrong))]
+    given = spark.createDataFrame(rows, "household_id string, profile_id string, import_order int, import_id string, content binary").join(spec, "household_id")
+    given = profile.staged(given)
+    facts = [("h", p, i, "acc", f"{i}{n}", raw, f"h:{i}{n}#0") for _, p, _, i, t in rows for n, raw in enumerate(t.decode().split("\n")[2:4])]
+    stored = spark.createDataFrame(facts, "household_id string, profile_id string, import_id string, account_id string, id string, raw_line string, dedup_key string")
+    plans = written(monkeypatch, ingest)
+    rewritten, refused = ingest.fix_profile(given, profile.staged(stored))
+    assert "Broadcast" not in plans["bad"] and [p for p in plans["parsed"].split("\n") if "Join" in p][0].find("SortMergeJoin") >= 0
+    assert ("Broadcast" in plans["refused"]) == (few is None)
+    first = next(x for x in planned(rewritten).split("\n") if "Join" in x)
+    assert "SortMergeJoin" in first and "line_no" in first
+    assert {tuple(r) for r in refused.collect()} == {("h", "q", "y", "row-amount", "y1")}
+    assert {(r.import_id, r.id, r.raw_line, r.amount_cents) for r in rewritten.collect()} == {(i, f"{i}{n}", cards[n], (-1200, 550)[n]) for i in "fg" for n in (0, 1)}
